@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, line_dedup, mixing, quality, simhash, url_filter
+from fathomline.llm import decontaminate, langid, line_dedup, mixing, quality, simhash, toxicity, url_filter
 from fathomline.llm.common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
