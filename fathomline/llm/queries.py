@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, langid, line_dedup, mixing, quality, simhash, toxicity, url_filter
+from fathomline.llm import decontaminate, html_extract, langid, license_scan, line_dedup, mixing, quality, simhash, toxicity, url_filter
 from fathomline.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -38,12 +42,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination, op10_langid)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extract, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination, op9_license_scan, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
