@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of SLICE_ROWS, so that what a task derives from long texts stays small."""
     for batch in batches:

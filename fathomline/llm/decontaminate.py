@@ -19,7 +19,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut
+from fathomline.llm.common import BROADCAST_ROWS, cut, unused
 
 WINDOW_WORDS = 13
 #: A document is contaminated if this part of its words, at least, is hit: one in so many.
@@ -139,8 +139,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of documents that aren't contaminated, columns as they are; of rows that share a doc_id, one that is takes all."""
-    bad = cut(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "_bad")
+    bad = cut(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
 
 
 #: The same for DuckDB.

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import byte_texts, cut, join_on_counted_key, text_slices
+from fathomline.llm.common import byte_texts, cut, join_on_counted_key, text_slices, unused
 
 LEAST_WORDS = 5
 #: Odd base of the variants' polynomial hash modulo 2 ** 64, and its inverse.
@@ -185,17 +185,17 @@ def line_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
 
-def _rewritten(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rewritten(batches: Iterable[pa.RecordBatch], removed: str) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         texts = byte_texts(batch.column("text"))
-        for row, places in enumerate(batch.column("removed").to_pylist()):
+        for row, places in enumerate(batch.column(removed).to_pylist()):
             if places and texts[row]:
                 lines = texts[row].split(b"\n")
                 gone = {p["line"]: p["h"] for p in places}
                 texts[row] = b"\n".join(x for k, x in enumerate(lines) if k not in gone or int.from_bytes(_line_hash(x.lower().split())[:8], "little", signed=True) != gone[k])
         new = pa.array(texts, pa.binary()).cast(pa.string())
-        columns = [new if n == "text" else batch.column(n) for n in batch.schema.names if n != "removed"]
-        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "removed"])
+        columns = [new if n == "text" else batch.column(n) for n in batch.schema.names if n != removed]
+        yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != removed])
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -204,7 +204,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     Every row stays, also one that has no line left: its text is then empty.
     """
     _, removed = removed_lines(docs)
-    removed = removed.withColumnRenamed("doc_id", "_doc_id")
-    rows = docs.join(removed, docs["doc_id"].eqNullSafe(F.col("_doc_id")), "left").select(docs["*"], "removed")
-    out = rows.mapInArrow(_rewritten, docs.schema)
+    key, gone = unused(docs, "_doc_id"), unused(docs, "removed")
+    removed = removed.withColumnsRenamed({"doc_id": key, "removed": gone})
+    rows = docs.join(removed, docs["doc_id"].eqNullSafe(F.col(key)), "left").select(docs["*"], gone)
+    out = rows.mapInArrow(lambda batches: _rewritten(batches, gone), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, text_slices
+from fathomline.llm.common import cut, join_on_counted_key, text_slices, unused
 
 #: Weights of the sources in order, again and again; and the share of all sizes that they part among them.
 WEIGHTS = (3, 1, 2)
@@ -153,8 +153,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Of rows with the same doc_id, each takes one of the counts that the mix has for them.
     """
-    counts = _copies(docs, weights, share).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("copies"))).alias("_copies"))
-    placed = docs.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("source")))
-    joined = placed.join(counts.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    copies = F.get(F.col("_copies"), F.col("_place") - 1)["copies"]
-    return joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)
+    key, all_copies, place, copy = (unused(docs, n) for n in ("_doc_id", "_copies", "_place", "_copy"))
+    counts = _copies(docs, weights, share).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("copies"))).alias(all_copies))
+    placed = docs.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("source")))
+    joined = placed.join(counts.withColumnRenamed("doc_id", key), F.col("doc_id").eqNullSafe(F.col(key)))
+    copies = F.get(F.col(all_copies), F.col(place) - 1)["copies"]
+    return joined.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, text_slices
+from fathomline.llm.common import cut, join_on_counted_key, text_slices, unused
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -245,5 +245,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of documents that the rules keep, columns as they are; a row stays if any row with its doc_id is kept."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "_kept")
+    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
