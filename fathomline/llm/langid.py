@@ -87,7 +87,7 @@ class Model:
             tables[n].setdefault(gram, np.zeros(len(place)))[place[lang]] += count
         logs = []
         for table in tables:
-            counts = np.array(list(table.values())).reshape(-1, len(place)) + SMOOTHING
+            counts = np.array(list(table.values()), float).reshape(len(table), len(place)) + SMOOTHING
             logs.append(np.log(counts / counts.sum(axis=0)) if len(counts) else counts)
         self.words = {w: k for k, w in enumerate(tables[0])}
         self.word_logs = logs[0]
