@@ -130,7 +130,7 @@ def _copies(docs: DataFrame, weights: tuple[float, ...], share: float) -> DataFr
     table = cut(table.select("source", "n", "source_size", "target", rate.alias("rate"), leaves.alias("nodes"), F.monotonically_increasing_id().alias("s")))
     keyed = sized.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     rows = join_on_counted_key(keyed, table.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"), "k", "n", total)
-    whole = F.floor("rate")
+    whole = F.when(F.col("size") > 0, F.floor("rate")).otherwise(0)
     part = F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0)
     columns = ["doc_id", "h", "size", "source_size", "target", "whole", "s", "nodes", "node", "p"]
     rows = rows.select("doc_id", "h", "size", "source_size", "target", whole.cast("long").alias("whole"), "s", "nodes", F.pmod(F.shiftright("h", 8), "nodes").alias("node"), part.alias("p"))
