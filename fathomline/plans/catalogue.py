@@ -8,11 +8,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.normal import norm_cdf_sql, radical_inverse
 from fathomline.operators import density as D
+from fathomline.operators import frontier as FR
 from fathomline.operators import panel as P
 from fathomline.operators import regression as R
 from fathomline.sources.panels import CUSTOMER_YEAR_SQL, SUPPLIER_YEAR_SQL, customer_year, supplier_year
@@ -517,3 +519,20 @@ def _(spark, sf_dir):
 d AS (SELECT *, mu * {S2V / S2!r} * 2.0 AS dm, {0.5 * SD * S2V / S2!r} * 2.0 AS ds FROM h) SELECT id, time::BIGINT AS time, {r(f'dm + ds * h - {SD!r} * h * (m + h) * (dm - m * ds) / {SD!r}')} AS zuit_z1 FROM d""")
 def _(spark, sf_dir):
     return rounded(sy_e(spark, sf_dir).select("id", "time", D.kumbhakar_sun_hn(2.0, F.col("e"), u2(), v2()).alias("zuit_z1")))
+
+
+#: True random effects and four components on the suppliers' panel; fewer draws than the default keep headline runs short.
+TRE = FR.Frontier("y", ["x1"], draws=100)
+GTRE = FR.Frontier("y", ["x1"], persistent=True, draws=100)
+
+
+@query("fit_tre", None)
+def _(spark, sf_dir):
+    """term, estimate, std_error (clustered by firm), z and p_value."""
+    return FR.fit(supplier_year(spark, sf_dir), TRE).table(spark)
+
+
+@query("gtre_scores", None)
+def _(spark, sf_dir):
+    """Inefficiency and efficiency of each supplier and year at fixed four-component parameters."""
+    return FR.efficiencies(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, GV, GU]), GTRE)
