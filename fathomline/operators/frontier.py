@@ -231,8 +231,11 @@ class Fit:
     terms: list[str] = field(default_factory=list)
 
     def vcov(self, clustered: bool = True) -> np.ndarray:
-        """Inverse of minus the Hessian; clustered: the sandwich with scores summed by firm, corrected for small samples."""
-        v = np.linalg.inv(-self.hessian)
+        """Inverse of minus the Hessian; clustered: the sandwich with scores summed by firm, corrected for small samples.
+
+        A parameter that the likelihood doesn't bend with, like the log of a variance that goes to zero, gets zeros.
+        """
+        v = np.linalg.pinv(-self.hessian, rcond=1e-12, hermitian=True)
         if not clustered:
             return v
         n, g, k = self.n_obs, self.n_firms, len(self.theta)
@@ -247,7 +250,7 @@ class Fit:
     def table(self, spark: SparkSession, clustered: bool = True) -> DataFrame:
         """term, estimate, std_error, z and p_value of each parameter."""
         se = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0))
-        z = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 0)
+        z = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 1e-9)
         p = 2 * ndtr(-np.abs(z))
         return spark.createDataFrame([(t, *map(float, r)) for t, *r in zip(self.terms, self.theta, se, z, p)], "term string, estimate double, std_error double, z double, p_value double")
 
