@@ -45,32 +45,70 @@ MARKED = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer form header masthead menu modal nav navbar navigation "
     "newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What a marked name may have before and after its words; with any other part it names something else (search-result, has-sidebar).
+BEFORE = frozenset("bottom global left primary right secondary site top".split())
+AFTER = frozenset("area bar bottom box button buttons container icons left links list right slot top unit wrapper".split())
+#: Marks of what has articles of its own that aren't the page's.
+OTHERS = frozenset("comment comments disqus related".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: An open one of these is closed by the start of a block.
 IMPLIED_END = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
-def _left_out(tag: str, attributes: str) -> bool:
+def _marks(name: str) -> set[str]:
+    """The words of MARKED in a class, id or role that as a whole names what isn't main text, else none."""
+    if name in MARKED:
+        return {name}
+    parts = [p for p in SPLIT.split(name) if p]
+    while parts and parts[0] in BEFORE:
+        parts.pop(0)
+    while parts and (parts[-1] in AFTER or parts[-1].isdigit()):
+        parts.pop()
+    return set(parts) if MARKED.issuperset(parts) else set()
+
+
+def _left_out(tag: str, attributes: str) -> str:
+    """"" if it stays; "soft" if it is left out unless it holds the page's article or main; "hard" if it is left out."""
+    marks: set[str] = set()
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
+        name = m[1].lower()
+        if name not in ("class", "id", "role", "hidden", "style", "aria-hidden"):
+            continue
+        value = (m[2] or "").strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
+            return "hard"
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
+            for word in value.split():
+                marks |= _marks(word)
     if tag in LEFT_OUT:
-        return True
-    for m in NAMED.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not MARKED.isdisjoint(SPLIT.split(value)) and tag not in ("html", "body"):
-            return True
-    return False
+        return "soft" if tag == "form" and OTHERS.isdisjoint(marks) else "hard"
+    return "" if not marks else "soft" if OTHERS.isdisjoint(marks) else "hard"
 
 
 def blocks_of(page: str | None) -> list[tuple[bool, bool, str]]:
-    """(in the main part, left out, text) of each block with text, in page order; white space is one space."""
-    page = page or ""
+    """(in the main part, left out, text) of each block with text, in page order; white space is one space.
+
+    An element left out for its class, id or role, or as a form, stays if it holds the page's main, or its article when it has
+    no other that stays. Hidden elements, asides, comments and the like have no article of the page's in them.
+    """
+    out, kept, held = _parsed(page or "", frozenset())
+    staying: frozenset[int] = frozenset()
+    for tag in MAIN:
+        if not kept[tag] and (tag == "main" or not kept["main"] or len(held[tag]) == 1):
+            staying = staying.union(*held[tag])
+    return _parsed(page or "", staying)[0] if staying else out
+
+
+def _parsed(page: str, staying: frozenset[int]) -> tuple[list[tuple[bool, bool, str]], dict[str, int], dict[str, list[set[int]]]]:
+    """Blocks; how many of each tag of MAIN stay; and for each that doesn't, the places of the soft elements that hold it."""
     out: list[tuple[bool, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, left out
+    stack: list[tuple[str, bool, bool, str, int]] = []  # tag, main, left out, why itself, place of its markup
     parts: list[str] = []
+    kept, held = dict.fromkeys(MAIN, 0), {tag: [] for tag in MAIN}
     main = left = False
 
     def end_block() -> None:
@@ -121,11 +159,18 @@ def blocks_of(page: str | None) -> list[tuple[bool, bool, str]]:
                     if stack[k][0] in BLOCK:
                         break
             if not m[3].endswith("/"):
-                out_here = left or _left_out(tag, m[3])
+                why = _left_out(tag, m[3])
+                if m.start() in staying:
+                    why = ""
+                out_here = left or why != ""
                 main, left = main or (tag in MAIN and not out_here), out_here
-                stack.append((tag, main, left))
+                stack.append((tag, main, left, why, m.start()))
+                if tag in MAIN:
+                    kept[tag] += not left
+                    if left and all(s[3] != "hard" for s in stack):
+                        held[tag].append({s[4] for s in stack if s[3]})
     end_block()
-    return out
+    return out, kept, held
 
 
 def stream_of(blocks: list[tuple[bool, bool, str]]) -> list[str]:

@@ -55,3 +55,24 @@ def test_repeated_runs_equal_brute_force(spark):
             at += len(words)
         assert out[k] == "\n".join(wanted)
     assert not any(shared[1] in t for t in out.values())
+
+
+def test_wrappers_with_marked_words_keep_the_article():
+    text = "<h1>Title</h1><p>The story.</p>"
+    whole = "Title\nThe story."
+    for page in (
+        f"<div class='layout has-sidebar'><article>{text}</article></div>",
+        f"<article class='post comment-open'>{text}</article>",
+        f"<div class='elementor-widget'><article>{text}</article></div>",
+        f"<article><div class='search-result'>{text}</div></article>",
+        "<article><div class='article-header'><h1>Title</h1></div><p>The story.</p></article>",
+        f"<div title='the hidden truth' data-x=\"a class='ad'\"><article>{text}</article></div>",
+        f"<div class='widget'><p>Not this</p><article>{text}</article></div>",
+        f"<main class='form'>{text}</main>",
+        f"<form id='aspnet'><nav>Menu</nav><main>{text}</main></form>",
+        f"<article>{text}</article><div class='widget'><article>A teaser</article></div>",
+        f"<article>{text}<div class='cookie-notice'>We</div><div id=top_ad-2>Buy</div><ul class='x share-buttons'><li>Send</li></ul><p hidden>No</p><p style='display: none'>No</p></article>",
+    ):
+        assert html_extract.main_text(page) == whole, page
+    for page in ("<p>Open page.</p><section class='comments'><article>A reader</article></section>", "<p>Open page.</p><div hidden><article>No</article></div>"):
+        assert html_extract.main_text(page) == "Open page.", page
