@@ -2,14 +2,19 @@
 
 A page is cut into blocks. Elements that by name, class, id or role are menus, headers, footers, sidebars, notices, adverts,
 forms or comments are left out, and so is what isn't shown. Where a page marks its main part (article or main), the blocks
-in it are the text: what an article repeats from another is still its text. All other text, and on pages without such a mark
-that is all, forms the page's token stream.
+in it are the text, without the runs that most of the host's pages have there: what an article repeats from some others is
+still its text. All other text, and on pages without such a mark that is all, forms the page's token stream.
 
 The streams of a host's pages are the suffix array's text. Its suffixes are sorted by their first TOKENS tokens; where two
 neighbours from distinct pages agree in these, TOKENS tokens from there on are repeated, and the union of such runs is all
 long substrings that distinct pages share. Tokens that they cover are boilerplate; the runs between them, if as long as
 LEAST_RUN or a whole block, are kept. The sort is a shuffle by hash of host and prefix, so a host's pages are never in one
 place, and equal suffixes are counted before the shuffle, so a menu that all pages of a large host have is no hot key.
+
+Main parts have a suffix array of their own, in which a run is boilerplate if MAIN_PAGES pages and one in MAIN_PART of the
+host's marked pages have it. A main part that such runs cover whole stays whole. Most suffixes there are in one page only, so
+they are sieved first: each takes as its anchor the ANCHOR tokens in it with the smallest hash, which equal suffixes share,
+and one whose anchor isn't in as many pages can't be in as many either. Only the others are sorted.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ from fathomline.llm.url_filter import host_and_path
 TOKENS = 8
 #: A run of unrepeated tokens in a block that is partly repeated stays if it has as many.
 LEAST_RUN = 5
+#: A run in main parts is boilerplate if at least so many pages have it, and of the host's pages with a main part one in so many.
+MAIN_PAGES, MAIN_PART = 5, 2
+#: Tokens of an anchor.
+ANCHOR = 3
 
 #: Elements by what they mean here, and words of classes, ids and roles that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -178,6 +187,11 @@ def stream_of(blocks: list[tuple[bool, bool, str]]) -> list[str]:
     return [token for main, left, text in blocks if left or not main for token in text.split(" ")]
 
 
+def main_stream_of(blocks: list[tuple[bool, bool, str]]) -> list[str]:
+    """Tokens of the main part, in page order."""
+    return [token for main, left, text in blocks if main and not left for token in text.split(" ")]
+
+
 def suffix_keys(host: str, tokens: list[str]) -> list[int]:
     """Hash of the host and the first TOKENS tokens of each suffix that has as many."""
     key = xxhash.xxh3_64_intdigest
@@ -199,6 +213,70 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pages, pa.array(places, pa.int32()), pa.array(opens, pa.bool_())], names=["key", "page", "at", "open"])
 
 
+def anchors(host: str, tokens: list[str]) -> np.ndarray:
+    """For each suffix of TOKENS tokens the smallest hash of host and ANCHOR tokens in it."""
+    key = xxhash.xxh3_64_intdigest
+    grams = np.array([key(f"{host} {' '.join(tokens[k : k + ANCHOR])}") for k in range(len(tokens) - ANCHOR + 1)], np.uint64).view(np.int64)
+    span = TOKENS - ANCHOR + 1
+    return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1) if len(grams) >= span else np.empty(0, np.int64)
+
+
+def _main_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, anchor): a null anchor for each page with a main part, and each anchor in it once."""
+    for batch in text_slices(batches):
+        hosts, found = [], []
+        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+            stream = main_stream_of(blocks_of(page))
+            if stream:
+                host = host_and_path(url)[0]
+                mine = [None, *np.unique(anchors(host, stream)).tolist()]
+                hosts += [xxhash.xxh3_64_intdigest(host) - (1 << 63)] * len(mine)
+                found += mine
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], names=["host", "anchor"])
+
+
+def _main_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, key, page, at) of the suffixes of main parts."""
+    for batch in text_slices(batches):
+        found, keys, rows, places = [np.empty(0, np.int64)], [], [], []
+        for row, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
+            host, stream = host_and_path(url)[0], main_stream_of(blocks_of(page))
+            mine = suffix_keys(host, stream)
+            found.append(anchors(host, stream))
+            keys += mine
+            rows += [row] * len(mine)
+            places += range(len(mine))
+        pages = batch.column("page").take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.array(keys, np.uint64).view(np.int64)), pages, pa.array(places, pa.int32())], names=["anchor", "key", "page", "at"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def covered_in_main(pages: DataFrame) -> DataFrame | None:
+    """(page, places): where runs that most of the host's main parts have start in the streams of the main parts; None if nowhere."""
+    twins = cut(pages.groupBy("page").count().filter("count > 1").select("page"))
+    once = pages
+    if not twins.isEmpty():
+        known = _small(twins)
+        once = pages.join(known, "page", "left_anti").unionByName(pages.join(known, "page", "left_semi").dropDuplicates(["page"]))
+    read = once.select("page", "url", "html")
+    # Anchors in fewer pages than MAIN_PAGES go at once, with hosts of fewer pages.
+    counts = cut(read.mapInArrow(_main_anchors, "host long, anchor long").groupBy("host", "anchor").count().filter(F.col("count") >= MAIN_PAGES))
+    hosts = counts.filter("anchor is null").select("host", F.col("count").alias("n_pages"))
+    frequent = cut(counts.filter("anchor is not null").join(_small(hosts), "host").filter(F.col("count") * MAIN_PART >= F.col("n_pages")).groupBy("anchor").agg(F.min("n_pages").alias("n_pages")))
+    if frequent.isEmpty():
+        return None
+    suffixes = cut(read.mapInArrow(_main_suffixes, "anchor long, key long, page long, at int").join(_small(frequent), "anchor").select("key", "page", "at", "n_pages"))
+    holding = suffixes.groupBy("key", "page").agg(F.count("*").alias("n"), F.min("n_pages").alias("n_pages"))
+    holding = holding.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("held"), F.min("n_pages").alias("n_pages"))
+    boilerplate = cut(holding.filter((F.col("held") >= MAIN_PAGES) & (F.col("held") * MAIN_PART >= F.col("n_pages"))).select("key", "n"))
+    total = boilerplate.agg(F.sum("n")).first()[0] or 0
+    found = join_on_counted_key(suffixes.select("key", "page", "at"), boilerplate, "key", "n", total)
+    return found.groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("places"))
+
+
 def covered_places(pages: DataFrame) -> DataFrame:
     """(page, places): where repeated runs of TOKENS tokens start in the streams of the pages without a main part."""
     suffixes = cut(pages.mapInArrow(_suffixes, "key long, page long, at int, open boolean"))
@@ -209,33 +287,39 @@ def covered_places(pages: DataFrame) -> DataFrame:
     return found.groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("places"))
 
 
-def main_text(page: str | None, places: list[int] | None = None) -> str:
-    """The main part's blocks, or else the runs of the other blocks that no repeated substring covers."""
-    blocks = [b for b in blocks_of(page)]
-    marked = [text for main, left, text in blocks if main and not left]
-    if marked:
-        return "\n".join(marked)
-    stream = stream_of(blocks)
-    repeated = np.zeros(len(stream) + 1, np.int64)
+def _uncovered(texts: list[str], places: list[int] | None) -> list[str]:
+    """For each text in a stream of texts what repeated substrings that start at places leave of it; empty if nothing."""
+    lists = [text.split(" ") for text in texts]
+    n = sum(map(len, lists))
+    repeated = np.zeros(n + 1, np.int64)
     for at in places or ():
         repeated[at] += 1
-        repeated[min(at + TOKENS, len(stream))] -= 1
+        repeated[min(at + TOKENS, n)] -= 1
     covered = np.cumsum(repeated)[:-1] > 0
     out, at = [], 0
-    for _, left, text in blocks:
-        tokens = text.split(" ")
+    for text, tokens in zip(texts, lists):
         mine = covered[at : at + len(tokens)]
         at += len(tokens)
-        if left:
-            continue
         if not mine.any():
             out.append(text)
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[True], mine, [True]]).astype(np.int8)))
         runs = [tokens[s:e] for s, e in zip(edges[::2], edges[1::2]) if e - s >= LEAST_RUN]
-        if runs:
-            out.append(" ".join(t for run in runs for t in run))
-    return "\n".join(out)
+        out.append(" ".join(t for run in runs for t in run))
+    return out
+
+
+def main_text(page: str | None, places: list[int] | None = None) -> str:
+    """What repeated substrings leave of the main part's blocks, or without a main part of all blocks that aren't left out.
+
+    places: in the stream of the main part, or without one in stream_of.
+    """
+    blocks = blocks_of(page)
+    marked = [text for main, left, text in blocks if main and not left]
+    if marked:
+        return "\n".join([t for t in _uncovered(marked, places) if t] or marked)
+    kept = _uncovered([text for _, _, text in blocks], places)
+    return "\n".join(t for (_, left, _), t in zip(blocks, kept) if t and not left)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -247,8 +331,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     break off. Other columns are ignored. Empty in, empty out.
     """
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
-    covered = cut(covered_places(keyed))
-    small = F.broadcast(covered) if covered.count() <= BROADCAST_ROWS else covered
+    covered, in_main = covered_places(keyed), covered_in_main(keyed)
+    covered = cut(covered if in_main is None else covered.unionByName(in_main))
+    small = _small(covered)
     names = ["page_id", "url", "text", "n_chars"]
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,3 +76,23 @@ def test_wrappers_with_marked_words_keep_the_article():
         assert html_extract.main_text(page) == whole, page
     for page in ("<p>Open page.</p><section class='comments'><article>A reader</article></section>", "<p>Open page.</p><div hidden><article>No</article></div>"):
         assert html_extract.main_text(page) == "Open page.", page
+
+
+def test_boilerplate_in_marked_pages(spark):
+    rng = random.Random(4)
+    share, passage = sentence(rng, 14, 10_000), sentence(rng, 30, 10_000)
+    rows, wanted = [], []
+    for k in range(12):
+        body = [sentence(rng, 20 + k, 10_000), sentence(rng, 9, 10_000)]
+        # Three articles quote the same passage; all but two pages have the share text; the last is on a host of few pages.
+        body += [passage] * (k < 3)
+        host = "h.com" if k < 11 else "few.com"
+        tag = ("article", "main")[k % 2]
+        rows.append((k, f"http://{host}/{k}", f"<nav>Menu</nav><{tag}><p>{body[0]}</p><div class='x'>{share}</div>" + "".join(f"<p>{b}</p>" for b in body[1:]) + f"</{tag}>"))
+        wanted.append("\n".join(body if k < 11 else [body[0], share, *body[1:]]))
+    # A main part that is nothing but such runs stays, and equal rows are one page.
+    rows += [(20, "http://h.com/20", f"<main>{share}</main>")] + [(30, "http://twin.com/", f"<main>{share}</main>")] * 6
+    wanted += [share] * 7
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted((r.page_id, r.text) for r in html_extract.extract_main_text(pages).collect())
+    assert out == sorted((r[0], w) for r, w in zip(rows, wanted))
