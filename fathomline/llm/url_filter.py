@@ -97,8 +97,9 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block_globs: Sequence[str] = BLOCK_GLOBS) -> DataFrame:
     """page_id, host, path, rule and verdict for each row of pages(page_id, url, ...).
 
-    The rules become globs over ".host/path": "*.host/path*". A rule fits its host and all subdomains if the path starts
-    with the rule's. Of the rules that fit, the longest decides, of equally long ones the first. If none fits, rule is
+    A rule fits its host and all subdomains if the path starts with the rule's. The automaton finds the rules that can fit
+    as globs over ".host/path", "*.host/path*"; as a star also runs across the host's end, host and path of each rule found
+    are then compared apart. Of the rules that fit, the longest decides, of equally long ones the first. If none fits, rule is
     null, and the verdict is block if a blocking glob matches, else allow. A null or malformed url has an empty host and
     path, which no host rule fits. Repeated rows are judged alike; other columns are ignored; empty in, empty out.
     """
@@ -114,6 +115,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
                 parts = [host_and_path(u) for u in batch.column("url").to_pylist()]
                 found = automaton.matches([f".{h}{p}".encode() if h else p.encode() for h, p in parts])
                 fits, globbed = found[:, : len(rules)], found[:, len(rules) :].any(axis=1)
+                for row, k in zip(*np.nonzero(fits)):
+                    (host, path), (_, ending, start) = parts[row], rules[ranked[k]]
+                    fits[row, k] = host != "" and f".{host}".endswith(f".{ending}") and path.startswith(start)
                 best = np.where(fits.any(axis=1), fits.argmax(axis=1) if len(rules) else 0, -1)
                 rule = [names[ranked[k]] if k >= 0 else None for k in best]
                 verdict = [rules[ranked[k]][0] if k >= 0 else "block" if g else "allow" for k, g in zip(best, globbed)]

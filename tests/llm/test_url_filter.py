@@ -39,3 +39,18 @@ def test_rules_and_edges(spark):
     out = {r[0]: tuple(r[1:]) for r in url_filter.judge_urls(pages).collect()}
     assert out == dict(enumerate(URLS.values()))
     assert url_filter.judge_urls(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages.union(pages)).count() == 2 * len(URLS)
+
+
+#: Paths with a segment that ends in a rule's host.
+CROSSING = {
+    "http://example.com/go.net/x": ("example.com", "/go.net/x", None, "allow"),
+    "http://shop.io/casino/a.example.net/en/": ("shop.io", "/casino/a.example.net/en/", None, "block"),
+    "http:///foo.net/x": ("", "/foo.net/x", None, "allow"),
+    "http://a.net/b.example.net/en/": ("a.net", "/b.example.net/en/", "net/", "block"),
+    "http://x.org/fr/a.net/": ("x.org", "/fr/a.net/", "org/fr/", "allow"),
+}
+
+
+def test_host_rules_end_with_the_host(spark):
+    pages = spark.createDataFrame(list(enumerate(CROSSING)), "page_id long, url string")
+    assert {r[0]: tuple(r[1:]) for r in url_filter.judge_urls(pages).collect()} == dict(enumerate(CROSSING.values()))
