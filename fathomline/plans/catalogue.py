@@ -521,9 +521,9 @@ def _(spark, sf_dir):
     return rounded(sy_e(spark, sf_dir).select("id", "time", D.kumbhakar_sun_hn(2.0, F.col("e"), u2(), v2()).alias("zuit_z1")))
 
 
-#: True random effects and four components on the suppliers' panel; fewer draws than the default keep headline runs short.
-TRE = FR.Frontier("y", ["x1"], draws=100)
-GTRE = FR.Frontier("y", ["x1"], persistent=True, draws=100)
+#: True random effects and four components on the suppliers' panel, with the default number of draws.
+TRE = FR.Frontier("y", ["x1"])
+GTRE = FR.Frontier("y", ["x1"], persistent=True)
 
 
 @query("fit_tre", None)

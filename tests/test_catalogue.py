@@ -44,3 +44,7 @@ def test_entry_has_rows(spark):
 def test_all_named_queries_are_registered():
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_simulated_fits_have_the_default_draws():
+    assert catalogue.TRE.draws == catalogue.GTRE.draws == catalogue.FR.Frontier.draws == 500
