@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that a task holds as Python objects at a time.
@@ -43,6 +43,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(*columns: str) -> Column:
+    """64-bit hash of a row's values in columns, in which a null counts by its place, so that rows with null or repeated doc_ids differ."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
 def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of SLICE_ROWS, so that what a task derives from long texts stays small."""
     for batch in batches:

@@ -19,7 +19,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut, unused
+from fathomline.llm.common import BROADCAST_ROWS, cut, row_key, unused
 
 WINDOW_WORDS = 13
 #: A document is contaminated if this part of its words, at least, is hit: one in so many.
@@ -138,10 +138,11 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of documents that aren't contaminated, columns as they are; of rows that share a doc_id, one that is takes all."""
+    """The rows of documents that aren't contaminated, columns as they are; rows that share a doc_id, null or not, are judged one by one."""
     name = unused(docs, "_bad")
-    bad = cut(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+    key = row_key("doc_id", "text")
+    bad = cut(contamination(docs.select(key.alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
+    return docs.withColumn(name, key).join(_small(bad), name, "left_anti").select(*docs.columns)
 
 
 #: The same for DuckDB.

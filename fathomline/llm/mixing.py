@@ -7,7 +7,7 @@ goes on to the next pair. What is left of a group is one document, and the ones
 level, up to one for each source: a reduction tree. So all of a source but one document is settled without changing its
 expected words, and what the mix takes of a source is within two documents' sizes of its target.
 
-A group's members are fixed by a hash of the document and the size of the source, and so is the random stream of each
+A group's members are fixed by a hash of the row (doc_id, text, source, and a place among equal rows) and the size of the source, and so is the random stream of each
 pair; the partitions that Spark uses have no part in it, and reruns agree.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, text_slices, unused
+from fathomline.llm.common import cut, join_on_counted_key, row_key, text_slices, unused
 
 #: Weights of the sources in order, again and again; and the share of all sizes that they part among them.
 WEIGHTS = (3, 1, 2)
@@ -31,19 +31,27 @@ MOST_COPIES = 2
 LEAF_ROWS = 4096
 FAN = 64
 SEED = 7
+#: Columns that tell rows apart.
+KEY = ("doc_id", "text", "source")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of each row; size: words of the text; h: a hash that orders the documents."""
+    """(doc_id, source, size, key, place, h) of each row; size: words of the text; h: a hash that orders the documents.
+
+    key is the hash of the row and place, from 1, its place among equal rows; h is made of both, so that neither null nor
+    repeated doc_ids nor equal rows fall together.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column("text").cast(pa.binary())
             n = [len(t.split()) if t else 0 for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), batch.column("h")], names=["doc_id", "source", "size", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), batch.column("key")], names=["doc_id", "source", "size", "key"])
 
-    read = docs.select("doc_id", "source", "text", F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
-    return read.mapInArrow(count, "doc_id long, source string, size long, h long")
+    read = docs.select("doc_id", "source", "text", row_key(*KEY).alias("key"))
+    equal = read.mapInArrow(count, "doc_id long, source string, size long, key long").groupBy("doc_id", "source", "size", "key").count()
+    rows = equal.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
+    return rows.select("doc_id", "source", "size", "key", "place", F.xxhash64(F.lit(SEED), "key", "place").alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -132,13 +140,13 @@ def _copies(docs: DataFrame, weights: tuple[float, ...], share: float) -> DataFr
     rows = join_on_counted_key(keyed, table.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source"), "k", "n", total)
     whole = F.when(F.col("size") > 0, F.floor("rate")).otherwise(0)
     part = F.when(F.col("size") > 0, F.col("rate") - whole).otherwise(0.0)
-    columns = ["doc_id", "h", "size", "source_size", "target", "whole", "s", "nodes", "node", "p"]
-    rows = rows.select("doc_id", "h", "size", "source_size", "target", whole.cast("long").alias("whole"), "s", "nodes", F.pmod(F.shiftright("h", 8), "nodes").alias("node"), part.alias("p"))
+    columns = ["doc_id", "key", "place", "h", "size", "source_size", "target", "whole", "s", "nodes", "node", "p"]
+    rows = rows.select("doc_id", "key", "place", "h", "size", "source_size", "target", whole.cast("long").alias("whole"), "s", "nodes", F.pmod(F.shiftright("h", 8), "nodes").alias("node"), part.alias("p"))
     out, level = None, 0
     while True:
-        schema = "doc_id long, h long, size long, source_size long, target double, whole long, s long, nodes long, node long, p double, open boolean"
+        schema = "doc_id long, key long, place long, h long, size long, source_size long, target double, whole long, s long, nodes long, node long, p double, open boolean"
         settled = cut(rows.select(*columns).groupBy("s", "node").applyInPandas(_settle(level), schema))
-        done = settled.filter("not open").select("doc_id", "h", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+        done = settled.filter("not open").select("doc_id", "key", "place", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
         out = done if out is None else out.unionByName(done)
         left = settled.filter("open")
         if left.isEmpty():
@@ -151,11 +159,11 @@ def _copies(docs: DataFrame, weights: tuple[float, ...], share: float) -> DataFr
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """documents, columns as they are, each row as often as the mix takes it; rows that it doesn't take are gone.
 
-    Of rows with the same doc_id, each takes one of the counts that the mix has for them.
+    Of rows equal in doc_id, text and source, each takes one of the counts that the mix has for them.
     """
-    key, all_copies, place, copy = (unused(docs, n) for n in ("_doc_id", "_copies", "_place", "_copy"))
-    counts = _copies(docs, weights, share).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("copies"))).alias(all_copies))
-    placed = docs.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("source")))
-    joined = placed.join(counts.withColumnRenamed("doc_id", key), F.col("doc_id").eqNullSafe(F.col(key)))
-    copies = F.get(F.col(all_copies), F.col(place) - 1)["copies"]
-    return joined.withColumn(copy, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>")))).select(*docs.columns)
+    key, place, copies, copy = (unused(docs, n) for n in ("_key", "_place", "_copies", "_copy"))
+    counts = _copies(docs, weights, share).filter("copies > 0").select(F.col("key").alias(key), F.col("place").alias(place), F.col("copies").alias(copies))
+    keyed = docs.withColumn(key, row_key(*KEY))
+    placed = keyed.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
+    joined = placed.join(counts, [key, place])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)

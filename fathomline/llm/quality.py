@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, text_slices, unused
+from fathomline.llm.common import cut, join_on_counted_key, row_key, text_slices, unused
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -244,7 +244,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, columns as they are; a row stays if any row with its doc_id is kept."""
+    """The rows of documents that the rules keep, columns as they are; rows that share a doc_id, null or not, are judged one by one."""
     name = unused(docs, "_kept")
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+    key = row_key("doc_id", "text", "lang", "source")
+    kept = quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source")).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import byte_texts, connected_components, cut, join_on_counted_key, run_starts, text_slices
+from fathomline.llm.common import byte_texts, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -54,7 +54,8 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         prints = np.fromiter(map(fingerprint, byte_texts(batch.column("text"))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        others = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(prints.view(np.int64))], names=[*others, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -148,12 +149,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """documents with one row of each component: the one with the smallest doc_id, of repeated rows of it any one.
+    """documents with one row of each component, columns as they are: the one with the smallest doc_id, null last.
 
-    Of components whose rows all have a null doc_id, one row stays in all. Columns stay as they are.
+    Of rows that share it the one with the smallest row_key stays, and of rows equal in doc_id and text any one. Fingerprints
+    are the components' nodes, so rows with null or repeated doc_ids are linked by their texts alone.
     """
-    kept = cut(simhash_components(docs).filter("doc_id <=> component_id").select("doc_id").distinct())
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if kept.filter("doc_id is null").isEmpty():
-        return rows
-    return rows.unionByName(docs.filter("doc_id is null").dropDuplicates(["doc_id"]))
+    name = unused(docs, "_key")
+    key = row_key("doc_id", "text")
+    prints = cut(docs.select("doc_id", key.alias("key"), "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = cut(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    components = connected_components(links(classes.select("fp", F.col("fp").alias("node"))))
+    named = classes.join(components, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "first")
+    kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
