@@ -54,3 +54,21 @@ CROSSING = {
 def test_host_rules_end_with_the_host(spark):
     pages = spark.createDataFrame(list(enumerate(CROSSING)), "page_id long, url string")
     assert {r[0]: tuple(r[1:]) for r in url_filter.judge_urls(pages).collect()} == dict(enumerate(CROSSING.values()))
+
+
+def test_rules_equal_suffix_and_prefix(spark):
+    """Random urls against plain code; a rule's host never starts in the path, and long urls are read like short ones."""
+    rng = random.Random(5)
+    rules = [("block", "net", "/"), ("allow", "a.net", "/en/"), ("block", "b.com", "/x"), ("allow", "org", "/fr/"), ("block", "c.b.com", "/x/y")]
+    parts, urls = ["a", "b", "c", "net", "com", "org", "en", "fr", "x", "y", "a.net", "b.com"], []
+    for k in range(600):
+        host = ".".join(rng.choice(parts) for _ in range(rng.randrange(0, 4)))
+        path = "".join("/" + rng.choice(parts) for _ in range(rng.randrange(0, 5))) + rng.choice(["", "/"])
+        urls.append(f"http://{host}{path}" + "/long" * (2000 * (k % 150 == 0)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge_urls(pages, rules, ["*y/c*"]).collect()}
+    for k, url in enumerate(urls):
+        host, path = url_filter.host_and_path(url)
+        fits = [(v, h + p) for v, h, p in rules if f".{host}".endswith(f".{h}") and path.startswith(p)]
+        verdict, rule = max(fits, key=lambda f: len(f[1]), default=("block" if "y/c" in path else "allow", None))
+        assert (out[k].rule, out[k].verdict) == (rule, verdict), url
