@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +17,10 @@ SLICE_ROWS = 128
 HOT_SHARE = 1 / 2000
 #: Most rows of a table that is broadcast; larger ones take the way for tables of any size.
 BROADCAST_ROWS = 200_000
+#: Copies of a row that one task makes.
+CHUNK = 4096
+#: With no more edges than these a hub is no burden.
+FEW_EDGES = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where it names none, as in tests, one of this machine."""
+    """The folder that the session names in spark.checkpoint.dir; in local mode, as in tests, one of this machine if it names none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints")
     return context.getCheckpointDir()
 
 
@@ -35,6 +44,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder, for what later passes read by columns."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store and all in it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as it takes that df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -74,30 +96,46 @@ def join_on_counted_key(left: DataFrame, right: DataFrame, key: str, count: str,
     return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def numbered(df: DataFrame, count: str, place: str) -> DataFrame:
+    """Each row as often as count says, with place from 1; what is repeated more than CHUNK times is dealt out before."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))
+    many = df.filter(F.col(count) > CHUNK).withColumn(place, first)
+    many = many.repartition(place, *[c for c, t in many.dtypes if t == "bigint" and c not in (place, count)])
+    low = F.col(place) * CHUNK
+    many = many.withColumn(place, F.explode(F.sequence(low + 1, F.least(low + CHUNK, F.col(count)))))
+    few = df.filter((F.col(count) > 0) & (F.col(count) <= CHUNK))
+    return few.withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).unionByName(many)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(src, dst), both long; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: in each, every node points its neighbours at the smallest of them, until
-    every node points at the smallest of its component. No node's neighbours are gathered in one row or task: the
-    smallest is an aggregate, and it is joined to the edges. Null or equal ends are no edges.
+    every node points at the smallest of its component. The smallest is an aggregate; nodes with so many neighbours that
+    their rows would burden one task meet it by broadcast. Null or equal ends are no edges.
     """
     edges = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).distinct())
-    seen = None
+    n, seen = edges.count(), None
+
+    def met(left: DataFrame, around: DataFrame, total: int) -> DataFrame:
+        return left.join(around.drop("n"), "v") if total <= FEW_EDGES else join_on_counted_key(left, cut(around), "v", "n", total)
+
     while True:
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        around = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n")
         # Every neighbour above v points at the smallest node around v.
-        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = met(both, around, 2 * n).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        large = cut(large) if n > FEW_EDGES else large
+        around = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         # v and its neighbours below point at the smallest of them.
-        small = large.join(least, "v").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        small = met(large, around, n).select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         edges = cut(small)
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        mark = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+        if mark == seen:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
                 edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
             )
-        seen = tuple(mark)
+        n, seen = mark[0], mark
 
 
 def run_starts(*columns: np.ndarray) -> np.ndarray:

@@ -8,6 +8,8 @@ shares a posting differs in the other two bytes alone, so a posting has at most
 it are found by looking up, for each fingerprint, the 137 values at 2 or fewer bits from its two free bytes; a posting
 of g fingerprints takes g look-ups of each and not g * g comparisons. The tally of shared bytes and the differing bits
 of each pair found are then counted on the whole fingerprints.
+
+The stage that removes near duplicates reads several such fingerprints of each text, and verifies on a wider one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,13 @@ from fathomline.llm.common import byte_texts, connected_components, cut, join_on
 SHINGLE_WORDS = 3
 SEED = 42
 MOST_BITS = 2
+#: The stage that removes near duplicates has several independent fingerprints of INDEX_WORDS-word shingles in its index, as one
+#: alone finds few pairs at SIMILARITY, and verifies what they find on VERIFY_PRINTS * 64 bits of VERIFY_WORDS-word shingles.
+INDEX_WORDS, INDEX_PRINTS = 2, 6
+VERIFY_WORDS, VERIFY_PRINTS = 5, 4
+#: Least share of common shingles; the cosine that goes with it, and the bits that may differ at its angle.
+SIMILARITY = 0.8
+MOST_WIDE_BITS = int(64 * VERIFY_PRINTS * np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
 LEAST_BYTES = 8 - MOST_BITS
 #: The two byte positions that a posting leaves free.
 FREE = list(combinations(range(8), 8 - LEAST_BYTES))
@@ -33,17 +42,20 @@ FREE = list(combinations(range(8), 8 - LEAST_BYTES))
 NEAR = np.array([v for v in range(1, 1 << 16) if v.bit_count() <= MOST_BITS], np.uint32)
 
 
-def fingerprint(text: bytes | None) -> int:
-    """Unsigned fingerprint of a whole UTF-8 text; 0 without a word."""
-    words = text.lower().split() if text else []
+def _words(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
+
+
+def _shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """XXH64 of each shingle of n words, or of all words if they are fewer; none without a word."""
     if not words:
-        return 0
-    if len(words) < SHINGLE_WORDS:
-        shingles = [b" ".join(words)]
-        hashes = np.array([xxhash.xxh64_intdigest(shingles[0], SEED)], np.uint64)
-    else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - SHINGLE_WORDS + 1)
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(n)))) if len(words) >= n else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, max(1, len(words) - n + 1))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits that are 1 in over half the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -51,11 +63,15 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None) -> int:
+    """Unsigned fingerprint of a whole UTF-8 text; 0 without a word."""
+    return _majority(_shingle_hashes(_words(text), SHINGLE_WORDS))
+
+
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         prints = np.fromiter(map(fingerprint, byte_texts(batch.column("text"))), np.uint64, batch.num_rows)
-        others = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(prints.view(np.int64))], names=[*others, "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -63,6 +79,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the k-th of a family of mixing functions."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(32))
+
+
+def _wide_fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A hash of the words, fingerprints of short shingles for the index and of long ones to verify."""
+    names = [f"p{k}" for k in range(INDEX_PRINTS)] + [f"w{k}" for k in range(VERIFY_PRINTS)]
+    for batch in text_slices(batches):
+        rows = []
+        for text in byte_texts(batch.column("text")):
+            words = _words(text)
+            short, long = _shingle_hashes(words, INDEX_WORDS), _shingle_hashes(words, VERIFY_WORDS)
+            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS))])
+        columns = np.array(rows, np.uint64).reshape(-1, 1 + len(names)).T.view(np.int64) if rows else np.empty((1 + len(names), 0), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "key", "node", *names])
+
+
 def _pairs_in_posting(prints: np.ndarray, nodes: np.ndarray, free: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the pairs that differ in 1 or 2 bits, each pair once, all of them in one posting's free bytes."""
     shift = np.array([8 * free[0], 8 * free[1]], np.uint64)
@@ -99,7 +136,7 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.append(starts[1:], end)
         left, right = [], []
         for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            a, b = _pairs_in_posting(columns[2][s:e].view(np.uint64), columns[3][s:e], FREE[columns[0][s]])
+            a, b = _pairs_in_posting(columns[2][s:e].view(np.uint64), columns[3][s:e], FREE[columns[0][s] % len(FREE)])
             left.append(a)
             right.append(b)
         if left:
@@ -120,12 +157,17 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """(src, dst) for all pairs of rows of prints(fp, node), distinct in fp, that differ in at most 2 bits."""
+def _candidates(prints: DataFrame) -> DataFrame:
+    """(src, dst) of nodes that share a posting and differ in 1 or 2 bits there; prints(index, fp, node), distinct in index and fp."""
     masks = [_signed(~((255 << 8 * a) | (255 << 8 * b))) for a, b in FREE]
     posting = F.explode(F.array(*[F.struct(F.lit(k).alias("free"), F.col("fp").bitwiseAND(F.lit(m)).alias("kept")) for k, m in enumerate(masks)]))
-    postings = prints.select("fp", "node", posting.alias("p")).select("p.free", "p.kept", "fp", "node")
-    pairs = postings.repartition("free", "kept").sortWithinPartitions("free", "kept").mapInArrow(_pairs, "src long, dst long")
+    postings = prints.select("index", "fp", "node", posting.alias("p")).select((F.col("p.free") + len(FREE) * F.col("index")).alias("free"), "p.kept", "fp", "node")
+    return postings.repartition("free", "kept").sortWithinPartitions("free", "kept").mapInArrow(_pairs, "src long, dst long")
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """(src, dst) for all pairs of rows of prints(fp, node), distinct in fp, that differ in at most 2 bits."""
+    pairs = _candidates(prints.select(F.lit(0).alias("index"), "fp", "node"))
     both = pairs.join(prints.select(F.col("node").alias("src"), F.col("fp").alias("a")), "src").join(prints.select(F.col("node").alias("dst"), F.col("fp").alias("b")), "dst")
     changed = F.col("a").bitwiseXOR(F.col("b"))
     shared = sum((changed.bitwiseAND(F.lit(_signed(m))) == 0).cast("int") for m in (255 << 8 * k for k in range(8)))
@@ -136,30 +178,51 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of documents(doc_id, text, ...).
 
     component_id: the smallest doc_id that links reach. Texts without a word, null ones too, have the fingerprint zero and
-    are linked like others. Repeated rows share their fingerprint and so their component. A null doc_id is never a
-    component's id unless the component has no other; then the id is null. Other columns are ignored. Empty in, empty out.
+    are linked like others. Repeated rows share their fingerprint and so their component. Rows with a null doc_id are linked
+    like others too, but null is a component's id only if it has no other. Other columns are ignored. Empty in, empty out.
     """
     prints = cut(fingerprints(docs))
     total = prints.count()
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
-    components = connected_components(links(classes.filter("node is not null").select("fp", "node")))
-    named = classes.join(components, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    components = connected_components(links(classes.select("fp", F.col("fp").alias("node"))))
+    named = cut(classes.join(components, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("component")))
+    ids = cut(named.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("m")))
+    named = join_on_counted_key(named.select("fp", "n", "component"), ids, "component", "m", named.count()).select("fp", "n", "component_id")
     rows = join_on_counted_key(prints, cut(named), "fp", "n", total)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _similar(classes: DataFrame) -> DataFrame:
+    """(src, dst) of nodes that an index fingerprint links and whose wide fingerprints are near; classes(node, p0.., w0..)."""
+    total = classes.count()
+    index = F.explode(F.array(*[F.struct(F.lit(k).alias("index"), F.col(f"p{k}").alias("fp")) for k in range(INDEX_PRINTS)]))
+    prints = classes.select("node", index.alias("p")).select("p.index", "p.fp", "node")
+    first = cut(prints.groupBy("index", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")).withColumn("at", F.struct("index", "fp")))
+    equal = join_on_counted_key(prints.select(F.struct("index", "fp").alias("at"), "node"), first.filter("n > 1").select("at", "least", "n"), "at", "n", INDEX_PRINTS * total)
+    pairs = _candidates(first.select("index", "fp", F.col("least").alias("node"))).unionByName(equal.filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")))
+    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    wide = lambda end: classes.select(F.col("node").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(VERIFY_PRINTS)])
+    apart = sum(F.bit_count(F.col(f"src{k}").bitwiseXOR(F.col(f"dst{k}"))) for k in range(VERIFY_PRINTS))
+    return pairs.join(wide("src"), "src").join(wide("dst"), "dst").filter(apart <= MOST_WIDE_BITS).select("src", "dst")
+
+
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """documents with one row of each component, columns as they are: the one with the smallest doc_id, null last.
+    """documents with one row of each group of near duplicates, columns as they are: the smallest doc_id, null last.
 
-    Of rows that share it the one with the smallest row_key stays, and of rows equal in doc_id and text any one. Fingerprints
-    are the components' nodes, so rows with null or repeated doc_ids are linked by their texts alone.
+    Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if one of their INDEX_PRINTS fingerprints differs
+    in at most 2 bits, and the bits of their wide fingerprints say that SIMILARITY of their VERIFY_WORDS-word shingles are common;
+    what links join is a group. Texts without a word, null ones too, are one group. Of rows that share the doc_id the one with
+    the smallest row_key stays, and of rows equal in doc_id and text any one; null and repeated doc_ids are linked by their texts
+    alone. Empty in, empty out.
     """
     name = unused(docs, "_key")
     key = row_key("doc_id", "text")
-    prints = cut(docs.select("doc_id", key.alias("key"), "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long"))
+    columns = [f"p{k}" for k in range(INDEX_PRINTS)] + [f"w{k}" for k in range(VERIFY_PRINTS)]
+    schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in columns)
+    prints = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_wide_fingerprints, schema)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = cut(prints.groupBy("fp").agg(F.min(order).alias("first")))
-    components = connected_components(links(classes.select("fp", F.col("fp").alias("node"))))
-    named = classes.join(components, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("component"), "first")
+    classes = cut(prints.groupBy("node").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in columns]))
+    components = connected_components(_similar(classes))
+    named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
     return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fathomline.llm import simhash
+from fathomline.llm.common import connected_components
 
 from .helpers import WORDS, components, documents, lower, sentence
 
@@ -37,8 +38,6 @@ def test_components_equal_all_pairs(spark):
     mine = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()}
     assert mine == {d: (f"{prints[d]:016x}", wanted[d]) for d in prints}
     assert len(set(wanted.values())) < len(wanted)
-    kept = [r.doc_id for r in simhash.near_duplicates_removed(docs).collect()]
-    assert sorted(kept) == sorted(set(wanted.values()))
 
 
 def test_links_equal_all_pairs_of_close_fingerprints(spark):
@@ -51,6 +50,46 @@ def test_links_equal_all_pairs_of_close_fingerprints(spark):
     assert mine == wanted
 
 
+def shingles(text):
+    words = WORDS.findall(lower(text)) if text else []
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+
+def test_near_duplicates_against_common_shingles(spark):
+    """One row of each group of texts with most shingles in common stays, and nothing else goes."""
+    rng = random.Random(12)
+    plain = [sentence(rng, rng.randrange(30, 300), 5000) for _ in range(40)]
+    copies = []
+    for k in range(60):  # up to one word in 100 is another
+        words = plain[k % 20].split()
+        for _ in range(len(words) // 100):
+            words[rng.randrange(len(words))] = f"other{k}"
+        copies.append(" ".join(words))
+    docs = documents(spark, plain + copies + [None, "", " ", "x" * 300_000])
+    rows = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    wanted = components(rows, [(a, b) for a, b in combinations(rows, 2) if len(rows[a] & rows[b]) >= 0.8 * len(rows[a] | rows[b])])
+    kept = {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()}
+    assert kept >= set(wanted.values())
+    assert len(rows) - len(kept) >= 0.9 * (len(rows) - len(set(wanted.values())))
+    assert kept == {r.doc_id for r in simhash.near_duplicates_removed(docs.repartition(5)).collect()}
+
+
+def test_rows_without_an_id_are_linked(spark):
+    words = sentence(random.Random(3), 400).split()
+    copies = (" ".join(words[:k] + ["changed"] + words[k + 1 :]) for k in range(400))
+    other = next(c for c in copies if (brute_fingerprint(" ".join(words)) ^ brute_fingerprint(c)).bit_count() in (1, 2))
+    docs = documents(spark, [" ".join(words), other]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.lit(7).cast("long")))
+    assert [r.component_id for r in simhash.simhash_components(docs).collect()] == [7, 7]
+
+
+def test_a_hub_of_many_links(spark):
+    """Components of a star, a chain and pairs, with more edges than one task should join."""
+    edges = spark.range(120_000).select(F.lit(500_000).alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(40).select((F.col("id") + 1_000_000).alias("src"), (F.col("id") + 1_000_001).alias("dst"))
+    found = connected_components(edges.union(chain).union(edges.limit(10)))
+    assert found.groupBy("component").count().orderBy("component").collect() == [(0, 120_001), (1_000_000, 41)]
+
+
 def test_edges(spark):
     docs = documents(spark, ["a b c d", "a b c d", None])
     assert simhash.simhash_components(docs.limit(0)).count() == 0
