@@ -7,8 +7,8 @@ goes on to the next pair. What is left of a group is one document, and the ones
 level, up to one for each source: a reduction tree. So all of a source but one document is settled without changing its
 expected words, and what the mix takes of a source is within two documents' sizes of its target.
 
-A group's members are fixed by a hash of the row (doc_id, text, source, and a place among equal rows) and the size of the source, and so is the random stream of each
-pair; the partitions that Spark uses have no part in it, and reruns agree.
+A group's members are fixed by a hash of the row (of all its columns, and a place among equal rows) and the size of the
+source, and so is the random stream of each pair; the partitions that Spark uses have no part in it, and reruns agree.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, row_key, text_slices, unused
+from fathomline.llm.common import cut, join_on_counted_key, numbered, row_key, text_slices, unused
 
 #: Weights of the sources in order, again and again; and the share of all sizes that they part among them.
 WEIGHTS = (3, 1, 2)
@@ -31,8 +31,11 @@ MOST_COPIES = 2
 LEAF_ROWS = 4096
 FAN = 64
 SEED = 7
-#: Columns that tell rows apart.
-KEY = ("doc_id", "text", "source")
+
+
+def key_columns(docs: DataFrame) -> list[str]:
+    """Columns that tell rows apart: all that can be hashed."""
+    return sorted(c for c, t in docs.dtypes if "map<" not in t and t != "variant")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -48,9 +51,9 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = [len(t.split()) if t else 0 for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), batch.column("key")], names=["doc_id", "source", "size", "key"])
 
-    read = docs.select("doc_id", "source", "text", row_key(*KEY).alias("key"))
+    read = docs.select("doc_id", "source", "text", row_key(*key_columns(docs)).alias("key"))
     equal = read.mapInArrow(count, "doc_id long, source string, size long, key long").groupBy("doc_id", "source", "size", "key").count()
-    rows = equal.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "count")))
+    rows = numbered(cut(equal), "count", "place")
     return rows.select("doc_id", "source", "size", "key", "place", F.xxhash64(F.lit(SEED), "key", "place").alias("h"))
 
 
@@ -159,11 +162,10 @@ def _copies(docs: DataFrame, weights: tuple[float, ...], share: float) -> DataFr
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """documents, columns as they are, each row as often as the mix takes it; rows that it doesn't take are gone.
 
-    Of rows equal in doc_id, text and source, each takes one of the counts that the mix has for them.
+    Rows equal in all columns are told apart by nothing, so they are made as often as the mix takes all of them together.
     """
-    key, place, copies, copy = (unused(docs, n) for n in ("_key", "_place", "_copies", "_copy"))
-    counts = _copies(docs, weights, share).filter("copies > 0").select(F.col("key").alias(key), F.col("place").alias(place), F.col("copies").alias(copies))
-    keyed = docs.withColumn(key, row_key(*KEY))
-    placed = keyed.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
-    joined = placed.join(counts, [key, place])
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    key, copies, copy = (unused(docs, n) for n in ("_key", "_copies", "_copy"))
+    counts = _copies(docs, weights, share).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
+    # Equal rows are one row here, which is made as often as the mix takes all of them.
+    once = docs.withColumn(key, row_key(*key_columns(docs))).dropDuplicates([key])
+    return numbered(once.join(cut(counts), key), copies, copy).select(*docs.columns)
