@@ -2,19 +2,19 @@
 
 A page is cut into blocks. Elements that by name, class, id or role are menus, headers, footers, sidebars, notices, adverts,
 forms or comments are left out, and so is what isn't shown. Where a page marks its main part (article or main), the blocks
-in it are the text, without the runs that most of the host's pages have there: what an article repeats from some others is
-still its text. All other text, and on pages without such a mark that is all, forms the page's token stream.
-
-The streams of a host's pages are the suffix array's text. Its suffixes are sorted by their first TOKENS tokens; where two
-neighbours from distinct pages agree in these, TOKENS tokens from there on are repeated, and the union of such runs is all
-long substrings that distinct pages share. Tokens that they cover are boilerplate; the runs between them, if as long as
-LEAST_RUN or a whole block, are kept. The sort is a shuffle by hash of host and prefix, so a host's pages are never in one
-place, and equal suffixes are counted before the shuffle, so a menu that all pages of a large host have is no hot key.
-
-Main parts have a suffix array of their own, in which a run is boilerplate if MAIN_PAGES pages and one in MAIN_PART of the
-host's marked pages have it. A main part that such runs cover whole stays whole. Most suffixes there are in one page only, so
-they are sieved first: each takes as its anchor the ANCHOR tokens in it with the smallest hash, which equal suffixes share,
-and one whose anchor isn't in as many pages can't be in as many either. Only the others are sorted.
+in it form the page's token stream; on other pages all blocks do, also those that are left out of the text.
+
+The streams of a host's pages, with and without a main part apart, are the suffix array's text. Its suffixes are sorted by
+their first TOKENS tokens; where enough of the host's pages have the same, these TOKENS tokens are boilerplate there, and
+the union of such runs is all long substrings that enough distinct pages share. What they cover goes, and the runs between
+them stay, however short. Pages with equal streams count once, so a copied article isn't boilerplate, nor is a passage that
+some others quote: it takes LEAST_PAGES pages and one in PART of the host's. A page that such runs cover whole stays whole.
+
+The sort is a shuffle by hash of host and prefix, so a host's pages are never in one place, and equal suffixes are counted
+before the shuffle, so a menu that all pages of a large host have is no hot key. Most suffixes are in one page only, so they
+are sieved first: each takes as its anchor the ANCHOR tokens in it with the smallest hash, which equal suffixes share, and
+one whose anchor isn't in as many pages can't be in as many either. Only the others are sorted. Markup is read once; the
+later passes read the blocks from a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -29,15 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut, join_on_counted_key, text_slices
+from fathomline.llm.common import BROADCAST_ROWS, cut, join_on_counted_key, text_slices, written
 from fathomline.llm.url_filter import host_and_path
 
 #: Tokens that make a repeated substring long.
 TOKENS = 8
-#: A run of unrepeated tokens in a block that is partly repeated stays if it has as many.
-LEAST_RUN = 5
-#: A run in main parts is boilerplate if at least so many pages have it, and of the host's pages with a main part one in so many.
-MAIN_PAGES, MAIN_PART = 5, 2
+#: A run is boilerplate if so many pages have it, and of the host's pages one in so many: in main parts, and on pages without one.
+LEAST_PAGES, PART = (5, 3), (2, 4)
 #: Tokens of an anchor.
 ANCHOR = 3
 
@@ -52,20 +50,21 @@ BLOCK = frozenset(
 )
 MARKED = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer form header masthead menu modal nav navbar navigation "
-    "newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar widget".split()
 )
 #: What a marked name may have before and after its words; with any other part it names something else (search-result, has-sidebar).
 BEFORE = frozenset("bottom global left primary right secondary site top".split())
 AFTER = frozenset("area bar bottom box button buttons container icons left links list right slot top unit wrapper".split())
 #: Marks of what has articles of its own that aren't the page's.
-OTHERS = frozenset("comment comments disqus related".split())
+OTHERS = frozenset("comment comments disqus related teaser teasers".split())
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: An open one of these is closed by the start of a block.
 IMPLIED_END = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote quotes only right after the sign of equality.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
-SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+SPACE = re.compile(r"\s+")
 
 
 def _marks(name: str) -> set[str]:
@@ -80,7 +79,7 @@ def _marks(name: str) -> set[str]:
     return set(parts) if MARKED.issuperset(parts) else set()
 
 
-def _left_out(tag: str, attributes: str) -> str:
+def _left_out(tag: str, attributes: str, in_article: bool) -> str:
     """"" if it stays; "soft" if it is left out unless it holds the page's article or main; "hard" if it is left out."""
     marks: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
@@ -93,7 +92,7 @@ def _left_out(tag: str, attributes: str) -> str:
         if name in ("class", "id", "role") and tag not in ("html", "body"):
             for word in value.split():
                 marks |= _marks(word)
-    if tag in LEFT_OUT:
+    if tag in LEFT_OUT and not (tag == "header" and in_article and not marks):  # an article's header has its title
         return "soft" if tag == "form" and OTHERS.isdisjoint(marks) else "hard"
     return "" if not marks else "soft" if OTHERS.isdisjoint(marks) else "hard"
 
@@ -168,7 +167,7 @@ def _parsed(page: str, staying: frozenset[int]) -> tuple[list[tuple[bool, bool,
                     if stack[k][0] in BLOCK:
                         break
             if not m[3].endswith("/"):
-                why = _left_out(tag, m[3])
+                why = _left_out(tag, m[3], tag == "header" and any(x[0] == "article" for x in stack))
                 if m.start() in staying:
                     why = ""
                 out_here = left or why != ""
@@ -182,144 +181,145 @@ def _parsed(page: str, staying: frozenset[int]) -> tuple[list[tuple[bool, bool,
     return out, kept, held
 
 
-def stream_of(blocks: list[tuple[bool, bool, str]]) -> list[str]:
-    """Tokens of what isn't in the main part, in page order."""
-    return [token for main, left, text in blocks if left or not main for token in text.split(" ")]
+def streams(page: str | None) -> tuple[bool, list[str], list[bool]]:
+    """Whether the page has no main part, the texts of its stream in page order, and which of them are left out of its text."""
+    blocks = blocks_of(page)
+    marked = [text for main, left, text in blocks if main and not left]
+    if marked:
+        return False, marked, [False] * len(marked)
+    return True, [text for _, _, text in blocks], [left for _, left, _ in blocks]
 
 
-def main_stream_of(blocks: list[tuple[bool, bool, str]]) -> list[str]:
-    """Tokens of the main part, in page order."""
-    return [token for main, left, text in blocks if main and not left for token in text.split(" ")]
+def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        groups, bodies, opens, texts, lefts = [], [], [], [], []
+        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+            open_, stream, left = streams(page)
+            group = xxhash.xxh3_64_intdigest(f"{open_} {host_and_path(url)[0]}")
+            groups.append(group - (1 << 63))
+            bodies.append(xxhash.xxh3_64_intdigest("\n".join(stream), group) - (1 << 63))
+            opens.append(open_)
+            texts.append(stream)
+            lefts.append(left)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array(groups, pa.int64()), pa.array(bodies, pa.int64()), pa.array(opens, pa.bool_()),
+                pa.array(texts, pa.list_(pa.string())), pa.array(lefts, pa.list_(pa.bool_())),
+            ],
+            names=[c.split()[0] for c in PARSED.split(", ")],
+        )
+
 
+PARSED = "row long, page_id long, url string, group long, body long, open boolean, texts array<string>, left array<boolean>"
 
-def suffix_keys(host: str, tokens: list[str]) -> list[int]:
-    """Hash of the host and the first TOKENS tokens of each suffix that has as many."""
+
+def _tokens(texts: list[str]) -> list[str]:
+    return [token for text in texts for token in text.split(" ")]
+
+
+def suffix_keys(group: int, tokens: list[str]) -> np.ndarray:
+    """Hash of the host's group and the first TOKENS tokens of each suffix that has as many."""
     key = xxhash.xxh3_64_intdigest
-    return [key(f"{host} {' '.join(tokens[k : k + TOKENS])}") for k in range(len(tokens) - TOKENS + 1)]
+    return np.array([key(" ".join(tokens[k : k + TOKENS]), group & MASK) for k in range(len(tokens) - TOKENS + 1)], np.uint64).view(np.int64)
 
 
-def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, page, at, open): open if the page has no main part."""
-    for batch in text_slices(batches):
-        keys, rows, places, opens = [], [], [], []
-        for row, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
-            blocks = blocks_of(page)
-            found = suffix_keys(host_and_path(url)[0], stream_of(blocks))
-            keys += found
-            rows += [row] * len(found)
-            places += range(len(found))
-            opens += [not any(m and not x for m, x, _ in blocks)] * len(found)
-        pages = batch.column("page").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pages, pa.array(places, pa.int32()), pa.array(opens, pa.bool_())], names=["key", "page", "at", "open"])
-
-
-def anchors(host: str, tokens: list[str]) -> np.ndarray:
-    """For each suffix of TOKENS tokens the smallest hash of host and ANCHOR tokens in it."""
+MASK = (1 << 64) - 1
+
+
+def anchors(group: int, tokens: list[str]) -> np.ndarray:
+    """For each suffix of TOKENS tokens the smallest hash of the group and ANCHOR tokens in it."""
     key = xxhash.xxh3_64_intdigest
-    grams = np.array([key(f"{host} {' '.join(tokens[k : k + ANCHOR])}") for k in range(len(tokens) - ANCHOR + 1)], np.uint64).view(np.int64)
+    grams = np.array([key(" ".join(tokens[k : k + ANCHOR]), group & MASK) for k in range(len(tokens) - ANCHOR + 1)], np.uint64).view(np.int64)
     span = TOKENS - ANCHOR + 1
     return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1) if len(grams) >= span else np.empty(0, np.int64)
 
 
-def _main_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, anchor): a null anchor for each page with a main part, and each anchor in it once."""
+def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, anchor): each anchor in a page once."""
     for batch in text_slices(batches):
-        hosts, found = [], []
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            stream = main_stream_of(blocks_of(page))
-            if stream:
-                host = host_and_path(url)[0]
-                mine = [None, *np.unique(anchors(host, stream)).tolist()]
-                hosts += [xxhash.xxh3_64_intdigest(host) - (1 << 63)] * len(mine)
-                found += mine
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], names=["host", "anchor"])
+        groups, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts").to_pylist()):
+            mine = np.unique(anchors(group, _tokens(texts)))
+            found.append(mine)
+            groups.append(np.full(len(mine), group))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(found))], names=["group", "anchor"])
 
 
-def _main_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, key, page, at) of the suffixes of main parts."""
+def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, key, body, at) of the suffixes of the streams."""
     for batch in text_slices(batches):
-        found, keys, rows, places = [np.empty(0, np.int64)], [], [], []
-        for row, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())):
-            host, stream = host_and_path(url)[0], main_stream_of(blocks_of(page))
-            mine = suffix_keys(host, stream)
-            found.append(anchors(host, stream))
-            keys += mine
-            rows += [row] * len(mine)
-            places += range(len(mine))
-        pages = batch.column("page").take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.array(keys, np.uint64).view(np.int64)), pages, pa.array(places, pa.int32())], names=["anchor", "key", "page", "at"])
+        found, keys, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts").to_pylist()):
+            tokens = _tokens(texts)
+            found.append(anchors(group, tokens))
+            keys.append(suffix_keys(group, tokens))
+            lengths.append(len(keys[-1]))
+        bodies = np.repeat(batch.column("body").to_numpy(), lengths)
+        places = np.concatenate([np.empty(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(found), np.concatenate(keys), bodies, places))], names=["anchor", "key", "body", "at"])
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """df for broadcast if its counted rows, of a few longs each, allow; else for a shuffled join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def covered_in_main(pages: DataFrame) -> DataFrame | None:
-    """(page, places): where runs that most of the host's main parts have start in the streams of the main parts; None if nowhere."""
-    twins = cut(pages.groupBy("page").count().filter("count > 1").select("page"))
-    once = pages
-    if not twins.isEmpty():
-        known = _small(twins)
-        once = pages.join(known, "page", "left_anti").unionByName(pages.join(known, "page", "left_semi").dropDuplicates(["page"]))
-    read = once.select("page", "url", "html")
-    # Anchors in fewer pages than MAIN_PAGES go at once, with hosts of fewer pages.
-    counts = cut(read.mapInArrow(_main_anchors, "host long, anchor long").groupBy("host", "anchor").count().filter(F.col("count") >= MAIN_PAGES))
-    hosts = counts.filter("anchor is null").select("host", F.col("count").alias("n_pages"))
-    frequent = cut(counts.filter("anchor is not null").join(_small(hosts), "host").filter(F.col("count") * MAIN_PART >= F.col("n_pages")).groupBy("anchor").agg(F.min("n_pages").alias("n_pages")))
+def boilerplate(parsed: DataFrame) -> DataFrame | None:
+    """(body, at): where runs that enough pages of the host have start in the streams; None if nowhere."""
+    at = F.struct("group", "body")
+    bodies = cut(parsed.groupBy("group", "body").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.first("open").alias("open")))
+    twins = bodies.filter("n > 1").select(at.alias("k"), "first", "n")
+    once = parsed.select("group", "body", "texts")
+    total = twins.agg(F.sum("n")).first()[0] or 0
+    if total:
+        again = join_on_counted_key(parsed.select(at.alias("k"), "row"), twins, "k", "n", parsed.count()).filter("row <> first").select("row")
+        once = parsed.join(_small(cut(again)), "row", "left_anti").select("group", "body", "texts")
+    # A run in fewer pages than the smaller bound is nowhere boilerplate.
+    counts = cut(once.mapInArrow(_anchors, "group long, anchor long").groupBy("group", "anchor").count().filter(F.col("count") >= min(LEAST_PAGES)))
+    least, part = (F.when(F.col("open"), b).otherwise(a) for a, b in (LEAST_PAGES, PART))
+    groups = bodies.groupBy("group", "open").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= least)
+    groups = cut(groups.select("group", F.greatest(least, F.ceil(F.col("n_pages") / part)).alias("least")))
+    frequent = cut(counts.join(_small(groups), "group").filter(F.col("count") >= F.col("least")).groupBy("anchor").agg(F.min("least").alias("least")))
     if frequent.isEmpty():
         return None
-    suffixes = cut(read.mapInArrow(_main_suffixes, "anchor long, key long, page long, at int").join(_small(frequent), "anchor").select("key", "page", "at", "n_pages"))
-    holding = suffixes.groupBy("key", "page").agg(F.count("*").alias("n"), F.min("n_pages").alias("n_pages"))
-    holding = holding.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("held"), F.min("n_pages").alias("n_pages"))
-    boilerplate = cut(holding.filter((F.col("held") >= MAIN_PAGES) & (F.col("held") * MAIN_PART >= F.col("n_pages"))).select("key", "n"))
-    total = boilerplate.agg(F.sum("n")).first()[0] or 0
-    found = join_on_counted_key(suffixes.select("key", "page", "at"), boilerplate, "key", "n", total)
-    return found.groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("places"))
-
-
-def covered_places(pages: DataFrame) -> DataFrame:
-    """(page, places): where repeated runs of TOKENS tokens start in the streams of the pages without a main part."""
-    suffixes = cut(pages.mapInArrow(_suffixes, "key long, page long, at int, open boolean"))
-    intervals = suffixes.groupBy("key").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.max("open").alias("open"), F.count("*").alias("n"))
-    repeated = cut(intervals.filter("a <> b and open").select("key", "n"))
+    suffixes = written(once.mapInArrow(_suffixes, "anchor long, key long, body long, at int").join(_small(frequent), "anchor").select("key", "body", "at", "least"))
+    holding = suffixes.groupBy("key", "body").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    holding = holding.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("held"), F.min("least").alias("least"))
+    repeated = cut(holding.filter("held >= least").select("key", "n"))
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    found = join_on_counted_key(suffixes.filter("open").select("key", "page", "at"), repeated, "key", "n", total)
-    return found.groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    return join_on_counted_key(suffixes.select("key", "body", "at"), repeated, "key", "n", total).select("body", "at")
 
 
-def _uncovered(texts: list[str], places: list[int] | None) -> list[str]:
+def uncovered(texts: list[str], places: list[int] | None) -> list[str]:
     """For each text in a stream of texts what repeated substrings that start at places leave of it; empty if nothing."""
+    if not places:
+        return texts
     lists = [text.split(" ") for text in texts]
     n = sum(map(len, lists))
     repeated = np.zeros(n + 1, np.int64)
-    for at in places or ():
-        repeated[at] += 1
-        repeated[min(at + TOKENS, n)] -= 1
+    starts = np.array(places)
+    starts = starts[starts < n]
+    np.add.at(repeated, starts, 1)
+    np.add.at(repeated, np.minimum(starts + TOKENS, n), -1)
     covered = np.cumsum(repeated)[:-1] > 0
     out, at = [], 0
     for text, tokens in zip(texts, lists):
         mine = covered[at : at + len(tokens)]
         at += len(tokens)
-        if not mine.any():
-            out.append(text)
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], mine, [True]]).astype(np.int8)))
-        runs = [tokens[s:e] for s, e in zip(edges[::2], edges[1::2]) if e - s >= LEAST_RUN]
-        out.append(" ".join(t for run in runs for t in run))
+        out.append(" ".join(t for t, c in zip(tokens, mine.tolist()) if not c) if mine.any() else text)
     return out
 
 
-def main_text(page: str | None, places: list[int] | None = None) -> str:
-    """What repeated substrings leave of the main part's blocks, or without a main part of all blocks that aren't left out.
+def joined_text(texts: list[str], left: list[bool], places: list[int] | None = None) -> str:
+    """The text of a page from its stream, without what is left out and what repeated substrings cover."""
+    found = [t for t, x in zip(uncovered(texts, places), left) if t and not x]
+    return "\n".join(found or [t for t, x in zip(texts, left) if not x])
 
-    places: in the stream of the main part, or without one in stream_of.
-    """
-    blocks = blocks_of(page)
-    marked = [text for main, left, text in blocks if main and not left]
-    if marked:
-        return "\n".join([t for t in _uncovered(marked, places) if t] or marked)
-    kept = _uncovered([text for _, _, text in blocks], places)
-    return "\n".join(t for (_, left, _), t in zip(blocks, kept) if t and not left)
+
+def main_text(page: str | None) -> str:
+    """The text of a page by itself."""
+    _, texts, left = streams(page)
+    return joined_text(texts, left)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -327,18 +327,22 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     text: blocks in page order, joined by one line end; inside a block character references are decoded and white space is one
     space; empty if there is none. A null html is an empty page; pages with a null or malformed url share the empty host.
-    Equal rows are one page to the suffix array, so a repeated row repeats nothing. Pages may be of any length and markup may
-    break off. Other columns are ignored. Empty in, empty out.
+    Pages with equal streams are one page to the suffix array, so a repeated row repeats nothing. Pages may be of any length
+    and markup may break off. Other columns are ignored. Empty in, empty out.
     """
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
-    covered, in_main = covered_places(keyed), covered_in_main(keyed)
-    covered = cut(covered if in_main is None else covered.unionByName(in_main))
-    small = _small(covered)
+    parsed = written(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html").mapInArrow(_parse, PARSED))
+    found = boilerplate(parsed)
+    if found is None:
+        rows = parsed.withColumn("places", F.lit(None).cast("array<int>"))
+    else:
+        covered = cut(found.groupBy("body").agg(F.sort_array(F.collect_set("at")).alias("places")))
+        size = covered.agg(F.sum(F.size("places"))).first()[0] or 0
+        rows = parsed.join(F.broadcast(covered) if size <= 10 * BROADCAST_ROWS else covered, "body", "left")
     names = ["page_id", "url", "text", "n_chars"]
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            texts = [main_text(p, places) for p, places in zip(batch.column("html").to_pylist(), batch.column("places").to_pylist())]
+            texts = [joined_text(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("texts", "left", "places")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
-    return keyed.join(small, "page", "left").select("page_id", "url", "html", "places").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "texts", "left", "places").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,7 @@
 """Main text of planted pages; repeated runs against brute force."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ def test_repeated_runs_equal_brute_force(spark):
     for k, (url, parts) in streams.items():
         tokens = " ".join(parts).split()
         host = url.split("/")[2]
-        others = {tuple(t[i : i + n]) for j, (u, p) in streams.items() if j != k and u.split("/")[2] == host for t in [" ".join(p).split()] for i in range(len(t) - n + 1)}
+        pages_of = [" ".join(p).split() for u, p in streams.values() if u.split("/")[2] == host]
+        held = Counter(w for t in pages_of for w in {tuple(t[i : i + n]) for i in range(len(t) - n + 1)})
+        others = {w for w, m in held.items() if m >= html_extract.LEAST_PAGES[1] and m * html_extract.PART[1] >= len(pages_of)}
         covered = {i + x for i in range(len(tokens) - n + 1) if tuple(tokens[i : i + n]) in others for x in range(n)}
         wanted, at = [], 0
         for part in parts:
@@ -49,7 +52,6 @@ def test_repeated_runs_equal_brute_force(spark):
                     run.append(w)
                 elif run:
                     runs, run = runs + [run], []
-            runs = [r for r in runs if len(r) >= html_extract.LEAST_RUN or not any(mine)]
             if runs:
                 wanted.append(" ".join(w for r in runs for w in r))
             at += len(words)
@@ -96,3 +98,29 @@ def test_boilerplate_in_marked_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     out = sorted((r.page_id, r.text) for r in html_extract.extract_main_text(pages).collect())
     assert out == sorted((r[0], w) for r, w in zip(rows, wanted))
+
+
+def test_pages_without_a_main_part_keep_copied_and_quoted_articles(spark):
+    rng = random.Random(6)
+    story, menu = sentence(rng, 60, 10_000), sentence(rng, 12, 10_000)
+    rows = [(k, f"http://h.com/{k}", f"<div>{menu}</div><div>{story}</div>") for k in range(2)] + [(2, "http://h.com/2", f"<div>{menu}</div><div>{story}</div><div>A note.</div>")]
+    rows += [(k, f"http://h.com/{k}", f"<div>{menu}</div><div>{sentence(rng, 30 + k, 10_000)}</div><p>ok</p>") for k in range(3, 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert [out[k] for k in range(3)] == [story, story, f"{story}\nA note."]
+    assert all(menu not in t for t in out.values()) and all(out[k].endswith("\nok") for k in range(3, 10))
+    # Two pages alone have no boilerplate.
+    two = pages.filter("page_id < 2")
+    assert {r.text for r in html_extract.extract_main_text(two).collect()} == {f"{menu}\n{story}"}
+
+
+def test_markup_that_is_not_what_it_seems():
+    for page, wanted in {
+        "<article><header><h1>Title</h1></header><p>The story.</p></article>": "Title\nThe story.",
+        "<header><h1>Site</h1></header><article><p>The story.</p></article>": "The story.",
+        "<p data-x=it's>The story's end.</p><p>More.</p>": "The story's end.\nMore.",
+        "<main><article class=teaser>Card</article></main><div>The long story.</div>": "The long story.",
+        "<p title = 'a > b'>In\u3000one\u2003space&nbsp;here</p>": "In one space here",
+        "<p title=\"never closed>gone": "",
+    }.items():
+        assert html_extract.main_text(page) == wanted, page
