@@ -96,6 +96,21 @@ def join_on_counted_key(left: DataFrame, right: DataFrame, key: str, count: str,
     return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def left_join_small_or_any(left: DataFrame, right: DataFrame, key: str, entries: int) -> DataFrame:
+    """Left join on a key that is once in right, which is cut already and has so many entries of a few longs.
+
+    Small ones are broadcast. Otherwise both sides are shuffled, but for keys that many rows of left have: at most 1 / HOT_SHARE
+    keys, whose rows in right are broadcast.
+    """
+    if entries <= 10 * BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, "left")
+    counts = cut(left.groupBy(key).count())
+    least = (counts.agg(F.sum("count")).first()[0] or 0) * HOT_SHARE
+    hot = F.broadcast(cut(counts.filter(F.col("count") >= F.greatest(F.lit(1000.0), F.lit(least))).select(key)))
+    some = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left")
+    return some.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
+
+
 def numbered(df: DataFrame, count: str, place: str) -> DataFrame:
     """Each row as often as count says, with place from 1; what is repeated more than CHUNK times is dealt out before."""
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))

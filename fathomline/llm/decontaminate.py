@@ -6,25 +6,21 @@ holds a window only if it holds all its tokens, so the necessary prefix of a win
 document has such a token, the length and positional bounds leave one place at which the window can be; the words there
 are compared, one by one, with the window's.
 
-The documents are read twice and never shuffled: to count the items' tokens, and to find the prefix tokens with the words
-around them. The tokens looked for stand in the plan as sets of TOKENS_AT_ONCE at most; an item table with more of them
-takes one more read of the documents for each further set.
+The documents are read three times: to count the items' tokens in them, to find the places of prefix tokens, and to compare
+the words at the places found. Each is a join of the exploded tokens, or of the places by the text's hash, with a table
+that is broadcast if its counted size allows and shuffled otherwise; in the usual case no text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut, row_key, unused
+from fathomline.llm.common import BROADCAST_ROWS, cut, left_join_small_or_any, row_key, unused
 
 WINDOW_WORDS = 13
 #: A document is contaminated if this part of its words, at least, is hit: one in so many.
 HIT_PART = 20
-TOKENS_AT_ONCE = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII characters that are neither digits nor lower-case letters.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,12 +39,6 @@ def _tokens(ws: Column) -> Column:
     return F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1)))
 
 
-def _blocks(tokens: DataFrame) -> Iterator[list[int]]:
-    values = (row[0] for row in tokens.distinct().toLocalIterator())
-    while block := list(islice(values, TOKENS_AT_ONCE)):
-        yield block
-
-
 def _windows(items: DataFrame) -> DataFrame:
     """(item_id, ws, len): distinct windows of each item."""
     ws = items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
@@ -71,49 +61,42 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(ws, len, single, token, off): the rarest token of each distinct window."""
-    tokens = _window_tokens(windows.select("ws", "len").distinct())
+    tokens = cut(_window_tokens(windows.select("ws", "len").distinct()))
+    wanted = cut(tokens.filter("not single").select("token").distinct())
     seen = docs.select(F.explode(_tokens(F.col("ws"))).alias("token"))
-    counts = None
-    for block in _blocks(tokens.filter("not single").select("token")):
-        part = seen.filter(F.col("token").isin(block)).groupBy("token").count()
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        counted = tokens.withColumn("count", F.lit(0))
+    if wanted.count() <= BROADCAST_ROWS:
+        counts = seen.join(F.broadcast(wanted), "token").groupBy("token").count()
     else:
-        counted = tokens.join(_small(cut(counts)), "token", "left")
+        counts = seen.groupBy("token").count().join(wanted, "token", "left_semi")
+    counted = tokens.join(_small(cut(counts)), "token", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token", "off")).alias("p")
     return counted.groupBy("ws", "len", "single").agg(rarest).select("ws", "len", "single", "p.token", "p.off")
 
 
-def _places(docs: DataFrame, tokens: DataFrame, single: bool) -> Column | None:
-    """For each set of tokens, an array of (token, at, base, around): where a document has one, and the words around."""
-    found = None
-    for block in _blocks(tokens):
-        def token(i: Column) -> Column:
-            return F.xxhash64(F.get("ws", i)) if single else F.xxhash64(F.get("ws", i), F.get("ws", i + 1))
-
-        hits = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: token(i).isin(block))
-        base = lambda i: F.greatest(i - WINDOW_WORDS + 1, F.lit(0))
-        part = F.transform(hits, lambda i: F.struct(token(i).alias("token"), i.alias("at"), base(i).alias("base"), F.slice("ws", base(i) + 1, 2 * WINDOW_WORDS).alias("around")))
-        found = part if found is None else F.concat(found, part)
-    return found
+def _places(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(k, spots): by the text's hash, where a window may start, and its length; a text that is repeated counts once."""
+    tokens = F.concat(
+        F.transform("ws", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w, F.get("ws", i + 1)).alias("token"))),
+        F.transform("ws", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("token"))) if not prefixes.filter("single").isEmpty() else F.array().cast("array<struct<at:int,token:bigint>>"),
+    )
+    wanted = prefixes.select("token", "off", "len").distinct()
+    start = F.col("at") - F.col("off")
+    found = docs.select("k", F.size("ws").alias("n"), F.inline(tokens)).join(_small(wanted), "token")
+    return found.filter((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy("k").agg(F.collect_set(F.struct(start.alias("start"), "len")).alias("spots"))
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, n_words) of each row of documents, and (row, start, len, item_id) of each window found in it."""
-    read = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    split = read.select("k", words(F.col("text")).alias("ws"))
     windows = cut(_windows(items))
-    prefixes = cut(_prefixes(read, windows))
-    places = [_places(read, prefixes.filter(F.col("single") == s).select("token"), s) for s in (False, True)]
-    places = [p for p in places if p is not None]
-    empty = F.array().cast("array<struct<token:bigint,at:int,base:int,around:array<string>>>")
-    place = F.when(F.size("ws") > 0, F.concat(empty, *places)).otherwise(empty)
-    rows = cut(read.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("ws").cast("long").alias("n_words"), place.alias("place")))
-    spots = rows.select("row", "n_words", F.inline("place"))
-    start = F.col("at") - F.col("off")
-    same = F.slice("around", F.greatest(start - F.col("base") + 1, F.lit(1)), F.col("len")) == F.col("ws")
-    held = spots.join(_small(prefixes.select("token", "off", "len", "ws")), "token").filter((start >= 0) & (start + F.col("len") <= F.col("n_words")) & same)
-    held = held.select("row", start.alias("start"), "len", "ws").join(_small(windows.select("ws", "item_id")), "ws")
+    prefixes = cut(_prefixes(split, windows))
+    places = cut(_places(split, prefixes))
+    entries = places.agg(F.sum(F.size("spots") + 1)).first()[0] or 0
+    rows = left_join_small_or_any(read, places, "k", entries).select("doc_id", words(F.col("text")).alias("ws"), "spots")
+    at = F.transform(F.coalesce("spots", F.array().cast("array<struct<start:int,len:int>>")), lambda p: F.struct(p["start"].alias("start"), p["len"].alias("len"), F.slice("ws", p["start"] + 1, p["len"]).alias("ws")))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("ws").cast("long").alias("n_words"), at.alias("spots")))
+    held = rows.select("row", F.inline("spots")).join(_small(windows.select("ws", "item_id")), "ws")
     return rows.select("row", "doc_id", "n_words"), held.select("row", "start", "len", "item_id")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut, join_on_counted_key, text_slices, written
+from fathomline.llm.common import BROADCAST_ROWS, cut, join_on_counted_key, left_join_small_or_any, text_slices, written
 from fathomline.llm.url_filter import host_and_path
 
 #: Tokens that make a repeated substring long.
@@ -337,7 +337,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     else:
         covered = cut(found.groupBy("body").agg(F.sort_array(F.collect_set("at")).alias("places")))
         size = covered.agg(F.sum(F.size("places"))).first()[0] or 0
-        rows = parsed.join(F.broadcast(covered) if size <= 10 * BROADCAST_ROWS else covered, "body", "left")
+        rows = left_join_small_or_any(parsed, covered, "body", size)
     names = ["page_id", "url", "text", "n_chars"]
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
