@@ -3,12 +3,12 @@
 Beside the plain rules, a document's statistics are transformed into a vector of rates, and each cell (a language and
 source) gets a minimum-covariance-determinant estimate of their centre and spread: of all subsets with SUBSET of the cell's
 rows, that whose covariance has the smallest determinant. Two starts (medians and quartile ranges; means and covariance)
-are improved by concentration steps, each one pass over all rows: a row's distance under the present estimate falls into a
+are improved by concentration steps until no determinant falls, each one pass over all rows: a row's distance under the present estimate falls into a
 bin of fixed width, each bin keeps its count, sums and cross-products, and the bins from the nearest up to the subset's
 size give the next estimate. So no cell's rows are ever gathered, whatever its size. The start that ends with the smaller
 determinant is taken, scaled so that the median distance is that of the normal law, and rows beyond CUT are rejected.
 
-Cells under LEAST_ROWS rows are pooled by language, and the languages under it with one another.
+Cells under LEAST_ROWS rows, five for each coordinate, are pooled by language, and the languages under it with one another.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = b".,;:!?'\"()-"
 
-#: Share of a cell's rows in the subset; concentration steps; squared-distance cut: the normal law's at 1 in 10,000 for DIMS.
+#: Share of a cell's rows in the subset; most concentration steps, and the fall of a log determinant that counts; squared-distance cut: the normal law's at 1 in 10,000 for DIMS.
 SUBSET = 0.6
-STEPS = 4
+MOST_STEPS, LEAST_FALL = 20, 1e-3
 DIMS = 6
 CUT = 27.86
 MEDIAN_LAW = 5.348
-LEAST_ROWS = 100
+LEAST_ROWS = 5 * DIMS
 #: Words' worth of ordinary text that a document's rates are mixed with, so that short texts don't scatter more than long ones.
 PRIOR_WORDS = 15.0
 #: Ordinary rates: characters a word, symbols a word, capitals a character, marks a word.
@@ -150,7 +150,7 @@ def _first_estimates(rows: pd.DataFrame) -> pd.DataFrame:
     factor = np.diag(1 / np.array(spread))[np.tril_indices(DIMS)].tolist()
     classical = _from_moments(n, np.array(moments["total"]), np.array(moments["cross"]))
     cell = rows["cell"].iloc[0]
-    return pd.DataFrame([(cell, 0, n, centre, factor, 0.0, 1.0), (cell, 1, n, *classical, 1.0)], columns=["cell", "start", "n", "centre", "factor", "det", "scale"])
+    return pd.DataFrame([(cell, 0, n, centre, factor, np.inf, 1.0), (cell, 1, n, *classical[:2], np.inf, 1.0)], columns=["cell", "start", "n", "centre", "factor", "det", "scale"])
 
 
 def _next_estimate(bins: pd.DataFrame) -> pd.DataFrame:
@@ -219,9 +219,14 @@ def _estimates(rows: DataFrame, cells: DataFrame) -> DataFrame:
         near = join_on_counted_key(rows.select("cell", "v"), each, "cell", "m", total)
         return near.select("cell", "v", F.inline("starts")).select("cell", "start", "v", _distance().alias("d"))
 
-    for _ in range(STEPS):
-        stepped = measured(estimates.drop("n", "det", "scale")).groupBy("cell", "start", _bin()).agg(*_moments())
-        estimates = cut(stepped.groupBy("cell", "start").applyInPandas(_next_estimate, ESTIMATE))
+    for _ in range(MOST_STEPS):
+        stepped = measured(estimates.drop("n", "det", "scale")).groupBy("cell", "start", _bin()).agg(*_moments()).groupBy("cell", "start").applyInPandas(_next_estimate, ESTIMATE)
+        both = stepped.join(estimates.select("cell", "start", F.struct("n", "centre", "factor", "det", "scale").alias("before")), ["cell", "start"])
+        fell = F.col("det") < F.col("before.det") - LEAST_FALL
+        both = cut(both.select("cell", "start", F.when(fell, F.struct("n", "centre", "factor", "det", "scale")).otherwise(F.col("before")).alias("e"), fell.alias("fell")))
+        estimates = both.select("cell", "start", "e.*")
+        if both.filter("fell").isEmpty():
+            break
     best = cut(estimates.groupBy("cell").agg(F.min_by(F.struct("start", "centre", "factor"), F.struct("det", "start")).alias("e")).select("cell", "e.*"))
     scales = measured(best).groupBy("cell", _bin()).agg(F.count("*").alias("n")).groupBy("cell").applyInPandas(_scaled, "cell string, scale double")
     return cut(best.drop("start").join(scales, "cell").join(cells, "cell"))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fathomline.llm import quality
@@ -36,6 +37,46 @@ def test_base_counts_and_outliers(spark):
     assert sorted(r.doc_id for r in quality.kept_documents(docs).collect()) == sorted(d for d, r in out.items() if r.kept)
 
 
+def moments(v):
+    return quality._from_moments(len(v), v.sum(0), np.array([(v[:, i] * v[:, j]).sum() for i in range(quality.DIMS) for j in range(i + 1)]))
+
+
+def squared_distances(v, centre, packed):
+    factor = np.zeros((quality.DIMS,) * 2)
+    factor[np.tril_indices(quality.DIMS)] = packed
+    return np.square((v - centre) @ factor.T).sum(1)
+
+
+def test_rejects_what_an_estimate_in_memory_rejects(spark):
+    """The smallest determinant that 300 random starts in memory come to, each by concentration steps on whole rows."""
+    rng = np.random.default_rng(7)
+    tables = {}
+    for cell, (n, planted) in {"few": (60, 12), "many": (400, 90), "clean": (200, 0)}.items():
+        v = rng.normal(1.0, 0.25, (n, quality.DIMS)) @ (np.eye(quality.DIMS) + 0.3 * rng.normal(size=(quality.DIMS,) * 2))
+        v[:planted] += rng.normal(5.0, 0.5, (planted, quality.DIMS))
+        tables[cell] = (v, planted)
+    rows = spark.createDataFrame([(c, k, x.tolist()) for c, (v, _) in tables.items() for k, x in enumerate(v)], "cell string, k int, v array<double>")
+    cells = spark.createDataFrame([(c, len(v)) for c, (v, _) in tables.items()], "cell string, m long")
+    out = rows.join(quality._estimates(rows, cells), "cell").select("cell", "k", (quality._distance() / F.col("scale") > quality.CUT).alias("out")).toPandas()
+    for cell, (v, planted) in tables.items():
+        best, h = (np.inf, None), int(np.ceil(quality.SUBSET * len(v)))
+        for _ in range(300):
+            subset, before = rng.choice(len(v), quality.DIMS + 1, replace=False), np.inf
+            while True:
+                centre, packed, det = moments(v[subset])
+                if len(subset) == h and det >= before - 1e-9:
+                    break
+                before = det if len(subset) == h else np.inf
+                subset = np.argsort(squared_distances(v, centre, packed))[:h]
+            best = min(best, (det, tuple(subset)))
+        centre, packed, _ = moments(v[list(best[1])])
+        d = squared_distances(v, centre, packed)
+        wanted = d / max(1.0, np.median(d) / quality.MEDIAN_LAW) > quality.CUT
+        mine = out[out["cell"] == cell].sort_values("k")["out"].to_numpy()
+        assert mine[:planted].all() and wanted[:planted].all()
+        assert (mine == wanted).mean() >= 0.98 and mine[planted:].sum() <= 1 + 0.01 * len(v), cell
+
+
 def test_edges(spark):
     docs = documents(spark, ["plain words make up this short text of ten words", None])
     assert quality.quality_rules(docs.limit(0)).count() == 0
