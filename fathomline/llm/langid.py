@@ -5,7 +5,8 @@ letters. A document's word that is known scores by its own frequencies; an unsee
 the greatest length of which any is known. The language with the largest sum over all words is predicted.
 
 The model is fitted on a bounded sample of the labelled rows: about SAMPLE_DOCS whole documents of each language, drawn by a
-hash of the doc_id, and the WORDS and GRAMS most frequent entries. It is small and goes to all tasks; scoring is one pass.
+hash of the doc_id. Each language has an equal share of the WORDS and GRAMS entries, its most frequent ones; an entry that
+one language brings in keeps its counts in all. The model is small and goes to all tasks; scoring is one pass.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import text_slices
+from fathomline.llm.common import cut, text_slices
 
 #: Bounds of the model's sample and size.
 SAMPLE_DOCS = 2500
-WORDS = 100_000
-GRAMS = 40_000
+WORDS = 250_000
+GRAMS = 80_000
+MOST_LANGS = 500
 LONGEST = 4
 #: Counts added to each entry and language.
 SMOOTHING = 0.1
@@ -88,7 +90,7 @@ class Model:
         logs = []
         for table in tables:
             counts = np.array(list(table.values()), float).reshape(len(table), len(place)) + SMOOTHING
-            logs.append(np.log(counts / counts.sum(axis=0)) if len(counts) else counts)
+            logs.append((np.log(counts / counts.sum(axis=0)) if len(counts) else counts).astype(np.float32))
         self.words = {w: k for k, w in enumerate(tables[0])}
         self.word_logs = logs[0]
         self.grams = []
@@ -151,15 +153,19 @@ class Model:
 def fit(labelled: DataFrame) -> Model:
     """Of documents(doc_id, text, lang, ...), a bounded sample of the rows with a lang and a text."""
     labelled = labelled.filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not counts:
         return Model([])
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))])[F.col("lang")]
     drawn = labelled.filter(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
-    grams = drawn.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    grams = grams.filter("count > 1")
-    words, parts = (grams.filter(c).orderBy(F.desc("count"), "gram", "lang").limit(k) for c, k in (("n = 0", WORDS), ("n > 0", GRAMS)))
-    return Model([tuple(r) for r in words.unionByName(parts).toPandas().itertuples(index=False)])
+    grams = cut(drawn.select("lang", "text").mapInArrow(_counts, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")))
+    is_word = F.col("n") == 0
+    place = F.row_number().over(Window.partitionBy("lang", is_word).orderBy(F.desc("count"), "n", "gram"))
+    chosen = grams.withColumn("place", place).filter(F.col("place") <= F.when(is_word, WORDS // len(counts)).otherwise(GRAMS // len(counts)))
+    held = grams.join(chosen.select("n", "gram").distinct(), ["n", "gram"], "left_semi")
+    return Model([tuple(r) for r in held.select("lang", "n", "gram", "count").toPandas().itertuples(index=False)])
 
 
 def identify(docs: DataFrame) -> DataFrame:
