@@ -75,14 +75,16 @@ def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(k, spots): by the text's hash, where a window may start, and its length; a text that is repeated counts once."""
-    tokens = F.concat(
-        F.transform("ws", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w, F.get("ws", i + 1)).alias("token"))),
-        F.transform("ws", lambda w, i: F.struct(i.alias("at"), F.xxhash64(w).alias("token"))) if not prefixes.filter("single").isEmpty() else F.array().cast("array<struct<at:int,token:bigint>>"),
-    )
-    wanted = prefixes.select("token", "off", "len").distinct()
+    tokens = [_tokens(F.col("ws"))]
+    if not prefixes.filter("single").isEmpty():
+        tokens.append(F.transform("ws", lambda w: F.xxhash64(w)))
+    wanted = _small(cut(prefixes.select("token", "off", "len").distinct()))
     start = F.col("at") - F.col("off")
-    found = docs.select("k", F.size("ws").alias("n"), F.inline(tokens)).join(_small(wanted), "token")
-    return found.filter((start >= 0) & (start + F.col("len") <= F.col("n"))).groupBy("k").agg(F.collect_set(F.struct(start.alias("start"), "len")).alias("spots"))
+    found = None
+    for each in tokens:
+        part = docs.select("k", F.posexplode(each).alias("at", "token")).join(wanted, "token").filter(start >= 0).select("k", start.alias("start"), "len")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("k").agg(F.collect_set(F.struct("start", "len")).alias("spots"))
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
