@@ -224,29 +224,29 @@ def suffix_keys(group: int, tokens: list[str]) -> np.ndarray:
 
 
 MASK = (1 << 64) - 1
+#: Low bits of an anchor, by which its host's bound is found; hosts that share them share the smaller bound in the sieve.
+SLOTS = (1 << 24) - 1
 
 
 def anchors(group: int, tokens: list[str]) -> np.ndarray:
-    """For each suffix of TOKENS tokens the smallest hash of the group and ANCHOR tokens in it."""
+    """For each suffix of TOKENS tokens the smallest hash of the group and ANCHOR tokens in it; its low bits are the group's."""
     key = xxhash.xxh3_64_intdigest
     grams = np.array([key(" ".join(tokens[k : k + ANCHOR]), group & MASK) for k in range(len(tokens) - ANCHOR + 1)], np.uint64).view(np.int64)
     span = TOKENS - ANCHOR + 1
-    return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1) if len(grams) >= span else np.empty(0, np.int64)
+    if len(grams) < span:
+        return np.empty(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(grams & ~SLOTS, span).min(axis=1) | (group & SLOTS)
 
 
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, anchor): each anchor in a page once."""
+    """Each anchor in a page once."""
     for batch in text_slices(batches):
-        groups, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts").to_pylist()):
-            mine = np.unique(anchors(group, _tokens(texts)))
-            found.append(mine)
-            groups.append(np.full(len(mine), group))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(found))], names=["group", "anchor"])
+        found = [np.unique(anchors(group, _tokens(texts))) for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["anchor"])
 
 
 def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, key, body, at) of the suffixes of the streams."""
+    """(anchor, key, group, body, at) of the suffixes of the streams."""
     for batch in text_slices(batches):
         found, keys, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         for group, texts in zip(batch.column("group").to_pylist(), batch.column("texts").to_pylist()):
@@ -254,9 +254,9 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(anchors(group, tokens))
             keys.append(suffix_keys(group, tokens))
             lengths.append(len(keys[-1]))
-        bodies = np.repeat(batch.column("body").to_numpy(), lengths)
+        groups, bodies = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("group", "body"))
         places = np.concatenate([np.empty(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)])
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(found), np.concatenate(keys), bodies, places))], names=["anchor", "key", "body", "at"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (np.concatenate(found), np.concatenate(keys), groups, bodies, places))], names=["anchor", "key", "group", "body", "at"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -274,15 +274,18 @@ def boilerplate(parsed: DataFrame) -> DataFrame | None:
     if total:
         again = join_on_counted_key(parsed.select(at.alias("k"), "row"), twins, "k", "n", parsed.count()).filter("row <> first").select("row")
         once = parsed.join(_small(cut(again)), "row", "left_anti").select("group", "body", "texts")
-    # A run in fewer pages than the smaller bound is nowhere boilerplate.
-    counts = cut(once.mapInArrow(_anchors, "group long, anchor long").groupBy("group", "anchor").count().filter(F.col("count") >= min(LEAST_PAGES)))
     least, part = (F.when(F.col("open"), b).otherwise(a) for a, b in (LEAST_PAGES, PART))
     groups = bodies.groupBy("group", "open").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= least)
     groups = cut(groups.select("group", F.greatest(least, F.ceil(F.col("n_pages") / part)).alias("least")))
-    frequent = cut(counts.join(_small(groups), "group").filter(F.col("count") >= F.col("least")).groupBy("anchor").agg(F.min("least").alias("least")))
+    slot = lambda c: F.col(c).bitwiseAND(F.lit(SLOTS))
+    slots = groups.groupBy(slot("group").alias("slot")).agg(F.min("least").alias("bound"))
+    # A run in fewer pages than the smaller bound is nowhere boilerplate.
+    counts = once.mapInArrow(_anchors, "anchor long").groupBy("anchor").count().filter(F.col("count") >= min(LEAST_PAGES))
+    frequent = cut(counts.withColumn("slot", slot("anchor")).join(F.broadcast(slots) if groups.count() <= BROADCAST_ROWS else slots, "slot").filter("count >= bound").select("anchor"))
     if frequent.isEmpty():
         return None
-    suffixes = written(once.mapInArrow(_suffixes, "anchor long, key long, body long, at int").join(_small(frequent), "anchor").select("key", "body", "at", "least"))
+    suffixes = once.mapInArrow(_suffixes, "anchor long, key long, group long, body long, at int").join(_small(frequent), "anchor", "left_semi")
+    suffixes = written(suffixes.join(_small(groups), "group").select("key", "body", "at", "least"))
     holding = suffixes.groupBy("key", "body").agg(F.count("*").alias("n"), F.min("least").alias("least"))
     holding = holding.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("held"), F.min("least").alias("least"))
     repeated = cut(holding.filter("held >= least").select("key", "n"))
