@@ -1,4 +1,4 @@
-"""Panel frontiers with random firm effects, by simulated maximum likelihood.
+"""Frontiers by maximum likelihood: cross-sections, and panels with random firm effects by draws or by quadrature.
 
 y_it = x_it'b + v_i0 + v_it - s (u_it [+ u_i0]); u half-normal, v normal, log-variances linear in determinants. The panel is
 dealt by firm once and kept. An evaluation is one job for any number of parameter vectors: each task works through the firms of
@@ -9,7 +9,7 @@ search are small dense algebra on the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.special import log_ndtr, mills, ndtr, ndtri
-from fathomline.operators.panel import complete_cases, factorize
+from fathomline.functions.special import log_ndtr, mills, ndtri, t_quantile, t_sf
+from fathomline.operators.panel import check_time_invariant, complete_cases, factorize
 from fathomline.operators.regression import moment_split, ols
 
 #: Cells (rows times draws) that a task holds at a time; one firm's rows stay together.
@@ -26,6 +26,9 @@ BLOCK_CELLS = 400_000
 ROOT_TWO_OVER_PI = math.sqrt(2 / math.pi)
 
 
+Block = dict[str, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Frontier:
     """Columns and settings of a model; persistent adds u_i0. x gets an intercept, every determinant list a constant."""
@@ -41,8 +44,18 @@ class Frontier:
     draws: int = 500
     burn_in: int = 1000
     bases: tuple[int, int] = (2, 3)
+    #: How v_i0 is integrated out: "halton" draws, "quadrature" with adaptive Gauss-Hermite nodes, or "none" without it.
+    effect: str = "halton"
+    nodes: int = 15
+    #: Digits of the draws permuted at random by the seed; without, the plain sequence.
+    scrambled: bool = False
+    seed: int = 1
 
     def __post_init__(self):
+        if self.effect not in ("halton", "quadrature", "none") or self.persistent and self.effect != "halton":
+            raise ValueError("effect must be halton, quadrature or none, and halton with a persistent inefficiency")
+        if self.nodes not in (7, 10, 15, 20):
+            raise ValueError("nodes must be 7, 10, 15 or 20")
         if self.s not in (1, -1):
             raise ValueError("s must be 1 (production) or -1 (cost)")
         if self.draws < 1:
@@ -51,7 +64,8 @@ class Frontier:
             raise ValueError("the bases of the two draw sequences must differ")
 
     def blocks(self) -> dict[str, Sequence[str]]:
-        out = {"x": self.x, "zuit": self.zuit, "zvit": self.zvit, "zvi0": self.zvi0}
+        out = {"x": self.x, "zuit": self.zuit, "zvit": self.zvit}
+        out |= {"zvi0": self.zvi0} if self.effect != "none" else {}
         return out | {"zui0": self.zui0} if self.persistent else out
 
     def terms(self) -> list[str]:
@@ -60,24 +74,50 @@ class Frontier:
     def columns(self) -> list[str]:
         return [self.y, *dict.fromkeys(c for cols in self.blocks().values() for c in cols)]
 
+    def firm_columns(self) -> list[str]:
+        """Determinants of firm effects, which may not vary within a firm."""
+        return [c for b, cols in self.blocks().items() if b in ("zvi0", "zui0") for c in cols]
+
+    def width(self) -> int:
+        """Draws or nodes of a row."""
+        return {"halton": self.draws, "quadrature": self.nodes, "none": 1}[self.effect]
+
+    def scores(self, block: Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray]:
+        return firm_scores(block, theta, self, kept)
+
+    def curvature(self, block: Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        loglik, score, hessian = firm_curvature(block, theta, self, kept)
+        return loglik, score, hessian, hessian
+
     def split(self, theta: np.ndarray) -> dict[str, np.ndarray]:
         sizes = [len(cols) + 1 for cols in self.blocks().values()]
         return dict(zip(self.blocks(), np.split(theta, np.cumsum(sizes)[:-1])))
 
 
 def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
-    """Complete cases of panel(id, time, ...) with the model's blocks as arrays, dealt by firm; rank numbers the firms."""
-    rows = factorize(complete_cases(panel, model.columns()), "id", "rank")
+    """Complete cases of panel(id, time, ...) with the model's blocks as arrays, dealt by firm; rank numbers the firms.
+
+    Without a firm effect every row is a firm of its own, and the rows stay where they are.
+    """
     number = lambda c: F.col(c).cast("double")
     blocks = [F.array(F.lit(1.0), *map(number, cols)).alias(b) for b, cols in model.blocks().items()]
+    rows = complete_cases(panel, model.columns())
+    if model.effect == "none":
+        for c in ("id", "time"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("long"))
+        return rows.select(F.lit(0).cast("long").alias("rank"), "id", "time", number(model.y).alias("y"), *blocks)
+    rows = factorize(rows, "id", "rank")
     return rows.select("rank", "id", "time", number(model.y).alias("y"), *blocks).repartition("rank").sortWithinPartitions("rank", "time")
 
 
-def halton(index: np.ndarray, base: int) -> np.ndarray:
-    """Radical inverse of positive indices, within 1e-12 of neither end."""
+def halton(index: np.ndarray, base: int, digits: np.ndarray | None = None) -> np.ndarray:
+    """Radical inverse of positive indices, within 1e-12 of neither end; digits: a permutation of those of the base.
+
+    With a permutation the zeros before an index's first digit count too, as many as doubles can tell.
+    """
     out, scale, rest = np.zeros(index.shape), 1.0 / base, index.copy()
-    while rest.any():
-        out += scale * (rest % base)
+    while rest.any() if digits is None else scale > 1e-16:
+        out += scale * (rest % base if digits is None else digits[rest % base])
         rest //= base
         scale /= base
     return np.clip(out, 1e-12, 1 - 1e-12)
@@ -86,24 +126,28 @@ def halton(index: np.ndarray, base: int) -> np.ndarray:
 def normal_draws(ranks: np.ndarray, model: Frontier, base: int) -> np.ndarray:
     """A row of draws for each firm: the part of one sequence that belongs to its rank, so reruns agree on any partitioning."""
     at = (ranks[:, None] - 1) * model.draws + np.arange(model.draws)[None, :] + model.burn_in + 1
-    return ndtri(halton(at, base))
+    digits = np.random.default_rng([model.seed, base]).permutation(base) if model.scrambled else None
+    return ndtri(halton(at, base, digits))
 
 
-def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator[dict[str, np.ndarray]]:
+def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator[Block]:
     """Whole firms at a time; batches are sorted by rank, and a firm may go on in the next batch."""
-    blocks, most = model.blocks(), max(1, BLOCK_CELLS // model.draws)
+    blocks, most, alone = model.blocks(), max(1, BLOCK_CELLS // model.width()), model.effect == "none"
 
-    def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+    def arrays(table: pa.Table) -> Block:
         out = {"rank": table["rank"].to_numpy(), "y": table["y"].to_numpy(), "id": table["id"], "time": table["time"]}
         for b, cols in blocks.items():
             out[b] = table[b].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cols) + 1)
-        out["starts"] = np.flatnonzero(np.append(True, out["rank"][1:] != out["rank"][:-1]))
+        out["starts"] = np.arange(len(out["y"])) if alone else np.flatnonzero(np.append(True, out["rank"][1:] != out["rank"][:-1]))
         return out
 
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
+        if alone:
+            yield arrays(pa.Table.from_batches([batch]))
+            continue
         rest.append(batch)
         if sum(b.num_rows for b in rest) < most:
             continue
@@ -120,48 +164,133 @@ def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator
         yield arrays(pa.Table.from_batches(rest))
 
 
-def _residuals(block: dict[str, np.ndarray], part: dict[str, np.ndarray], model: Frontier) -> tuple[np.ndarray, ...]:
-    """Composed errors for each row and draw, variances of each row, and by how much the firm effects' log-variances move them."""
-    starts = block["starts"]
-    sizes = np.diff(np.append(starts, len(block["y"])))
-    ranks = block["rank"][starts]
-    move0 = np.repeat(np.exp(0.5 * (block["zvi0"][starts] @ part["zvi0"]))[:, None] * normal_draws(ranks, model, model.bases[0]), sizes, axis=0)
-    e = (block["y"] - block["x"] @ part["x"])[:, None] - move0
-    move1 = None
-    if model.persistent:
-        move1 = np.repeat(np.exp(0.5 * (block["zui0"][starts] @ part["zui0"]))[:, None] * np.abs(normal_draws(ranks, model, model.bases[1])), sizes, axis=0)
-        e = e + model.s * move1
-    return e, np.exp(block["zuit"] @ part["zuit"])[:, None], np.exp(block["zvit"] @ part["zvit"])[:, None], move0, move1
+def log_half_normal(e: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log density of composed errors, and the argument of its distribution function."""
+    s2 = s2u + s2v
+    w = -s * e * np.sqrt(s2u / (s2v * s2))
+    return math.log(2) - 0.5 * math.log(2 * math.pi) - 0.5 * np.log(s2) - 0.5 * e * e / s2 + log_ndtr(w), w
+
+
+def adaptive_nodes(paths: Callable[[np.ndarray], np.ndarray], firms: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, log weights) of each firm for the integral of exp(paths(v)) over a standard normal v.
+
+    The nodes are set about the mode, found by ten damped Newton steps on differences, and as wide as the curve is there.
+    """
+    step, mode = 1e-3, np.zeros((firms, 1))
+    for k in range(11):
+        mid, up, down = (paths(mode + d) - 0.5 * (mode + d) ** 2 for d in (0.0, step, -step))
+        curve = (up - 2 * mid + down) / step**2
+        if k < 10:
+            mode = mode + np.clip((up - down) / (2 * step) / np.maximum(-curve, 0.01), -2, 2)
+    width = np.maximum(1 / np.sqrt(np.maximum(-curve, 0.01)), 0.1)
+    at, weight = np.polynomial.hermite.hermgauss(nodes)
+    v = mode + width * math.sqrt(2) * at
+    return v, np.log(weight) - 0.5 * math.log(math.pi) + at**2 - 0.5 * v * v + np.log(width)
+
+
+class Paths:
+    """What a firm's likelihood and its derivatives need at one parameter vector, for each row and draw."""
+
+    def __init__(self, block: Block, theta: np.ndarray, model: Frontier, kept: dict):
+        part, self.starts = model.split(theta), block["starts"]
+        self.sizes = np.diff(np.append(self.starts, len(block["y"])))
+        self.s2u, self.s2v = np.exp(block["zuit"] @ part["zuit"])[:, None], np.exp(block["zvit"] @ part["zvit"])[:, None]
+        e = (block["y"] - block["x"] @ part["x"])[:, None]
+        self.move0, self.move1, log_weights = None, None, np.zeros((len(self.starts), 1))
+        if model.effect != "none":
+            sd = np.exp(0.5 * (block["zvi0"][self.starts] @ part["zvi0"]))[:, None]
+            if model.effect == "halton":
+                if "draws" not in kept:  # they depend on the firm alone
+                    ranks = block["rank"][self.starts]
+                    kept["draws"] = [normal_draws(ranks, model, model.bases[0]), np.abs(normal_draws(ranks, model, model.bases[1])) if model.persistent else None]
+                v, log_weights = kept["draws"][0], np.full((1, 1), -math.log(model.draws))
+            else:
+                firm = lambda v: self.spread(sd * v)
+                v, log_weights = adaptive_nodes(lambda v: self.by_firm(log_half_normal(e - firm(v), self.s2u, self.s2v, model.s)[0]), len(self.starts), model.nodes)
+            self.move0 = self.spread(sd * v)
+            e = e - self.move0
+            if model.persistent:
+                self.move1 = self.spread(np.exp(0.5 * (block["zui0"][self.starts] @ part["zui0"]))[:, None] * kept["draws"][1])
+                e = e + model.s * self.move1
+        self.e = e
+        log_f, self.w = log_half_normal(e, self.s2u, self.s2v, model.s)
+        paths = self.by_firm(log_f) + log_weights
+        top = paths.max(axis=1, keepdims=True)
+        weights = np.exp(paths - top)
+        total = weights.sum(axis=1, keepdims=True)
+        self.loglik = (top + np.log(total))[:, 0]
+        self.by_draw = weights / total
+        self.q = self.spread(self.by_draw)
+
+    def spread(self, firms: np.ndarray) -> np.ndarray:
+        return np.repeat(firms, self.sizes, axis=0)
+
+    def by_firm(self, rows: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(rows, self.starts, axis=0)
+
+    def slopes(self, s: int) -> tuple[np.ndarray, ...]:
+        """Derivatives of the log density by e and the two log-variances; the Mills ratio and shared factors."""
+        s2 = self.s2u + self.s2v
+        pu, pv, k = self.s2u / s2, self.s2v / s2, np.sqrt(self.s2u / (self.s2v * s2))
+        ka, kb, m = 0.5 * pv, -0.5 * (1 + pv), mills(self.w)
+        half = 0.5 * self.e * self.e / s2 - 0.5
+        return -self.e / s2 - s * k * m, half * pu + m * self.w * ka, half * pv + m * self.w * kb, m, s2, pu, pv, k, ka, kb
+
+    def effects(self, model: Frontier) -> dict[str, np.ndarray | float]:
+        """By how much e moves with each block's linear term."""
+        out: dict[str, np.ndarray | float] = {"x": -1.0}
+        if self.move0 is not None:
+            out["zvi0"] = -0.5 * self.move0
+        if self.move1 is not None:
+            out["zui0"] = 0.5 * model.s * self.move1
+        return out
 
 
-def firm_scores(block: dict[str, np.ndarray], theta: np.ndarray, model: Frontier) -> tuple[np.ndarray, np.ndarray]:
+def firm_scores(block: Block, theta: np.ndarray, model: Frontier, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood and score of each firm of a block."""
-    starts, s = block["starts"], model.s
-    sizes = np.diff(np.append(starts, len(block["y"])))
-    e, s2u, s2v, move0, move1 = _residuals(block, model.split(theta), model)
-    s2 = s2u + s2v
-    sigma, lam = np.sqrt(s2), np.sqrt(s2u / s2v)
-    a = -s * e * lam / sigma
-    log_f = math.log(2) - np.log(sigma) - 0.5 * math.log(2 * math.pi) - 0.5 * e * e / s2 + log_ndtr(a)
-    paths = np.add.reduceat(log_f, starts, axis=0)
-    top = paths.max(axis=1, keepdims=True)
-    weights = np.exp(paths - top)
-    total = weights.sum(axis=1, keepdims=True)
-    loglik = (top + np.log(total))[:, 0] - math.log(model.draws)
-    q = np.repeat(weights / total, sizes, axis=0)
-    m = mills(a)
-    by_fit = e / s2 + s * m * lam / sigma
-    by_sigma, by_lambda = (e * e / s2 - m * a - 1) / sigma, -s * m * e / sigma
-    rows = {
-        "x": (q * by_fit).sum(axis=1),
-        "zuit": (q * (0.5 * lam * by_lambda + 0.5 * s2u / sigma * by_sigma)).sum(axis=1),
-        "zvit": (q * (-0.5 * lam * by_lambda + 0.5 * s2v / sigma * by_sigma)).sum(axis=1),
-        "zvi0": (q * by_fit * 0.5 * move0).sum(axis=1),
-    }
-    if model.persistent:
-        rows["zui0"] = (q * by_fit * (-0.5 * s) * move1).sum(axis=1)
-    score = np.hstack([block[b] * r[:, None] for b, r in rows.items()])
-    return loglik, np.add.reduceat(score, starts, axis=0)
+    p = Paths(block, theta, model, {} if kept is None else kept)
+    fe, fa, fb = p.slopes(model.s)[:3]
+    rows = {b: (p.q * fe * move).sum(axis=1) for b, move in p.effects(model).items()}
+    rows |= {"zuit": (p.q * fa).sum(axis=1), "zvit": (p.q * fb).sum(axis=1)}
+    return p.loglik, p.by_firm(np.hstack([block[b] * rows[b][:, None] for b in model.blocks()]))
+
+
+def firm_curvature(block: Block, theta: np.ndarray, model: Frontier, kept: dict | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood and score of each firm, and the sum of the firms' Hessians, times their weight if given.
+
+    A firm's Hessian is the mean over its draws of each path's Hessian and of its score's outer product, less that of the mean score.
+    """
+    p = Paths(block, theta, model, {} if kept is None else kept)
+    s, w, e = model.s, p.w, p.e
+    fe, fa, fb, m, s2, pu, pv, k, ka, kb = p.slopes(s)
+    weight = np.ones(len(p.starts)) if weight is None else weight
+    q = p.q * p.spread(weight[:, None])
+    bend = -m * (w + m)
+    mixed, square, cross = m + bend * w, e * e / s2, pu * pv
+    second = {
+        ("e", "e"): -1 / s2 + bend * k * k, ("e", "zuit"): e * pu / s2 - s * k * ka * mixed, ("e", "zvit"): e * pv / s2 - s * k * kb * mixed,
+        ("zuit", "zuit"): -0.5 * cross + 0.5 * square * (cross - pu * pu) + w * (ka * ka * mixed - 0.5 * m * cross),
+        ("zuit", "zvit"): 0.5 * cross - square * cross + w * (ka * kb * mixed + 0.5 * m * cross),
+        ("zvit", "zvit"): -0.5 * cross + 0.5 * square * (cross - pv * pv) + w * (kb * kb * mixed - 0.5 * m * cross),
+    }
+    moves, blocks = p.effects(model), list(model.blocks())
+    place = np.concatenate([[0], np.cumsum([block[b].shape[1] for b in blocks])])
+    hessian = np.zeros((place[-1], place[-1]))
+    for i, a in enumerate(blocks):
+        for j, b in enumerate(blocks[: i + 1]):
+            inner = {True: "e"}.get(a in moves, a), {True: "e"}.get(b in moves, b)
+            curve = second.get(inner, second.get(inner[::-1])) * moves.get(a, 1.0) * moves.get(b, 1.0)
+            if a == b and a != "x" and a in moves:
+                curve = curve + 0.5 * fe * moves[a]
+            part = block[a].T @ (block[b] * (q * curve).sum(axis=1)[:, None])
+            hessian[place[i] : place[i + 1], place[j] : place[j + 1]] = part
+            hessian[place[j] : place[j + 1], place[i] : place[i + 1]] = part.T
+    # Scores of every firm and draw, one parameter at a time.
+    slope = {b: fe * move for b, move in moves.items()} | {"zuit": fa, "zvit": fb}
+    paths = np.stack([p.by_firm(slope[b] * block[b][:, [c]]) * np.ones((1, p.by_draw.shape[1])) for b in blocks for c in range(block[b].shape[1])])
+    score = np.einsum("pir,ir->ip", paths, p.by_draw)
+    flat = (paths * np.sqrt(p.by_draw * weight[:, None])).reshape(len(paths), -1)
+    return p.loglik, score, hessian + flat @ flat.T - (score * weight[:, None]).T @ score
 
 
 @dataclass
@@ -169,26 +298,34 @@ class Sums:
     loglik: float
     gradient: np.ndarray
     outer: np.ndarray
+    #: With curved: the Hessian, and for a mixture that of the classes' own likelihoods at the present posteriors.
+    hessian: np.ndarray | None = None
+    complete: np.ndarray | None = None
 
 
-def evaluate(rows: DataFrame, thetas: Sequence[np.ndarray], model: Frontier) -> list[Sums]:
-    """Log-likelihood, gradient and the firms' summed outer products of scores, for each parameter vector; one job."""
+def evaluate(rows: DataFrame, thetas: Sequence[np.ndarray], model: Frontier, curved: bool = False) -> list[Sums]:
+    """Log-likelihood, gradient and the firms' summed outer products of scores, and Hessians, for each parameter vector; one job."""
     p = len(model.terms())
-    width = 1 + p + p * p
+    width = 1 + p + p * p * (3 if curved else 1)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(thetas), width))
         for block in _firm_blocks(batches, model):
+            kept: dict = {}
             for k, theta in enumerate(thetas):
-                loglik, score = firm_scores(block, theta, model)
-                sums[k] += np.concatenate([[loglik.sum()], score.sum(axis=0), (score.T @ score).ravel()])
+                loglik, score, *hessians = model.curvature(block, theta, kept) if curved else model.scores(block, theta, kept)
+                sums[k] += np.concatenate([[loglik.sum()], score.sum(axis=0), (score.T @ score).ravel(), *(h.ravel() for h in hessians)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int64)), pa.array(sums.ravel())], names=["at", "value"])
 
     found = rows.mapInArrow(kernel, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     flat = np.zeros(len(thetas) * width)
     for r in found:
         flat[r["at"]] = r["value"]
-    return [Sums(float(f[0]), f[1 : 1 + p], f[1 + p :].reshape(p, p)) for f in flat.reshape(-1, width)]
+    out = []
+    for f in flat.reshape(-1, width):
+        squares = f[1 + p :].reshape(-1, p, p)
+        out.append(Sums(float(f[0]), f[1 : 1 + p], squares[0], *((h + h.T) / 2 for h in squares[1:])))
+    return out
 
 
 def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
@@ -199,13 +336,18 @@ def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
     for k in range(len(model.x)):
         fitted = fitted + float(b[k + 1]) * F.col(f"x{k}")
     residuals = flat.select("rank", (F.col("y") - fitted).alias("r"))
-    means = residuals.groupBy("rank").agg(F.avg("r").alias("r"), F.count("*").alias("t"))
-    transient = moment_split(residuals.join(means.select("rank", F.col("r").alias("m")), "rank").select((F.col("r") - F.col("m")).alias("r")), "r", model.s).first()
-    persistent = moment_split(means, "r", model.s).first()
     # The search moves along logs of variances; these floors keep its first point away from their edge.
     floor = lambda v: math.log(max(0.8 * v, 0.0025))
     part = {name: np.zeros(len(cols) + 1) for name, cols in model.blocks().items()}
     part["x"][:] = b
+    if model.effect == "none":
+        found = moment_split(residuals, "r", model.s).first()
+        part["zuit"][0], part["zvit"][0] = floor(found["sigma2_u"]), floor(found["sigma2_v"])
+        part["x"][0] += model.s * ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
+        return np.concatenate(list(part.values()))
+    means = residuals.groupBy("rank").agg(F.avg("r").alias("r"), F.count("*").alias("t"))
+    transient = moment_split(residuals.join(means.select("rank", F.col("r").alias("m")), "rank").select((F.col("r") - F.col("m")).alias("r")), "r", model.s).first()
+    persistent = moment_split(means, "r", model.s).first()
     part["zuit"][0], part["zvit"][0] = floor(transient["sigma2_u"]), floor(transient["sigma2_v"])
     part["zvi0"][0] = floor(persistent["sigma2_v"] if model.persistent else persistent["m2"])
     mean_u = ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
@@ -247,71 +389,78 @@ class Fit:
     def bic(self) -> float:
         return math.log(self.n_obs) * len(self.theta) - 2 * self.loglik
 
-    def table(self, spark: SparkSession, clustered: bool = True) -> DataFrame:
-        """term, estimate, std_error, z and p_value of each parameter."""
-        se = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0))
-        z = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 1e-9)
-        p = 2 * ndtr(-np.abs(z))
-        return spark.createDataFrame([(t, *map(float, r)) for t, *r in zip(self.terms, self.theta, se, z, p)], "term string, estimate double, std_error double, z double, p_value double")
+    def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95) -> DataFrame:
+        """term, estimate, std_error, t, p_value, and the ends of the interval, of each parameter; n_obs - k degrees of freedom."""
+        se, df = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - len(self.theta))
+        t = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 1e-9)
+        p = [2 * t_sf(abs(x), df) if np.isfinite(x) else math.nan for x in t]
+        half = t_quantile((1 + level) / 2, df) * se
+        columns = "term string, estimate double, std_error double, t double, p_value double, low double, high double"
+        return spark.createDataFrame([(n, *map(float, r)) for n, *r in zip(self.terms, self.theta, se, t, p, self.theta - half, self.theta + half)], columns)
 
 
-def _curvature(rows: DataFrame, theta: np.ndarray, model: Frontier) -> tuple[Sums, np.ndarray]:
-    """Sums at theta and the Hessian from central differences of the analytic gradient, in one job."""
-    step = 1e-5 * np.maximum(1.0, np.abs(theta))
-    shifts = np.diag(step)
-    found = evaluate(rows, [theta, *(theta + d for d in shifts), *(theta - d for d in shifts)], model)
-    p = len(theta)
-    h = np.array([(found[1 + k].gradient - found[1 + p + k].gradient) / (2 * step[k]) for k in range(p)])
-    return found[0], (h + h.T) / 2
+def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_firms: int, most_steps: int = 60, tolerance: float = 1e-4, em: bool = False) -> Fit:
+    """Damped Newton steps from theta on rows that are prepared and kept.
+
+    Where minus the Hessian isn't positive definite, that of the classes' own likelihoods takes its place (an EM step, which em
+    asks for throughout), or the scores' outer products. The whole step is tried first, shorter ones in one job if it fails.
+    converged: the gradient's norm is under tolerance.
+    """
+    lengths = 0.5 ** np.arange(1, 13)
+    definite = lambda h: bool(np.isfinite(h).all() and np.linalg.eigvalsh(h).min() > 1e-8)
+    (here,) = evaluate(rows, [theta], model, curved=True)
+    for steps in range(most_steps + 1):
+        converged = bool(np.linalg.norm(here.gradient) < tolerance)
+        if converged or steps == most_steps:
+            break
+        bends = [-here.complete] if em else [-here.hessian, -here.complete]
+        bend = next((h for h in bends if definite(h)), here.outer + 1e-6 * np.eye(len(theta)))
+        step = np.linalg.solve(bend, here.gradient)
+        step *= min(1.0, 2.0 / np.abs(step).max())
+        (there,) = evaluate(rows, [theta + step], model, curved=True)
+        if not there.loglik > here.loglik:
+            tried = [t.loglik for t in evaluate(rows, [theta + length * step for length in lengths], model)]
+            best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
+            if not tried[best] > here.loglik:
+                break
+            step = lengths[best] * step
+            (there,) = evaluate(rows, [theta + step], model, curved=True)
+        theta, here = theta + step, there
+    return Fit(model, theta, here.loglik, here.gradient, here.hessian, here.outer, n_obs, n_firms, converged, steps, model.terms())
 
 
-def fit(panel: DataFrame, model: Frontier, start: np.ndarray | None = None, most_steps: int = 50, tolerance: float = 1e-4) -> Fit:
-    """Maximum of the simulated likelihood of panel(id, time, ...) by damped Newton steps.
+def fit(panel: DataFrame, model: Frontier, start: np.ndarray | None = None, most_steps: int = 60, tolerance: float = 1e-4) -> Fit:
+    """Maximum of the likelihood of panel(id, time, ...), or of rows without a firm effect; see maximise.
 
-    Where minus the Hessian isn't positive definite, the scores' outer products take its place. A step's lengths are tried in
-    one job. converged: the gradient's norm is under tolerance. Rows with a null, NaN or infinite value in a column of the
-    model are left out; none left is an error.
+    Rows with a null, NaN or infinite value in a column of the model are left out; none left is an error, and so is a
+    determinant of a firm effect that varies within a firm.
     """
     rows = prepared(panel, model).persist()
     try:
         n_obs, n_firms = rows.agg(F.count("*"), F.count_distinct("rank")).first()
         if not n_obs:
             raise ValueError("no complete rows")
+        check_time_invariant(complete_cases(panel, model.columns()), model.firm_columns())
         theta = start_values(rows, model) if start is None else np.asarray(start, float)
         if len(theta) != len(model.terms()):
             raise ValueError(f"start must have {len(model.terms())} values")
-        lengths = 0.5 ** np.arange(8)
-        for steps in range(most_steps + 1):
-            here, hessian = _curvature(rows, theta, model)
-            converged = bool(np.linalg.norm(here.gradient) < tolerance)
-            if converged or steps == most_steps:
-                break
-            definite = np.isfinite(hessian).all() and np.linalg.eigvalsh(-hessian).min() > 1e-8
-            bend = -hessian if definite else here.outer + 1e-6 * np.eye(len(theta))
-            step = np.linalg.solve(bend, here.gradient)
-            step *= min(1.0, 2.0 / np.abs(step).max())
-            tried = [t.loglik for t in evaluate(rows, [theta + length * step for length in lengths], model)]
-            best = int(np.nanargmax(np.where(np.isfinite(tried), tried, -np.inf)))
-            if not tried[best] > here.loglik:
-                break
-            theta = theta + lengths[best] * step
-        return Fit(model, theta, here.loglik, here.gradient, hessian, here.outer, n_obs, n_firms, converged, steps, model.terms())
+        return maximise(rows, model, theta, n_obs, n_obs if model.effect == "none" else n_firms, most_steps, tolerance)
     finally:
         rows.unpersist()
 
 
 def efficiencies(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFrame:
-    """id, time, inefficiency E[u_it | e] and efficiency E[exp(-u_it) | e], averaged over the firm's draws."""
+    """id, time, inefficiency E[u_it | e] and efficiency E[exp(-u_it) | e], averaged over the firm's draws by their weight."""
     rows = prepared(panel, model)
     kinds = dict(rows.dtypes)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _firm_blocks(batches, model):
-            e, s2u, s2v, _, _ = _residuals(block, model.split(theta), model)
-            mu, sd = -model.s * e * s2u / (s2u + s2v), np.sqrt(s2u * s2v / (s2u + s2v))
+            p = Paths(block, theta, model, {})
+            mu, sd = -model.s * p.e * p.s2u / (p.s2u + p.s2v), np.sqrt(p.s2u * p.s2v / (p.s2u + p.s2v))
             m = mu / sd
-            u = (mu + sd * mills(m)).mean(axis=1)
-            eff = np.exp(-mu + 0.5 * sd * sd + log_ndtr(m - sd) - log_ndtr(m)).mean(axis=1)
+            u = (p.q * (mu + sd * mills(m))).sum(axis=1)
+            eff = (p.q * np.exp(-mu + 0.5 * sd * sd + log_ndtr(m - sd) - log_ndtr(m))).sum(axis=1)
             columns = [block["id"].combine_chunks(), block["time"].combine_chunks(), pa.array(u), pa.array(eff)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "time", "inefficiency", "efficiency"])
 
