@@ -121,12 +121,15 @@ def start_values(rows: DataFrame, model: Mixture) -> np.ndarray:
     """Of panels: k-means on the firms' mean, variance and skewness of least-squares residuals, then start values in each cluster.
 
     A cluster too small for that takes all firms' values, its slopes moved by 0.05 for each class from the middle. Of rows without
-    a firm effect: all rows' values with slopes stretched by a tenth for each class from the middle.
+    a firm effect: all rows' values with slopes stretched by a tenth for each class from the middle, about the mean of x.
     """
     whole, n = FR.start_values(rows, model.frontier), model.classes
     middle, slopes = np.arange(n) - (n - 1) / 2, len(model.frontier.x) + 1
     if model.effect == "none":
-        return _by_share(np.concatenate([np.concatenate([whole[:slopes] * (1 + 0.1 * m), whole[slopes:]]) for m in middle]), model, [1 / n] * n)
+        mean = np.array([1.0, *rows.agg(*[F.avg(F.col("x")[k]) for k in range(1, slopes)]).first()]) if slopes > 1 else np.ones(1)
+        moved = np.outer(1 + 0.1 * middle, whole[:slopes])
+        moved[:, 0] = whole[0] - (moved[:, 1:] - whole[1:slopes]) @ mean[1:]
+        return _by_share(np.concatenate([np.concatenate([m, whole[slopes:]]) for m in moved]), model, [1 / n] * n)
     xs = [f"x{k}" for k in range(len(model.frontier.x))]
     flat = rows.select("rank", "y", *[F.col("x")[k + 1].alias(x) for k, x in enumerate(xs)])
     b = ols(flat, "y", xs)

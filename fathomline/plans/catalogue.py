@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.normal import norm_cdf_sql, radical_inverse
 from fathomline.operators import density as D
+from fathomline.operators import colombi, formula, inference, mixture
 from fathomline.operators import frontier as FR
 from fathomline.operators import panel as P
 from fathomline.operators import regression as R
@@ -72,7 +73,7 @@ def v2() -> Column:
 
 @query("panel_build_sy", f"{SY} SELECT id, time::BIGINT AS time, {r('y')} AS y, {r('x1')} AS x1, {r('x2')} AS x2, {r('z1')} AS z1, {r('w1')} AS w1 FROM sy")
 def _(spark, sf_dir):
-    return rounded(supplier_year(spark, sf_dir))
+    return rounded(supplier_year(spark, sf_dir, sizes=True))
 
 
 @query("panel_build_cy", f"{CY} SELECT id, time::BIGINT AS time, {r('y')} AS y, {r('x1')} AS x1 FROM cy")
@@ -408,12 +409,14 @@ def _(spark, sf_dir):
     return df.select("id", F.col("time").cast("long").alias("time")).join(firm, "id")
 
 
-@query("overall_efficiency_join", f"""{SYE}, t AS (SELECT id, time, {BC_SQL} AS transient FROM e), p AS (SELECT id, time, exp(-abs(avg(e) OVER (PARTITION BY id))) AS persistent FROM e WHERE time < 2001)
+@query("overall_efficiency_join", f"""{SYE}, t AS (SELECT id, time, {BC_SQL} AS transient FROM e), m AS (SELECT id, time, avg(e) OVER (PARTITION BY id) AS e FROM e WHERE time < 2001), p AS (SELECT id, time, {BC_SQL} AS persistent FROM m)
 SELECT id, t.time::BIGINT AS time, {r('transient')} AS transient, {r('persistent')} AS persistent, {r('transient * persistent')} AS overall FROM t LEFT JOIN p USING (id, time)""")
 def _(spark, sf_dir):
+    """The persistent part in two steps: the firms' mean residuals are composed errors of their own."""
     e = sy_e(spark, sf_dir)
     transient = e.select("id", "time", D.battese_coelli(F.col("e"), u2(), v2()).alias("transient"))
-    persistent = e.filter("time < 2001").select("id", "time", F.exp(-F.abs(F.avg("e").over(Window.partitionBy("id")))).alias("persistent"))
+    means = e.filter("time < 2001").select("id", "time", F.avg("e").over(Window.partitionBy("id")).alias("e"))
+    persistent = means.select("id", "time", D.battese_coelli(F.col("e"), u2(), v2()).alias("persistent"))
     return rounded(transient.join(persistent, ["id", "time"], "left").withColumn("overall", F.col("transient") * F.col("persistent")))
 
 
@@ -489,7 +492,7 @@ def estimate_metrics(df: DataFrame, keys: list[str], estimate: Column, truth: Co
 SELECT id, time::BIGINT AS time, a <= 1e-8 AND a * d - b * b >= -1e-8 AND a * (d * c - e * e) - b * (b * c - e * f) + f * (b * e - d * f) <= 1e-8 AS concave FROM h""")
 def _(spark, sf_dir):
     x1, x2, z1, w1 = map(F.col, ("x1", "x2", "z1", "w1"))
-    return supplier_year(spark, sf_dir).select("id", F.col("time").cast("long").alias("time"), concave(-0.3 + x2 * 0.01, 0.05 * x1, 0.02 * x2, -0.4 + w1, 0.1 * z1, -0.2 - z1).alias("concave"))
+    return supplier_year(spark, sf_dir, sizes=True).select("id", F.col("time").cast("long").alias("time"), concave(-0.3 + x2 * 0.01, 0.05 * x1, 0.02 * x2, -0.4 + w1, 0.1 * z1, -0.2 - z1).alias("concave"))
 
 
 def concave(h11: Column, h12: Column, h13: Column, h22: Column, h23: Column, h33: Column, tolerance: float = 1e-8) -> Column:
@@ -501,7 +504,7 @@ def concave(h11: Column, h12: Column, h13: Column, h22: Column, h23: Column, h33
 
 @query("summary_unpivot", f"{SY}, s AS (SELECT avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2 FROM sy) SELECT term, {r('value')} AS value FROM s UNPIVOT (value FOR term IN (y, x1, x2))")
 def _(spark, sf_dir):
-    means = supplier_year(spark, sf_dir).agg(*[F.avg(c).alias(c) for c in ("y", "x1", "x2")])
+    means = supplier_year(spark, sf_dir, sizes=True).agg(*[F.avg(c).alias(c) for c in ("y", "x1", "x2")])
     return rounded(means.unpivot([], ["y", "x1", "x2"], "term", "value"))
 
 
@@ -526,13 +529,114 @@ TRE = FR.Frontier("y", ["x1"])
 GTRE = FR.Frontier("y", ["x1"], persistent=True)
 
 
+def table(found: FR.Fit, spark: SparkSession) -> DataFrame:
+    return found.table(spark).withColumn("loglik", F.lit(found.loglik)).withColumn("converged", F.lit(found.converged))
+
+
 @query("fit_tre", None)
 def _(spark, sf_dir):
-    """term, estimate, std_error (clustered by firm), z and p_value."""
-    return FR.fit(supplier_year(spark, sf_dir), TRE).table(spark)
+    """term, estimate, std_error (clustered by firm), t, p_value and interval, and whether the fit converged."""
+    return table(FR.fit(supplier_year(spark, sf_dir), TRE), spark)
 
 
 @query("gtre_scores", None)
 def _(spark, sf_dir):
     """Inefficiency and efficiency of each supplier and year at fixed four-component parameters."""
     return FR.efficiencies(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, GV, GU]), GTRE)
+
+
+#: A firm's likelihood in SQL as a dense sum over its effect v, and in the operators by adaptive quadrature.
+QUADRATURE = FR.Frontier("y", ["x1"], effect="quadrature")
+LOG_S2V0 = 2 * math.log(SV0)
+LC_PANEL = mixture.Mixture(QUADRATURE, 2)
+LC_THETA = np.array([ALPHA[0], B0, B1, GU, GV, LOG_S2V0, *SECOND, LOG_S2V0])
+CROSS = FR.Frontier("y", ["x1"], zuit=["z1"], effect="none")
+LC_CROSS = mixture.Mixture(FR.Frontier("y", ["x1"], effect="none"), 2, ["w1"])
+
+
+def _dense_sql(e: str, density: str, name: str) -> str:
+    """(id, l): log-likelihood of each firm, over 801 values of v."""
+    return f"""{name}v AS (SELECT id, i * 0.02 AS v, {e} - {SV0!r} * i * 0.02 AS {e} FROM e, range(-400, 401) g(i)), {name}p AS (SELECT id, v, sum({density}) - 0.5 * v * v AS l FROM {name}v GROUP BY id, v),
+{name} AS (SELECT id, max(l) + ln(sum(exp(l - m))) + ln(0.02) - 0.5 * ln(2 * pi()) AS l FROM (SELECT *, max(l) OVER (PARTITION BY id) AS m FROM {name}p) GROUP BY id)"""
+
+
+LC_PANEL_SQL = f"""{SY}, e AS (SELECT *, {E_SQL} AS e, y - {SECOND[0]} - {SECOND[1]} * x1 AS e1 FROM sy), {_dense_sql('e', HN_SQL, 'a')}, {_dense_sql('e1', HN1_SQL, 'b')},
+j AS (SELECT id, a.l + ln(1 / (1 + exp(-({ALPHA[0]})))) AS j0, b.l + ln(1 - 1 / (1 + exp(-({ALPHA[0]})))) AS j1 FROM a JOIN b USING (id))"""
+
+
+@query("tre_quadrature_loglik", f"{SYE}, {_dense_sql('e', HN_SQL, 'a')} SELECT {r('sum(l)', 3)} AS loglik FROM a")
+def _(spark, sf_dir):
+    """Log-likelihood of a true-random-effects panel by adaptive Gauss-Hermite quadrature, at fixed parameters."""
+    rows = FR.prepared(supplier_year(spark, sf_dir), QUADRATURE)
+    found = FR.evaluate(rows, [np.array([B0, B1, GU, GV, LOG_S2V0])], QUADRATURE)[0]
+    return spark.createDataFrame([(round(found.loglik, 3),)], "loglik double")
+
+
+@query("lc_panel_loglik", f"{LC_PANEL_SQL} SELECT {r('sum(greatest(j0, j1) + ln(exp(j0 - greatest(j0, j1)) + exp(j1 - greatest(j0, j1))))', 3)} AS loglik FROM j")
+def _(spark, sf_dir):
+    """Log-likelihood of a panel with two latent classes of firms, at fixed parameters."""
+    rows = FR.prepared(supplier_year(spark, sf_dir), LC_PANEL)
+    return spark.createDataFrame([(round(FR.evaluate(rows, [LC_THETA], LC_PANEL)[0].loglik, 3),)], "loglik double")
+
+
+@query("lc_panel_posterior", f"{LC_PANEL_SQL} SELECT id, time::BIGINT AS time, {r('1 / (1 + exp(j1 - j0))', 5)} AS tau0, {r('1 / (1 + exp(j0 - j1))', 5)} AS tau1 FROM j JOIN sy USING (id)")
+def _(spark, sf_dir):
+    """Posterior class of each firm, by its whole series."""
+    found = mixture.posteriors(supplier_year(spark, sf_dir), LC_THETA, LC_PANEL)
+    tau = [F.sum(F.when(F.col("class") == c, F.col("posterior")).otherwise(0.0)).alias(f"tau{c - 1}") for c in (1, 2)]
+    return rounded(found.groupBy("id", "time").agg(*tau), 5)
+
+
+@query("design_matrix", f"""{SY} SELECT id, time::BIGINT AS time, {r('y')} AS y, 1.0::DOUBLE AS _cons, {r('x1')} AS x1, {r('z1')} AS z1, {r('x1 * z1')} AS x1_z1, {r('ln(w1 + 1)')} AS log_w1,
+CASE WHEN time = 1996 THEN 1.0 ELSE 0.0 END::DOUBLE AS time_1996, {r('CASE WHEN time = 1996 THEN x1 ELSE 0.0 END')} AS time_1996_x1 FROM sy""")
+def _(spark, sf_dir):
+    """Columns of y ~ x1 * z1 + log(w1 + 1) + C(time) + C(time):x1, some of them."""
+    made = formula.design(supplier_year(spark, sf_dir), "y ~ x1 * z1 + log(w1 + 1) + C(time) + C(time):x1", ["id", "time"])
+    picked = {"x1:z1": "x1_z1", "log(w1 + 1)": "log_w1", "time[1996]": "time_1996", "time[1996]:x1": "time_1996_x1"}
+    return rounded(made.select("id", "time", "y", "_cons", "x1", "z1", *[F.col(f"`{a}`").alias(b) for a, b in picked.items()]))
+
+
+_CHI_SQL = {1: "2 * (1 - (" + norm_cdf_sql("sqrt(d1)") + "))", 3: "2 * (1 - (" + norm_cdf_sql("sqrt(d3)") + ")) + sqrt(2 * d3 / pi()) * exp(-d3 / 2)"}
+
+
+@query("lr_tests", f"""{SY}, d AS (SELECT time, -count(*) * ln(1 - corr(y, z1) ^ 2) AS d1, -count(*) * (ln(1 - corr(y, z1) ^ 2) + ln(1 - corr(y, w1) ^ 2) + ln(1 - corr(z1, w1) ^ 2)) AS d3 FROM sy GROUP BY time)
+SELECT time::BIGINT AS time, {r('d1', 5)} AS d1, {r(_CHI_SQL[1], 5)} AS p1, {r('d3', 5)} AS d3, {r(_CHI_SQL[3], 5)} AS p3 FROM d""")
+def _(spark, sf_dir):
+    """Likelihood-ratio tests by year that revenue, discount and tax are uncorrelated: the first pair alone, and all three in turn; a row a year."""
+    fall = lambda a, b: -F.count("*") / 2 * F.log(1 - F.pow(F.corr(a, b), 2.0))
+    by_year = supplier_year(spark, sf_dir).groupBy("time").agg(fall("y", "z1").alias("a"), (fall("y", "z1") + fall("y", "w1") + fall("z1", "w1")).alias("b"))
+    out = []
+    for row in by_year.collect():
+        (d1, _, p1), (d3, _, p3) = inference.likelihood_ratio((0.0, 2), (row["a"], 3)), inference.likelihood_ratio((row["b"], 5), (0.0, 2))
+        out.append((int(row["time"]), d1, p1, d3, p3))
+    return rounded(spark.createDataFrame(out, "time long, d1 double, p1 double, d3 double, p3 double"), 5)
+
+
+@query("fit_cross", None)
+def _(spark, sf_dir):
+    """A cross-section frontier over all rows, with a determinant of inefficiency."""
+    return table(FR.fit(supplier_year(spark, sf_dir), CROSS), spark)
+
+
+@query("fit_lc_cross", None)
+def _(spark, sf_dir):
+    """Two latent classes of rows."""
+    return table(mixture.fit(supplier_year(spark, sf_dir), LC_CROSS, most_steps=40), spark)
+
+
+@query("fit_lctre", None)
+def _(spark, sf_dir):
+    """Two latent classes of firms with random effects, by adaptive quadrature."""
+    return table(mixture.fit(supplier_year(spark, sf_dir), LC_PANEL, most_steps=40), spark)
+
+
+@query("efficiency_colombi", None)
+def _(spark, sf_dir):
+    """Persistent, transient and overall efficiency of each supplier and year at fixed four-component parameters."""
+    return colombi.efficiencies(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, GV, GU]), GTRE)
+
+
+@query("search_starts", None)
+def _(spark, sf_dir):
+    """Log-likelihoods of twenty start values of a cross-section frontier."""
+    return inference.search(supplier_year(spark, sf_dir), CROSS, starts=20, fits=1)[1]

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from fathomline.sources.readers import read_table
 
 
-def supplier_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, time, y, x1, x2, z1, w1: revenue, quantity, part size, discount and tax of each supplier and year."""
-    sold = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    sold = sold.join(read_table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return sold.groupBy(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("time")).agg(
-        F.log(F.sum("l_extendedprice")).alias("y"), F.log(F.sum("l_quantity")).alias("x1"), F.log(F.avg("p_size")).alias("x2"), F.avg("l_discount").alias("z1"), F.avg("l_tax").alias("w1")
-    )
+def supplier_year(spark: SparkSession, sf_dir: str, sizes: bool = False) -> DataFrame:
+    """id, time, y, x1, z1, w1: revenue, quantity, discount and tax of each supplier and year; sizes: also x2, the parts' mean size.
+
+    Only x2 needs the parts; they meet the sums of supplier, year and part, not the single lines.
+    """
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("time"), "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    y, x1, z1, w1 = F.log(F.sum("l_extendedprice")).alias("y"), F.log(F.sum("l_quantity")).alias("x1"), F.avg("l_discount").alias("z1"), F.avg("l_tax").alias("w1")
+    panel = lines.groupBy("id", "time").agg(y, x1, z1, w1)
+    if not sizes:
+        return panel
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    sold = lines.groupBy("id", "time", "l_partkey").agg(F.count("*").alias("n")).join(parts, "l_partkey")
+    means = sold.groupBy("id", "time").agg(F.log(F.sum(F.col("n") * F.col("p_size")) / F.sum("n")).alias("x2"))
+    return panel.join(means, ["id", "time"]).select("id", "time", "y", "x1", "x2", "z1", "w1")
 
 
 def customer_year(spark: SparkSession, sf_dir: str) -> DataFrame:
