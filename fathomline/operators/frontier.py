@@ -97,17 +97,20 @@ class Frontier:
 def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
     """Complete cases of panel(id, time, ...) with the model's blocks as arrays, dealt by firm; rank numbers the firms.
 
-    Without a firm effect every row is a firm of its own, and the rows stay where they are.
+    Without a firm effect every row is a firm of its own. The number of partitions is stated, as the work is in the likelihood,
+    not in the rows' size, by which they would be coalesced to a few.
     """
+    spark = panel.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = lambda c: F.col(c).cast("double")
     blocks = [F.array(F.lit(1.0), *map(number, cols)).alias(b) for b, cols in model.blocks().items()]
     rows = complete_cases(panel, model.columns())
     if model.effect == "none":
         for c in ("id", "time"):
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("long"))
-        return rows.select(F.lit(0).cast("long").alias("rank"), "id", "time", number(model.y).alias("y"), *blocks)
+        return rows.select(F.lit(0).cast("long").alias("rank"), "id", "time", number(model.y).alias("y"), *blocks).repartition(parts)
     rows = factorize(rows, "id", "rank")
-    return rows.select("rank", "id", "time", number(model.y).alias("y"), *blocks).repartition("rank").sortWithinPartitions("rank", "time")
+    return rows.select("rank", "id", "time", number(model.y).alias("y"), *blocks).repartition(parts, "rank").sortWithinPartitions("rank", "time")
 
 
 def halton(index: np.ndarray, base: int, digits: np.ndarray | None = None) -> np.ndarray:
