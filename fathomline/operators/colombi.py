@@ -86,6 +86,8 @@ def efficiencies(panel: DataFrame, theta: np.ndarray, model: FR.Frontier, draws:
     Without a persistent inefficiency in the model its variance is next to zero, and the persistent efficiency next to 1. Rows
     that the model leaves out have no row here; join on (id, time).
     """
+    if model.distribution != "half" or model.effect in ("fixed", "none"):
+        raise ValueError("the efficiencies are of half-normal models with a random effect")
     rows = FR.prepared(panel, model)
     kinds = dict(rows.dtypes)
 

@@ -80,6 +80,16 @@ def softmax(scores: list[Column]) -> list[Column]:
     return [p / total for p in parts]
 
 
+def transitions(scores: list[list[Column]]) -> list[list[Column]]:
+    """Probabilities of moving from each class to each: a softmax of the class's scores, with 0 for staying.
+
+    scores[i] are those of the other classes in order, so one fewer than there are classes.
+    """
+    if any(len(s) != len(scores) - 1 for s in scores):
+        raise ValueError("each class needs a score for every other")
+    return [softmax([*s[:i], F.lit(0.0), *s[i:]]) for i, s in enumerate(scores)]
+
+
 def log_add(terms: list[Column]) -> Column:
     top = F.greatest(*terms) if len(terms) > 1 else terms[0]
     total = F.exp(terms[0] - top)

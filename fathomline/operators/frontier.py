@@ -1,7 +1,8 @@
 """Frontiers by maximum likelihood: cross-sections, and panels with random firm effects by draws or by quadrature.
 
-y_it = x_it'b + v_i0 + v_it - s (u_it [+ u_i0]); u half-normal, v normal, log-variances linear in determinants. The panel is
-dealt by firm once and kept. An evaluation is one job for any number of parameter vectors: each task works through the firms of
+y_it = x_it'b + v_i0 + v_it - s (u_it [+ u_i0]); u half-normal or truncated normal, v normal, log-variances and the mean before
+truncation linear in determinants. v_i0 is random, absent, or fixed for each firm and then concentrated out of the likelihood:
+each firm's is found where the firm's rows lie, so no column is made for a firm. The panel is dealt by firm once and kept. An evaluation is one job for any number of parameter vectors: each task works through the firms of
 its partition in blocks and emits sums, which are added before and after a shuffle of a few hundred numbers. The steps of the
 search are small dense algebra on the driver.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.special import log_ndtr, mills, ndtri, t_quantile, t_sf
-from fathomline.operators.panel import check_time_invariant, complete_cases, factorize
+from fathomline.operators.panel import check_time_invariant, complete_cases, factorize, within
 from fathomline.operators.regression import moment_split, ols
 
 #: Cells (rows times draws) that a task holds at a time; one firm's rows stay together.
@@ -44,16 +45,22 @@ class Frontier:
     draws: int = 500
     burn_in: int = 1000
     bases: tuple[int, int] = (2, 3)
-    #: How v_i0 is integrated out: "halton" draws, "quadrature" with adaptive Gauss-Hermite nodes, or "none" without it.
+    #: What becomes of v_i0: integrated out by "halton" draws, or by "quadrature" with adaptive Gauss-Hermite nodes; "fixed", a
+    #: parameter of each firm in place of the intercept; or "none" without it.
     effect: str = "halton"
     nodes: int = 15
     #: Digits of the draws permuted at random by the seed; without, the plain sequence.
     scrambled: bool = False
     seed: int = 1
+    #: Law of u_it: "half" normal, or normal "truncated" at zero, with a mean before that which depends on mu.
+    distribution: str = "half"
+    mu: Sequence[str] = ()
 
     def __post_init__(self):
-        if self.effect not in ("halton", "quadrature", "none") or self.persistent and self.effect != "halton":
-            raise ValueError("effect must be halton, quadrature or none, and halton with a persistent inefficiency")
+        if self.effect not in ("halton", "quadrature", "fixed", "none") or self.persistent and self.effect != "halton":
+            raise ValueError("effect must be halton, quadrature, fixed or none, and halton with a persistent inefficiency")
+        if self.distribution not in ("half", "truncated") or self.mu and self.distribution != "truncated":
+            raise ValueError("distribution must be half or truncated, and truncated with determinants mu")
         if self.nodes not in (7, 10, 15, 20):
             raise ValueError("nodes must be 7, 10, 15 or 20")
         if self.s not in (1, -1):
@@ -65,11 +72,16 @@ class Frontier:
 
     def blocks(self) -> dict[str, Sequence[str]]:
         out = {"x": self.x, "zuit": self.zuit, "zvit": self.zvit}
-        out |= {"zvi0": self.zvi0} if self.effect != "none" else {}
+        out |= {"mu": self.mu} if self.distribution == "truncated" else {}
+        out |= {"zvi0": self.zvi0} if self.effect in ("halton", "quadrature") else {}
         return out | {"zui0": self.zui0} if self.persistent else out
 
+    def sizes(self) -> dict[str, int]:
+        """Parameters of each block: a constant and its columns, but x has none beside fixed effects."""
+        return {b: len(cols) + (b != "x" or self.effect != "fixed") for b, cols in self.blocks().items()}
+
     def terms(self) -> list[str]:
-        return [*("_cons", *self.x), *(f"{b.capitalize()}_{c}" for b, cols in self.blocks().items() if b != "x" for c in ("cons", *cols))]
+        return [*(("_cons", *self.x) if self.effect != "fixed" else self.x), *(f"{b.capitalize()}_{c}" for b, cols in self.blocks().items() if b != "x" for c in ("cons", *cols))]
 
     def columns(self) -> list[str]:
         return [self.y, *dict.fromkeys(c for cols in self.blocks().values() for c in cols)]
@@ -80,7 +92,7 @@ class Frontier:
 
     def width(self) -> int:
         """Draws or nodes of a row."""
-        return {"halton": self.draws, "quadrature": self.nodes, "none": 1}[self.effect]
+        return {"halton": self.draws, "quadrature": self.nodes}.get(self.effect, 1)
 
     def scores(self, block: Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray]:
         return firm_scores(block, theta, self, kept)
@@ -90,8 +102,8 @@ class Frontier:
         return loglik, score, hessian, hessian
 
     def split(self, theta: np.ndarray) -> dict[str, np.ndarray]:
-        sizes = [len(cols) + 1 for cols in self.blocks().values()]
-        return dict(zip(self.blocks(), np.split(theta, np.cumsum(sizes)[:-1])))
+        sizes = self.sizes()
+        return dict(zip(sizes, np.split(theta, np.cumsum(list(sizes.values()))[:-1])))
 
 
 def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
@@ -103,7 +115,8 @@ def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
     spark = panel.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = lambda c: F.col(c).cast("double")
-    blocks = [F.array(F.lit(1.0), *map(number, cols)).alias(b) for b, cols in model.blocks().items()]
+    constant = lambda b, cols: [F.lit(1.0)] if model.sizes()[b] > len(cols) else []
+    blocks = [F.array(*constant(b, cols), *map(number, cols)).cast("array<double>").alias(b) for b, cols in model.blocks().items()]
     rows = complete_cases(panel, model.columns())
     if model.effect == "none":
         for c in ("id", "time"):
@@ -135,12 +148,12 @@ def normal_draws(ranks: np.ndarray, model: Frontier, base: int) -> np.ndarray:
 
 def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator[Block]:
     """Whole firms at a time; batches are sorted by rank, and a firm may go on in the next batch."""
-    blocks, most, alone = model.blocks(), max(1, BLOCK_CELLS // model.width()), model.effect == "none"
+    sizes, most, alone = model.sizes(), max(1, BLOCK_CELLS // model.width()), model.effect == "none"
 
     def arrays(table: pa.Table) -> Block:
         out = {"rank": table["rank"].to_numpy(), "y": table["y"].to_numpy(), "id": table["id"], "time": table["time"]}
-        for b, cols in blocks.items():
-            out[b] = table[b].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cols) + 1)
+        for b, size in sizes.items():
+            out[b] = table[b].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(out["y"]), size)
         out["starts"] = np.arange(len(out["y"])) if alone else np.flatnonzero(np.append(True, out["rank"][1:] != out["rank"][:-1]))
         return out
 
@@ -174,6 +187,49 @@ def log_half_normal(e: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) ->
     return math.log(2) - 0.5 * math.log(2 * math.pi) - 0.5 * np.log(s2) - 0.5 * e * e / s2 + log_ndtr(w), w
 
 
+def log_truncated_normal(e: np.ndarray, mu: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a normal law with mean mu before it is cut at zero."""
+    s2 = s2u + s2v
+    w = (mu * s2v - s * e * s2u) / np.sqrt(s2 * s2u * s2v)
+    return -0.5 * math.log(2 * math.pi) - 0.5 * np.log(s2) - 0.5 * (e + s * mu) ** 2 / s2 + log_ndtr(w) - log_ndtr(mu / np.sqrt(s2u)), w
+
+
+def truncated_slopes(e: np.ndarray, mu: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) -> tuple[dict, dict]:
+    """First and second derivatives of that by e, mu and the two log-variances.
+
+    The log density is g(q) + log Phi(w) - log Phi(c), with q = e + s mu, w = a + b, a linear in e and b in mu, and c = mu / sigma_u.
+    """
+    s2 = s2u + s2v
+    pu, pv = s2u / s2, s2v / s2
+    cross, q, k, h, root = pu * pv, e + s * mu, np.sqrt(s2u / (s2v * s2)), np.sqrt(s2v / (s2u * s2)), np.sqrt(s2u)
+    a, b, c = -s * e * k, mu * h, mu / root
+    w = a + b
+    m, n = mills(w), mills(c)
+    square = q * q / s2
+    au, av, bu, bv = 0.5 * pv, -0.5 * (1 + pv), -0.5 * (1 + pu), 0.5 * pu
+    w1 = {"e": -s * k, "mu": h, "zuit": a * au + b * bu, "zvit": a * av + b * bv}
+    c1 = {"mu": 1 / root, "zuit": -0.5 * c}
+    g1 = {"e": -q / s2, "mu": -s * q / s2, "zuit": 0.5 * pu * (square - 1), "zvit": 0.5 * pv * (square - 1)}
+    w2 = {
+        ("e", "zuit"): -s * k * au, ("e", "zvit"): -s * k * av, ("mu", "zuit"): h * bu, ("mu", "zvit"): h * bv,
+        ("zuit", "zuit"): a * au * au + b * bu * bu - 0.5 * cross * w, ("zuit", "zvit"): a * au * av + b * bu * bv + 0.5 * cross * w,
+        ("zvit", "zvit"): a * av * av + b * bv * bv - 0.5 * cross * w,
+    }
+    c2 = {("mu", "zuit"): -0.5 / root, ("zuit", "zuit"): 0.25 * c}
+    g2 = {
+        ("e", "e"): -1 / s2, ("e", "mu"): -s / s2, ("mu", "mu"): -1 / s2, ("e", "zuit"): q * pu / s2, ("e", "zvit"): q * pv / s2,
+        ("mu", "zuit"): s * q * pu / s2, ("mu", "zvit"): s * q * pv / s2, ("zuit", "zuit"): -0.5 * cross + 0.5 * square * (cross - pu * pu),
+        ("zuit", "zvit"): 0.5 * cross - square * cross, ("zvit", "zvit"): -0.5 * cross + 0.5 * square * (cross - pv * pv),
+    }
+    first = {v: g1[v] + m * w1[v] - n * c1.get(v, 0.0) for v in g1}
+    bend_w, bend_c = -m * (w + m), -n * (c + n)
+    second = {
+        (x, y): g2[x, y] + m * w2.get((x, y), 0.0) + bend_w * w1[x] * w1[y] - n * c2.get((x, y), 0.0) - bend_c * c1.get(x, 0.0) * c1.get(y, 0.0)
+        for x, y in g2
+    }
+    return first, second
+
+
 def adaptive_nodes(paths: Callable[[np.ndarray], np.ndarray], firms: int, nodes: int) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, log weights) of each firm for the integral of exp(paths(v)) over a standard normal v.
 
@@ -198,9 +254,13 @@ class Paths:
         part, self.starts = model.split(theta), block["starts"]
         self.sizes = np.diff(np.append(self.starts, len(block["y"])))
         self.s2u, self.s2v = np.exp(block["zuit"] @ part["zuit"])[:, None], np.exp(block["zvit"] @ part["zvit"])[:, None]
+        self.s, self.mu = model.s, (block["mu"] @ part["mu"])[:, None] if "mu" in part else None
         e = (block["y"] - block["x"] @ part["x"])[:, None]
         self.move0, self.move1, log_weights = None, None, np.zeros((len(self.starts), 1))
-        if model.effect != "none":
+        if model.effect == "fixed":
+            self.fixed = self.firm_effects(e)
+            e = e - self.spread(self.fixed)
+        elif model.effect != "none":
             sd = np.exp(0.5 * (block["zvi0"][self.starts] @ part["zvi0"]))[:, None]
             if model.effect == "halton":
                 if "draws" not in kept:  # they depend on the firm alone
@@ -209,14 +269,14 @@ class Paths:
                 v, log_weights = kept["draws"][0], np.full((1, 1), -math.log(model.draws))
             else:
                 firm = lambda v: self.spread(sd * v)
-                v, log_weights = adaptive_nodes(lambda v: self.by_firm(log_half_normal(e - firm(v), self.s2u, self.s2v, model.s)[0]), len(self.starts), model.nodes)
+                v, log_weights = adaptive_nodes(lambda v: self.by_firm(self.density(e - firm(v))[0]), len(self.starts), model.nodes)
             self.move0 = self.spread(sd * v)
             e = e - self.move0
             if model.persistent:
                 self.move1 = self.spread(np.exp(0.5 * (block["zui0"][self.starts] @ part["zui0"]))[:, None] * kept["draws"][1])
                 e = e + model.s * self.move1
         self.e = e
-        log_f, self.w = log_half_normal(e, self.s2u, self.s2v, model.s)
+        log_f, self.w = self.density(e)
         paths = self.by_firm(log_f) + log_weights
         top = paths.max(axis=1, keepdims=True)
         weights = np.exp(paths - top)
@@ -231,8 +291,53 @@ class Paths:
     def by_firm(self, rows: np.ndarray) -> np.ndarray:
         return np.add.reduceat(rows, self.starts, axis=0)
 
+    def density(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return log_half_normal(e, self.s2u, self.s2v, self.s) if self.mu is None else log_truncated_normal(e, self.mu, self.s2u, self.s2v, self.s)
+
+    def firm_effects(self, e: np.ndarray, most_steps: int = 100) -> np.ndarray:
+        """The effect of each firm at which its rows are likeliest: Newton steps, as the log density is concave in e."""
+        sd = np.sqrt(np.maximum.reduceat(self.s2u + self.s2v, self.starts, axis=0))
+        at = self.by_firm(e + self.s * ROOT_TWO_OVER_PI * np.sqrt(self.s2u)) / self.sizes[:, None]
+        for _ in range(most_steps):
+            self.e = e - self.spread(at)
+            self.w = self.density(self.e)[1]
+            first, second = self.derivatives(only_e=True)
+            step = np.clip(self.by_firm(first["e"]) / self.by_firm(second["e", "e"]), -sd, sd)
+            at = at + step
+            if np.abs(step).max(initial=0) <= 1e-12 * (1 + np.abs(at).max(initial=0)):
+                break
+        return at
+
+    def inefficiency(self) -> tuple[np.ndarray, np.ndarray]:
+        """E[u | e] and E[exp(-u) | e] of each row, averaged over its draws."""
+        s2 = self.s2u + self.s2v
+        mu, sd = (-self.s * self.e * self.s2u + (0.0 if self.mu is None else self.mu * self.s2v)) / s2, np.sqrt(self.s2u * self.s2v / s2)
+        m = mu / sd
+        return (self.q * (mu + sd * mills(m))).sum(axis=1), (self.q * np.exp(-mu + 0.5 * sd * sd + log_ndtr(m - sd) - log_ndtr(m))).sum(axis=1)
+
+    def derivatives(self, only_e: bool = False, curved: bool = True) -> tuple[dict, dict]:
+        """First and second derivatives of the log density by e, mu and the log-variances; only_e: at least those by e."""
+        if self.mu is not None:
+            return truncated_slopes(self.e, self.mu, self.s2u, self.s2v, self.s)
+        s, w, e = self.s, self.w, self.e
+        fe, fa, fb, m, s2, pu, pv, k, ka, kb = self.slopes(s)
+        first = {"e": fe, "zuit": fa, "zvit": fb}
+        if not curved:
+            return first, {}
+        bend = -m * (w + m)
+        second = {("e", "e"): -1 / s2 + bend * k * k}
+        if only_e:
+            return first, second
+        mixed, square, cross = m + bend * w, e * e / s2, pu * pv
+        return first, second | {
+            ("e", "zuit"): e * pu / s2 - s * k * ka * mixed, ("e", "zvit"): e * pv / s2 - s * k * kb * mixed,
+            ("zuit", "zuit"): -0.5 * cross + 0.5 * square * (cross - pu * pu) + w * (ka * ka * mixed - 0.5 * m * cross),
+            ("zuit", "zvit"): 0.5 * cross - square * cross + w * (ka * kb * mixed + 0.5 * m * cross),
+            ("zvit", "zvit"): -0.5 * cross + 0.5 * square * (cross - pv * pv) + w * (kb * kb * mixed - 0.5 * m * cross),
+        }
+
     def slopes(self, s: int) -> tuple[np.ndarray, ...]:
-        """Derivatives of the log density by e and the two log-variances; the Mills ratio and shared factors."""
+        """Derivatives of the half-normal log density by e and the two log-variances; the Mills ratio and shared factors."""
         s2 = self.s2u + self.s2v
         pu, pv, k = self.s2u / s2, self.s2v / s2, np.sqrt(self.s2u / (self.s2v * s2))
         ka, kb, m = 0.5 * pv, -0.5 * (1 + pv), mills(self.w)
@@ -252,9 +357,9 @@ class Paths:
 def firm_scores(block: Block, theta: np.ndarray, model: Frontier, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Log-likelihood and score of each firm of a block."""
     p = Paths(block, theta, model, {} if kept is None else kept)
-    fe, fa, fb = p.slopes(model.s)[:3]
-    rows = {b: (p.q * fe * move).sum(axis=1) for b, move in p.effects(model).items()}
-    rows |= {"zuit": (p.q * fa).sum(axis=1), "zvit": (p.q * fb).sum(axis=1)}
+    first = p.derivatives(curved=False)[0]
+    moves = p.effects(model)
+    rows = {b: (p.q * (first["e"] * moves[b] if b in moves else first[b])).sum(axis=1) for b in model.blocks()}
     return p.loglik, p.by_firm(np.hstack([block[b] * rows[b][:, None] for b in model.blocks()]))
 
 
@@ -264,24 +369,17 @@ def firm_curvature(block: Block, theta: np.ndarray, model: Frontier, kept: dict
     A firm's Hessian is the mean over its draws of each path's Hessian and of its score's outer product, less that of the mean score.
     """
     p = Paths(block, theta, model, {} if kept is None else kept)
-    s, w, e = model.s, p.w, p.e
-    fe, fa, fb, m, s2, pu, pv, k, ka, kb = p.slopes(s)
+    first, second = p.derivatives()
+    fe = first["e"]
     weight = np.ones(len(p.starts)) if weight is None else weight
     q = p.q * p.spread(weight[:, None])
-    bend = -m * (w + m)
-    mixed, square, cross = m + bend * w, e * e / s2, pu * pv
-    second = {
-        ("e", "e"): -1 / s2 + bend * k * k, ("e", "zuit"): e * pu / s2 - s * k * ka * mixed, ("e", "zvit"): e * pv / s2 - s * k * kb * mixed,
-        ("zuit", "zuit"): -0.5 * cross + 0.5 * square * (cross - pu * pu) + w * (ka * ka * mixed - 0.5 * m * cross),
-        ("zuit", "zvit"): 0.5 * cross - square * cross + w * (ka * kb * mixed + 0.5 * m * cross),
-        ("zvit", "zvit"): -0.5 * cross + 0.5 * square * (cross - pv * pv) + w * (kb * kb * mixed - 0.5 * m * cross),
-    }
     moves, blocks = p.effects(model), list(model.blocks())
+    inner_of = lambda b: "e" if b in moves else b
     place = np.concatenate([[0], np.cumsum([block[b].shape[1] for b in blocks])])
     hessian = np.zeros((place[-1], place[-1]))
     for i, a in enumerate(blocks):
         for j, b in enumerate(blocks[: i + 1]):
-            inner = {True: "e"}.get(a in moves, a), {True: "e"}.get(b in moves, b)
+            inner = inner_of(a), inner_of(b)
             curve = second.get(inner, second.get(inner[::-1])) * moves.get(a, 1.0) * moves.get(b, 1.0)
             if a == b and a != "x" and a in moves:
                 curve = curve + 0.5 * fe * moves[a]
@@ -289,9 +387,13 @@ def firm_curvature(block: Block, theta: np.ndarray, model: Frontier, kept: dict
             hessian[place[i] : place[i + 1], place[j] : place[j + 1]] = part
             hessian[place[j] : place[j + 1], place[i] : place[i + 1]] = part.T
     # Scores of every firm and draw, one parameter at a time.
-    slope = {b: fe * move for b, move in moves.items()} | {"zuit": fa, "zvit": fb}
+    slope = {b: fe * moves[b] if b in moves else first[b] for b in blocks}
     paths = np.stack([p.by_firm(slope[b] * block[b][:, [c]]) * np.ones((1, p.by_draw.shape[1])) for b in blocks for c in range(block[b].shape[1])])
     score = np.einsum("pir,ir->ip", paths, p.by_draw)
+    if model.effect == "fixed":  # the effects follow the other parameters
+        bend = lambda b: second.get((inner_of(b), "e"), second.get(("e", inner_of(b)))) * -moves.get(b, 1.0)
+        with_effect = np.hstack([p.by_firm(block[b] * bend(b)) for b in blocks])
+        hessian -= (with_effect * (weight[:, None] / p.by_firm(second["e", "e"]))).T @ with_effect
     flat = (paths * np.sqrt(p.by_draw * weight[:, None])).reshape(len(paths), -1)
     return p.loglik, score, hessian + flat @ flat.T - (score * weight[:, None]).T @ score
 
@@ -333,7 +435,11 @@ def evaluate(rows: DataFrame, thetas: Sequence[np.ndarray], model: Frontier, cur
 
 def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
     """Least squares; the residuals' firm means and deviations are split by their second and third moments."""
-    flat = rows.select("rank", "y", *[F.col("x")[k + 1].alias(f"x{k}") for k in range(len(model.x))])
+    ahead = int(model.effect != "fixed")
+    flat = rows.select("rank", "y", *[F.col("x")[k + ahead].alias(f"x{k}") for k in range(len(model.x))])
+    if model.effect == "fixed":
+        names = ["y", *(f"x{k}" for k in range(len(model.x)))]
+        flat = within(flat.withColumnRenamed("rank", "id"), names).select(F.col("id").alias("rank"), *[F.col(f"{c}_w").alias(c) for c in names])
     b = ols(flat, "y", [f"x{k}" for k in range(len(model.x))])
     fitted = F.lit(float(b[0]))
     for k in range(len(model.x)):
@@ -341,12 +447,13 @@ def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
     residuals = flat.select("rank", (F.col("y") - fitted).alias("r"))
     # The search moves along logs of variances; these floors keep its first point away from their edge.
     floor = lambda v: math.log(max(0.8 * v, 0.0025))
-    part = {name: np.zeros(len(cols) + 1) for name, cols in model.blocks().items()}
-    part["x"][:] = b
-    if model.effect == "none":
+    part = {name: np.zeros(size) for name, size in model.sizes().items()}
+    part["x"][:] = b[1 - ahead :]
+    if model.effect in ("none", "fixed"):
         found = moment_split(residuals, "r", model.s).first()
         part["zuit"][0], part["zvit"][0] = floor(found["sigma2_u"]), floor(found["sigma2_v"])
-        part["x"][0] += model.s * ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
+        if model.effect == "none":
+            part["x"][0] += model.s * ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
         return np.concatenate(list(part.values()))
     means = residuals.groupBy("rank").agg(F.avg("r").alias("r"), F.count("*").alias("t"))
     transient = moment_split(residuals.join(means.select("rank", F.col("r").alias("m")), "rank").select((F.col("r") - F.col("m")).alias("r")), "r", model.s).first()
@@ -375,6 +482,11 @@ class Fit:
     steps: int = 0
     terms: list[str] = field(default_factory=list)
 
+    @property
+    def n_parameters(self) -> int:
+        """Those of theta, and the firms' fixed effects."""
+        return len(self.theta) + (self.n_firms if self.model.effect == "fixed" else 0)
+
     def vcov(self, clustered: bool = True) -> np.ndarray:
         """Inverse of minus the Hessian; clustered: the sandwich with scores summed by firm, corrected for small samples.
 
@@ -383,18 +495,18 @@ class Fit:
         v = np.linalg.pinv(-self.hessian, rcond=1e-12, hermitian=True)
         if not clustered:
             return v
-        n, g, k = self.n_obs, self.n_firms, len(self.theta)
+        n, g, k = self.n_obs, self.n_firms, self.n_parameters
         return v @ self.outer @ v * ((n - 1) / (n - k)) * (g / (g - 1))
 
     def aic(self) -> float:
-        return 2 * len(self.theta) - 2 * self.loglik
+        return 2 * self.n_parameters - 2 * self.loglik
 
     def bic(self) -> float:
-        return math.log(self.n_obs) * len(self.theta) - 2 * self.loglik
+        return math.log(self.n_obs) * self.n_parameters - 2 * self.loglik
 
     def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95) -> DataFrame:
         """term, estimate, std_error, t, p_value, and the ends of the interval, of each parameter; n_obs - k degrees of freedom."""
-        se, df = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - len(self.theta))
+        se, df = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - self.n_parameters)
         t = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 1e-9)
         p = [2 * t_sf(abs(x), df) if np.isfinite(x) else math.nan for x in t]
         half = t_quantile((1 + level) / 2, df) * se
@@ -402,8 +514,24 @@ class Fit:
         return spark.createDataFrame([(n, *map(float, r)) for n, *r in zip(self.terms, self.theta, se, t, p, self.theta - half, self.theta + half)], columns)
 
 
+def restricted_step(bend: np.ndarray, gradient: np.ndarray, radius: float = 2.0) -> np.ndarray:
+    """The step that the quadratic form makes best among those no longer than radius; bend is positive definite.
+
+    What the likelihood hardly bends with is held back, so that it doesn't shorten the steps of all others.
+    """
+    values, vectors = np.linalg.eigh(bend)
+    along = vectors.T @ gradient
+    low, high = 0.0, float(np.linalg.norm(gradient)) / radius
+    if np.linalg.norm(along / values) > radius:
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.linalg.norm(along / (values + mid)) > radius else (low, mid)
+        values = values + high
+    return vectors @ (along / values)
+
+
 def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_firms: int, most_steps: int = 60, tolerance: float = 1e-4, em: bool = False) -> Fit:
-    """Damped Newton steps from theta on rows that are prepared and kept.
+    """Newton steps within a radius, from theta, on rows that are prepared and kept.
 
     Where minus the Hessian isn't positive definite, that of the classes' own likelihoods takes its place (an EM step, which em
     asks for throughout), or the scores' outer products. The whole step is tried first, shorter ones in one job if it fails.
@@ -418,8 +546,7 @@ def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_
             break
         bends = [-here.complete] if em else [-here.hessian, -here.complete]
         bend = next((h for h in bends if definite(h)), here.outer + 1e-6 * np.eye(len(theta)))
-        step = np.linalg.solve(bend, here.gradient)
-        step *= min(1.0, 2.0 / np.abs(step).max())
+        step = restricted_step(bend, here.gradient)
         (there,) = evaluate(rows, [theta + step], model, curved=True)
         if not there.loglik > here.loglik:
             tried = [t.loglik for t in evaluate(rows, [theta + length * step for length in lengths], model)]
@@ -460,16 +587,27 @@ def efficiencies(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFr
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _firm_blocks(batches, model):
             p = Paths(block, theta, model, {})
-            mu, sd = -model.s * p.e * p.s2u / (p.s2u + p.s2v), np.sqrt(p.s2u * p.s2v / (p.s2u + p.s2v))
-            m = mu / sd
-            u = (p.q * (mu + sd * mills(m))).sum(axis=1)
-            eff = (p.q * np.exp(-mu + 0.5 * sd * sd + log_ndtr(m - sd) - log_ndtr(m))).sum(axis=1)
+            u, eff = p.inefficiency()
             columns = [block["id"].combine_chunks(), block["time"].combine_chunks(), pa.array(u), pa.array(eff)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "time", "inefficiency", "efficiency"])
 
     return rows.mapInArrow(kernel, f"id {kinds['id']}, time {kinds['time']}, inefficiency double, efficiency double")
 
 
+def fixed_effects(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFrame:
+    """id and effect of each firm of a panel with fixed effects, at the other parameters theta."""
+    if model.effect != "fixed":
+        raise ValueError("the model has no fixed effects")
+    rows = prepared(panel, model)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _firm_blocks(batches, model):
+            found = Paths(block, theta, model, {}).fixed[:, 0]
+            yield pa.RecordBatch.from_arrays([block["id"].combine_chunks().take(pa.array(block["starts"])), pa.array(found)], names=["id", "effect"])
+
+    return rows.mapInArrow(kernel, f"id {dict(rows.dtypes)['id']}, effect double")
+
+
 def simulated_panel(spark: SparkSession, firms: int, periods: int, beta: Sequence[float], log_s2: dict[str, float], s: int = 1, seed: int = 1234) -> DataFrame:
     """A four-component panel with its truths, drawn by Spark: log_s2 has uit, vit, vi0 and, if persistent, ui0."""
     sd = {k: math.exp(0.5 * v) for k, v in log_s2.items()}

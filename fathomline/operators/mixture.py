@@ -17,7 +17,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.special import log_ndtr, mills
 from fathomline.operators import frontier as FR
 from fathomline.operators.panel import check_time_invariant, complete_cases
 from fathomline.operators.regression import ols
@@ -39,6 +38,8 @@ class Mixture:
             raise ValueError("classes must be >= 2")
         if self.frontier.persistent:
             raise ValueError("classes have no persistent inefficiency")
+        if self.frontier.effect == "fixed":
+            raise ValueError("classes have no fixed effects")
 
     @property
     def y(self) -> str:
@@ -51,6 +52,9 @@ class Mixture:
     def blocks(self) -> dict[str, Sequence[str]]:
         return self.frontier.blocks() | {"zsp": self.z}
 
+    def sizes(self) -> dict[str, int]:
+        return self.frontier.sizes() | {"zsp": len(self.z) + 1}
+
     def columns(self) -> list[str]:
         return list(dict.fromkeys([*self.frontier.columns(), *self.z]))
 
@@ -195,10 +199,8 @@ def efficiencies(panel: DataFrame, theta: np.ndarray, model: Mixture) -> DataFra
             posterior = paths[0].spread(model.joined(block, theta, [p.loglik for p in paths])[2])
             u, eff = np.zeros(len(posterior)), np.zeros(len(posterior))
             for c, p in enumerate(paths):
-                mu, sd = -model.frontier.s * p.e * p.s2u / (p.s2u + p.s2v), np.sqrt(p.s2u * p.s2v / (p.s2u + p.s2v))
-                m = mu / sd
-                u += posterior[:, c] * (p.q * (mu + sd * mills(m))).sum(axis=1)
-                eff += posterior[:, c] * (p.q * np.exp(-mu + 0.5 * sd * sd + log_ndtr(m - sd) - log_ndtr(m))).sum(axis=1)
+                for total, rows_of_class in zip((u, eff), p.inefficiency()):
+                    total += posterior[:, c] * rows_of_class
             columns = [block["id"].combine_chunks(), block["time"].combine_chunks(), pa.array(posterior.argmax(axis=1) + 1), pa.array(u), pa.array(eff)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "time", "class", "inefficiency", "efficiency"])
 

@@ -98,3 +98,18 @@ def variance(z: Sequence[str | Column], gamma: Sequence[float]) -> Column:
     for t in terms[1:]:
         out = out + t
     return F.exp(out)
+
+
+def swept(df: DataFrame, columns: Sequence[str], rows: bool = False) -> DataFrame:
+    """Columns less their own mean, or with rows less the mean of the row's columns. Means of columns are one row, joined by broadcast."""
+    if rows:
+        mean = sum((F.col(c) for c in columns[1:]), F.col(columns[0])) / len(columns)
+        return df.withColumns({c: F.col(c) - mean for c in columns})
+    means = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    return df.join(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop(*means.columns)
+
+
+def repeated(df: DataFrame, count: Column, place: str = "place") -> DataFrame:
+    """Each row as often as count says, with place from 1; none where it is null or under 1."""
+    n = count.cast("long")
+    return df.filter(n >= 1).withColumn(place, F.explode(F.sequence(F.lit(1).cast("long"), n)))

@@ -170,6 +170,34 @@ def _(spark, sf_dir):
     return rounded(R.random_effects(customer_year(spark, sf_dir), "y", "x1"))
 
 
+@query("predicted_random_effects", CY + RE_SQL.format(v="cy").split("SELECT round(sigma2_e")[0] + """ SELECT id, round(t * sigma2_v / (sigma2_e + t * sigma2_v) * (my - (s1y - slope * s1x) / s11 - slope * mx), 6) + 0.0 AS effect FROM p, g""")
+def _(spark, sf_dir):
+    return rounded(R.predicted_random_effects(customer_year(spark, sf_dir), "y", "x1"))
+
+
+#: Two regressors from variances and covariances; {v} the rows, {df} the degrees of freedom.
+TWO_SQL = """, s AS (SELECT count(*) AS n, count(DISTINCT id) AS nf, var_pop(x) AS a, var_pop(z) AS b, covar_pop(x, z) AS c, covar_pop(x, v) AS d, covar_pop(z, v) AS e, var_pop(v) AS f, avg(x1) AS mx, avg(z1) AS mz, avg(y) AS my FROM {v}),
+b AS (SELECT *, a * b - c * c AS det, (d * b - e * c) / (a * b - c * c) AS b1, (e * a - d * c) / (a * b - c * c) AS b2 FROM s),
+w AS (SELECT *, n * (f - b1 * d - b2 * e) / ({df}) AS s2 FROM b)
+SELECT '_cons' AS term, round(my - b1 * mx - b2 * mz, 5) + 0.0 AS estimate, {se} AS std_error FROM w
+UNION ALL SELECT 'x1', round(b1, 5) + 0.0, round(sqrt(s2 * b / (n * det)), 5) + 0.0 FROM w UNION ALL SELECT 'z1', round(b2, 5) + 0.0, round(sqrt(s2 * a / (n * det)), 5) + 0.0 FROM w"""
+
+
+@query("regression_pooled", f"{SY}, o AS (SELECT *, x1 AS x, z1 AS z, y AS v FROM sy)" + TWO_SQL.format(v="o", df="n - 3", se="round(sqrt(s2 * (1 / n + (mx * mx * b - 2 * mx * mz * c + mz * mz * a) / (n * det))), 5) + 0.0"))
+def _(spark, sf_dir):
+    return rounded(R.regression(supplier_year(spark, sf_dir), "y", ["x1", "z1"]), 5)
+
+
+@query("regression_fixed", f"{SY}, o AS (SELECT *, x1 - avg(x1) OVER (PARTITION BY id) AS x, z1 - avg(z1) OVER (PARTITION BY id) AS z, y - avg(y) OVER (PARTITION BY id) AS v FROM sy)" + TWO_SQL.format(v="o", df="n - nf - 2", se="NULL::DOUBLE"))
+def _(spark, sf_dir):
+    return rounded(R.regression(supplier_year(spark, sf_dir), "y", ["x1", "z1"], "fixed"), 5)
+
+
+@query("regression_random", f"{CY}, f AS ({(CY + RE_SQL).format(v='cy').split('SELECT round(sigma2_e')[0]} SELECT * FROM g) SELECT '_cons' AS term, round((s1y - slope * s1x) / s11, 5) + 0.0 AS estimate FROM f UNION ALL SELECT 'x1', round(slope, 5) + 0.0 FROM f")
+def _(spark, sf_dir):
+    return rounded(R.regression(customer_year(spark, sf_dir), "y", ["x1"], "random").select("term", "estimate"), 5)
+
+
 @query("mom_split", f"""{SYE}, m AS (SELECT avg(e) AS m1 FROM e), c AS (SELECT avg((e - m1) ^ 2) AS m2, avg((e - m1) ^ 3) AS m3 FROM e, m),
 d AS (SELECT m2, CASE WHEN m3 >= 0 THEN -1e-4 ELSE m3 END AS m3 FROM c), u AS (SELECT *, ((m3 / (sqrt(2 / pi()) * (1 - 4 / pi()))) ^ 2) ^ (1.0 / 3.0) AS su FROM d)
 SELECT {r('m2', 7)} AS m2, {r('m3', 7)} AS m3, {r('CASE WHEN su > 0 THEN su ELSE 0.1 END')} AS sigma2_u, {r('CASE WHEN m2 - (1 - 2 / pi()) * su > 0 THEN m2 - (1 - 2 / pi()) * su ELSE 0.1 END')} AS sigma2_v FROM u""")
@@ -358,6 +386,13 @@ def _(spark, sf_dir):
     return rounded(classes(spark, sf_dir).select("id", "time", "p0", (1 - F.col("p0")).alias("p1")))
 
 
+@query("class_transitions", f"""{SY}, s AS (SELECT id, time::BIGINT AS time, exp(-1.0 + 2.0 * z1) AS a, exp(-1.5 - w1) AS b FROM sy)
+SELECT id, time, {r('1 / (1 + a)')} AS p11, {r('a / (1 + a)')} AS p12, {r('b / (1 + b)')} AS p21, {r('1 / (1 + b)')} AS p22 FROM s""")
+def _(spark, sf_dir):
+    p = D.transitions([[-1.0 + 2.0 * F.col("z1")], [-1.5 - F.col("w1")]])
+    return rounded(supplier_year(spark, sf_dir).select("id", F.col("time").cast("long").alias("time"), *[p[i][j].alias(f"p{i + 1}{j + 1}") for i in (0, 1) for j in (0, 1)]))
+
+
 @query("lc_posterior", f"{LC_SQL} SELECT id, time::BIGINT AS time, {r('1 / (1 + exp(j1 - j0))', 5)} AS tau0, {r('1 / (1 + exp(j0 - j1))', 5)} AS tau1 FROM j")
 def _(spark, sf_dir):
     tau = D.softmax([F.col("j0"), F.col("j1")])
@@ -513,6 +548,22 @@ def _(spark, sf_dir):
     return rounded(P.rescaled(supplier_year(spark, sf_dir), "x1").select("id", "time", "x1"))
 
 
+@query("swept_columns", f"{SY} SELECT id, time::BIGINT AS time, {r('y - avg(y) OVER ()')} AS y, {r('x1 - avg(x1) OVER ()')} AS x1 FROM sy")
+def _(spark, sf_dir):
+    return rounded(P.swept(supplier_year(spark, sf_dir).select("id", "time", "y", "x1"), ["y", "x1"]))
+
+
+@query("swept_rows", f"{SY} SELECT id, time::BIGINT AS time, {r('y - (y + x1) / 2')} AS y, {r('x1 - (y + x1) / 2')} AS x1 FROM sy")
+def _(spark, sf_dir):
+    return rounded(P.swept(supplier_year(spark, sf_dir).select("id", "time", "y", "x1"), ["y", "x1"], rows=True))
+
+
+@query("repeated_rows", f"{CY}, p AS (SELECT id, count(*) AS t FROM cy GROUP BY id) SELECT id, unnest(range(1, t + 1)) AS place FROM p")
+def _(spark, sf_dir):
+    sizes = customer_year(spark, sf_dir).groupBy("id").agg(F.count("*").alias("t"))
+    return P.repeated(sizes, F.col("t")).select("id", "place")
+
+
 @query("segment_first_row", f"{CY} SELECT id, arg_min(x1, time) AS seg FROM cy GROUP BY id")
 def _(spark, sf_dir):
     return customer_year(spark, sf_dir).groupBy("id").agg(F.min_by("x1", "time").alias("seg"))
@@ -618,6 +669,27 @@ def _(spark, sf_dir):
     return table(FR.fit(supplier_year(spark, sf_dir), CROSS), spark)
 
 
+@query("fit_truncated", None)
+def _(spark, sf_dir):
+    """A cross-section frontier over all rows with truncated-normal inefficiency."""
+    return table(FR.fit(supplier_year(spark, sf_dir), FR.Frontier("y", ["x1"], effect="none", distribution="truncated")), spark)
+
+
+TFE = FR.Frontier("y", ["x1"], effect="fixed")
+
+
+@query("fit_tfe", None)
+def _(spark, sf_dir):
+    """True fixed effects: each supplier has an effect of its own."""
+    return table(FR.fit(supplier_year(spark, sf_dir), TFE), spark)
+
+
+@query("tfe_effects", None)
+def _(spark, sf_dir):
+    """Fixed effect of each supplier at given slope and variances."""
+    return rounded(FR.fixed_effects(supplier_year(spark, sf_dir), np.array([B1, GU, GV]), TFE), 5)
+
+
 @query("fit_lc_cross", None)
 def _(spark, sf_dir):
     """Two latent classes of rows."""
