@@ -1,7 +1,8 @@
 """Near-equal lines by deletion neighbourhoods.
 
 A line is the sequence of its words, A-Z lower-cased; two lines are near if one word inserted, deleted or replaced makes them
-equal (lines under LEAST_WORDS words: only if equal). A line goes if an earlier line, by doc_id and place, is near it.
+equal (lines under LEAST_WORDS words: only if equal). A line goes if an earlier line, by doc_id, row and place, is near it. A row is
+told from others of its doc_id by a key of doc_id and text, so that null and repeated doc_ids neither fall together nor into one task.
 
 Equal lines are counted together first. Then each distinct line emits its deletion neighbourhood as hashed keys: itself, all
 variants with one word deleted, and all variants with the place of the deletion. Lines that one replacement makes equal
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import byte_texts, cut, join_on_counted_key, text_slices, unused
+from fathomline.llm.common import byte_texts, cut, join_on_counted_key, row_key, text_slices, unused
 
 LEAST_WORDS = 5
 #: Odd base of the variants' polynomial hash modulo 2 ** 64, and its inverse.
@@ -31,7 +32,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 REPLACED, DELETED, WHOLE = 0, 1, 2
 
-LINES = "doc_id long, line int, h long, g long, k0 long, k1 long, k2 long, k3 long"
+LINES = "doc_id long, key long, line int, h long, g long, k0 long, k1 long, k2 long, k3 long"
 
 
 def _names(schema: str) -> list[str]:
@@ -65,33 +66,35 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 halves.append(keys)
         both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
         keys = np.array(halves, np.uint64).reshape(-1, 4).view(np.int64)
-        columns = [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(places, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in (*both.T, *keys.T))]
+        row = pa.array(ids, pa.int64())
+        columns = [batch.column("doc_id").take(row), batch.column("key").take(row), pa.array(places, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in (*both.T, *keys.T))]
         yield pa.RecordBatch.from_arrays(columns, names=_names(LINES))
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """(doc_id, places): the distinct lines, by the place of their first occurrence, that share a half with another."""
+    """(key, places): the distinct lines, by the row and place of their first occurrence, that share a half with another."""
     keys = F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k")
-    halves = distinct.filter("k0 <> 0 or k1 <> 0").select("h", "doc_id", "line", keys).filter("k <> 0")
+    halves = distinct.filter("k0 <> 0 or k1 <> 0").select("h", F.struct("key", "line").alias("at"), keys).filter("k <> 0")
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("m")).filter("a <> b").select("k", "m")
     shared = cut(shared)
     total = shared.agg(F.sum("m")).first()[0] or 0
-    found = join_on_counted_key(halves, shared, "k", "m", total).select("doc_id", "line", "h").distinct()
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h")).alias("places"))
+    found = join_on_counted_key(halves, shared, "k", "m", total).select("at.key", "at.line", "h").distinct()
+    return found.groupBy("key").agg(F.collect_list(F.struct("line", "h")).alias("places"))
 
 
 def _taken(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the candidate lines; a line is passed over if the row that has the doc_id has another line there."""
+    """Words of the candidate lines; a line is passed over if another row has the key and another line there."""
     for batch in text_slices(batches):
         out: list[tuple] = []
-        for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), batch.column("places").to_pylist()):
+        for doc_id, key, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), byte_texts(batch.column("text")), batch.column("places").to_pylist()):
             lines = text.lower().split(b"\n") if text else []
             for place in places:
                 words = lines[place["line"]].split() if place["line"] < len(lines) else []
                 if int.from_bytes(_line_hash(words)[:8], "little", signed=True) == place["h"]:
-                    out.append((doc_id, place["line"], b" ".join(words)))
-        columns = list(zip(*out)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["doc_id", "line", "words"])
+                    out.append((doc_id, key, place["line"], b" ".join(words)))
+        columns = list(zip(*out)) or [(), (), (), ()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "key", "line", "words"])
 
 
 def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,8 @@ def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [variant_keys(w.split(b" ")) for w in batch.column("words").to_pylist()]
         row = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), batch.column("doc_id").take(row), batch.column("line").take(row)], names=["key", "kind", "doc_id", "line"])
+        at = [batch.column(c).take(row) for c in ("doc_id", "key", "line")]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *at], names=["variant", "kind", "doc_id", "key", "line"])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -128,60 +132,57 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column("words").to_pylist(), batch.column("earlier").to_pylist())]
-        yield batch.select(["doc_id", "line"]).filter(pa.array(near, pa.bool_()))
+        yield batch.select(["key", "line"]).filter(pa.array(near, pa.bool_()))
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(doc_id, line) of the first occurrences of distinct lines that have a near line before them."""
-    places = _candidates(distinct).withColumnRenamed("doc_id", "_doc_id")
-    held = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("_doc_id"))).select("doc_id", "text", "places")
-    lines = cut(held.mapInArrow(_taken, "doc_id long, line int, words binary").distinct())
-    keys = lines.mapInArrow(_variants, "key long, kind int, doc_id long, line int")
-    at = F.struct("doc_id", "line")
-    earliest = keys.groupBy("key").agg(F.min(F.when(F.col("kind") == WHOLE, at)).alias("whole"), F.min(F.when(F.col("kind") != WHOLE, at)).alias("other"), F.count("*").alias("m"))
+    """(key, line) of the first occurrences of distinct lines that have a near line before them."""
+    held = docs.join(_candidates(distinct), "key").select("doc_id", "key", "text", "places")
+    lines = cut(held.mapInArrow(_taken, "doc_id long, key long, line int, words binary").distinct())
+    variants = lines.mapInArrow(_variants, "variant long, kind int, doc_id long, key long, line int")
+    at = F.struct("doc_id", "key", "line")
+    earliest = variants.groupBy("variant").agg(F.min(F.when(F.col("kind") == WHOLE, at)).alias("whole"), F.min(F.when(F.col("kind") != WHOLE, at)).alias("other"), F.count("*").alias("m"))
     earliest = cut(earliest.filter("m > 1"))
     total = earliest.agg(F.sum("m")).first()[0] or 0
     earlier = F.when(F.col("kind") == DELETED, F.col("whole")).otherwise(F.col("other"))
-    found = join_on_counted_key(keys, earliest, "key", "m", total).select("doc_id", "line", earlier.alias("e")).filter(F.col("e") < at)
-    found = found.distinct().select("doc_id", "line", F.col("e.doc_id").alias("e_doc_id"), F.col("e.line").alias("e_line"))
-    words = lines.select(F.col("doc_id").alias("w_doc_id"), F.col("line").alias("w_line"), "words")
+    found = join_on_counted_key(variants, earliest, "variant", "m", total).select("doc_id", "key", "line", earlier.alias("e")).filter(F.col("e") < at)
+    found = found.select("key", "line", F.col("e.key").alias("e_key"), F.col("e.line").alias("e_line")).distinct()
+    words = lines.select("key", "line", "words")
+    pairs = found.join(words, ["key", "line"]).join(words.toDF("e_key", "e_line", "earlier"), ["e_key", "e_line"])
+    return pairs.mapInArrow(_verified, "key long, line int").distinct()
 
-    def beside(rows: DataFrame, doc_id: str, line: str, name: str) -> DataFrame:
-        on = F.col(doc_id).eqNullSafe(F.col("w_doc_id")) & (F.col(line) == F.col("w_line"))
-        return rows.join(words.withColumnRenamed("words", name), on).drop("w_doc_id", "w_line")
 
-    pairs = beside(beside(found, "doc_id", "line", "words"), "e_doc_id", "e_line", "earlier")
-    return pairs.mapInArrow(_verified, "doc_id long, line int").distinct()
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of documents(doc_id, text): (doc_id, n_lines), and (doc_id, removed: the places of removed lines with their hash)."""
-    lines = cut(docs.select("doc_id", "text").mapInArrow(_lines, LINES))
-    at = F.struct("doc_id", "line")
-    keys = [F.max(k).alias(k) for k in ("k0", "k1", "k2", "k3")]
-    distinct = cut(lines.groupBy("h", "g").agg(F.min(at).alias("first"), F.count("*").alias("m"), *keys).select("h", "g", "first.*", "m", "k0", "k1", "k2", "k3"))
-    again = distinct.filter("m > 1").select(F.struct("h", "g").alias("key"), F.struct("doc_id", "line").alias("first"), "m")
+    """Of documents(doc_id, key, text): (key, n_lines), and (key, removed: the places of removed lines with their hash)."""
+    lines = cut(docs.mapInArrow(_lines, LINES))
+    at = F.struct("doc_id", "key", "line")
+    halves = [F.max(k).alias(k) for k in ("k0", "k1", "k2", "k3")]
+    distinct = cut(lines.groupBy("h", "g").agg(F.min(at).alias("first"), F.count("*").alias("m"), *halves).select("h", "g", "first.*", "m", "k0", "k1", "k2", "k3"))
+    again = distinct.filter("m > 1").select(F.struct("h", "g").alias("hash"), at.alias("first"), "m")
     total = again.agg(F.sum("m")).first()[0] or 0
-    equal = join_on_counted_key(lines.select(F.struct("h", "g").alias("key"), "doc_id", "line"), again, "key", "m", total)
-    equal = equal.filter(F.col("first") < at).select("doc_id", "line", F.col("key.h").alias("h"))
-    near = _near(docs, distinct).withColumnsRenamed({"doc_id": "n_doc_id", "line": "n_line"})
-    first = distinct.select("doc_id", "line", "h")
-    near = first.join(near, F.col("doc_id").eqNullSafe(F.col("n_doc_id")) & (F.col("line") == F.col("n_line"))).select("doc_id", "line", "h")
-    removed = equal.unionByName(near).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line", "h"))).alias("removed"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")), removed
+    equal = join_on_counted_key(lines.select(F.struct("h", "g").alias("hash"), "doc_id", "key", "line"), again, "hash", "m", total)
+    equal = equal.filter(F.col("first") < at).select("key", "line", F.col("hash.h").alias("h"))
+    near = distinct.select("key", "line", "h").join(_near(docs, distinct), ["key", "line"])
+    removed = equal.unionByName(near).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("line", "h"))).alias("removed"))
+    return lines.groupBy("key").agg(F.count("*").alias("n_lines")), removed
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed for each doc_id of documents(doc_id, text, ...).
+    """doc_id, n_lines, n_removed and removed for each row of documents(doc_id, text, ...); equal rows are one.
 
     n_lines counts the lines with a word; removed has the places, from 0 and in order, of those that go. Null and empty texts
-    have no lines. Rows that share a doc_id are one document here; their equal lines at the same place are one line. Null is
-    the first doc_id. Lines may be of any length. Other columns are ignored. Empty in, empty out.
+    have no lines. Rows that share a doc_id, null or not, but not the text are documents of their own, in the order of their
+    row_key; rows equal in both are one document. Null is the first doc_id. Lines may be of any length. Other columns are
+    ignored. Empty in, empty out.
     """
+    docs = _with_key(docs)
     counts, removed = removed_lines(docs)
-    both = counts.join(removed.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").drop("_doc_id").withColumnRenamed("doc_id", "_doc_id")
     places = F.coalesce(F.col("removed.line"), F.array().cast("array<int>"))
-    out = docs.select("doc_id").distinct().join(both, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    out = docs.select("doc_id", "key").distinct().join(counts, "key", "left").join(removed, "key", "left")
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
 
@@ -201,11 +202,12 @@ def _rewritten(batches: Iterable[pa.RecordBatch], removed: str) -> Iterator[pa.R
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """documents, columns as they are, with the removed lines taken out of text and n_chars, if there, counted anew.
 
-    Every row stays, also one that has no line left: its text is then empty.
+    Every row stays, also one that has no line left: its text is then empty. Rows are told apart as line_report does; of rows
+    equal in doc_id and text each keeps the same lines.
     """
-    _, removed = removed_lines(docs)
-    key, gone = unused(docs, "_doc_id"), unused(docs, "removed")
-    removed = removed.withColumnsRenamed({"doc_id": key, "removed": gone})
-    rows = docs.join(removed, docs["doc_id"].eqNullSafe(F.col(key)), "left").select(docs["*"], gone)
+    _, removed = removed_lines(_with_key(docs))
+    key, gone = unused(docs, "_key"), unused(docs, "removed")
+    removed = removed.withColumnsRenamed({"key": key, "removed": gone})
+    rows = docs.withColumn(key, row_key("doc_id", "text")).join(removed, key, "left").select(*docs.columns, gone)
     out = rows.mapInArrow(lambda batches: _rewritten(batches, gone), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

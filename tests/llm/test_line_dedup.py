@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from fathomline.llm import line_dedup
+from fathomline.llm.common import row_key
 
 from .helpers import WORDS, documents, lower
 
@@ -72,4 +73,22 @@ def test_edges(spark):
     out = line_dedup.without_repeated_lines(wide)
     assert out.columns == wide.columns and out.count() == 6 and out.filter("removed = 'r' and _doc_id = 7").count() == 6
     assert line_dedup.line_report(wide).count() == 3
-    assert line_dedup.line_report(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 1
+    # Different texts without an id are documents of their own.
+    assert line_dedup.line_report(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 3
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows of one doc_id with different texts are held against each other, in the order of their keys."""
+    rng = random.Random(9)
+    all_lines = lines(rng, 240)
+    texts = ["\n".join(all_lines[k : k + 6]) for k in range(0, 240, 6)]
+    docs = documents(spark, texts).withColumn("doc_id", F.expr("case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 5 else doc_id end"))
+    docs = docs.union(docs.filter("doc_id = 5").limit(3))
+    order = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").distinct().collect()
+    order.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.key))
+    wanted = brute([(k, r.text) for k, r in enumerate(order)])
+    mine = sorted((r.doc_id or 0, list(r.removed)) for r in line_dedup.line_report(docs).collect())
+    assert mine == sorted((r.doc_id or 0, wanted[k]) for k, r in enumerate(order)) and sum(map(len, wanted.values())) > 40
+    left = {(r.doc_id, "\n".join(x for p, x in enumerate(r.text.split("\n")) if p not in wanted[k])) for k, r in enumerate(order)}
+    out = [(r.doc_id, r.text) for r in line_dedup.without_repeated_lines(docs).collect()]
+    assert set(out) == left and len(out) == docs.count()
