@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomline.llm import decontaminate, html_extract, langid, license_scan, line_dedup, mixing, quality, simhash, toxicity, url_filter
+from fathomline.llm import chat_format, decontaminate, filter_audit, hard_negatives, html_extract, langid, license_scan, line_dedup, mixing, quality, simhash, toxicity, url_filter
 from fathomline.llm.common import read_table
 
 
@@ -50,9 +50,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.contract_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.format_conversations(chat_format.with_hostile(read_table(spark, sf_dir, "conversations"))))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_html_extract, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination, op9_license_scan, op10_langid)}
+    found = (
+        op1_toxicity, op2_quality_rules, op3_html_extract, op4_simhash, op5_line_dedup, op6_mixing, op7_url_filter, op8_decontamination, op9_license_scan, op10_langid,
+        op11_hard_negatives, op12_chat_format, op13_filter_audit,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.URL_SQL, "op8_decontamination": decontaminate.CONTAMINATION_SQL}
+    return {"op7_url_filter": url_filter.URL_SQL, "op8_decontamination": decontaminate.CONTAMINATION_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL, "op12_chat_format": chat_format.FORMAT_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
