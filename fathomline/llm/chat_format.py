@@ -136,23 +136,23 @@ def assemble(roles: pa.Array, texts: pa.Array, firsts: np.ndarray) -> tuple[pa.A
     return formatted, pa.ListArray.from_arrays(pa.array(per_run), spans)
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about SLICE_BYTES of text, of one row at least."""
+def _slices(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about so many bytes of text, of one row at least."""
     for batch in batches:
         ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(conv_id, part, formatted, loss) of conversations(conv_id, turn, role, text), in whole conversations by partition and in order.
 
     A conversation's turns are ordered by turn, nulls first, and equal ones by role and text; repeated rows are turns of their own. A
     null text or role is empty. Rows with a null conv_id are one conversation. loss: the spans of formatted, in characters, that the loss
-    counts. A conversation of more than SLICE_BYTES goes on in further parts, from 0, cut between turns, so a task never holds
+    counts. A conversation of more than slice_bytes goes on in further parts, from 0, cut between turns, so a task never holds
     all of it. Other columns are ignored; an empty table gives no rows.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -177,10 +177,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([convs, pa.array(parts), formatted, loss], names=["conv_id", "part", "formatted", "loss"])
 
         size = 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, slice_bytes):
             waiting.append(batch)
             size += batch.column("text").nbytes
-            if size < SLICE_BYTES:
+            if size < slice_bytes:
                 continue
             table = pa.Table.from_batches(waiting)
             at = int(_firsts(table["conv_id"].combine_chunks())[-1]) or table.num_rows  # the last conversation may go on

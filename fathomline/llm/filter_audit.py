@@ -44,10 +44,10 @@ def document_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     verdicts = cut(verdicts)
     # The first id of each text that several rows have: rows of the same text are reduced before they are shuffled.
     first = cut(verdicts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("text_hash", "first"))
-    verdicts = left_join_small_or_any(verdicts, first, "text_hash", first.count())
+    verdicts = left_join_small_or_any(verdicts, first, "text_hash", 8 * first.count())  # a hash has the size of eight longs
     marked = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = cut(marked.agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic")))
-    joined = left_join_small_or_any(verdicts, marked, "doc_id", marked.count())
+    joined = left_join_small_or_any(verdicts, marked, "doc_id", 4 * marked.count())
     flag = lambda c: F.coalesce(c, F.lit(False))
     return joined.select("part", "A", "B", "C", "D", flag(F.col("first") < F.col("doc_id")).alias("E"), flag(F.col("good")).alias("good"), flag(F.col("toxic")).alias("toxic"))
 

@@ -35,6 +35,8 @@ SHARD_ROWS, BLOCK_ANCHORS, TILE_ROWS, TILE_ANCHORS = 16384, 32768, 512, 1024
 FIRST_LISTS = 8
 #: Squared length that a vector must be under, so that 100 times a score is a long.
 MOST_SQUARE = 2**54
+#: Beyond all scores.
+FAR = 2**61
 #: Windows of a negative's score, in hundredths of the positive's; positives and negatives of an anchor.
 LOW, HIGH, POSITIVES, NEGATIVES = 50, 95, 5, 3
 SCALE = 256
@@ -135,17 +137,18 @@ def _visits(anchors: DataFrame, index: Lists, blocks: int, again: bool) -> DataF
     anchors: (anchor, label, q, low, high, floor), the last three arrays with a place for each of its searches.
     """
     schema = "shard long, block int, anchor long, label long, q binary, low array<long>, high array<long>, floor array<long>, lists array<int>"
+    first_lists, tile_anchors = FIRST_LISTS, TILE_ANCHORS
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, TILE_ANCHORS):
-                batch = whole.slice(start, TILE_ANCHORS)
+            for start in range(0, whole.num_rows, tile_anchors):
+                batch = whole.slice(start, tile_anchors)
                 upper, lower = index.bounds(_matrix(batch.column("q").to_pylist(), index).astype(np.float64))
                 order = np.argsort(-upper, axis=1, kind="stable")
                 early = np.zeros(upper.shape, bool)
-                np.put_along_axis(early, order[:, :FIRST_LISTS], True, axis=1)
+                np.put_along_axis(early, order[:, :first_lists], True, axis=1)
                 searches = [batch.column(c).to_pylist() for c in ("low", "high", "floor")]
-                low = np.array([[max(x, f) for x, f in zip(a, c)] for a, c in zip(searches[0], searches[2])], object)
+                low = [[max(x, f) for x, f in zip(a, c)] for a, c in zip(searches[0], searches[2])]
                 rows, at = [], []
                 for a in range(batch.num_rows):
                     may = np.zeros(upper.shape[1], bool)
@@ -190,7 +193,7 @@ class _Best:
 
 def _searched(index: Lists, k: int, same_label: bool):
     """What one block of anchors finds in one shard."""
-    columns = ["anchor", "search", "score", "vec_id"]
+    columns, tile_rows, tile_anchors = ["anchor", "search", "score", "vec_id"], TILE_ROWS, TILE_ANCHORS
 
     def find(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if anchors.empty or rows.empty:
@@ -203,7 +206,11 @@ def _searched(index: Lists, k: int, same_label: bool):
         x, ids, labels = _matrix(rows["q"].tolist(), index), rows["vec_id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
         q = _matrix(anchors["q"].tolist(), index)
         number, label = anchors["anchor"].to_numpy(np.int64), anchors["label"].to_numpy(np.int64)
-        low, high, floor = (np.array(anchors[c].tolist(), np.int64).reshape(len(q), -1) for c in ("low", "high", "floor"))
+        # An anchor with fewer searches than others gets windows that nothing lies in.
+        low, high, floor = (np.full((len(q), anchors["low"].map(len).max()), none, np.int64) for none in (FAR, -FAR, FAR))
+        for a, searches in enumerate(zip(anchors["low"], anchors["high"], anchors["floor"])):
+            for into, values in zip((low, high, floor), searches):
+                into[a, : len(values)] = values
         # Sums of doubles are exact below 2^53; longer vectors are multiplied as longs.
         longest = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1).max() * (x.astype(np.float64) ** 2).sum(axis=1).max())
         x, q = (m.astype(np.float64 if longest < 2**52 else np.int64) for m in (x, q))
@@ -227,10 +234,10 @@ def _searched(index: Lists, k: int, same_label: bool):
             active = np.flatnonzero(meant[every, at] & open_.any(axis=1))
             for c in np.unique(at[active]):
                 group, (a, b) = active[at[active] == c], where[int(there[c])]
-                for tile in range(0, len(group), TILE_ANCHORS):
-                    some = group[tile : tile + TILE_ANCHORS]
-                    for begin in range(a, b, TILE_ROWS):
-                        end = min(b, begin + TILE_ROWS)
+                for tile in range(0, len(group), tile_anchors):
+                    some = group[tile : tile + tile_anchors]
+                    for begin in range(a, b, tile_rows):
+                        end = min(b, begin + tile_rows)
                         scores = (q[some] @ x[begin:end].T).astype(np.int64)
                         fits = (label[some][:, None] == labels[None, begin:end]) == same_label
                         floors = best.floor.reshape(len(q), many)[some]
@@ -254,7 +261,7 @@ def nearest(anchors: DataFrame, rows: DataFrame, index: Lists, k: int, same_labe
     first = lambda df: df.withColumn("rank", F.row_number().over(by_search)).filter(F.col("rank") <= k)
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     columns = "anchor long, search long, score long, vec_id long"
-    least = -(2**62)
+    least = -FAR
 
     def visited(anchors: DataFrame, again: bool) -> DataFrame:
         visits = _visits(anchors, index, blocks, again)
@@ -285,11 +292,10 @@ def hard_negatives(rows: DataFrame, every: int = 50, positives: int = POSITIVES,
     if built is None:
         return spark.createDataFrame([], schema)
     rows, index = built
-    far = 2**61
     chosen = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
     anchors = cut(chosen.select(F.monotonically_increasing_id().alias("anchor"), F.col("vec_id").alias("anchor_id"), "label", "q"))
     span = lambda v: F.array(F.lit(v).cast("long"))
-    found = nearest(anchors.withColumn("low", span(-far)).withColumn("high", span(far)), rows, index, positives + 1, True)
+    found = nearest(anchors.withColumn("low", span(-FAR)).withColumn("high", span(FAR)), rows, index, positives + 1, True)
     # One of the rows found that equal the anchor in id and score is the anchor itself.
     dtype, width = index.dtype, index.width
 
