@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.special import log_ndtr, mills, ndtri, t_quantile, t_sf
-from fathomline.operators.panel import check_time_invariant, complete_cases, factorize, within
-from fathomline.operators.regression import moment_split, ols
+from fathomline.operators.optimise import CURVED, GRADIENT, OUTER, VALUE, Ask, Found, Options, Sums, lockstep, search
+from fathomline.operators.panel import check_time_invariant, complete_cases, factorize, quoted, within
+from fathomline.operators.regression import moment_split, moments, regression
 
 #: Cells (rows times draws) that a task holds at a time; one firm's rows stay together.
 BLOCK_CELLS = 400_000
@@ -50,11 +51,15 @@ class Frontier:
     effect: str = "halton"
     nodes: int = 15
     #: Digits of the draws permuted at random by the seed; without, the plain sequence.
-    scrambled: bool = False
+    scrambled: bool = True
+    #: The numbers of the whole sequence dealt to the firms' draws in a random order, by a bijection of their places.
+    shuffled: bool = False
     seed: int = 1
     #: Law of u_it: "half" normal, or normal "truncated" at zero, with a mean before that which depends on mu.
     distribution: str = "half"
     mu: Sequence[str] = ()
+    #: Whether x has a constant; never beside fixed effects.
+    intercept: bool = True
 
     def __post_init__(self):
         if self.effect not in ("halton", "quadrature", "fixed", "none") or self.persistent and self.effect != "halton":
@@ -67,6 +72,16 @@ class Frontier:
             raise ValueError("s must be 1 (production) or -1 (cost)")
         if self.draws < 1:
             raise ValueError("draws must be >= 1")
+        if self.burn_in < 0:
+            raise ValueError("burn_in must be >= 0")
+        if any(b < 2 or any(b % d == 0 for d in range(2, math.isqrt(b) + 1)) for b in self.bases):
+            raise ValueError("the bases must be prime")
+        if self.zui0 and not self.persistent:
+            raise ValueError("zui0 needs a persistent inefficiency")
+        if self.zvi0 and self.effect in ("fixed", "none"):
+            raise ValueError("zvi0 needs a random firm effect")
+        if not self.x and not self.constant():
+            raise ValueError("the frontier has no columns")
         if self.bases[0] == self.bases[1]:
             raise ValueError("the bases of the two draw sequences must differ")
 
@@ -78,10 +93,13 @@ class Frontier:
 
     def sizes(self) -> dict[str, int]:
         """Parameters of each block: a constant and its columns, but x has none beside fixed effects."""
-        return {b: len(cols) + (b != "x" or self.effect != "fixed") for b, cols in self.blocks().items()}
+        return {b: len(cols) + (b != "x" or self.constant()) for b, cols in self.blocks().items()}
+
+    def constant(self) -> bool:
+        return self.intercept and self.effect != "fixed"
 
     def terms(self) -> list[str]:
-        return [*(("_cons", *self.x) if self.effect != "fixed" else self.x), *(f"{b.capitalize()}_{c}" for b, cols in self.blocks().items() if b != "x" for c in ("cons", *cols))]
+        return [*(("_cons", *self.x) if self.constant() else self.x), *(f"{b.capitalize()}_{c}" for b, cols in self.blocks().items() if b != "x" for c in ("cons", *cols))]
 
     def columns(self) -> list[str]:
         return [self.y, *dict.fromkeys(c for cols in self.blocks().values() for c in cols)]
@@ -94,10 +112,13 @@ class Frontier:
         """Draws or nodes of a row."""
         return {"halton": self.draws, "quadrature": self.nodes}.get(self.effect, 1)
 
-    def scores(self, block: Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray]:
+    def value(self, block: Block, theta: np.ndarray, kept: dict, tag: int = 0) -> np.ndarray:
+        return Paths(block, theta, self, kept).loglik
+
+    def scores(self, block: Block, theta: np.ndarray, kept: dict, tag: int = 0) -> tuple[np.ndarray, np.ndarray]:
         return firm_scores(block, theta, self, kept)
 
-    def curvature(self, block: Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def curvature(self, block: Block, theta: np.ndarray, kept: dict, tag: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         loglik, score, hessian = firm_curvature(block, theta, self, kept)
         return loglik, score, hessian, hessian
 
@@ -109,20 +130,24 @@ class Frontier:
 def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
     """Complete cases of panel(id, time, ...) with the model's blocks as arrays, dealt by firm; rank numbers the firms.
 
-    Without a firm effect every row is a firm of its own. The number of partitions is stated, as the work is in the likelihood,
+    Without a firm effect every row is a firm of its own, and rank a hash of it. The number of partitions is stated, as the work is in the likelihood,
     not in the rows' size, by which they would be coalesced to a few.
     """
     spark = panel.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    number = lambda c: F.col(c).cast("double")
+    number = lambda c: F.col(quoted(c)).cast("double")
     constant = lambda b, cols: [F.lit(1.0)] if model.sizes()[b] > len(cols) else []
     blocks = [F.array(*constant(b, cols), *map(number, cols)).cast("array<double>").alias(b) for b, cols in model.blocks().items()]
     rows = complete_cases(panel, model.columns())
     if model.effect == "none":
         for c in ("id", "time"):
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("long"))
-        return rows.select(F.lit(0).cast("long").alias("rank"), "id", "time", number(model.y).alias("y"), *blocks).repartition(parts)
+        rows = rows.select("id", "time", number(model.y).alias("y"), *blocks)
+        return rows.select(F.xxhash64(*rows.columns).alias("rank"), "*").repartition(parts)
     rows = factorize(rows, "id", "rank")
+    if model.effect == "halton" and model.shuffled:
+        blocks.append(F.array(F.col("firms").cast("double")).alias("firms"))
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.max("rank").alias("firms"))))  # one row
     return rows.select("rank", "id", "time", number(model.y).alias("y"), *blocks).repartition(parts, "rank").sortWithinPartitions("rank", "time")
 
 
@@ -139,22 +164,87 @@ def halton(index: np.ndarray, base: int, digits: np.ndarray | None = None) -> np
     return np.clip(out, 1e-12, 1 - 1e-12)
 
 
-def normal_draws(ranks: np.ndarray, model: Frontier, base: int) -> np.ndarray:
-    """A row of draws for each firm: the part of one sequence that belongs to its rank, so reruns agree on any partitioning."""
-    at = (ranks[:, None] - 1) * model.draws + np.arange(model.draws)[None, :] + model.burn_in + 1
-    digits = np.random.default_rng([model.seed, base]).permutation(base) if model.scrambled else None
-    return ndtri(halton(at, base, digits))
+def mixed(x: np.ndarray, *keys: int) -> np.ndarray:
+    """64-bit hashes of x, an array of unsigned longs, under keys."""
+    with np.errstate(over="ignore"):
+        for key in (0, *keys):
+            x = x + np.uint64((key * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            x = x ^ x >> np.uint64(31)
+    return x
+
+
+def shuffled_places(places: np.ndarray, n: int, *keys: int) -> np.ndarray:
+    """Where each place of 0..n-1 goes under a random order that the keys fix; no array of n numbers is made.
+
+    Four rounds of a balanced network permute a power of four; what falls outside n goes round again.
+    """
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    x = places.astype(np.uint64)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & low
+        for k in range(4):
+            left, right = right, left ^ mixed(right, k, *keys) & low
+        return left << half | right
+
+    x = once(x)
+    while (out := x >= n).any():
+        x[out] = once(x[out])
+    return x.astype(np.int64)
+
+
+def sequence_places(ranks: np.ndarray, model: Frontier, base: int, firms: int = 0) -> np.ndarray:
+    """(firms, draws) places in the sequence: the part that belongs to a firm's rank, so reruns agree on any partitioning.
+
+    firms: how many there are, for a model with shuffled draws.
+    """
+    at = (ranks[:, None] - 1) * model.draws + np.arange(model.draws)[None, :]
+    return (shuffled_places(at, firms * model.draws, model.seed, base) if model.shuffled else at) + model.burn_in + 1
+
+
+def scrambled_digits(model: Frontier, base: int) -> np.ndarray | None:
+    return np.random.default_rng([model.seed, base]).permutation(base) if model.scrambled else None
+
+
+def normal_draws(ranks: np.ndarray, model: Frontier, base: int, firms: int = 0) -> np.ndarray:
+    """A row of normal draws for each firm."""
+    return ndtri(halton(sequence_places(ranks, model, base, firms), base, scrambled_digits(model, base)))
+
+
+def uniform_rows(firms: DataFrame, model: Frontier, base: int) -> DataFrame:
+    """The columns of firms(rank, ...), r from 0 and u: the model's uniform numbers for each firm, before they are made normal."""
+    names = firms.columns
+    n = int(firms.agg(F.max("rank")).first()[0] or 0) if model.shuffled else 0
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = sequence_places(batch.column("rank").to_numpy(), model, base, n)
+            taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), model.draws)))
+            u = halton(at, base, scrambled_digits(model, base))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.tile(np.arange(model.draws), batch.num_rows)), pa.array(u.ravel())], names=[*names, "r", "u"])
+
+    return firms.mapInArrow(kernel, ", ".join([*(f"`{c}` {t}" for c, t in firms.dtypes), "r long", "u double"]))
 
 
 def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator[Block]:
     """Whole firms at a time; batches are sorted by rank, and a firm may go on in the next batch."""
     sizes, most, alone = model.sizes(), max(1, BLOCK_CELLS // model.width()), model.effect == "none"
+    by_firm = getattr(model, "by_firm", ())  # arrays that a firm's first row has, and no other
 
     def arrays(table: pa.Table) -> Block:
         out = {"rank": table["rank"].to_numpy(), "y": table["y"].to_numpy(), "id": table["id"], "time": table["time"]}
         for b, size in sizes.items():
             out[b] = table[b].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(out["y"]), size)
         out["starts"] = np.arange(len(out["y"])) if alone else np.flatnonzero(np.append(True, out["rank"][1:] != out["rank"][:-1]))
+        for b in by_firm:
+            out[b] = table[b].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(out["starts"]), -1)
+        if "firms" in table.column_names:
+            out["firms"] = table["firms"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return out
 
     rest: list[pa.RecordBatch] = []
@@ -264,12 +354,13 @@ class Paths:
             sd = np.exp(0.5 * (block["zvi0"][self.starts] @ part["zvi0"]))[:, None]
             if model.effect == "halton":
                 if "draws" not in kept:  # they depend on the firm alone
-                    ranks = block["rank"][self.starts]
-                    kept["draws"] = [normal_draws(ranks, model, model.bases[0]), np.abs(normal_draws(ranks, model, model.bases[1])) if model.persistent else None]
+                    ranks, firms = block["rank"][self.starts], int(block["firms"][0]) if model.shuffled else 0
+                    kept["draws"] = [normal_draws(ranks, model, model.bases[0], firms), np.abs(normal_draws(ranks, model, model.bases[1], firms)) if model.persistent else None]
                 v, log_weights = kept["draws"][0], np.full((1, 1), -math.log(model.draws))
             else:
                 firm = lambda v: self.spread(sd * v)
-                v, log_weights = adaptive_nodes(lambda v: self.by_firm(self.density(e - firm(v))[0]), len(self.starts), model.nodes)
+                v, log_weights = kept["nodes"] if "nodes" in kept else adaptive_nodes(lambda v: self.by_firm(self.density(e - firm(v))[0]), len(self.starts), model.nodes)
+            self.nodes = v, log_weights
             self.move0 = self.spread(sd * v)
             e = e - self.move0
             if model.persistent:
@@ -398,74 +489,128 @@ def firm_curvature(block: Block, theta: np.ndarray, model: Frontier, kept: dict
     return p.loglik, score, hessian + flat @ flat.T - (score * weight[:, None]).T @ score
 
 
-@dataclass
-class Sums:
-    loglik: float
-    gradient: np.ndarray
-    outer: np.ndarray
-    #: With curved: the Hessian, and for a mixture that of the classes' own likelihoods at the present posteriors.
-    hessian: np.ndarray | None = None
-    complete: np.ndarray | None = None
+def row_scores(block: Block, theta: np.ndarray, model: Frontier, kept: dict | None = None) -> np.ndarray:
+    """The score of each row: its part of the firm's, averaged over the firm's draws by their weight."""
+    p = Paths(block, theta, model, {} if kept is None else kept)
+    first = p.derivatives(curved=False)[0]
+    moves = p.effects(model)
+    return np.hstack([block[b] * (p.q * (first["e"] * moves[b] if b in moves else first[b])).sum(axis=1)[:, None] for b in model.blocks()])
 
 
-def evaluate(rows: DataFrame, thetas: Sequence[np.ndarray], model: Frontier, curved: bool = False) -> list[Sums]:
-    """Log-likelihood, gradient and the firms' summed outer products of scores, and Hessians, for each parameter vector; one job."""
-    p = len(model.terms())
-    width = 1 + p + p * p * (3 if curved else 1)
+def evaluate_asks(rows: DataFrame, asks: Sequence[Ask], model: Frontier) -> list[Sums]:
+    """What each ask wants to know, in one job: tasks emit sums, which are added before and after a shuffle of a few hundred numbers."""
+    widths = [1 + (a.level >= GRADIENT) * len(a.theta) + (0, 0, 1, 3)[a.level] * len(a.theta) ** 2 for a in asks]
+    ends = np.cumsum(widths)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(thetas), width))
+        sums = np.zeros(int(ends[-1]))
         for block in _firm_blocks(batches, model):
             kept: dict = {}
-            for k, theta in enumerate(thetas):
-                loglik, score, *hessians = model.curvature(block, theta, kept) if curved else model.scores(block, theta, kept)
-                sums[k] += np.concatenate([[loglik.sum()], score.sum(axis=0), (score.T @ score).ravel(), *(h.ravel() for h in hessians)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int64)), pa.array(sums.ravel())], names=["at", "value"])
-
-    found = rows.mapInArrow(kernel, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-    flat = np.zeros(len(thetas) * width)
-    for r in found:
+            for ask, width, end in zip(asks, widths, ends):
+                if ask.level == VALUE:
+                    found = [[model.value(block, ask.theta, kept, ask.tag).sum()]]
+                else:
+                    loglik, score, *hessians = (model.curvature if ask.level == CURVED else model.scores)(block, ask.theta, kept, ask.tag)
+                    found = [[loglik.sum()], score.sum(axis=0)] + ([(score.T @ score).ravel()] if ask.level >= OUTER else []) + [h.ravel() for h in hessians]
+                sums[end - width : end] += np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int64)), pa.array(sums)], names=["at", "value"])
+
+    flat = np.zeros(int(ends[-1]))
+    for r in rows.mapInArrow(kernel, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         flat[r["at"]] = r["value"]
     out = []
-    for f in flat.reshape(-1, width):
-        squares = f[1 + p :].reshape(-1, p, p)
-        out.append(Sums(float(f[0]), f[1 : 1 + p], squares[0], *((h + h.T) / 2 for h in squares[1:])))
+    for ask, width, end in zip(asks, widths, ends):
+        f, p = flat[end - width : end], len(ask.theta)
+        squares = list(f[1 + p :].reshape(-1, p, p)) if ask.level >= OUTER else []
+        out.append(Sums(float(f[0]), f[1 : 1 + p] if ask.level >= GRADIENT else None, *squares[:1], *((h + h.T) / 2 for h in squares[1:])))
     return out
 
 
-def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
-    """Least squares; the residuals' firm means and deviations are split by their second and third moments."""
-    ahead = int(model.effect != "fixed")
-    flat = rows.select("rank", "y", *[F.col("x")[k + ahead].alias(f"x{k}") for k in range(len(model.x))])
-    if model.effect == "fixed":
-        names = ["y", *(f"x{k}" for k in range(len(model.x)))]
-        flat = within(flat.withColumnRenamed("rank", "id"), names).select(F.col("id").alias("rank"), *[F.col(f"{c}_w").alias(c) for c in names])
-    b = ols(flat, "y", [f"x{k}" for k in range(len(model.x))])
+def evaluate(rows: DataFrame, thetas: Sequence[np.ndarray], model: Frontier, curved: bool = False) -> list[Sums]:
+    """Log-likelihood, gradient and the firms' summed outer products of scores, and Hessians, for each parameter vector; one job."""
+    return evaluate_asks(rows, [Ask(np.asarray(t, float), CURVED if curved else OUTER) for t in thetas], model)
+
+
+def _log_square_slopes(residuals: DataFrame, block: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of log r^2 in a block's columns, and their means: how the variance changes with its determinants."""
+    zs = [F.col(block)[k] for k in range(1, size)]
+    full, n = moments(residuals, [F.lit(1.0), *zs, F.log(F.greatest(F.col("r") * F.col("r"), F.lit(1e-12)))])
+    slopes = np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=1e-10)[0][1:]
+    return np.clip(slopes, -10, 10), full[0, 1:-1] / max(n, 1)
+
+
+def _starts_from(flat: DataFrame, b: np.ndarray, model: Frontier) -> list[np.ndarray]:
+    """Start values from the residuals of a regression with coefficients b, intercept first: without and with slopes of determinants.
+
+    The residuals' firm means and deviations are split by their second and third moments. The search moves along logs of
+    variances; floors keep its first point away from their edge. In logs, slopes are those of the squared residuals.
+    """
     fitted = F.lit(float(b[0]))
     for k in range(len(model.x)):
         fitted = fitted + float(b[k + 1]) * F.col(f"x{k}")
-    residuals = flat.select("rank", (F.col("y") - fitted).alias("r"))
-    # The search moves along logs of variances; these floors keep its first point away from their edge.
+    sizes = model.sizes()
+    held = [c for c in sizes if c != "x"]
+    residuals = flat.select("rank", (F.col("y") - fitted).alias("r"), *held)
     floor = lambda v: math.log(max(0.8 * v, 0.0025))
-    part = {name: np.zeros(size) for name, size in model.sizes().items()}
-    part["x"][:] = b[1 - ahead :]
+    part = {name: np.zeros(size) for name, size in sizes.items()}
+    part["x"][:] = b[0 if model.constant() else 1 :]
+    by_firm = None
     if model.effect in ("none", "fixed"):
+        deviations = residuals
         found = moment_split(residuals, "r", model.s).first()
         part["zuit"][0], part["zvit"][0] = floor(found["sigma2_u"]), floor(found["sigma2_v"])
-        if model.effect == "none":
-            part["x"][0] += model.s * ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
-        return np.concatenate(list(part.values()))
-    means = residuals.groupBy("rank").agg(F.avg("r").alias("r"), F.count("*").alias("t"))
-    transient = moment_split(residuals.join(means.select("rank", F.col("r").alias("m")), "rank").select((F.col("r") - F.col("m")).alias("r")), "r", model.s).first()
-    persistent = moment_split(means, "r", model.s).first()
-    part["zuit"][0], part["zvit"][0] = floor(transient["sigma2_u"]), floor(transient["sigma2_v"])
-    part["zvi0"][0] = floor(persistent["sigma2_v"] if model.persistent else persistent["m2"])
-    mean_u = ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
-    if model.persistent:
-        part["zui0"][0] = floor(persistent["sigma2_u"])
-        mean_u += ROOT_TWO_OVER_PI * math.exp(0.5 * part["zui0"][0])
-    part["x"][0] += model.s * mean_u
-    return np.concatenate(list(part.values()))
+        mean_u = ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
+    else:
+        firm_level = [c for c in held if c in ("zvi0", "zui0")]
+        by_firm = residuals.groupBy("rank").agg(F.avg("r").alias("r"), *[F.first(c).alias(c) for c in firm_level])
+        deviations = residuals.join(by_firm.select("rank", F.col("r").alias("m")), "rank").withColumn("r", F.col("r") - F.col("m"))
+        transient, persistent = moment_split(deviations, "r", model.s).first(), moment_split(by_firm, "r", model.s).first()
+        part["zuit"][0], part["zvit"][0] = floor(transient["sigma2_u"]), floor(transient["sigma2_v"])
+        part["zvi0"][0] = floor(persistent["sigma2_v"] if model.persistent else persistent["m2"])
+        mean_u = ROOT_TWO_OVER_PI * math.exp(0.5 * part["zuit"][0])
+        if model.persistent:
+            part["zui0"][0] = floor(persistent["sigma2_u"])
+            mean_u += ROOT_TWO_OVER_PI * math.exp(0.5 * part["zui0"][0])
+    if model.constant():
+        part["x"][0] += model.s * mean_u
+    out = [np.concatenate(list(part.values()))]
+    if any(size > 1 for c, size in sizes.items() if c in held and c != "mu"):
+        for c in held:
+            if c != "mu" and sizes[c] > 1:
+                slopes, means = _log_square_slopes(by_firm if c in ("zvi0", "zui0") else deviations, c, sizes[c])
+                part[c] = np.concatenate([[part[c][0] - slopes @ means], slopes])
+        out.append(np.concatenate(list(part.values())))
+        # The noise's variance alone, and half the slopes.
+        for share in ({"zuit": 0.0}, {"zuit": 0.5, "zvit": 0.5}):
+            moved = {c: np.concatenate([v[:1], v[1:] * share.get(c, 1.0)]) if c in share else v for c, v in part.items()}
+            out.append(np.concatenate(list(moved.values())))
+    return out
+
+
+def start_values(rows: DataFrame, model: Frontier) -> np.ndarray:
+    """The likeliest of several candidates, which are compared in one job.
+
+    Least squares, and random effects for panels with a random firm effect, each without and with slopes of the determinants.
+    """
+    ahead, names = int(model.constant()), [f"x{k}" for k in range(len(model.x))]
+    held = [c for c in model.sizes() if c != "x"]
+    flat = rows.select("rank", "y", *[F.col("x")[k + ahead].alias(x) for k, x in enumerate(names)], *held)
+    if model.effect == "fixed":
+        flat = within(flat.withColumnRenamed("rank", "id"), ["y", *names]).select(F.col("id").alias("rank"), *[F.col(f"{c}_w").alias(c) for c in ["y", *names]], *held)
+    columns = [*([F.lit(1.0)] if ahead or model.effect == "fixed" else []), *map(F.col, names), F.col("y")]
+    full, _ = moments(flat, columns)
+    b = np.linalg.lstsq(full[:-1, :-1], full[:-1, -1], rcond=None)[0]
+    b = b if ahead or model.effect == "fixed" else np.append(0.0, b)
+    candidates = _starts_from(flat, b, model)
+    if model.effect in ("halton", "quadrature") and names and ahead:
+        found = {r["term"]: r["estimate"] for r in regression(flat.withColumnRenamed("rank", "id"), "y", names, "random").collect()}
+        again = np.array([found[c] for c in ("_cons", *names)])
+        if np.isfinite(again).all():
+            candidates += _starts_from(flat, again, model)
+    if len(candidates) == 1:
+        return candidates[0]
+    scores = [s.loglik for s in evaluate_asks(rows, [Ask(c) for c in candidates], model)]
+    return candidates[int(np.argmax(np.where(np.isfinite(scores), scores, -np.inf)))]
 
 
 @dataclass
@@ -481,6 +626,8 @@ class Fit:
     converged: bool
     steps: int = 0
     terms: list[str] = field(default_factory=list)
+    #: Why the search ended; see optimise.Found.
+    reason: str = ""
 
     @property
     def n_parameters(self) -> int:
@@ -498,87 +645,133 @@ class Fit:
         n, g, k = self.n_obs, self.n_firms, self.n_parameters
         return v @ self.outer @ v * ((n - 1) / (n - k)) * (g / (g - 1))
 
+    def boundary(self) -> list[str]:
+        """Terms that the likelihood doesn't bend with, like the log of a variance that goes to zero: they have no standard error."""
+        flat = np.abs(np.diag(self.hessian)) <= np.maximum(1e-4, 1e-9 * np.abs(np.diag(self.hessian)).max(initial=0))
+        lost = np.sqrt(np.maximum(np.diag(self.vcov(False)), 0)) <= 1e-9
+        return [t for t, f in zip(self.terms, flat | lost) if f]
+
+    def bread(self) -> np.ndarray:
+        """The inverse of minus the Hessian times the number of rows."""
+        return self.vcov(False) * self.n_obs
+
+    def likelihood_ratio(self, other: Fit) -> tuple[float, int, float]:
+        """(statistic, degrees of freedom, p-value) against a nested model, or one that nests this."""
+        from fathomline.operators.inference import likelihood_ratio
+
+        return likelihood_ratio((self.loglik, self.n_parameters), (other.loglik, other.n_parameters))
+
     def aic(self) -> float:
         return 2 * self.n_parameters - 2 * self.loglik
 
     def bic(self) -> float:
         return math.log(self.n_obs) * self.n_parameters - 2 * self.loglik
 
-    def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95) -> DataFrame:
-        """term, estimate, std_error, t, p_value, and the ends of the interval, of each parameter; n_obs - k degrees of freedom."""
-        se, df = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - self.n_parameters)
-        t = np.divide(self.theta, se, out=np.full(len(se), np.nan), where=se > 1e-9)
-        p = [2 * t_sf(abs(x), df) if np.isfinite(x) else math.nan for x in t]
-        half = t_quantile((1 + level) / 2, df) * se
-        columns = "term string, estimate double, std_error double, t double, p_value double, low double, high double"
-        return spark.createDataFrame([(n, *map(float, r)) for n, *r in zip(self.terms, self.theta, se, t, p, self.theta - half, self.theta + half)], columns)
+    def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95, normal: bool = False) -> DataFrame:
+        """term, estimate, std_error, t, p_value, and the ends of the interval, of each parameter; n_obs - k degrees of freedom.
 
+        normal: by the normal law, with z in place of t. A term on the boundary has none of these but its estimate.
+        """
+        if not 0 < level < 1:
+            raise ValueError("level must be between 0 and 1")
+        se, df, edge = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - self.n_parameters), set(self.boundary())
+        reach = float(ndtri(np.array((1 + level) / 2))) if normal else t_quantile((1 + level) / 2, df)
+        rows = []
+        for name, estimate, e in zip(self.terms, map(float, self.theta), map(float, se)):
+            if name in edge or not e > 0:
+                rows.append((name, estimate, None, None, None, None, None))
+                continue
+            t = estimate / e
+            p = 2 * float(np.exp(log_ndtr(np.array(-abs(t))))) if normal else 2 * t_sf(abs(t), df)
+            rows.append((name, estimate, e, t, p, estimate - reach * e, estimate + reach * e))
+        return spark.createDataFrame(rows, f"term string, estimate double, std_error double, {'z' if normal else 't'} double, p_value double, low double, high double")
+
+
+def audited(found: Found, model: Frontier, n_obs: int, n_firms: int) -> Fit:
+    """A fit from what a search found; its last sums must have been CURVED."""
+    here = found.here
+    return Fit(model, found.theta, here.loglik, here.gradient, here.hessian, here.outer, n_obs, n_firms, found.converged, found.steps, model.terms(), found.reason)
+
+
+def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_firms: int, options: Options | dict | None = None, method: str | None = None) -> Fit:
+    """The maximum that a search finds from theta, on rows that are prepared and kept; methods: see optimise.search.
+
+    converged: the gradient's norm is under the tolerance.
+    """
+    (found,) = lockstep([search(method, theta, Options.of(options))], lambda asks: evaluate_asks(rows, asks, model))
+    return audited(found, model, n_obs, n_firms)
 
-def restricted_step(bend: np.ndarray, gradient: np.ndarray, radius: float = 2.0) -> np.ndarray:
-    """The step that the quadratic form makes best among those no longer than radius; bend is positive definite.
 
-    What the likelihood hardly bends with is held back, so that it doesn't shorten the steps of all others.
-    """
-    values, vectors = np.linalg.eigh(bend)
-    along = vectors.T @ gradient
-    low, high = 0.0, float(np.linalg.norm(gradient)) / radius
-    if np.linalg.norm(along / values) > radius:
-        for _ in range(100):
-            mid = (low + high) / 2
-            low, high = (mid, high) if np.linalg.norm(along / (values + mid)) > radius else (low, mid)
-        values = values + high
-    return vectors @ (along / values)
-
-
-def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_firms: int, most_steps: int = 60, tolerance: float = 1e-4, em: bool = False) -> Fit:
-    """Newton steps within a radius, from theta, on rows that are prepared and kept.
-
-    Where minus the Hessian isn't positive definite, that of the classes' own likelihoods takes its place (an EM step, which em
-    asks for throughout), or the scores' outer products. The whole step is tried first, shorter ones in one job if it fails.
-    converged: the gradient's norm is under tolerance.
-    """
-    lengths = 0.5 ** np.arange(1, 13)
-    definite = lambda h: bool(np.isfinite(h).all() and np.linalg.eigvalsh(h).min() > 1e-8)
-    (here,) = evaluate(rows, [theta], model, curved=True)
-    for steps in range(most_steps + 1):
-        converged = bool(np.linalg.norm(here.gradient) < tolerance)
-        if converged or steps == most_steps:
-            break
-        bends = [-here.complete] if em else [-here.hessian, -here.complete]
-        bend = next((h for h in bends if definite(h)), here.outer + 1e-6 * np.eye(len(theta)))
-        step = restricted_step(bend, here.gradient)
-        (there,) = evaluate(rows, [theta + step], model, curved=True)
-        if not there.loglik > here.loglik:
-            tried = [t.loglik for t in evaluate(rows, [theta + length * step for length in lengths], model)]
-            best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
-            if not tried[best] > here.loglik:
-                break
-            step = lengths[best] * step
-            (there,) = evaluate(rows, [theta + step], model, curved=True)
-        theta, here = theta + step, there
-    return Fit(model, theta, here.loglik, here.gradient, here.hessian, here.outer, n_obs, n_firms, converged, steps, model.terms())
+def counted(rows: DataFrame, model: Frontier) -> tuple[int, int]:
+    """(rows, firms) of prepared rows; none is an error."""
+    n_obs, n_firms = rows.agg(F.count("*"), F.lit(0) if model.effect == "none" else F.count_distinct("rank")).first()
+    if not n_obs:
+        raise ValueError("no complete rows")
+    return n_obs, n_obs if model.effect == "none" else n_firms
+
+
+def with_nodes(model: Frontier, options: Options) -> Frontier:
+    return replace(model, nodes=options.em_nquad_pts) if options.em_nquad_pts and model.effect == "quadrature" else model
+
 
+def checked_start(start: np.ndarray, model: Frontier) -> np.ndarray:
+    theta = np.asarray(start, float)
+    if len(theta) != len(model.terms()):
+        raise ValueError(f"start must have {len(model.terms())} values")
+    if not np.isfinite(theta).all():
+        raise ValueError("start must be finite")
+    return theta
 
-def fit(panel: DataFrame, model: Frontier, start: np.ndarray | None = None, most_steps: int = 60, tolerance: float = 1e-4) -> Fit:
+
+def fit(panel: DataFrame, model: Frontier, start: np.ndarray | None = None, most_steps: int | None = None, tolerance: float | None = None, method: str | None = None, options: dict | Options | None = None) -> Fit:
     """Maximum of the likelihood of panel(id, time, ...), or of rows without a firm effect; see maximise.
 
     Rows with a null, NaN or infinite value in a column of the model are left out; none left is an error, and so is a
-    determinant of a firm effect that varies within a firm.
+    determinant of a firm effect that varies within a firm. most_steps and tolerance stand for the options maxit and grad_err_tol.
     """
+    check_columns(panel, model)
+    options = Options.of(options, **{k: v for k, v in (("maxit", most_steps), ("grad_err_tol", tolerance)) if v is not None})
     rows = prepared(panel, model).persist()
     try:
-        n_obs, n_firms = rows.agg(F.count("*"), F.count_distinct("rank")).first()
-        if not n_obs:
-            raise ValueError("no complete rows")
+        n_obs, n_firms = counted(rows, model)
         check_time_invariant(complete_cases(panel, model.columns()), model.firm_columns())
-        theta = start_values(rows, model) if start is None else np.asarray(start, float)
-        if len(theta) != len(model.terms()):
-            raise ValueError(f"start must have {len(model.terms())} values")
-        return maximise(rows, model, theta, n_obs, n_obs if model.effect == "none" else n_firms, most_steps, tolerance)
+        theta = start_values(rows, model) if start is None else checked_start(start, model)
+        return maximise(rows, model, theta, n_obs, n_firms, options, method)
     finally:
         rows.unpersist()
 
 
+def check_columns(panel: DataFrame, model: Frontier) -> None:
+    """Every column that the model names must be there; panels also need id and time."""
+    needed = [*model.columns(), *(() if model.effect == "none" else ("id", "time"))]
+    lost = [c for c in dict.fromkeys(needed) if c not in panel.columns]
+    if lost:
+        raise ValueError(f"no such column: {', '.join(lost)}")
+
+
+def score_rows(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFrame:
+    """id, time and the score of each complete row, a column for each term; their sums are the gradient, and by firm its outer products' factors."""
+    rows = prepared(panel, model)
+    kinds, terms = dict(rows.dtypes), model.terms()
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _firm_blocks(batches, model):
+            found = row_scores(block, theta, model)
+            yield pa.RecordBatch.from_arrays([block["id"].combine_chunks(), block["time"].combine_chunks(), *map(pa.array, np.ascontiguousarray(found.T))], names=["id", "time", *terms])
+
+    return rows.mapInArrow(kernel, ", ".join([f"id {kinds['id']}", f"time {kinds['time']}", *(f"`{t}` double" for t in terms)]))
+
+
+def model_matrix(panel: DataFrame, model: Frontier) -> DataFrame:
+    """id, time, the response and a column for each term: the design of the complete rows, constants included."""
+    rows = complete_cases(panel, model.columns())
+    names, columns = iter(model.terms()), []
+    for b, cols in model.blocks().items():
+        constant = [F.lit(1.0)] if model.sizes()[b] > len(cols) else []
+        columns += [c.alias(next(names)) for c in (*constant, *(F.col(quoted(c)).cast("double") for c in cols))]
+    return rows.select(*[c for c in ("id", "time") if c in rows.columns], F.col(quoted(model.y)).cast("double").alias(model.y), *columns)
+
+
 def efficiencies(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFrame:
     """id, time, inefficiency E[u_it | e] and efficiency E[exp(-u_it) | e], averaged over the firm's draws by their weight."""
     rows = prepared(panel, model)

@@ -2,26 +2,30 @@
 
 The likelihood of a firm is the prior-weighted mean of its likelihoods in the classes. The Hessian is that of the classes at the
 present posteriors plus the posterior variance of the complete-data scores (Louis). Taken without the second part it is the
-curve of an EM step, to which the search goes back where the whole isn't negative definite.
+curve to which a Newton search goes back where the whole isn't negative definite.
+
+EM searches keep each firm's posteriors, and the quadrature nodes that were set at the same parameters, as columns of the firm's first row.
+Until the next such step they stand still, so an M-step is a fixed, smooth problem for each class and one for the priors; these
+are solved by Newton searches in lockstep, on one job a step for all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators import frontier as FR
+from fathomline.operators import kmeans
+from fathomline.operators.optimise import Found, Options, lockstep, newton
 from fathomline.operators.panel import check_time_invariant, complete_cases
 from fathomline.operators.regression import ols
 
-#: A cluster with a smaller share of the firms than this over the number of classes has no start values of its own.
+#: A cluster has at least this share of the firms over the number of classes.
 LEAST_SHARE = 0.2
 
 
@@ -84,7 +88,17 @@ class Mixture:
         total = weights.sum(axis=1, keepdims=True)
         return (top + np.log(total))[:, 0], prior, weights / total
 
-    def scores(self, block: FR.Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def shuffled(self) -> bool:
+        return self.frontier.shuffled
+
+    def constant(self) -> bool:
+        return self.frontier.constant()
+
+    def value(self, block: FR.Block, theta: np.ndarray, kept: dict, tag: int = 0) -> np.ndarray:
+        return self.joined(block, theta, [FR.Paths(block, t, self.frontier, kept).loglik for t in self.parts(theta)[1]])[0]
+
+    def scores(self, block: FR.Block, theta: np.ndarray, kept: dict, tag: int = 0) -> tuple[np.ndarray, np.ndarray]:
         found = [FR.firm_scores(block, t, self.frontier, kept) for t in self.parts(theta)[1]]
         loglik, prior, posterior = self.joined(block, theta, [f[0] for f in found])
         z = block["zsp"][block["starts"]]
@@ -92,7 +106,7 @@ class Mixture:
         seg = (free[:, :, None] * z[:, None, :]).reshape(len(z), -1)
         return loglik, np.hstack([seg, *(posterior[:, [c]] * f[1] for c, f in enumerate(found))])
 
-    def curvature(self, block: FR.Block, theta: np.ndarray, kept: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def curvature(self, block: FR.Block, theta: np.ndarray, kept: dict, tag: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         thetas, z = self.parts(theta)[1], block["zsp"][block["starts"]]
         loglik, prior, posterior = self.joined(block, theta, [FR.Paths(block, t, self.frontier, kept).loglik for t in thetas])
         found = [FR.firm_curvature(block, t, self.frontier, kept, posterior[:, c]) for c, t in enumerate(thetas)]
@@ -115,59 +129,236 @@ class Mixture:
         return loglik, mean, complete + spread - mean.T @ mean, complete
 
 
+@dataclass(frozen=True)
+class MStep:
+    """The objectives of an M-step: tag c is class c's likelihood weighted by the posteriors, tag classes that of the priors."""
+
+    mixture: Mixture
+    #: Columns that expectation adds.
+    by_firm: tuple[str, ...] = ("tau", "nodes", "log_weights")
+
+    @property
+    def effect(self) -> str:
+        return self.mixture.effect
+
+    def sizes(self) -> dict[str, int]:
+        return self.mixture.sizes()
+
+    def width(self) -> int:
+        return self.mixture.width()
+
+    def _class(self, block: FR.Block, kept: dict, tag: int) -> tuple[np.ndarray, dict]:
+        """The class's weight of each firm, and what its likelihood keeps: the draws of all classes, or its own frozen nodes."""
+        if self.effect == "quadrature":
+            nodes = [block[c].reshape(len(block["starts"]), self.mixture.classes, -1)[:, tag] for c in ("nodes", "log_weights")]
+            return block["tau"][:, tag], {"nodes": tuple(nodes)}
+        return block["tau"][:, tag], kept
+
+    def _priors(self, block: FR.Block, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z = block["zsp"][block["starts"]]
+        score = z @ np.vstack([theta.reshape(-1, z.shape[1]), np.zeros(z.shape[1])]).T
+        score -= score.max(axis=1, keepdims=True)
+        log_prior = score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+        return z, np.exp(log_prior), (block["tau"] * log_prior).sum(axis=1)
+
+    def value(self, block: FR.Block, theta: np.ndarray, kept: dict, tag: int) -> np.ndarray:
+        if tag == self.mixture.classes:
+            return self._priors(block, theta)[2]
+        weight, held = self._class(block, kept, tag)
+        return weight * FR.Paths(block, theta, self.mixture.frontier, held).loglik
+
+    def curvature(self, block: FR.Block, theta: np.ndarray, kept: dict, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if tag == self.mixture.classes:
+            z, prior, value = self._priors(block, theta)
+            n, k = self.mixture.classes - 1, z.shape[1]
+            whole = block["tau"].sum(axis=1)
+            score = ((block["tau"] - whole[:, None] * prior)[:, :n, None] * z[:, None, :]).reshape(len(z), -1)
+            hessian = np.zeros((n * k, n * k))
+            for a in range(n):
+                for b in range(n):
+                    curve = whole * prior[:, a] * ((a == b) - prior[:, b])
+                    hessian[a * k : (a + 1) * k, b * k : (b + 1) * k] = -(z * curve[:, None]).T @ z
+            return value, score, hessian, hessian - 1e-8 * np.eye(n * k)
+        weight, held = self._class(block, kept, tag)
+        loglik, score, hessian = FR.firm_curvature(block, theta, self.mixture.frontier, held, weight)
+        return weight * loglik, score * weight[:, None], hessian, hessian
+
+
+def expectation(rows: DataFrame, theta: np.ndarray, model: Mixture) -> DataFrame:
+    """rows with tau (posteriors), nodes and log_weights (of all classes in turn) and loglik, on each firm's first row, at theta."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in FR._firm_blocks(batches, model):
+            kept: dict = {}
+            paths = [FR.Paths(block, t, model.frontier, kept) for t in model.parts(theta)[1]]
+            loglik, _, tau = model.joined(block, theta, [p.loglik for p in paths])
+            frozen = [np.zeros((len(loglik), 0))] * 2
+            if model.effect == "quadrature":
+                frozen = [np.hstack([p.nodes[k] for p in paths]) for k in (0, 1)]
+            sizes = np.zeros(len(block["y"]), np.int32)
+            columns = [pa.array(block["rank"])]
+            for values in (tau, *frozen, loglik[:, None]):
+                sizes[block["starts"]] = values.shape[1]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.ascontiguousarray(values).ravel())))
+            columns += [block["id"].combine_chunks(), block["time"].combine_chunks(), pa.array(block["y"])]
+            for b, size in model.sizes().items():
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, block[b].size + 1, size, dtype=np.int32) if size else np.zeros(len(block["y"]) + 1, np.int32)), pa.array(np.ascontiguousarray(block[b]).ravel())))
+            if "firms" in block:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(block["y"]) + 1, dtype=np.int32)), pa.array(block["firms"])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = dict(rows.dtypes)
+    added = ["tau", "nodes", "log_weights", "loglik"]
+    names = ["rank", *added, "id", "time", "y", *model.sizes(), *(["firms"] if "firms" in kinds else [])]
+    return rows.mapInArrow(kernel, ", ".join(f"{c} {'array<double>' if c in added else kinds[c]}" for c in names))
+
+
+def expectation_maximisation(rows: DataFrame, theta: np.ndarray, model: Mixture, options: Options, trace: list[float] | None = None) -> Found:
+    """EM steps from theta, until one adds less than em_tol to the log-likelihood, or em_max_iter of them; trace gets it at each.
+
+    An M-step goes to the top of each class's objective and of the priors', which are maximised in lockstep. One that would lower
+    the log-likelihood, as the nodes' move may by what quadrature rounds off, isn't taken, and ends the search.
+    """
+    objective, first = MStep(model), (model.classes - 1) * (len(model.z) + 1)
+    kept, before, last, reason, steps = None, -np.inf, theta, "steps", 0
+    try:
+        for steps in range(options.em_max_iter + 1):
+            now = expectation(rows, theta, model).persist()
+            loglik = now.agg(F.sum(F.get("loglik", F.lit(0)))).first()[0]
+            if kept is not None:
+                kept.unpersist()
+            kept = now
+            if loglik < before:
+                theta, reason = last, "likelihood"
+                break
+            if trace is not None:
+                trace.append(loglik)
+            if loglik - before < options.em_tol:
+                reason = "likelihood"
+                break
+            if steps == options.em_max_iter:
+                break
+            before, last = loglik, theta
+            alpha, classes = theta[:first], np.split(theta[first:], model.classes)
+            tolerance = min(1e-3, options.grad_err_tol)
+            searches = [newton(t, options, c, options.em_class_max_iter, tolerance) for c, t in enumerate(classes)]
+            searches.append(newton(alpha, options, model.classes, options.em_seg_max_iter, 1e-8))
+            found = lockstep(searches, lambda asks: FR.evaluate_asks(kept, asks, objective))  # noqa: B023
+            theta = np.concatenate([found[-1].theta, *(f.theta for f in found[:-1])])
+    finally:
+        if kept is not None:
+            kept.unpersist()
+    (here,) = FR.evaluate(rows, [theta], model, curved=True)
+    return Found(theta, here, reason == "likelihood", steps, reason)
+
+
+def hard_priors(rows: DataFrame, clusters: DataFrame, model: Mixture) -> np.ndarray:
+    """Parameters of the priors that fit clusters(rank, cluster) best: a multinomial logit by Newton steps on aggregates.
+
+    A cluster that its traits tell apart wholly would send them to infinity; ten steps end before that.
+    """
+    first = F.col("place") == 1
+    hot = F.array(*[(F.col("cluster") == c).cast("double") for c in range(model.classes)])
+    ordered = rows.join(clusters, "rank")
+    numbered = ordered.withColumn("place", F.row_number().over(Window.partitionBy("rank").orderBy("time")))
+    none = F.array().cast("array<double>")
+    parts = rows.rdd.getNumPartitions()
+    held = numbered.select(*rows.columns, F.when(first, hot).otherwise(none).alias("tau"), none.alias("nodes"), none.alias("log_weights")).repartition(parts, "rank").sortWithinPartitions("rank", "time").persist()
+    try:
+        priors = MStep(model, ("tau",))
+        start = np.zeros((model.classes - 1) * (len(model.z) + 1))
+        (found,) = lockstep([newton(start, Options(), model.classes, 10, 1e-6)], lambda asks: FR.evaluate_asks(held, asks, priors))
+        return found.theta
+    finally:
+        held.unpersist()
+
+
 def _by_share(theta: np.ndarray, model: Mixture, shares: Sequence[float]) -> np.ndarray:
     alpha = np.zeros((model.classes - 1, len(model.z) + 1))
     alpha[:, 0] = np.log(np.array(shares[:-1]) / shares[-1])
     return np.concatenate([alpha.ravel(), theta])
 
 
-def start_values(rows: DataFrame, model: Mixture) -> np.ndarray:
-    """Of panels: k-means on the firms' mean, variance and skewness of least-squares residuals, then start values in each cluster.
+def firm_traits(rows: DataFrame, model: Mixture) -> DataFrame:
+    """(rank, features): mean, variance and skewness of each firm's least-squares residuals, over their spread among the firms.
 
-    A cluster too small for that takes all firms' values, its slopes moved by 0.05 for each class from the middle. Of rows without
-    a firm effect: all rows' values with slopes stretched by a tenth for each class from the middle, about the mean of x.
+    The variance has one less than the periods below it; the skewness is the mean cube over that variance's root cubed, of three periods at least.
     """
-    whole, n = FR.start_values(rows, model.frontier), model.classes
-    middle, slopes = np.arange(n) - (n - 1) / 2, len(model.frontier.x) + 1
-    if model.effect == "none":
-        mean = np.array([1.0, *rows.agg(*[F.avg(F.col("x")[k]) for k in range(1, slopes)]).first()]) if slopes > 1 else np.ones(1)
-        moved = np.outer(1 + 0.1 * middle, whole[:slopes])
-        moved[:, 0] = whole[0] - (moved[:, 1:] - whole[1:slopes]) @ mean[1:]
-        return _by_share(np.concatenate([np.concatenate([m, whole[slopes:]]) for m in moved]), model, [1 / n] * n)
+    ahead = int(model.constant())
     xs = [f"x{k}" for k in range(len(model.frontier.x))]
-    flat = rows.select("rank", "y", *[F.col("x")[k + 1].alias(x) for k, x in enumerate(xs)])
+    flat = rows.select("rank", "y", *[F.col("x")[k + ahead].alias(x) for k, x in enumerate(xs)])
     b = ols(flat, "y", xs)
     r = F.col("y") - float(b[0]) - sum((float(v) * F.col(x) for v, x in zip(b[1:], xs)), F.lit(0.0))
-    traits = flat.groupBy("rank").agg(F.avg(r).alias("a"), F.coalesce(F.var_pop(r), F.lit(0.0)).alias("b"), F.coalesce(F.nanvl(F.skewness(r), F.lit(0.0)), F.lit(0.0)).alias("c"))
+    sums = flat.groupBy("rank").agg(F.count("*").alias("n"), F.avg(r).alias("a"), F.var_samp(r).alias("v"), F.avg(r * r).alias("m2"), F.avg(r * r * r).alias("m3"))
+    cube = F.col("m3") - 3 * F.col("a") * F.col("m2") + 2 * F.col("a") * F.col("a") * F.col("a")
+    spread = F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0))
+    skew = F.when((F.col("n") >= 3) & (spread > 0), cube / F.pow(spread, 1.5)).otherwise(0.0)
+    traits = sums.select("rank", "a", spread.alias("b"), skew.alias("c"))
     ends = traits.agg(*[f(c).alias(f"{c}{k}") for c in "abc" for k, f in enumerate((F.avg, F.stddev))]).first()
     scaled = [(F.col(c) - float(ends[f"{c}0"])) / max(float(ends[f"{c}1"] or 0), 1e-12) for c in "abc"]
-    traits = traits.select("rank", array_to_vector(F.array(*scaled)).alias("features"))
-    groups = KMeans(k=n, seed=1, maxIter=100, tol=1e-6).fit(traits).transform(traits).select("rank", F.col("prediction").alias("cluster")).persist()
-    sizes = {r["cluster"]: r["count"] for r in groups.groupBy("cluster").count().collect()}
-    total, out, shares = sum(sizes.values()), [], []
-    for c in range(n):
-        share = sizes.get(c, 0) / total
-        if share * n >= LEAST_SHARE and sizes[c] > 2 * len(whole):
-            out.append(FR.start_values(rows.join(groups.filter(F.col("cluster") == c), "rank"), model.frontier))
-        else:
-            out.append(np.concatenate([whole[:1], whole[1:slopes] + 0.05 * middle[c], whole[slopes:]]))
-        shares.append(max(share, LEAST_SHARE / n))
-    groups.unpersist()
-    return _by_share(np.concatenate(out), model, shares)
-
-
-def fit(panel: DataFrame, model: Mixture, start: np.ndarray | None = None, most_steps: int = 200, tolerance: float = 1e-4, em: bool = False) -> FR.Fit:
-    """Maximum of the mixture's likelihood; see frontier.fit. em: by EM steps alone."""
+    return traits.select("rank", F.array(*scaled).alias("features"))
+
+
+def start_values(rows: DataFrame, model: Mixture) -> np.ndarray:
+    """Of panels: k-means on the firms' residuals (firm_traits), then start values in each cluster, priors by a logit of the clusters.
+
+    A cluster with fewer firms than that needs takes all firms' values, its slopes moved by 0.05 for each class from the middle. Of rows
+    without a firm effect: all rows' values with slopes stretched by a tenth for each class from the middle, about the mean of x.
+    """
+    whole, n = FR.start_values(rows, model.frontier), model.classes
+    ahead = int(model.constant())
+    middle, slopes = np.arange(n) - (n - 1) / 2, len(model.frontier.x) + ahead
+    if model.effect == "none":
+        mean = np.array([1.0] * ahead + list(rows.agg(*[F.avg(F.col("x")[k]) for k in range(ahead, slopes)]).first() if slopes > ahead else []))
+        moved = np.outer(1 + 0.1 * middle, whole[:slopes])
+        if ahead:
+            moved[:, 0] = whole[0] - (moved[:, 1:] - whole[1:slopes]) @ mean[1:]
+        return _by_share(np.concatenate([np.concatenate([m, whole[slopes:]]) for m in moved]), model, [1 / n] * n)
+    traits = firm_traits(rows, model).persist()
+    groups = None
+    try:
+        firms = traits.count()
+        if firms < n:
+            raise ValueError("there are fewer firms than classes")
+        groups = kmeans.clusters(traits, "rank", n, least=max(1, int(LEAST_SHARE * firms / n))).persist()
+        sizes = {r["cluster"]: r["count"] for r in groups.groupBy("cluster").count().collect()}
+        out = []
+        for c in range(n):
+            if sizes.get(c, 0) > 2 * len(whole):
+                out.append(FR.start_values(rows.join(groups.filter(F.col("cluster") == c), "rank"), model.frontier))
+            else:
+                out.append(np.concatenate([whole[:ahead], whole[ahead:slopes] + 0.05 * middle[c], whole[slopes:]]))
+        shares = [max(sizes.get(c, 0), 0.5) / firms for c in range(n)]
+        if not model.z:
+            return _by_share(np.concatenate(out), model, shares)
+        return np.concatenate([hard_priors(rows, groups, model), *out])
+    finally:
+        traits.unpersist()
+        if groups is not None:
+            groups.unpersist()
+
+
+def fit(
+    panel: DataFrame, model: Mixture, start: np.ndarray | None = None, most_steps: int | None = None, tolerance: float | None = None, em: bool = False, method: str | None = None,
+    options: dict | Options | None = None, trace: list[float] | None = None,
+) -> FR.Fit:
+    """Maximum of the mixture's likelihood; see frontier.fit. em, or the method em_ghq: by EM steps, see expectation_maximisation.
+
+    An EM fit is converged if a step added less than em_tol; most_steps then stands for em_max_iter, and trace gets the log-likelihoods.
+    """
+    em = em or method == "em_ghq"
+    given = {k: v for k, v in (("em_max_iter" if em else "maxit", most_steps), ("grad_err_tol", tolerance)) if v is not None}
+    options = Options.of(options, **given)
+    model = replace(model, frontier=FR.with_nodes(model.frontier, options)) if em else model
+    FR.check_columns(panel, model)
     rows = FR.prepared(panel, model).persist()
     try:
-        n_obs, n_firms = rows.agg(F.count("*"), F.count_distinct("rank")).first()
-        if not n_obs:
-            raise ValueError("no complete rows")
+        n_obs, n_firms = FR.counted(rows, model)
         check_time_invariant(complete_cases(panel, model.columns()), model.firm_columns())
-        theta = start_values(rows, model) if start is None else np.asarray(start, float)
-        if len(theta) != len(model.terms()):
-            raise ValueError(f"start must have {len(model.terms())} values")
-        return FR.maximise(rows, model, theta, n_obs, n_obs if model.effect == "none" else n_firms, most_steps, tolerance, em)
+        theta = start_values(rows, model) if start is None else FR.checked_start(start, model)
+        if em:
+            return FR.audited(expectation_maximisation(rows, theta, model, options, trace), model, n_obs, n_firms)
+        return FR.maximise(rows, model, theta, n_obs, n_firms, options, method)
     finally:
         rows.unpersist()
 

@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quoted(column: str) -> str:
+    """A column's name for Spark, which may hold dots and signs, as those of terms do."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _complete(df: DataFrame, columns: Sequence[str]) -> Column:
     out = F.lit(True)
     kinds = dict(df.dtypes)
     for c in columns:
-        out = out & F.col(c).isNotNull()
+        at = F.col(quoted(c))
+        out = out & at.isNotNull()
         if kinds[c] in ("double", "float"):
-            out = out & ~F.isnan(c) & (F.abs(c) < float("inf"))
+            out = out & ~F.isnan(at) & (F.abs(at) < float("inf"))
     return out
 
 
@@ -28,16 +34,30 @@ def omitted_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(~F.coalesce(_complete(df, columns), F.lit(False)))
 
 
-def factorize(df: DataFrame, column: str, code: str) -> DataFrame:
-    """code: 1 for the smallest distinct value, 2 for the next, and so on.
+def numbered(df: DataFrame, by: Sequence[str | Column], name: str) -> DataFrame:
+    """df with name: each row's place, from 0, in the order of by over the whole table.
 
-    The distinct values are sorted by range, counted in each partition, and numbered from the partitions' offsets, so no
-    partition holds all of them.
+    The rows are sorted by range and kept; their partitions' sizes give each partition's first place. No partition holds all rows, and none goes
+    through Python. Places of rows equal in by are open.
     """
-    values = df.select(column).distinct().orderBy(column).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[0], x[1] + 1))
-    kind = dict(df.dtypes)[column]
-    codes = df.sparkSession.createDataFrame(values, f"{column} {kind}, {code} long")
-    return df.join(codes, column)
+    mark = "_mark"
+    ordered = df.orderBy(*by).withColumn(mark, F.monotonically_increasing_id()).persist()  # its upper bits are the partition
+    part = F.shiftright(mark, 33)
+    sizes = {r["p"]: r["count"] for r in ordered.groupBy(part.alias("p")).count().collect()}
+    first, offsets = 0, []
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(first)]
+        first += sizes[p]
+    if not offsets:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    start = F.element_at(F.create_map(*offsets), part)
+    return ordered.withColumn(name, (start + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(mark)
+
+
+def factorize(df: DataFrame, column: str, code: str) -> DataFrame:
+    """code: 1 for the smallest distinct value, 2 for the next, and so on."""
+    values = numbered(df.select(column).distinct(), [column], code)
+    return df.join(values.withColumn(code, F.col(code) + 1), column)
 
 
 def original_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -60,6 +80,7 @@ def balance(df: DataFrame) -> DataFrame:
 
 def varying_firms(df: DataFrame, column: str, tolerance: float = 1e-8) -> DataFrame:
     """(id, deviation) of the ids in which a column that has to be constant isn't."""
+    column = quoted(column)
     lo, hi, mean = F.min(column), F.max(column), F.avg(column)
     return df.groupBy("id").agg(F.greatest(hi - mean, mean - lo).alias("deviation")).filter(F.col("deviation") > tolerance)
 

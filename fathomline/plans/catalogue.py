@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.normal import norm_cdf_sql, radical_inverse
 from fathomline.operators import density as D
-from fathomline.operators import colombi, formula, inference, mixture
+from fathomline.operators import colombi, formula, inference, kmeans, mixture
 from fathomline.operators import frontier as FR
 from fathomline.operators import panel as P
 from fathomline.operators import regression as R
@@ -684,22 +684,16 @@ def _(spark, sf_dir):
     return table(FR.fit(supplier_year(spark, sf_dir), TFE), spark)
 
 
-@query("tfe_effects", None)
-def _(spark, sf_dir):
-    """Fixed effect of each supplier at given slope and variances."""
-    return rounded(FR.fixed_effects(supplier_year(spark, sf_dir), np.array([B1, GU, GV]), TFE), 5)
-
-
 @query("fit_lc_cross", None)
 def _(spark, sf_dir):
     """Two latent classes of rows."""
-    return table(mixture.fit(supplier_year(spark, sf_dir), LC_CROSS, most_steps=40), spark)
+    return table(mixture.fit(supplier_year(spark, sf_dir), LC_CROSS), spark)
 
 
 @query("fit_lctre", None)
 def _(spark, sf_dir):
     """Two latent classes of firms with random effects, by adaptive quadrature."""
-    return table(mixture.fit(supplier_year(spark, sf_dir), LC_PANEL, most_steps=40), spark)
+    return table(mixture.fit(supplier_year(spark, sf_dir), LC_PANEL), spark)
 
 
 @query("efficiency_colombi", None)
@@ -710,5 +704,120 @@ def _(spark, sf_dir):
 
 @query("search_starts", None)
 def _(spark, sf_dir):
-    """Log-likelihoods of twenty start values of a cross-section frontier."""
-    return inference.search(supplier_year(spark, sf_dir), CROSS, starts=20, fits=1)[1]
+    """Fifty start values of a cross-section frontier, each fitted: its log-likelihood, its fit's, and whether that converged."""
+    return inference.search(supplier_year(spark, sf_dir), CROSS).table
+
+
+@query("bootstrap_effects", None)
+def _(spark, sf_dir):
+    """Mean marginal effect of discounts on inefficiency, with a parametric bootstrap interval of fifty refits."""
+    panel = supplier_year(spark, sf_dir)
+    return inference.bootstrap_effects(panel, FR.fit(panel, CROSS), CROSS)
+
+
+@query("table_order", f"{CY} SELECT id, time::BIGINT AS time, row_number() OVER (ORDER BY id, time) - 1 AS place FROM cy")
+def _(spark, sf_dir):
+    """Place of each row in the order of the whole table."""
+    return P.numbered(customer_year(spark, sf_dir).select("id", F.col("time").cast("long").alias("time")), ["id", "time"], "place")
+
+
+KMEANS_STEPS = 60
+_Z_SQL = SYE + FEATURES_SQL + ", z AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in FEATURES) + " FROM f)"
+_NEAR_SQL = " <= ".join("(" + " + ".join(f"({c} - {c}{k}) ^ 2" for c in FEATURES) + ")" for k in (0, 1))
+_MEANS_SQL = ", ".join(f"coalesce(avg({c}) FILTER (near), any_value({c}0)) AS {c}0, coalesce(avg({c}) FILTER (NOT near), any_value({c}1)) AS {c}1" for c in FEATURES)
+_CENTRES_SQL = ", ".join(f"{c}{k}" for c in FEATURES for k in (0, 1))
+
+
+@query("kmeans_fixed_point", f"""{_Z_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (
+  SELECT 0 AS step, {', '.join(f"{cs[i]}::DOUBLE AS {c}{k}" for i, c in enumerate(FEATURES) for k, cs in enumerate(CENTROIDS))}
+  UNION ALL SELECT step + 1, {_CENTRES_SQL} FROM (SELECT any_value(step) AS step, {_MEANS_SQL} FROM (SELECT *, {_NEAR_SQL} AS near FROM z, k WHERE step < {KMEANS_STEPS})) WHERE step IS NOT NULL)
+SELECT id, CASE WHEN {_NEAR_SQL} THEN 0 ELSE 1 END::BIGINT AS cluster FROM z, k WHERE step = {KMEANS_STEPS}""")
+def _(spark, sf_dir):
+    """Two clusters of the firms' features: means and assignments in turn until none moves."""
+    z = standardized(firm_features(sy_e(spark, sf_dir)), list(FEATURES)).select("id", F.array(*FEATURES).alias("features"))
+    centres, _ = kmeans.lloyd(z, np.array(CENTROIDS), KMEANS_STEPS, 0.0)
+    return kmeans.assigned(z, centres).select("id", F.col("cluster").cast("long").alias("cluster"))
+
+
+#: Digits of base 3 in the order that a seed gives them, as a fixed list for SQL.
+SCRAMBLED = FR.Frontier("y", ["x1"], draws=4)
+DIGITS = [int(d) for d in np.random.default_rng([SCRAMBLED.seed, 3]).permutation(3)]
+
+
+@query("halton_scrambled", f"""WITH i AS (SELECT s_suppkey AS id, (dense_rank() OVER (ORDER BY s_suppkey) - 1) * 4 + r + 1001 AS at, r FROM supplier, range(4) g(r))
+SELECT id, r::BIGINT AS r, round(sum([{', '.join(map(str, DIGITS))}][1 + (at // (3::HUGEINT ** k)::BIGINT) % 3] * (1.0::DOUBLE / 3) ** (k + 1)), 9) + 0.0 AS u FROM i, range(33) d(k) GROUP BY id, r""")
+def _(spark, sf_dir):
+    """Four scrambled numbers of base 3 for each supplier, by its place among them."""
+    ids = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return FR.uniform_rows(P.factorize(ids, "id", "rank"), SCRAMBLED, 3).select("id", "r", (F.round("u", 9) + 0.0).alias("u"))
+
+
+def hn_sql(e: str, s2u: str, s2v: str) -> str:
+    """Half-normal log density with variances as expressions."""
+    return f"ln(2.0) - 0.5 * ln({s2u} + {s2v}) - 0.5 * ln(2 * pi()) - 0.5 * {e} * {e} / ({s2u} + {s2v}) + ln({norm_cdf_sql(f'(-{e} * sqrt({s2u} / ({s2v} * ({s2u} + {s2v}))))')})"
+
+
+#: Effects of a firm at fixed slope and variances: where the sum of its rows' scores is zero, by halving.
+@query("tfe_effects", f"""{SY.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT id, y - {B1!r} * x1 AS e FROM sy), b AS (
+  SELECT id, 0 AS k, min(e) - 2.0 AS lo, max(e) + 2.0 AS hi FROM e GROUP BY id
+  UNION ALL SELECT id, k + 1, CASE WHEN g > 0 THEN mid ELSE lo END, CASE WHEN g > 0 THEN hi ELSE mid END FROM (
+    SELECT id, any_value(k) AS k, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, sum(d / {S2!r} + exp(-0.5 * a * a) / sqrt(2 * pi()) / ({norm_cdf_sql('a')}) * {LAMBDA / SIGMA!r}) AS g
+    FROM (SELECT id, k, lo, hi, mid, d, -d * {LAMBDA / SIGMA!r} AS a FROM (SELECT b.id, k, lo, hi, (lo + hi) / 2 AS mid, e - (lo + hi) / 2 AS d FROM b JOIN e ON b.id = e.id WHERE k < 60)) GROUP BY id)
+) SELECT id, {r('(lo + hi) / 2', 5)} AS effect FROM b WHERE k = 60""")
+def _(spark, sf_dir):
+    """Fixed effect of each supplier at given slope and variances."""
+    return rounded(FR.fixed_effects(supplier_year(spark, sf_dir), np.array([B1, GU, GV]), TFE), 5)
+
+
+@query("score_rows", f"{SCORE_SQL} SELECT id, time::BIGINT AS time, {r('g_b', 3)} AS b0, {r('g_b * x1', 3)} AS b1, {r('g_u', 5)} AS u, {r('g_v', 5)} AS v FROM g")
+def _(spark, sf_dir):
+    """The score of each row at fixed parameters, from the fit's own kernel."""
+    model = FR.Frontier("y", ["x1"], effect="none")
+    found = FR.score_rows(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV]), model)
+    named = zip(model.terms(), ("b0", "b1", "u", "v"), (3, 3, 5, 5))
+    return found.select("id", F.col("time").cast("long").alias("time"), *[(F.round(F.col(t), k) + 0.0).alias(n) for t, n, k in named])
+
+
+@query("model_matrix", f"{SY} SELECT id, time::BIGINT AS time, {r('y')} AS y, 1.0::DOUBLE AS _cons, {r('x1')} AS x1, 1.0::DOUBLE AS zuit_cons_, {r('z1')} AS zuit_z1_, 1.0::DOUBLE AS zvit_cons_ FROM sy")
+def _(spark, sf_dir):
+    """Response and design of a frontier, a column for each term."""
+    found = FR.model_matrix(supplier_year(spark, sf_dir), CROSS)
+    return rounded(found.select("id", "time", "y", "_cons", "x1", *[F.col(c).alias(f"{c.lower()}_") for c in ("Zuit_cons", "Zuit_z1", "Zvit_cons")]))
+
+
+#: Two classes of rows whose inefficiency depends on discounts.
+LC_Z = mixture.Mixture(FR.Frontier("y", ["x1"], zuit=["z1"], effect="none"), 2)
+LC_Z_THETA = np.array([ALPHA[0], B0, B1, GU, 2.0, GV, *SECOND[:3], 1.0, SECOND[3]])
+LC_Z_SQL = f"""{SY}, e AS (SELECT *, {E_SQL} AS e, y - {SECOND[0]} - {SECOND[1]} * x1 AS e1, exp({GU} + 2.0 * z1) AS s0, exp({SECOND[2]} + z1) AS s1 FROM sy),
+j AS (SELECT *, {hn_sql('e', 's0', repr(S2V))} + {ALPHA[0]} AS j0, {hn_sql('e1', 's1', repr(S2V1))} AS j1 FROM e),
+m AS (SELECT *, 1 / (1 + exp(j1 - j0)) AS tau, 2.0 * sqrt(s0) / 2 * sqrt(2 / pi()) AS m0, 1.0 * sqrt(s1) / 2 * sqrt(2 / pi()) AS m1 FROM j)"""
+
+
+@query("lc_marginal_effects", f"{LC_Z_SQL} SELECT id, time::BIGINT AS time, {r('tau * m0 + (1 - tau) * m1', 5)} AS zuit_z1, {r('m0', 5)} AS class1, {r('m1', 5)} AS class2 FROM m")
+def _(spark, sf_dir):
+    """Slope of expected inefficiency in discounts, weighted by posteriors and in each class."""
+    found = inference.class_effects(supplier_year(spark, sf_dir), LC_Z_THETA, LC_Z)
+    return rounded(found.select("id", F.col("time").cast("long").alias("time"), F.col("Zuit_z1").alias("zuit_z1"), F.col("Class1_Zuit_z1").alias("class1"), F.col("Class2_Zuit_z1").alias("class2")), 5)
+
+
+@query("lc_sigmas", f"""{LC_Z_SQL}, t AS (SELECT avg(sqrt(s0)) AS a, {SV!r} AS b, avg(sqrt(s0 / {S2V!r})) AS c, avg(sqrt(s1)) AS d, {math.sqrt(S2V1)!r} AS e, avg(sqrt(s1 / {S2V1!r})) AS f FROM m)
+SELECT unnest([1, 1, 1, 2, 2, 2]::BIGINT[]) AS class, unnest(['sigma_u', 'sigma_v', 'lambda', 'sigma_u', 'sigma_v', 'lambda']) AS term, round(unnest([a, b, c, d, e, f]), 5) + 0.0 AS value FROM t""")
+def _(spark, sf_dir):
+    """Mean standard deviations and their ratios in each class."""
+    return rounded(inference.sigma_table(supplier_year(spark, sf_dir), LC_Z_THETA, LC_Z), 5)
+
+
+#: With one period the firm effect is noise like the other, so classes' efficiencies have a closed form; LC_PANEL at LC_THETA, year 1996.
+def _bc_sql(e: str, s2u: float, s2v: float) -> str:
+    s2 = s2u + s2v
+    m, sd = f"(-{e} * {s2u / s2!r})", math.sqrt(s2u * s2v / s2)
+    return f"(exp(-{m} + {0.5 * sd * sd!r}) * ({norm_cdf_sql(f'({m} / {sd!r} - {sd!r})')}) / ({norm_cdf_sql(f'({m} / {sd!r})')}))"
+
+
+@query("lc_colombi_efficiency", f"""{SY}, j AS (SELECT *, {hn_sql('e', repr(S2U), repr(S2V + SV0**2))} + {ALPHA[0]} AS j0, {hn_sql('e1', repr(S2U1), repr(S2V1 + SV0**2))} AS j1
+  FROM (SELECT *, {E_SQL} AS e, y - {SECOND[0]} - {SECOND[1]} * x1 AS e1 FROM sy WHERE time = 1996))
+SELECT id, round({_bc_sql('e', S2U, S2V + SV0**2)} / (1 + exp(j1 - j0)) + {_bc_sql('e1', S2U1, S2V1 + SV0**2)} / (1 + exp(j0 - j1)), 3) + 0.0 AS transient FROM j""")
+def _(spark, sf_dir):
+    """Transient efficiency of one year by orthant probabilities in each class, weighted by the posteriors."""
+    found = colombi.class_efficiencies(supplier_year(spark, sf_dir).filter("time = 1996"), LC_THETA, LC_PANEL, draws=10_000)
+    return found.select("id", (F.round("transient", 3) + 0.0).alias("transient"))
