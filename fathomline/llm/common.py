@@ -65,9 +65,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df by name, whatever signs their names hold."""
+    return [named(c) for c in df.columns]
+
+
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def row_key(*columns: str) -> Column:
     """64-bit hash of a row's values in columns, in which a null counts by its place, so that rows with null or repeated doc_ids differ."""
-    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+    return F.xxhash64(*[x for c in columns for x in (named(c), named(c).isNull())])
 
 
 def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +124,7 @@ def numbered(df: DataFrame, count: str, place: str) -> DataFrame:
     """Each row as often as count says, with place from 1; what is repeated more than CHUNK times is dealt out before."""
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))
     many = df.filter(F.col(count) > CHUNK).withColumn(place, first)
-    many = many.repartition(place, *[c for c, t in many.dtypes if t == "bigint" and c not in (place, count)])
+    many = many.repartition(place, *[named(c) for c, t in many.dtypes if t == "bigint" and c not in (place, count)])
     low = F.col(place) * CHUNK
     many = many.withColumn(place, F.explode(F.sequence(low + 1, F.least(low + CHUNK, F.col(count)))))
     few = df.filter((F.col(count) > 0) & (F.col(count) <= CHUNK))

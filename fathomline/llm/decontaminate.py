@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, cut, left_join_small_or_any, row_key, unused
+from fathomline.llm.common import BROADCAST_ROWS, columns_of, cut, left_join_small_or_any, row_key, unused
 
 WINDOW_WORDS = 13
 #: A document is contaminated if this part of its words, at least, is hit: one in so many.
@@ -127,7 +127,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     name = unused(docs, "_bad")
     key = row_key("doc_id", "text")
     bad = cut(contamination(docs.select(key.alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
-    return docs.withColumn(name, key).join(_small(bad), name, "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(_small(bad), name, "left_anti").select(*columns_of(docs))
 
 
 #: The same for DuckDB.

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from fathomline.llm.common import byte_texts, cut, join_on_counted_key, row_key, text_slices, unused
+from fathomline.llm.common import byte_texts, columns_of, cut, join_on_counted_key, row_key, text_slices, unused
 
 LEAST_WORDS = 5
 #: Odd base of the variants' polynomial hash modulo 2 ** 64, and its inverse.
@@ -172,30 +173,30 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed for each row of documents(doc_id, text, ...); equal rows are one.
+    """doc_id, n_lines, n_removed and removed for each row of documents(doc_id, text, ...).
 
     n_lines counts the lines with a word; removed has the places, from 0 and in order, of those that go. Null and empty texts
     have no lines. Rows that share a doc_id, null or not, but not the text are documents of their own, in the order of their
-    row_key; rows equal in both are one document. Null is the first doc_id. Lines may be of any length. Other columns are
+    row_key; rows equal in both have equal reports, as if they were one document. Null is the first doc_id. Lines may be of any length. Other columns are
     ignored. Empty in, empty out.
     """
     docs = _with_key(docs)
     counts, removed = removed_lines(docs)
     places = F.coalesce(F.col("removed.line"), F.array().cast("array<int>"))
-    out = docs.select("doc_id", "key").distinct().join(counts, "key", "left").join(removed, "key", "left")
+    out = docs.select("doc_id", "key").join(counts, "key", "left").join(removed, "key", "left")
     return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(places).cast("long").alias("n_removed"), places.alias("removed"))
 
 
-def _rewritten(batches: Iterable[pa.RecordBatch], removed: str) -> Iterator[pa.RecordBatch]:
+def _rewritten(batches: Iterable[pa.RecordBatch], text: str, removed: str) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
-        texts = byte_texts(batch.column("text"))
+        texts = byte_texts(batch.column(text))
         for row, places in enumerate(batch.column(removed).to_pylist()):
             if places and texts[row]:
                 lines = texts[row].split(b"\n")
                 gone = {p["line"]: p["h"] for p in places}
                 texts[row] = b"\n".join(x for k, x in enumerate(lines) if k not in gone or int.from_bytes(_line_hash(x.lower().split())[:8], "little", signed=True) != gone[k])
         new = pa.array(texts, pa.binary()).cast(pa.string())
-        columns = [new if n == "text" else batch.column(n) for n in batch.schema.names if n != removed]
+        columns = [new if n == text else batch.column(n) for n in batch.schema.names if n != removed]
         yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != removed])
 
 
@@ -208,6 +209,9 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     _, removed = removed_lines(_with_key(docs))
     key, gone = unused(docs, "_key"), unused(docs, "removed")
     removed = removed.withColumnsRenamed({"key": key, "removed": gone})
-    rows = docs.withColumn(key, row_key("doc_id", "text")).join(removed, key, "left").select(*docs.columns, gone)
-    out = rows.mapInArrow(lambda batches: _rewritten(batches, gone), docs.schema)
+    rows = docs.withColumn(key, row_key("doc_id", "text")).join(removed, key, "left").select(*columns_of(docs), gone)
+    # Plain names on the way through the tasks, as any signs may be in those of docs.
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    text, schema = plain[docs.columns.index("text")], StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(plain, docs.schema)])
+    out = rows.toDF(*plain, "removed").mapInArrow(lambda batches: _rewritten(batches, text, "removed"), schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

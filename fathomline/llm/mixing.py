@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, numbered, row_key, text_slices, unused
+from fathomline.llm.common import columns_of, cut, join_on_counted_key, numbered, row_key, text_slices, unused
 
 #: Weights of the sources in order, again and again; and the share of all sizes that they part among them.
 WEIGHTS = (3, 1, 2)
@@ -168,4 +168,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     counts = _copies(docs, weights, share).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
     # Equal rows are one row here, which is made as often as the mix takes all of them.
     once = docs.withColumn(key, row_key(*key_columns(docs))).dropDuplicates([key])
-    return numbered(once.join(cut(counts), key), copies, copy).select(*docs.columns)
+    return numbered(once.join(cut(counts), key), copies, copy).select(*columns_of(docs))

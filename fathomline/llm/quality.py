@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import cut, join_on_counted_key, row_key, text_slices, unused
+from fathomline.llm.common import columns_of, cut, join_on_counted_key, row_key, text_slices, unused
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -253,4 +253,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     name = unused(docs, "_kept")
     key = row_key("doc_id", "text", "lang", "source")
     kept = quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source")).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.withColumn(name, key).join(kept, name, "left_semi").select(*docs.columns)
+    return docs.withColumn(name, key).join(kept, name, "left_semi").select(*columns_of(docs))

@@ -9,7 +9,8 @@ it are found by looking up, for each fingerprint, the 137 values at 2 or fewer b
 of g fingerprints takes g look-ups of each and not g * g comparisons. The tally of shared bytes and the differing bits
 of each pair found are then counted on the whole fingerprints.
 
-The stage that removes near duplicates reads several such fingerprints of each text, and verifies on a wider one.
+The stage that removes near duplicates has no such bound of bits: at 0.8 of common shingles two fingerprints differ in some ten. Its index
+also holds bands of least hashes of each text's shingles; pairs that either part finds are verified on a wider fingerprint.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import byte_texts, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
+from fathomline.llm.common import byte_texts, columns_of, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
 MOST_BITS = 2
-#: The stage that removes near duplicates has several independent fingerprints of INDEX_WORDS-word shingles in its index, as one
-#: alone finds few pairs at SIMILARITY, and verifies what they find on VERIFY_PRINTS * 64 bits of VERIFY_WORDS-word shingles.
-INDEX_WORDS, INDEX_PRINTS = 2, 6
+#: The stage that removes near duplicates has a fingerprint of INDEX_WORDS-word shingles in its index, and bands of BAND_HASHES least hashes
+#: of VERIFY_WORDS-word shingles: a pair with a share j of them in common meets in a band with a chance of 1 - (1 - j^4)^BANDS, 0.985 at
+#: SIMILARITY. What the index finds is verified on VERIFY_PRINTS * 64 bits of VERIFY_WORDS-word shingles.
+INDEX_WORDS, INDEX_PRINTS = 2, 1
+BANDS, BAND_HASHES = 8, 4
 VERIFY_WORDS, VERIFY_PRINTS = 5, 4
 #: Least share of common shingles; the cosine that goes with it, and the bits that may differ at its angle.
 SIMILARITY = 0.8
@@ -87,19 +90,38 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+#: Odd multipliers of the least hashes, from a seed.
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A hash of each band's least hashes; texts without shingles share all bands."""
+    least = np.full(len(MULTIPLIERS), (1 << 64) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(hashes), 1 << 12):
+            x = hashes[at : at + (1 << 12), None] * MULTIPLIERS
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return [xxhash.xxh3_64_intdigest(band.tobytes()) for band in least.reshape(BANDS, BAND_HASHES)]
+
+
 def _wide_fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash of the words, fingerprints of short shingles for the index and of long ones to verify."""
-    names = [f"p{k}" for k in range(INDEX_PRINTS)] + [f"w{k}" for k in range(VERIFY_PRINTS)]
+    """A hash of the words, fingerprints of short shingles and bands of long ones for the index, fingerprints of long ones to verify."""
+    names = PRINTS
     for batch in text_slices(batches):
         rows = []
         for text in byte_texts(batch.column("text")):
             words = _words(text)
             short, long = _shingle_hashes(words, INDEX_WORDS), _shingle_hashes(words, VERIFY_WORDS)
-            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS))])
+            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS)), *_bands(long)])
         columns = np.array(rows, np.uint64).reshape(-1, 1 + len(names)).T.view(np.int64) if rows else np.empty((1 + len(names), 0), np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "key", "node", *names])
 
 
+#: Columns of a text's prints: index fingerprints, verifying ones, bands.
+PRINTS = [*(f"p{k}" for k in range(INDEX_PRINTS)), *(f"w{k}" for k in range(VERIFY_PRINTS)), *(f"b{k}" for k in range(BANDS))]
+
+
 def _pairs_in_posting(prints: np.ndarray, nodes: np.ndarray, free: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the pairs that differ in 1 or 2 bits, each pair once, all of them in one posting's free bytes."""
     shift = np.array([8 * free[0], 8 * free[1]], np.uint64)
@@ -193,13 +215,18 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def _similar(classes: DataFrame) -> DataFrame:
-    """(src, dst) of nodes that an index fingerprint links and whose wide fingerprints are near; classes(node, p0.., w0..)."""
+    """(src, dst) of nodes that the index finds and whose wide fingerprints are near; classes(node, PRINTS).
+
+    Nodes that are equal in a fingerprint or a band are held against the smallest and the largest of them, not all against all.
+    """
     total = classes.count()
-    index = F.explode(F.array(*[F.struct(F.lit(k).alias("index"), F.col(f"p{k}").alias("fp")) for k in range(INDEX_PRINTS)]))
+    keys = [f"p{k}" for k in range(INDEX_PRINTS)] + [f"b{k}" for k in range(BANDS)]
+    index = F.explode(F.array(*[F.struct(F.lit(k).alias("index"), F.col(c).alias("fp")) for k, c in enumerate(keys)]))
     prints = classes.select("node", index.alias("p")).select("p.index", "p.fp", "node")
-    first = cut(prints.groupBy("index", "fp").agg(F.min("node").alias("least"), F.count("*").alias("n")).withColumn("at", F.struct("index", "fp")))
-    equal = join_on_counted_key(prints.select(F.struct("index", "fp").alias("at"), "node"), first.filter("n > 1").select("at", "least", "n"), "at", "n", INDEX_PRINTS * total)
-    pairs = _candidates(first.select("index", "fp", F.col("least").alias("node"))).unionByName(equal.filter("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")))
+    first = cut(prints.groupBy("index", "fp").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).withColumn("at", F.struct("index", "fp")))
+    equal = join_on_counted_key(prints.select(F.struct("index", "fp").alias("at"), "node"), first.filter("n > 1").select("at", "least", "most", "n"), "at", "n", len(keys) * total)
+    equal = equal.select("node", F.explode(F.array("least", "most")).alias("end")).filter("node <> end").select(F.col("end").alias("src"), F.col("node").alias("dst"))
+    pairs = _candidates(first.filter(F.col("index") < INDEX_PRINTS).select("index", "fp", F.col("least").alias("node"))).unionByName(equal)
     pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     wide = lambda end: classes.select(F.col("node").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(VERIFY_PRINTS)])
     apart = sum(F.bit_count(F.col(f"src{k}").bitwiseXOR(F.col(f"dst{k}"))) for k in range(VERIFY_PRINTS))
@@ -209,15 +236,15 @@ def _similar(classes: DataFrame) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """documents with one row of each group of near duplicates, columns as they are: the smallest doc_id, null last.
 
-    Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if one of their INDEX_PRINTS fingerprints differs
-    in at most 2 bits, and the bits of their wide fingerprints say that SIMILARITY of their VERIFY_WORDS-word shingles are common;
+    Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if their index fingerprints differ in at
+    most 2 bits or they share a band, and the bits of their wide fingerprints say that SIMILARITY of their VERIFY_WORDS-word shingles are common;
     what links join is a group. Texts without a word, null ones too, are one group. Of rows that share the doc_id the one with
     the smallest row_key stays, and of rows equal in doc_id and text any one; null and repeated doc_ids are linked by their texts
     alone. Empty in, empty out.
     """
     name = unused(docs, "_key")
     key = row_key("doc_id", "text")
-    columns = [f"p{k}" for k in range(INDEX_PRINTS)] + [f"w{k}" for k in range(VERIFY_PRINTS)]
+    columns = PRINTS
     schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in columns)
     prints = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_wide_fingerprints, schema)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
@@ -225,4 +252,4 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     components = connected_components(_similar(classes))
     named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
-    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*columns_of(docs))

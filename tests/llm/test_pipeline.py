@@ -63,3 +63,10 @@ def test_null_and_repeated_ids(spark):
     taken = sorted((r.size, r.taken) for r in mixing.mix(same).collect())
     mixed = mixing.mixed_documents(same).collect()
     assert len(taken) == 100 and sum(len(r.text.split()) for r in mixed) == sum(t for _, t in taken) > 0
+
+
+def test_columns_with_any_names(spark):
+    docs = read_table(spark, SF, "documents").limit(150).selectExpr("*", "1L AS `a.b`", "'x' AS `c d`", "doc_id AS `e``f`", "2 AS key", "3 AS removed")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, SF))
+    assert docs.columns[-5:] == ["a.b", "c d", "e`f", "key", "removed"] and docs.filter("`a.b` <> 1 OR `c d` <> 'x' OR `e``f` <> doc_id").isEmpty() and docs.count() > 0

@@ -98,3 +98,22 @@ def test_edges(spark):
     assert simhash.near_duplicates_removed(again).columns == again.columns
     nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.simhash_components(nameless).filter("component_id is null").count() == 3
+
+
+def test_recall_of_near_copies_that_differ(spark):
+    """Every copy has at least one other word; pairs with over 0.85 of their five-word shingles in common are found, unlike texts stay."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(150):
+        words = sentence(rng, rng.randrange(60, 400), 5000).split()
+        texts.append(" ".join(words))
+        copy = list(words)
+        for j in range(max(1, int(len(words) * rng.uniform(0.001, 0.014)))):
+            copy[rng.randrange(len(copy))] = f"other{k}x{j}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    found = {r.doc_id for r in simhash.near_duplicates_removed(documents(spark, texts)).collect()}
+    should, gone = [k for k, j in enumerate(alike) if j >= 0.85], [2 * k + 2 not in found for k in range(150)]
+    assert len(should) > 100 and sum(gone[k] for k in should) >= 0.9 * len(should)
+    assert not any(gone[k] for k, j in enumerate(alike) if j < 0.7) and all(2 * k + 1 in found for k in range(150))
