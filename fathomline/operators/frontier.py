@@ -26,6 +26,8 @@ from fathomline.operators.regression import moment_split, moments, regression
 #: Cells (rows times draws) that a task holds at a time; one firm's rows stay together.
 BLOCK_CELLS = 400_000
 ROOT_TWO_OVER_PI = math.sqrt(2 / math.pi)
+#: Log-variances below the first are tried at the second, where they make no difference, when a search has become slow.
+NEARLY_ZERO, ZERO = -7.0, -25.0
 
 
 Block = dict[str, np.ndarray]
@@ -122,6 +124,22 @@ class Frontier:
         loglik, score, hessian = firm_curvature(block, theta, self, kept)
         return loglik, score, hessian, hessian
 
+    def jumps(self, theta: np.ndarray) -> list[np.ndarray]:
+        """theta with one or all of the small variances as good as zero, the intercept moved by the mean inefficiency that is lost."""
+        terms, sizes = self.terms(), self.sizes()
+        first = dict(zip(sizes, np.concatenate([[0], np.cumsum(list(sizes.values()))[:-1]])))
+        small = [b for b in ("zuit", "zui0", "zvi0") if b in sizes and theta[first[b]] < NEARLY_ZERO and theta[first[b]] > ZERO + 1]
+        out = []
+        for chosen in ([b] for b in small) if len(small) < 2 else (*([b] for b in small), small):
+            moved = theta.copy()
+            for b in chosen:
+                moved[first[b] : first[b] + sizes[b]] = 0.0
+                moved[first[b]] = ZERO
+                if b != "zvi0" and terms[0] == "_cons" and self.distribution == "half":
+                    moved[0] -= self.s * ROOT_TWO_OVER_PI * math.exp(0.5 * theta[first[b]])
+            out.append(moved)
+        return out
+
     def split(self, theta: np.ndarray) -> dict[str, np.ndarray]:
         sizes = self.sizes()
         return dict(zip(sizes, np.split(theta, np.cumsum(list(sizes.values()))[:-1])))
@@ -647,9 +665,8 @@ class Fit:
 
     def boundary(self) -> list[str]:
         """Terms that the likelihood doesn't bend with, like the log of a variance that goes to zero: they have no standard error."""
-        flat = np.abs(np.diag(self.hessian)) <= np.maximum(1e-4, 1e-9 * np.abs(np.diag(self.hessian)).max(initial=0))
-        lost = np.sqrt(np.maximum(np.diag(self.vcov(False)), 0)) <= 1e-9
-        return [t for t, f in zip(self.terms, flat | lost) if f]
+        bends = np.abs(np.diag(self.hessian))
+        return [t for t, b in zip(self.terms, bends) if b <= max(1e-4, 1e-12 * bends.max(initial=0))]
 
     def bread(self) -> np.ndarray:
         """The inverse of minus the Hessian times the number of rows."""
@@ -698,7 +715,7 @@ def maximise(rows: DataFrame, model: Frontier, theta: np.ndarray, n_obs: int, n_
 
     converged: the gradient's norm is under the tolerance.
     """
-    (found,) = lockstep([search(method, theta, Options.of(options))], lambda asks: evaluate_asks(rows, asks, model))
+    (found,) = lockstep([search(method, theta, Options.of(options), jumps=model.jumps)], lambda asks: evaluate_asks(rows, asks, model))
     return audited(found, model, n_obs, n_firms)
 
 

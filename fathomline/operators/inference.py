@@ -118,7 +118,7 @@ def search(
             jobs += 1
             return FR.evaluate_asks(rows, asks, model)
 
-        found = lockstep([searched(method, tried[k], options) for k in order], evaluate)
+        found = lockstep([searched(method, tried[k], options, jumps=model.jumps) for k in order], evaluate)
         out = {k: FR.audited(f, model, n_obs, n_firms) for k, f in zip(order, found)}
         lines = [(k, float(v), out[k].loglik if k in out else None, out[k].converged if k in out else None) for k, v in enumerate(scores)]
         table = panel.sparkSession.createDataFrame(lines, "start long, loglik double, fitted double, converged boolean")

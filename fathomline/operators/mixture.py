@@ -77,6 +77,15 @@ class Mixture:
         k = (self.classes - 1) * (len(self.z) + 1)
         return np.vstack([theta[:k].reshape(self.classes - 1, -1), np.zeros(len(self.z) + 1)]), np.split(theta[k:], self.classes)
 
+    def jumps(self, theta: np.ndarray) -> list[np.ndarray]:
+        """theta with the jumps of one class, or of all that have any."""
+        first = (self.classes - 1) * (len(self.z) + 1)
+        parts = np.split(theta[first:], self.classes)
+        each = [self.frontier.jumps(p) for p in parts]
+        join = lambda chosen: np.concatenate([theta[:first], *chosen])
+        out = [join([j if k == c else p for k, p in enumerate(parts)]) for c, found in enumerate(each) for j in found]
+        return out + ([join([found[-1] if found else p for p, found in zip(parts, each)])] if sum(map(bool, each)) > 1 else [])
+
     def joined(self, block: FR.Block, theta: np.ndarray, classes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """Log-likelihood, priors and posteriors of each firm from its log-likelihoods in the classes."""
         z = block["zsp"][block["starts"]] @ self.parts(theta)[0].T
@@ -241,7 +250,7 @@ def expectation_maximisation(rows: DataFrame, theta: np.ndarray, model: Mixture,
             before, last = loglik, theta
             alpha, classes = theta[:first], np.split(theta[first:], model.classes)
             tolerance = min(1e-3, options.grad_err_tol)
-            searches = [newton(t, options, c, options.em_class_max_iter, tolerance) for c, t in enumerate(classes)]
+            searches = [newton(t, options, c, options.em_class_max_iter, tolerance, model.frontier.jumps) for c, t in enumerate(classes)]
             searches.append(newton(alpha, options, model.classes, options.em_seg_max_iter, 1e-8))
             found = lockstep(searches, lambda asks: FR.evaluate_asks(kept, asks, objective))  # noqa: B023
             theta = np.concatenate([found[-1].theta, *(f.theta for f in found[:-1])])

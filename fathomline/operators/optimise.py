@@ -42,7 +42,7 @@ class Found:
     here: Sums
     converged: bool
     steps: int
-    #: Why the search ended: "gradient", "likelihood" (an EM search), "steps" or "no ascent".
+    #: Why the search ended: "gradient", "likelihood" (an EM search), "steps", "no ascent" or "ridge" (see newton).
     reason: str
 
 
@@ -106,46 +106,85 @@ def lockstep(searches: Sequence[Search], evaluate: Callable[[list[Ask]], list[Su
 
 
 def restricted_step(bend: np.ndarray, gradient: np.ndarray, radius: float = 2.0) -> np.ndarray:
-    """The step that the quadratic form makes best among those no longer than radius; bend is positive definite.
+    """The step that the quadratic form makes best among those no longer than radius, whether bend is positive definite or not.
 
-    What the likelihood hardly bends with is held back, so that it doesn't shorten the steps of all others.
+    What the likelihood hardly bends with is held back, so that it doesn't shorten the steps of all others. Where it bends upwards the step
+    goes to the radius, along the most upward direction if the gradient has none of it.
     """
     values, vectors = np.linalg.eigh(bend)
     along = vectors.T @ gradient
-    low, high = 0.0, float(np.linalg.norm(gradient)) / radius
-    if np.linalg.norm(along / values) > radius:
-        for _ in range(100):
-            mid = (low + high) / 2
-            low, high = (mid, high) if np.linalg.norm(along / (values + mid)) > radius else (low, mid)
-        values = values + high
-    return vectors @ (along / values)
-
-
-def newton(theta: np.ndarray, options: Options, tag: int = 0, most_steps: int | None = None, tolerance: float | None = None) -> Search:
-    """Newton steps within a radius. Where minus the Hessian isn't positive definite, that of the classes' own likelihoods takes its
-    place, or the scores' outer products. The whole step is tried first, shorter ones in one evaluation if it fails."""
+    # What changes nothing, like the log of a variance that is as good as zero, would use up the radius.
+    small = 1e-13 * max(1e3, float(np.abs(values).max()))
+    alive = (np.abs(along) >= 1e-8) | (np.abs(values) >= small)
+    values, vectors, along = np.where(np.abs(values) < small, small, values)[alive], vectors[:, alive], along[alive]
+    if not len(values):
+        return np.zeros(len(gradient))
+    length = lambda shift: float(np.linalg.norm(along / (values + shift)))
+    least = 0.0 if values.min() > 0 else -values.min() + small
+    if length(least) <= radius:
+        step = along / (values + least)
+        if least:
+            k = int(values.argmin())
+            step[k] += math.copysign(math.sqrt(max(0.0, radius**2 - step @ step)), step[k])
+        return vectors @ step
+    low, high = least, least + float(np.linalg.norm(gradient)) / radius
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if length(mid) > radius else (low, mid)
+    return vectors @ (along / (values + high))
+
+
+#: Other places worth a look from a parameter vector, as a model knows them.
+Jumps = Callable[[np.ndarray], list[np.ndarray]]
+#: A step that adds less than this is slow; so many of them running make a search look at jumps, and end it where there are none.
+SLOW_GAIN, SLOW_STEPS, MOST_SLOW = 1e-4, 3, 40
+
+
+def newton(theta: np.ndarray, options: Options, tag: int = 0, most_steps: int | None = None, tolerance: float | None = None, jumps: Jumps | None = None) -> Search:
+    """Newton steps within a radius that follows how well the quadratic form foretells the likelihood.
+
+    A step that doesn't raise it is followed by ever shorter ones, each with the direction that is best at its length, in one evaluation; by
+    the Hessian, and by the curves that are definite by their form: the classes' own likelihoods' and the scores' outer products.
+    On a bent ridge, along which a variance goes to zero, quadratic steps stay short: when they have become slow, a few steps are made from the
+    likeliest jump, and the search goes on there if that is likelier than here. A search that stays slow ends as "ridge".
+    """
+    slow = 0
     most_steps, tolerance = options.maxit if most_steps is None else most_steps, tolerance or options.grad_err_tol
-    lengths = 0.5 ** np.arange(1, 13)
-    definite = lambda h: h is not None and bool(np.isfinite(h).all() and np.linalg.eigvalsh(h).min() > 1e-8)
-    minus = lambda h: None if h is None else -h
+    radius = options.tr_radius
     (here,) = yield [Ask(theta, CURVED, tag)]
     for steps in range(most_steps + 1):
         if np.linalg.norm(here.gradient) < tolerance:
             return Found(theta, here, True, steps, "gradient")
-        if steps == most_steps or not np.isfinite(here.gradient).all():
+        if steps == most_steps or not (np.isfinite(here.gradient).all() and np.isfinite(here.hessian).all()):
             break
-        bends = [minus(here.hessian), minus(here.complete)]
-        bend = next((h for h in bends if definite(h)), here.outer + 1e-6 * np.eye(len(theta)))
-        step = restricted_step(bend, here.gradient, options.tr_radius)
+        step = restricted_step(-here.hessian, here.gradient, radius)
         (there,) = yield [Ask(theta + step, CURVED, tag)]
-        if not there.loglik > here.loglik:
-            tried = [t.loglik for t in (yield [Ask(theta + length * step, VALUE, tag) for length in lengths])]
+        if there.loglik > here.loglik and np.isfinite(there.gradient).all():
+            foretold = here.gradient @ step + 0.5 * step @ here.hessian @ step
+            share, size = (there.loglik - here.loglik) / max(foretold, 1e-300), float(np.linalg.norm(step))
+            radius = min(2 * radius, 16 * options.tr_radius) if share > 0.75 and size > 0.9 * radius else max(size / 2, 1e-8) if share < 0.25 else radius
+        else:
+            size = min(radius, float(np.linalg.norm(step)))
+            bends = [-here.hessian, here.outer + 1e-6 * np.eye(len(theta)), *([] if here.complete is None else [-here.complete])]
+            shorter = [restricted_step(b, here.gradient, size * 4.0**-k) for b in bends if np.isfinite(b).all() for k in range(1, 11)]
+            tried = [t.loglik for t in (yield [Ask(theta + x, VALUE, tag) for x in shorter])]
             best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
             if not tried[best] > here.loglik:
                 return Found(theta, here, False, steps, "no ascent")
-            step = lengths[best] * step
+            step = shorter[best]
+            radius = max(float(np.linalg.norm(step)), 1e-8)
             (there,) = yield [Ask(theta + step, CURVED, tag)]
+        slow = slow + 1 if there.loglik - here.loglik < SLOW_GAIN else 0
         theta, here = theta + step, there
+        if slow in (SLOW_STEPS, 4 * SLOW_STEPS) and jumps and (places := jumps(theta)):
+            tried = [t.loglik for t in (yield [Ask(x, VALUE, tag) for x in places])]
+            best = int(np.argmax(np.where(np.isfinite(tried), tried, -np.inf)))
+            if np.isfinite(tried[best]):
+                near = yield from newton(places[best], options, tag, 8, tolerance)
+                if near.here.loglik >= here.loglik - 1e-9:
+                    theta, here, radius, slow = near.theta, near.here, options.tr_radius, 0
+        if slow >= MOST_SLOW:
+            return Found(theta, here, bool(np.linalg.norm(here.gradient) < tolerance), steps + 1, "ridge")
     return Found(theta, here, False, steps, "steps")
 
 
@@ -335,7 +374,7 @@ METHODS = ("tr", "bfgs", "lbfgs", "bfgs_tr", "lbfgs_tr", "pso_tr", "pso_bfgs_tr"
 NEWTON_PARAMETERS = 50
 
 
-def search(method: str | None, theta: np.ndarray, options: Options, tag: int = 0, seed: int = 1, topology: str = "von_neumann") -> Search:
+def search(method: str | None, theta: np.ndarray, options: Options, tag: int = 0, seed: int = 1, topology: str = "von_neumann", jumps: Jumps | None = None) -> Search:
     """The search that a method names; hybrid_ before the name is allowed. None: tr, and lbfgs beyond NEWTON_PARAMETERS.
 
     A swarm looks within 2 of theta first and, if the gradient isn't near zero after that, within 5.
@@ -351,7 +390,7 @@ def search(method: str | None, theta: np.ndarray, options: Options, tag: int = 0
             found = yield from swarm(at, 2.0, 200, topology=topology, seed=seed, tag=tag)
             at, steps = found.theta, found.steps
             if not np.linalg.norm(found.here.gradient) < options.grad_err_tol:
-                polished = yield from newton(at, options, tag)
+                polished = yield from newton(at, options, tag, jumps=jumps)
                 if polished.converged:
                     return replace(polished, steps=steps + polished.steps)
                 wide = yield from swarm(at, 5.0, 300, topology=topology, seed=seed + 1, tag=tag)
@@ -362,7 +401,7 @@ def search(method: str | None, theta: np.ndarray, options: Options, tag: int = 0
             if last:
                 return replace(found, steps=steps + found.steps)
             at, steps = found.theta, steps + found.steps
-        found = yield from newton(at, options, tag)
+        found = yield from newton(at, options, tag, jumps=jumps)
         return replace(found, steps=steps + found.steps)
 
     return run()

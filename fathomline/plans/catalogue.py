@@ -581,7 +581,8 @@ GTRE = FR.Frontier("y", ["x1"], persistent=True)
 
 
 def table(found: FR.Fit, spark: SparkSession) -> DataFrame:
-    return found.table(spark).withColumn("loglik", F.lit(found.loglik)).withColumn("converged", F.lit(found.converged))
+    """Estimates, the log-likelihood, whether the search converged, why it ended, and the terms on the boundary."""
+    return found.table(spark).withColumn("loglik", F.lit(found.loglik)).withColumn("converged", F.lit(found.converged)).withColumn("ended", F.lit(found.reason)).withColumn("boundary", F.lit(", ".join(found.boundary())))
 
 
 @query("fit_tre", None)
@@ -744,8 +745,8 @@ SCRAMBLED = FR.Frontier("y", ["x1"], draws=4)
 DIGITS = [int(d) for d in np.random.default_rng([SCRAMBLED.seed, 3]).permutation(3)]
 
 
-@query("halton_scrambled", f"""WITH i AS (SELECT s_suppkey AS id, (dense_rank() OVER (ORDER BY s_suppkey) - 1) * 4 + r + 1001 AS at, r FROM supplier, range(4) g(r))
-SELECT id, r::BIGINT AS r, round(sum([{', '.join(map(str, DIGITS))}][1 + (at // (3::HUGEINT ** k)::BIGINT) % 3] * (1.0::DOUBLE / 3) ** (k + 1)), 9) + 0.0 AS u FROM i, range(33) d(k) GROUP BY id, r""")
+@query("halton_scrambled", f"""WITH i AS (SELECT s_suppkey AS id, (dense_rank() OVER (ORDER BY s_suppkey) - 1) * 4 + r + 1001 AS n, r FROM supplier, range(4) g(r))
+SELECT id, r::BIGINT AS r, round(sum([{', '.join(map(str, DIGITS))}][1 + (n // pow(3, k)::BIGINT) % 3] * (1.0::DOUBLE / 3) ** (k + 1)), 9) + 0.0 AS u FROM i, range(33) d(k) GROUP BY id, r""")
 def _(spark, sf_dir):
     """Four scrambled numbers of base 3 for each supplier, by its place among them."""
     ids = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
@@ -821,3 +822,37 @@ def _(spark, sf_dir):
     """Transient efficiency of one year by orthant probabilities in each class, weighted by the posteriors."""
     found = colombi.class_efficiencies(supplier_year(spark, sf_dir).filter("time = 1996"), LC_THETA, LC_PANEL, draws=10_000)
     return found.select("id", (F.round("transient", 3) + 0.0).alias("transient"))
+
+
+def _newton_sql(steps: int = 30) -> str:
+    """Newton steps to the maximum of the half-normal likelihood of y on x1, as a recursive query: sums of scores and curvatures, then a
+    4 x 4 system solved by elimination, column by column."""
+    sums = {
+        "g0": "-fe", "g1": "-fe * x1", "g2": "fa", "g3": "fb", "h00": "-ee", "h01": "-ee * x1", "h11": "-ee * x1 * x1", "h02": "ea", "h12": "ea * x1", "h03": "eb", "h13": "eb * x1",
+        "h22": "-aa", "h23": "-ab", "h33": "-bb",
+    }
+    inner = f"""SELECT *, -(m * (w + m)) AS bend FROM (SELECT *, exp(-0.5 * w * w) / sqrt(2 * pi()) / ({norm_cdf_sql('w')}) AS m FROM (
+      SELECT *, -e * k AS w FROM (SELECT *, sqrt(su / (sv * s2)) AS k, su / s2 AS pu, sv / s2 AS pv, 0.5 * sv / s2 AS ka, -0.5 * (1 + sv / s2) AS kb, e * e / s2 AS sq, su * sv / (s2 * s2) AS cr FROM (
+        SELECT *, su + sv AS s2 FROM (SELECT n, t0, t1, t2, t3, x1, y - t0 - t1 * x1 AS e, exp(t2) AS su, exp(t3) AS sv FROM sy, it WHERE n < {steps})))))"""
+    curves = f"""SELECT *, -e / s2 - k * m AS fe, (0.5 * sq - 0.5) * pu + m * w * ka AS fa, (0.5 * sq - 0.5) * pv + m * w * kb AS fb, -1 / s2 + bend * k * k AS ee,
+      e * pu / s2 - k * ka * mx AS ea, e * pv / s2 - k * kb * mx AS eb, -0.5 * cr + 0.5 * sq * (cr - pu * pu) + w * (ka * ka * mx - 0.5 * m * cr) AS aa,
+      0.5 * cr - sq * cr + w * (ka * kb * mx + 0.5 * m * cr) AS ab, -0.5 * cr + 0.5 * sq * (cr - pv * pv) + w * (kb * kb * mx - 0.5 * m * cr) AS bb FROM (SELECT *, m + bend * w AS mx FROM ({inner}))"""
+    system = f"SELECT any_value(n) AS n, {', '.join(f'any_value(t{i}) AS t{i}' for i in range(4))}, {', '.join(f'sum({v}) AS {k}' for k, v in sums.items())} FROM ({curves})"
+    for i in range(3):  # column i of the rows below
+        rows = range(i + 1, 4)
+        new = [f"h{a}{b} - h{i}{a} * h{i}{b} / h{i}{i} AS h{a}{b}" for a in rows for b in range(a, 4)] + [f"g{a} - h{i}{a} * g{i} / h{i}{i} AS g{a}" for a in rows]
+        system = f"SELECT * REPLACE ({', '.join(new)}) FROM ({system})"
+    for i in range(3, -1, -1):
+        known = "".join(f" - h{i}{b} * d{b}" for b in range(i + 1, 4))
+        system = f"SELECT *, (g{i}{known}) / h{i}{i} AS d{i} FROM ({system})"
+    step = "least(1.0, 0.5 / greatest(abs(d0), abs(d1), abs(d2), abs(d3)))"
+    return f"""{SY.replace('WITH', 'WITH RECURSIVE', 1)}, it AS (SELECT 0 AS n, {B0}::DOUBLE AS t0, {B1}::DOUBLE AS t1, {GU}::DOUBLE AS t2, {GV}::DOUBLE AS t3
+    UNION ALL SELECT n + 1, {', '.join(f't{i} + d{i} * {step}' for i in range(4))} FROM ({system}) WHERE n IS NOT NULL)
+    SELECT unnest(['_cons', 'x1', 'Zuit_cons', 'Zvit_cons']) AS term, round(unnest([t0, t1, t2, t3]), 4) + 0.0 AS estimate FROM it WHERE n = {steps}"""
+
+
+@query("fit_cross_estimates", _newton_sql())
+def _(spark, sf_dir):
+    """Estimates of a half-normal cross-section frontier."""
+    found = FR.fit(supplier_year(spark, sf_dir), FR.Frontier("y", ["x1"], effect="none"), options={"grad_err_tol": 1e-6})
+    return rounded(found.table(spark).select("term", "estimate"), 4)
