@@ -36,12 +36,16 @@ from fathomline.llm.url_filter import host_and_path
 TOKENS = 8
 #: A run is boilerplate if so many pages have it, and of the host's pages one in so many: in main parts, and on pages without one.
 LEAST_PAGES, PART = (5, 3), (2, 4)
+#: Runs that cover more than so much of a page's stream are content that near-equal pages share: in a main part, and without one.
+MOST_COVERED = (0.5, 0.875)
+#: A form that has a block of so many words, and more text than all that stays beside it, is the page's frame.
+FRAME_WORDS = 25
 #: Tokens of an anchor.
 ANCHOR = 3
 
 #: Elements by what they mean here, and words of classes, ids and roles that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 LEFT_OUT = frozenset("head nav header footer aside form button dialog menu fieldset".split())
 MAIN = frozenset(("article", "main"))
 BLOCK = frozenset(
@@ -57,6 +61,7 @@ BEFORE = frozenset("bottom global left primary right secondary site top".split()
 AFTER = frozenset("area bar bottom box button buttons container icons left links list right slot top unit wrapper".split())
 #: Marks of what has articles of its own that aren't the page's.
 OTHERS = frozenset("comment comments disqus related teaser teasers".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: An open one of these is closed by the start of a block.
 IMPLIED_END = {"p": BLOCK, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "tr": frozenset(("tr",))}
@@ -89,6 +94,8 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> str:
         value = (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
             return "hard"
+        if name == "id" and tag in HEADINGS:  # names the section for links
+            continue
         if name in ("class", "id", "role") and tag not in ("html", "body"):
             for word in value.split():
                 marks |= _marks(word)
@@ -108,7 +115,15 @@ def blocks_of(page: str | None) -> list[tuple[bool, bool, str]]:
     for tag in MAIN:
         if not kept[tag] and (tag == "main" or not kept["main"] or len(held[tag]) == 1):
             staying = staying.union(*held[tag])
-    return _parsed(page or "", staying)[0] if staying else out
+    if staying:
+        return _parsed(page or "", staying)[0]
+    forms = frozenset(m.start() for m in FORM.finditer(page or ""))
+    if not forms or any(main for main, left, _ in out if not left):
+        return out
+    framed = _parsed(page or "", forms)[0]
+    size = lambda blocks: sum(len(t) for _, left, t in blocks if not left)
+    longest = max((t.count(" ") + 1 for (_, a, t), (_, b, _) in zip(framed, out) if b and not a), default=0) if len(framed) == len(out) else 0
+    return framed if longest >= FRAME_WORDS and size(framed) > 2 * size(out) else out
 
 
 def _parsed(page: str, staying: frozenset[int]) -> tuple[list[tuple[bool, bool, str]], dict[str, int], dict[str, list[set[int]]]]:
@@ -181,6 +196,9 @@ def _parsed(page: str, staying: frozenset[int]) -> tuple[list[tuple[bool, bool,
     return out, kept, held
 
 
+FORM = re.compile(r"<form(?=[\s>/])", re.I)
+
+
 def streams(page: str | None) -> tuple[bool, list[str], list[bool]]:
     """Whether the page has no main part, the texts of its stream in page order, and which of them are left out of its text."""
     blocks = blocks_of(page)
@@ -293,8 +311,11 @@ def boilerplate(parsed: DataFrame) -> DataFrame | None:
     return join_on_counted_key(suffixes.select("key", "body", "at"), repeated, "key", "n", total).select("body", "at")
 
 
-def uncovered(texts: list[str], places: list[int] | None) -> list[str]:
-    """For each text in a stream of texts what repeated substrings that start at places leave of it; empty if nothing."""
+def uncovered(texts: list[str], places: list[int] | None, most: float = 1.0) -> list[str]:
+    """For each text in a stream of texts what repeated substrings that start at places leave of it; empty if nothing.
+
+    If they cover more than the share most of the stream's tokens they leave all.
+    """
     if not places:
         return texts
     lists = [text.split(" ") for text in texts]
@@ -305,6 +326,8 @@ def uncovered(texts: list[str], places: list[int] | None) -> list[str]:
     np.add.at(repeated, starts, 1)
     np.add.at(repeated, np.minimum(starts + TOKENS, n), -1)
     covered = np.cumsum(repeated)[:-1] > 0
+    if covered.mean() > most:
+        return texts
     out, at = [], 0
     for text, tokens in zip(texts, lists):
         mine = covered[at : at + len(tokens)]
@@ -313,9 +336,9 @@ def uncovered(texts: list[str], places: list[int] | None) -> list[str]:
     return out
 
 
-def joined_text(texts: list[str], left: list[bool], places: list[int] | None = None) -> str:
+def joined_text(texts: list[str], left: list[bool], places: list[int] | None = None, most: float = 1.0) -> str:
     """The text of a page from its stream, without what is left out and what repeated substrings cover."""
-    found = [t for t, x in zip(uncovered(texts, places), left) if t and not x]
+    found = [t for t, x in zip(uncovered(texts, places, most), left) if t and not x]
     return "\n".join(found or [t for t, x in zip(texts, left) if not x])
 
 
@@ -330,7 +353,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     text: blocks in page order, joined by one line end; inside a block character references are decoded and white space is one
     space; empty if there is none. A null html is an empty page; pages with a null or malformed url share the empty host.
-    Pages with equal streams are one page to the suffix array, so a repeated row repeats nothing. Pages may be of any length
+    Pages with equal streams are one page to the suffix array, so a repeated row repeats nothing; runs that cover most of a page's
+    stream (MOST_COVERED) are what near-equal articles share, and stay. Pages may be of any length
     and markup may break off. Other columns are ignored. Empty in, empty out.
     """
     parsed = written(pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html").mapInArrow(_parse, PARSED))
@@ -345,7 +369,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            texts = [joined_text(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("texts", "left", "places")))]
+            texts = [joined_text(*row, MOST_COVERED[open_]) for *row, open_ in zip(*(batch.column(c).to_pylist() for c in ("texts", "left", "places", "open")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=names)
 
-    return rows.select("page_id", "url", "texts", "left", "places").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "texts", "left", "places", "open").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

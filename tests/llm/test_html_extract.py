@@ -124,3 +124,27 @@ def test_markup_that_is_not_what_it_seems():
         "<p title=\"never closed>gone": "",
     }.items():
         assert html_extract.main_text(page) == wanted, page
+
+
+def test_near_equal_articles_stay(spark):
+    """Pages of a host whose articles differ in title and last word only, with and without a marked main part."""
+    story, share = sentence(random.Random(8), 60, 10_000), sentence(random.Random(9), 12, 10_000)
+    for tag in ("article", "div"):
+        rows = [(k, f"http://h.com/{k}", f"<nav>Menu</nav><{tag}><h1>Title {k}</h1><p>{story}</p><p>ending {k}</p></{tag}>") for k in range(6)]
+        out = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert out == {k: f"Title {k}\n{story}\nending {k}" for k in range(6)}, tag
+    # What many pages share beside articles of their own still goes.
+    rows = [(k, f"http://h.com/{k}", f"<article><p>{sentence(random.Random(100 + k), 40, 10_000)}</p><p>{share}</p></article>") for k in range(6)]
+    assert not any(share in r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+
+
+def test_forms_around_pages_and_marked_headings():
+    story = sentence(random.Random(3), 40, 10_000)
+    for page, wanted in {
+        f"<body><form action='/'><div><p>{story}</p></div></form><div>Copyright</div></body>": f"{story}\nCopyright",
+        f"<p>{story}</p><form><label>Your name</label><input><p>Send us a message</p></form>": story,
+        f"<article><p>{story}</p></article><form><p>{story} {story}</p></form>": story,
+        "<article><p>Let <math><mi>x</mi></math> be <object>a number</object>.</p></article>": "Let x be a number.",
+        "<article><h2 id='cookie'>Cookies</h2><p>Bake.</p><h3 id=menu>Menu</h3><p>Eat.</p></article>": "Cookies\nBake.\nMenu\nEat.",
+    }.items():
+        assert html_extract.main_text(page) == wanted, page
