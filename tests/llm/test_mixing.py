@@ -1,5 +1,6 @@
 """Targets against plain Python; what the mix takes."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -72,3 +73,20 @@ def test_edges(spark):
     wide = docs.union(docs).withColumn("h", F.lit("x")).withColumn("_place", F.lit(1)).withColumn("_copies", F.lit(1)).withColumn("_copy", F.lit(1)).withColumn("_doc_id", F.lit(1)).withColumn("size", F.lit(9))
     assert mixing.mix(wide).count() == 6
     assert mixing.mixed_documents(wide).columns == wide.columns
+
+
+def test_sources_come_near_their_targets(spark):
+    """Each source's taken words are within a hundredth of its target or its smallest document, however sizes are spread."""
+    rng = random.Random(31)
+    texts, sources = [], []
+    for s in range(12):
+        for _ in range(rng.randrange(20, 80)):
+            texts.append(" ".join(["w"] * max(1, int(rng.paretovariate(0.8) * 10) % 3000)))
+            sources.append(f"s{s:02d}")
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, lang string, source string, n_chars int").withColumnRenamed("n_chars", "n")
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    for s in set(sources):
+        mine = [r for r in rows if r.source == s]
+        smallest = min(r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(smallest, 0.01 * mine[0].target), s
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine)
