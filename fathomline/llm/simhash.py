@@ -10,7 +10,8 @@ of g fingerprints takes g look-ups of each and not g * g comparisons. The tally
 of each pair found are then counted on the whole fingerprints.
 
 The stage that removes near duplicates has no such bound of bits: at 0.8 of common shingles two fingerprints differ in some ten. Its index
-also holds bands of least hashes of each text's shingles; pairs that either part finds are verified on a wider fingerprint.
+also holds bands of least hashes of each text's shingles; pairs that either part finds are sifted by a wider fingerprint, and the shingles
+of the texts that are left are held against each other.
 """
 
 from __future__ import annotations
@@ -21,23 +22,24 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import byte_texts, columns_of, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
+from fathomline.llm.common import BROADCAST_ROWS, byte_texts, columns_of, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
 MOST_BITS = 2
 #: The stage that removes near duplicates has a fingerprint of INDEX_WORDS-word shingles in its index, and bands of BAND_HASHES least hashes
 #: of VERIFY_WORDS-word shingles: a pair with a share j of them in common meets in a band with a chance of 1 - (1 - j^4)^BANDS, 0.985 at
-#: SIMILARITY. What the index finds is verified on VERIFY_PRINTS * 64 bits of VERIFY_WORDS-word shingles.
+#: SIMILARITY. What the index finds is sifted by VERIFY_PRINTS * 64 bits of VERIFY_WORDS-word shingles and verified on the shingles themselves.
 INDEX_WORDS, INDEX_PRINTS = 2, 1
 BANDS, BAND_HASHES = 8, 4
 VERIFY_WORDS, VERIFY_PRINTS = 5, 4
-#: Least share of common shingles; the cosine that goes with it, and the bits that may differ at its angle.
+#: Least share of common shingles; the bits that differ at the angle that goes with it, and five standard deviations more.
 SIMILARITY = 0.8
-MOST_WIDE_BITS = int(64 * VERIFY_PRINTS * np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi)
+_TURN = np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+MOST_WIDE_BITS = int(64 * VERIFY_PRINTS * _TURN + 5 * np.sqrt(64 * VERIFY_PRINTS * _TURN * (1 - _TURN)))
 LEAST_BYTES = 8 - MOST_BITS
 #: The two byte positions that a posting leaves free.
 FREE = list(combinations(range(8), 8 - LEAST_BYTES))
@@ -233,11 +235,32 @@ def _similar(classes: DataFrame) -> DataFrame:
     return pairs.join(wide("src"), "src").join(wide("dst"), "dst").filter(apart <= MOST_WIDE_BITS).select("src", "dst")
 
 
+def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct hashes of each text's VERIFY_WORDS-word shingles."""
+    for batch in text_slices(batches):
+        sets = [np.unique(_shingle_hashes(_words(t), VERIFY_WORDS)).view(np.int64) for t in byte_texts(batch.column("text"))]
+        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), flat], names=["node", "shingles"])
+
+
+def _verified(docs: DataFrame, key: Column, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs(src, dst) of nodes that have SIMILARITY of their shingles in common; only the texts of nodes in pairs are read for it."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    wanted = cut(classes.select("node", F.col("first")["key"].alias("key")).join(nodes, "node"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    # Rows equal in doc_id and text share their key; any of them will do.
+    texts = docs.select(key.alias("key"), "text").join(few, "key").select("node", "text")
+    sets = cut(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.filter(common >= SIMILARITY * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """documents with one row of each group of near duplicates, columns as they are: the smallest doc_id, null last.
 
     Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if their index fingerprints differ in at
-    most 2 bits or they share a band, and the bits of their wide fingerprints say that SIMILARITY of their VERIFY_WORDS-word shingles are common;
+    most 2 bits or they share a band, and SIMILARITY of their VERIFY_WORDS-word shingles are common;
     what links join is a group. Texts without a word, null ones too, are one group. Of rows that share the doc_id the one with
     the smallest row_key stays, and of rows equal in doc_id and text any one; null and repeated doc_ids are linked by their texts
     alone. Empty in, empty out.
@@ -249,7 +272,7 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     prints = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_wide_fingerprints, schema)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = cut(prints.groupBy("node").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in columns]))
-    components = connected_components(_similar(classes))
+    components = connected_components(_verified(docs, key, cut(_similar(classes)), classes))
     named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
     return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*columns_of(docs))
