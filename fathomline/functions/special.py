@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from fathomline.functions.normal import DENOMINATOR, LOG_ROOT_TWO_PI, NUMERATOR, ROOT_TWO_PI, SWITCH
+from fathomline.functions.normal import DENOMINATOR, LOG_ROOT_TWO_PI, NUMERATOR, ROOT_TWO_PI, SWITCH, norm_cdf_sql
 
 #: Coefficients of a published rational approximation of the normal quantile (Acklam), refined below.
 QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -61,6 +61,22 @@ def ndtri(p: np.ndarray) -> np.ndarray:
     return np.where(inside, x, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))
 
 
+def ndtri_sql(p: str) -> str:
+    """The same as SQL text over a column p that lies within 0 and 1: the rational start, then the step; p is a column's name."""
+
+    def horner(coefficients: tuple[float, ...], x: str) -> str:
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    t, d = f"sqrt(-2 * ln(least({p}, 1 - {p})))", f"({p} - 0.5)"
+    outer = f"({horner(QUANTILE_C, t)} / {horner(QUANTILE_D, t)})"
+    start = f"(CASE WHEN {p} < 0.02425 THEN {outer} WHEN {p} > 1 - 0.02425 THEN -{outer} ELSE {horner(QUANTILE_A, f'({d} * {d})')} * {d} / {horner(QUANTILE_B, f'({d} * {d})')} END)"
+    error = f"((({norm_cdf_sql('x')}) - {p}) * sqrt(2 * pi()) * exp(0.5 * x * x))"
+    return f"list_transform([{start}], lambda x: x - {error} / (1 + 0.5 * x * {error}))[1]"
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)

@@ -684,13 +684,14 @@ class Fit:
     def bic(self) -> float:
         return math.log(self.n_obs) * self.n_parameters - 2 * self.loglik
 
-    def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95, normal: bool = False) -> DataFrame:
+    def table(self, spark: SparkSession, clustered: bool = True, level: float = 0.95, normal: bool | None = None) -> DataFrame:
         """term, estimate, std_error, t, p_value, and the ends of the interval, of each parameter; n_obs - k degrees of freedom.
 
-        normal: by the normal law, with z in place of t. A term on the boundary has none of these but its estimate.
+        normal: by the normal law, with z in place of t; the default for latent classes. A term on the boundary has none of these but its estimate.
         """
         if not 0 < level < 1:
             raise ValueError("level must be between 0 and 1")
+        normal = hasattr(self.model, "classes") if normal is None else normal
         se, df, edge = np.sqrt(np.maximum(np.diag(self.vcov(clustered)), 0)), max(1, self.n_obs - self.n_parameters), set(self.boundary())
         reach = float(ndtri(np.array((1 + level) / 2))) if normal else t_quantile((1 + level) / 2, df)
         rows = []
@@ -779,6 +780,40 @@ def score_rows(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFram
     return rows.mapInArrow(kernel, ", ".join([f"id {kinds['id']}", f"time {kinds['time']}", *(f"`{t}` double" for t in terms)]))
 
 
+def firm_logliks(panel: DataFrame, theta: np.ndarray, model: Frontier) -> DataFrame:
+    """id and log-likelihood of each firm, or of each row without a firm effect; those of some firms are a filter of it.
+
+    Draws belong to a firm's place among all firms of panel, so a subset has the likelihoods that it has in the whole.
+    """
+    rows = prepared(panel, model)
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _firm_blocks(batches, model):
+            ids = block["id"].combine_chunks().take(pa.array(block["starts"]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(model.value(block, theta, {}))], names=["id", "loglik"])
+
+    return rows.mapInArrow(kernel, f"id {dict(rows.dtypes)['id']}, loglik double")
+
+
+#: Weights of central differences at 1, 2, ... steps, by order of accuracy.
+STENCILS = {2: (1 / 2,), 4: (2 / 3, -1 / 12), 6: (3 / 4, -3 / 20, 1 / 60), 8: (4 / 5, -1 / 5, 4 / 105, -1 / 280)}
+
+
+def numeric_derivatives(rows: DataFrame, theta: np.ndarray, model: Frontier, accuracy: int = 4, step: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, Hessian) of prepared rows by central differences of log-likelihoods and of scores; all points are one job."""
+    if accuracy not in STENCILS:
+        raise ValueError("accuracy must be 2, 4, 6 or 8")
+    theta = np.asarray(theta, float)
+    h, weights = step * np.maximum(np.abs(theta), 1.0), STENCILS[accuracy]
+    moves = [(k, j + 1, s) for k in range(len(theta)) for j in range(len(weights)) for s in (1, -1)]
+    points = evaluate_asks(rows, [Ask(theta + s * j * h[k] * np.eye(len(theta))[k], GRADIENT) for k, j, s in moves], model)
+    gradient, hessian = np.zeros(len(theta)), np.zeros((len(theta),) * 2)
+    for (k, j, s), at in zip(moves, points):
+        gradient[k] += s * weights[j - 1] * at.loglik / h[k]
+        hessian[k] += s * weights[j - 1] * at.gradient / h[k]
+    return gradient, (hessian + hessian.T) / 2
+
+
 def model_matrix(panel: DataFrame, model: Frontier) -> DataFrame:
     """id, time, the response and a column for each term: the design of the complete rows, constants included."""
     rows = complete_cases(panel, model.columns())

@@ -336,6 +336,30 @@ def bootstrap_effects(panel: DataFrame, fitted: FR.Fit, model: FR.Frontier | MX.
     return spark.createDataFrame([(*line, len(found)) for line in lines], "term string, effect double, low double, high double, replicates int")
 
 
+def replicated_fits(panel: DataFrame, theta: np.ndarray, model: FR.Frontier | MX.Mixture, reps: int, seed: int = 1, start: np.ndarray | None = None, options: dict | Options | None = None) -> DataFrame:
+    """(replicate, term, truth, estimate, std_error, converged): fits to reps responses drawn from the model at theta, in lockstep.
+
+    std_error is null where the fit didn't converge or the term is on the boundary. The rows are what measures of bias,
+    spread and coverage are aggregated from.
+    """
+    if reps < 1:
+        raise ValueError("reps must be >= 1")
+    truth, options = FR.checked_start(theta, model), Options.of(options)
+    rows = FR.prepared(panel, model).persist()
+    try:
+        n_obs, n_firms = FR.counted(rows, model)
+        drawn, at = Redrawn(model, truth, seed), truth if start is None else FR.checked_start(start, model)
+        found = lockstep([newton(at, options, k) for k in range(reps)], lambda asks: FR.evaluate_asks(rows, asks, drawn))
+    finally:
+        rows.unpersist()
+    lines = []
+    for k, f in enumerate(found):
+        fitted = FR.audited(f, model, n_obs, n_firms)
+        se, edge = np.sqrt(np.maximum(np.diag(fitted.vcov()), 0)), set(fitted.boundary())
+        lines += [(k, t, float(truth[j]), float(f.theta[j]), float(se[j]) if f.converged and t not in edge and se[j] > 0 else None, f.converged) for j, t in enumerate(model.terms())]
+    return panel.sparkSession.createDataFrame(lines, "replicate int, term string, truth double, estimate double, std_error double, converged boolean")
+
+
 def sigma_table(panel: DataFrame, theta: np.ndarray, model: FR.Frontier | MX.Mixture) -> DataFrame:
     """(class, term, value): mean standard deviations of the parts, and the means of their ratios, over the rows; class is null without classes.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.normal import norm_cdf_sql, radical_inverse
+from fathomline.functions.special import ndtri_sql
 from fathomline.operators import density as D
 from fathomline.operators import colombi, formula, inference, kmeans, mixture
 from fathomline.operators import frontier as FR
@@ -591,10 +592,22 @@ def _(spark, sf_dir):
     return table(FR.fit(supplier_year(spark, sf_dir), TRE), spark)
 
 
-@query("gtre_scores", None)
+def _scrambled_sql(model: FR.Frontier, base: int, n: str) -> str:
+    """The scrambled number at place n, digit by digit as far as doubles tell."""
+    digits = [int(d) for d in FR.scrambled_digits(model, base)]
+    places = sum(base ** -(k + 1) > 1e-16 for k in range(60))
+    return f"list_sum(list_transform(range({places}), lambda k: {digits}[1 + ({n} // pow({base}, k)::BIGINT) % {base}] * pow({1 / base!r}, k + 1)))"
+
+
+@query("gtre_scores", f"""{SYE}, i AS (SELECT id, r, (row_number() OVER (ORDER BY id) - 1) * {GTRE.draws} + r + {GTRE.burn_in + 1} AS n FROM (SELECT DISTINCT id FROM sy), (SELECT 0 AS r)),
+d AS (SELECT id, g.r AS r, n + g.r AS n FROM i, range({GTRE.draws}) g(r)), h AS (SELECT id, r, {_scrambled_sql(GTRE, 2, 'n')} AS p, {_scrambled_sql(GTRE, 3, 'n')} AS q FROM d),
+w AS (SELECT id, r, {ndtri_sql('p')} AS v, abs({ndtri_sql('q')}) AS u FROM (SELECT id, r, greatest(1e-12, least(1 - 1e-12, p)) AS p, greatest(1e-12, least(1 - 1e-12, q)) AS q FROM h)),
+l AS (SELECT id, time, r, {HN_SQL} AS l, {JLMS_SQL} AS u, {BC_SQL} AS b FROM (SELECT e.id, time, r, e - {SV!r} * v + {SU!r} * u AS e FROM e JOIN w ON e.id = w.id)),
+s AS (SELECT id, r, sum(l) AS s FROM l GROUP BY id, r), z AS (SELECT id, r, exp(s - max(s) OVER (PARTITION BY id)) AS z FROM s), t AS (SELECT id, sum(z) AS t FROM z GROUP BY id)
+SELECT l.id, l.time::BIGINT AS time, {r('sum(z / t * u)', 5)} AS inefficiency, {r('sum(z / t * b)', 5)} AS efficiency FROM l JOIN z ON l.id = z.id AND l.r = z.r JOIN t ON l.id = t.id GROUP BY l.id, l.time""")
 def _(spark, sf_dir):
     """Inefficiency and efficiency of each supplier and year at fixed four-component parameters."""
-    return FR.efficiencies(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, GV, GU]), GTRE)
+    return rounded(FR.efficiencies(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, GV, GU]), GTRE), 5)
 
 
 #: A firm's likelihood in SQL as a dense sum over its effect v, and in the operators by adaptive quadrature.
@@ -856,3 +869,18 @@ def _(spark, sf_dir):
     """Estimates of a half-normal cross-section frontier."""
     found = FR.fit(supplier_year(spark, sf_dir), FR.Frontier("y", ["x1"], effect="none"), options={"grad_err_tol": 1e-6})
     return rounded(found.table(spark).select("term", "estimate"), 4)
+
+
+@query("firm_loglik", f"{SYE}, {_dense_sql('e', HN_SQL, 'a')} SELECT id, {r('l', 4)} AS loglik FROM a")
+def _(spark, sf_dir):
+    """Log-likelihood of each supplier with a random effect, by adaptive quadrature at fixed parameters."""
+    found = FR.firm_logliks(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV, LOG_S2V0]), QUADRATURE)
+    return rounded(found, 4)
+
+
+@query("monte_carlo", None)
+def _(spark, sf_dir):
+    """Bias, spread and coverage of twenty fits to responses drawn from a cross-section frontier on the suppliers' inputs."""
+    model = FR.Frontier("y", ["x1"], effect="none")
+    found = inference.replicated_fits(supplier_year(spark, sf_dir), np.array([B0, B1, GU, GV]), model, 20).filter("converged")
+    return rounded(estimate_metrics(found, ["term"], F.col("estimate"), F.col("truth"), F.col("std_error")))

@@ -334,3 +334,32 @@ def test_boundary_is_named(spark):
         assert rows[t].std_error is None and rows[t].p_value is None
     assert found.boundary() in ([], ["Zvi0_cons"]) and rows["x1"].std_error > 0
     assert "z" in found.table(spark, normal=True).columns
+
+
+def test_likelihoods_of_firms_and_differences(panel):
+    model = fr.Frontier("y", ["x1"], zuit=["z"], draws=15, shuffled=True)
+    theta = np.array([1.0, 0.5, -2.0, 0.1, -3.0, -3.0])
+    rows = fr.prepared(panel, model).cache()
+    (here,) = fr.evaluate(rows, [theta], model, curved=True)
+    found = fr.firm_logliks(panel, theta, model)
+    assert found.count() == here_firms(rows) and found.agg(F.sum("loglik")).first()[0] == pytest.approx(here.loglik)
+    for accuracy in fr.STENCILS:
+        gradient, hessian = fr.numeric_derivatives(rows, theta, model, accuracy)
+        assert gradient == pytest.approx(here.gradient, rel=1e-4, abs=1e-4) and np.allclose(hessian, here.hessian, rtol=1e-4, atol=1e-3)
+    with pytest.raises(ValueError):
+        fr.numeric_derivatives(rows, theta, model, 3)
+
+
+def here_firms(rows):
+    return rows.select("rank").distinct().count()
+
+
+def test_replicated_fits(spark):
+    base = spark.range(800).select("id", F.lit(1).alias("time"), F.col("id").cast("double").alias("y"), F.randn(1).alias("x1"))
+    model = fr.Frontier("y", ["x1"], effect="none")
+    truth = np.array([1.0, 0.5, 2 * math.log(0.4), 2 * math.log(0.2)])
+    found = inference.replicated_fits(base, truth, model, 8).cache()
+    assert found.count() == 32
+    row = found.filter("term = 'x1' and converged").agg(F.avg("estimate"), F.stddev("estimate"), F.avg("std_error"), F.count("*")).first()
+    assert row[0] == pytest.approx(0.5, abs=0.02) and row[3] >= 6 and 0.3 < row[1] / row[2] < 3
+    assert found.select("replicate").distinct().count() == 8
