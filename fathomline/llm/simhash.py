@@ -11,7 +11,9 @@ of each pair found are then counted on the whole fingerprints.
 
 The stage that removes near duplicates has no such bound of bits: at 0.8 of common shingles two fingerprints differ in some ten. Its index
 also holds bands of least hashes of each text's shingles; pairs that either part finds are sifted by a wider fingerprint, and the shingles
-of the texts that are left are held against each other.
+of the texts that are left are held against each other. That finds most links at little cost, but not all. Those between the groups so found
+come from the shingles themselves: two sets with SIMILARITY in common share one of the first fifth of their shingles in any order that is the
+same for all texts. The order is by frequency in a sample, rare ones first, so that few texts meet; it decides the work, not the result.
 """
 
 from __future__ import annotations
@@ -36,10 +38,16 @@ MOST_BITS = 2
 INDEX_WORDS, INDEX_PRINTS = 2, 1
 BANDS, BAND_HASHES = 8, 4
 VERIFY_WORDS, VERIFY_PRINTS = 5, 4
-#: Least share of common shingles; the bits that differ at the angle that goes with it, and five standard deviations more.
-SIMILARITY = 0.8
+#: Least share of common shingles, as a fraction too; the bits that differ at the angle that goes with it, and five standard deviations more.
+ALIKE = 4, 5
+SIMILARITY = ALIKE[0] / ALIKE[1]
 _TURN = np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
 MOST_WIDE_BITS = int(64 * VERIFY_PRINTS * _TURN + 5 * np.sqrt(64 * VERIFY_PRINTS * _TURN * (1 - _TURN)))
+#: The order of shingles is fitted to one text in SAMPLED, but to so many at least and at most; it ranks so many shingles, that so many of them have.
+SAMPLED, LEAST_TEXTS, MOST_TEXTS = 50, 4000, 100_000
+RANKED, LEAST_SEEN = 500_000, 3
+#: Texts that one task holds against each other for a shingle, and pairs that it makes at a time.
+BLOCK, PAIRS = 4096, 1 << 20
 LEAST_BYTES = 8 - MOST_BITS
 #: The two byte positions that a posting leaves free.
 FREE = list(combinations(range(8), 8 - LEAST_BYTES))
@@ -253,15 +261,110 @@ def _verified(docs: DataFrame, key: Column, pairs: DataFrame, classes: DataFrame
     sets = cut(texts.mapInArrow(_shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
     both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common >= SIMILARITY * (F.size("a") + F.size("b") - common)).select("src", "dst")
+    return both.filter(ALIKE[1] * common >= ALIKE[0] * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
+def _frequent(docs: DataFrame) -> tuple[DataFrame, float]:
+    """(shingle, seen) of the shingles that most texts of a sample have, and the share of the texts that are in it."""
+    total = docs.count()
+    share = min(1.0, min(max(LEAST_TEXTS, total / SAMPLED), MOST_TEXTS) / max(1, total))
+    sample = docs if share == 1.0 else docs.sample(share, SEED)
+    sets = sample.select(F.lit(0).cast("long").alias("node"), "text").mapInArrow(_shingle_sets, "node long, shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("seen"))
+    return cut(counts.filter(F.col("seen") >= LEAST_SEEN).orderBy(F.desc("seen"), "shingle").limit(RANKED)), share
+
+
+def _prefix(shingles: np.ndarray, ranked: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first of distinct shingles in the common order: as many as SIMILARITY leaves to be missing, and one more."""
+    rank = np.zeros(len(shingles), np.int64)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, shingles), len(ranked) - 1)
+        rank = np.where(ranked[at] == shingles, seen[at], 0)
+    most_missing = len(shingles) * (ALIKE[1] - ALIKE[0]) // ALIKE[1]
+    return shingles[np.lexsort((shingles, rank))][: most_missing + 1]
+
+
+def _prefixes(batches: Iterable[pa.RecordBatch], ranked: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The number of each text's distinct shingles, and their prefix."""
+    for batch in text_slices(batches):
+        sets = [np.unique(_shingle_hashes(_words(t), VERIFY_WORDS)).view(np.int64) for t in byte_texts(batch.column("text"))]
+        firsts = [_prefix(s, ranked, seen) for s in sets]
+        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), flat], names=["key", "size", "prefix"])
+
+
+def _pairs_of_shingle(size: np.ndarray, place: np.ndarray, node: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of different components that have a shingle at these places of their order and may have SIMILARITY in common.
+
+    If the shingle is the first that two texts share, at most left = size - place of either can be common, of which they need
+    a share need of the sum of their sizes. By size that leaves each text a run of the larger ones.
+    """
+    if (component == component[0]).all():
+        return
+    order = np.argsort(size, kind="stable")
+    size, left, node, component = size[order], (size - place)[order], node[order], component[order]
+    need, both = ALIKE[0], sum(ALIKE)
+    until = np.searchsorted(size, both * left // need - size, side="right")
+    many = np.maximum(0, until - np.arange(1, len(size) + 1))
+    upto = np.cumsum(many)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, end), many[at:end])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[at:end]) - many[at:end], many[at:end])
+        good = (component[i] != component[j]) & (both * left[j] >= need * (size[i] + size[j]))
+        yield node[i[good]], node[j[good]]
+        at = end
+
+
+def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches are sorted by (shingle, cell); a run of equal ones may go on in the next batch."""
+    names = ["shingle", "cell", "size", "place", "node", "component"]
+    rest = [np.empty(0, np.int64)] * len(names)
+
+    def found(columns: list[np.ndarray], starts: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+        ends = np.append(starts[1:], end)
+        pairs = (p for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]) for p in _pairs_of_shingle(*(c[s:e] for c in columns[2:])))
+        for a, b in pairs:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+
+    for batch in batches:
+        columns = [np.concatenate([r, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, n in zip(rest, names)]
+        starts = run_starts(columns[0], columns[1])
+        if len(starts):
+            yield from found(columns, starts[:-1], starts[-1])
+            rest = [c[starts[-1] :] for c in columns]
+    if len(rest[0]):
+        yield from found(rest, np.array([0]), len(rest[0]))
+
+
+def _between_groups(docs: DataFrame, key: Column, groups: DataFrame) -> DataFrame:
+    """(src, dst) of all nodes of different components that may have SIMILARITY in common; groups(key, node, component), one row a node.
+
+    A shingle that more than BLOCK texts should have has them dealt into blocks, and each two of these meet in a cell of their own.
+    """
+    frequent, share = _frequent(docs)
+    rows = frequent.toPandas().sort_values("shingle")
+    ranked, seen = rows["shingle"].to_numpy(np.int64), rows["seen"].to_numpy(np.int64)
+    prefixes = docs.select(key.alias("key"), "text").mapInArrow(lambda batches: _prefixes(batches, ranked, seen), "key long, size long, prefix array<long>")
+    # Rows equal in doc_id and text share their key; any of them will do.
+    prefixes = prefixes.groupBy("key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")).join(groups, "key")
+    postings = prefixes.select("node", "component", "size", F.posexplode("prefix").alias("place", "shingle"))
+    blocks = frequent.select("shingle", F.ceil(F.col("seen") / (share * BLOCK)).cast("int").alias("blocks")).filter("blocks > 1")
+    postings = postings.join(F.broadcast(blocks), "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    postings = postings.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    postings = postings.select("shingle", cell.alias("cell"), F.col("size").cast("int").alias("size"), "place", "node", "component")
+    return postings.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell").mapInArrow(_meetings, "src long, dst long").distinct()
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """documents with one row of each group of near duplicates, columns as they are: the smallest doc_id, null last.
 
-    Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if their index fingerprints differ in at
-    most 2 bits or they share a band, and SIMILARITY of their VERIFY_WORDS-word shingles are common;
-    what links join is a group. Texts without a word, null ones too, are one group. Of rows that share the doc_id the one with
+    Texts with equal words, A-Z lower-cased, are duplicates. Others are linked if SIMILARITY of their distinct VERIFY_WORDS-word
+    shingles are common, all such pairs; what links join is a group. Texts without a word, null ones too, are one group. Of rows that share the doc_id the one with
     the smallest row_key stays, and of rows equal in doc_id and text any one; null and repeated doc_ids are linked by their texts
     alone. Empty in, empty out.
     """
@@ -273,6 +376,9 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = cut(prints.groupBy("node").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in columns]))
     components = connected_components(_verified(docs, key, cut(_similar(classes)), classes))
+    groups = classes.join(components, "node", "left").select(F.col("first")["key"].alias("key"), "node", F.coalesce("component", "node").alias("component"))
+    more = _verified(docs, key, cut(_between_groups(docs, key, groups)), classes)
+    components = connected_components(components.toDF("src", "dst").unionByName(more))
     named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
     return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*columns_of(docs))

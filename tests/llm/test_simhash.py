@@ -117,3 +117,41 @@ def test_recall_of_near_copies_that_differ(spark):
     should, gone = [k for k, j in enumerate(alike) if j >= 0.85], [2 * k + 2 not in found for k in range(150)]
     assert len(should) > 100 and sum(gone[k] for k in should) >= 0.9 * len(should)
     assert not any(gone[k] for k, j in enumerate(alike) if j < 0.7) and all(2 * k + 1 in found for k in range(150))
+
+
+def meet_in_index(a, b):
+    """Whether two texts share a band or have index fingerprints at 2 or fewer bits."""
+    long, short = ([simhash._shingle_hashes(simhash._words(t.encode()), n) for t in (a, b)] for n in (simhash.VERIFY_WORDS, simhash.INDEX_WORDS))
+    bands, (x, y) = map(simhash._bands, long), (simhash._majority(simhash._mixed(h, 0)) for h in short)
+    return any(p == q for p, q in zip(*bands)) or (x ^ y).bit_count() <= simhash.MOST_BITS
+
+
+def test_all_links_at_the_threshold(spark, monkeypatch):
+    """Exactly one row of each group stays: of pairs that the index doesn't find, of pairs about the threshold, of a family of texts that are near some of each other."""
+    rng = random.Random(31)
+    texts, missed = [], 0
+    while missed < 3 or len(texts) < 120:
+        words = sentence(rng, rng.randrange(5, 200), 5000).split()
+        copy, changes = list(words), max(1, round(len(words) * rng.uniform(0.02, 0.027)))
+        for j in range(changes):  # spread out, so that each change takes five shingles
+            copy[min(len(copy) - 1, (2 * j + 1) * len(copy) // (2 * changes))] = f"other{len(texts)}x{j}"
+        pair = [" ".join(words), " ".join(copy)]
+        a, b = map(shingles, pair)
+        lost = 5 * len(a & b) >= 4 * len(a | b) and not meet_in_index(*pair)
+        if lost or len(texts) < 120:
+            texts, missed = texts + pair, missed + lost
+    base = sentence(rng, 120, 5000).split()
+    for k in range(60):
+        copy = list(base)
+        for j in rng.sample(range(2, 118), 4):
+            copy[j] = f"word{k % 3}x{j}"
+        texts.append(" ".join(copy))
+    docs = documents(spark, texts)
+    rows = {k: shingles(t) for k, t in enumerate(texts, 1)}
+    linked = [(a, b) for a, b in combinations(rows, 2) if 5 * len(c := rows[a] & rows[b]) >= 4 * (len(rows[a]) + len(rows[b]) - len(c))]
+    wanted = set(components(rows, linked).values())
+    assert {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()} == wanted
+    # The index is no part of the result: without its links the shingles find them all, those of many texts in blocks.
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "_similar", lambda classes: spark.createDataFrame([], "src long, dst long"))
+    assert {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()} == wanted
