@@ -17,6 +17,8 @@ SLICE_ROWS = 128
 HOT_SHARE = 1 / 2000
 #: Most rows of a table that is broadcast; larger ones take the way for tables of any size.
 BROADCAST_ROWS = 200_000
+#: Bits of a key filter for each key, and at most; a part of it has so many.
+FILTER_BITS, MOST_FILTER_BITS, PART_BITS = 16, 1 << 27, 1 << 15
 #: Copies of a row that one task makes.
 CHUNK = 4096
 #: With no more edges than these a hub is no burden.
@@ -120,6 +122,25 @@ def left_join_small_or_any(left: DataFrame, right: DataFrame, key: str, entries:
     return some.unionByName(left.join(hot, key, "left_anti").join(right, key, "left"))
 
 
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose key, a 64-bit hash, may be in keys(key), all that are among them; and rows whose key is not, which need no shuffle.
+
+    A bitmap with a bit for each key is broadcast, FILTER_BITS for each key but at most MOST_FILTER_BITS (16 MB); where the keys are more,
+    more of the other rows are among the first. Null keys are not in keys.
+    """
+    bits = PART_BITS
+    wanted = FILTER_BITS * keys.count()
+    while bits < min(wanted, MOST_FILTER_BITS):
+        bits *= 2
+    place, part, bit = F.pmod(F.col(key), F.lit(bits)), unused(df, "_part"), unused(df, "_bits")
+    parts = keys.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias(part)).agg(F.bitmap_construct_agg(F.col("place") % PART_BITS).alias(bit))
+    rows = df.withColumn(part, F.shiftright(place, 15)).join(F.broadcast(cut(parts)), part, "left")
+    at = (place % PART_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(bit, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), at % 8 + 1)) != 0, F.lit(False))
+    return rows.filter(there).select(*columns_of(df)), rows.filter(~there).select(*columns_of(df))
+
+
 def numbered(df: DataFrame, count: str, place: str) -> DataFrame:
     """Each row as often as count says, with place from 1; what is repeated more than CHUNK times is dealt out before."""
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))

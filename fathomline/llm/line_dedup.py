@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from fathomline.llm.common import byte_texts, columns_of, cut, join_on_counted_key, row_key, text_slices, unused
+from fathomline.llm.common import byte_texts, columns_of, cut, join_on_counted_key, row_key, split_by_keys, text_slices, unused
 
 LEAST_WORDS = 5
 #: Odd base of the variants' polynomial hash modulo 2 ** 64, and its inverse.
@@ -138,7 +138,9 @@ def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(key, line) of the first occurrences of distinct lines that have a near line before them."""
-    held = docs.join(_candidates(distinct), "key").select("doc_id", "key", "text", "places")
+    candidates = cut(_candidates(distinct))
+    some, _ = split_by_keys(docs, "key", candidates.select("key"))
+    held = some.join(candidates, "key").select("doc_id", "key", "text", "places")
     lines = cut(held.mapInArrow(_taken, "doc_id long, key long, line int, words binary").distinct())
     variants = lines.mapInArrow(_variants, "variant long, kind int, doc_id long, key long, line int")
     at = F.struct("doc_id", "key", "line")
@@ -208,8 +210,11 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     _, removed = removed_lines(_with_key(docs))
     key, gone = unused(docs, "_key"), unused(docs, "removed")
-    removed = removed.withColumnsRenamed({"key": key, "removed": gone})
-    rows = docs.withColumn(key, row_key("doc_id", "text")).join(removed, key, "left").select(*columns_of(docs), gone)
+    removed = cut(removed.withColumnsRenamed({"key": key, "removed": gone}))
+    # Only texts that lose a line are shuffled to meet their places.
+    some, others = split_by_keys(docs.withColumn(key, row_key("doc_id", "text")), key, removed.select(key))
+    rows = some.join(removed, key, "left").select(*columns_of(docs), gone)
+    rows = rows.unionByName(others.select(*columns_of(docs), F.lit(None).cast(removed.schema[gone].dataType).alias(gone)))
     # Plain names on the way through the tasks, as any signs may be in those of docs.
     plain = [f"c{k}" for k in range(len(docs.columns))]
     text, schema = plain[docs.columns.index("text")], StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(plain, docs.schema)])

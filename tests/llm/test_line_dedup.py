@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fathomline.llm import line_dedup
+from fathomline.llm import common, line_dedup
 from fathomline.llm.common import row_key
 
 from .helpers import WORDS, documents, lower
@@ -94,3 +94,28 @@ def test_null_and_repeated_ids(spark):
     left = {(r.doc_id, "\n".join(x for p, x in enumerate(r.text.split("\n")) if p not in wanted[k])) for k, r in enumerate(order)}
     out = [(r.doc_id, r.text) for r in line_dedup.without_repeated_lines(docs).collect()]
     assert set(out) == left and len(out) == docs.count()
+
+
+def test_split_by_keys(spark, monkeypatch):
+    """Every row whose key is among the keys is in the first part, whatever the filter's size, and few others are."""
+    rows = spark.range(6000).withColumn("key", F.xxhash64("id")).withColumn("a.b", F.lit("x"))
+    rows = rows.union(rows.limit(1).select("id", F.lit(None).cast("long"), "`a.b`"))
+    keys = rows.filter("id % 3 = 1").select("key")
+    for each, most in ((16, 1 << 27), (200, 1 << 27), (16, 1)):
+        monkeypatch.setattr(common, "FILTER_BITS", each)
+        monkeypatch.setattr(common, "MOST_FILTER_BITS", most)
+        some, others = common.split_by_keys(rows, "key", keys)
+        assert some.columns == others.columns == rows.columns and some.count() + others.count() == 6001
+        assert some.filter("id % 3 = 1").count() == 2000 and others.filter("key is null").count() == 1
+        assert some.count() < 2600
+
+
+def test_texts_without_removed_lines_are_not_shuffled(spark):
+    """Only the rows that lose a line, and those with a candidate line, meet others by their key."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(400)] + ["one line of six words here"] * 20
+    rows = documents(spark, texts)
+    out = line_dedup.without_repeated_lines(rows)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert left == {r.doc_id: ("" if r.doc_id > 401 else r.text) for r in rows.collect()}
