@@ -48,6 +48,8 @@ SAMPLED, LEAST_TEXTS, MOST_TEXTS = 50, 4000, 100_000
 RANKED, LEAST_SEEN = 500_000, 3
 #: Texts that one task holds against each other for a shingle, and pairs that it makes at a time.
 BLOCK, PAIRS = 4096, 1 << 20
+#: Longs of the parities of a text's distinct shingles by bucket: texts differ in at least as many shingles as parities.
+PARITIES = 16
 LEAST_BYTES = 8 - MOST_BITS
 #: The two byte positions that a posting leaves free.
 FREE = list(combinations(range(8), 8 - LEAST_BYTES))
@@ -115,6 +117,13 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(band.tobytes()) for band in least.reshape(BANDS, BAND_HASHES)]
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """The number of distinct hashes, and whether it is odd in each of 64 * PARITIES buckets, in longs."""
+    distinct = np.unique(hashes)
+    odd = np.bincount((distinct % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.append(np.uint64(len(distinct)), np.packbits(odd.astype(bool), bitorder="little").view("<u8"))
+
+
 def _wide_fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash of the words, fingerprints of short shingles and bands of long ones for the index, fingerprints of long ones to verify."""
     names = PRINTS
@@ -123,13 +132,13 @@ def _wide_fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordB
         for text in byte_texts(batch.column("text")):
             words = _words(text)
             short, long = _shingle_hashes(words, INDEX_WORDS), _shingle_hashes(words, VERIFY_WORDS)
-            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS)), *_bands(long)])
+            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS)), *_bands(long), *_parities(long).tolist()])
         columns = np.array(rows, np.uint64).reshape(-1, 1 + len(names)).T.view(np.int64) if rows else np.empty((1 + len(names), 0), np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "key", "node", *names])
 
 
-#: Columns of a text's prints: index fingerprints, verifying ones, bands.
-PRINTS = [*(f"p{k}" for k in range(INDEX_PRINTS)), *(f"w{k}" for k in range(VERIFY_PRINTS)), *(f"b{k}" for k in range(BANDS))]
+#: Columns of a text's prints: index fingerprints, verifying ones, bands, distinct shingles and their parities.
+PRINTS = [*(f"p{k}" for k in range(INDEX_PRINTS)), *(f"w{k}" for k in range(VERIFY_PRINTS)), *(f"b{k}" for k in range(BANDS)), "size", *(f"q{k}" for k in range(PARITIES))]
 
 
 def _pairs_in_posting(prints: np.ndarray, nodes: np.ndarray, free: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -339,6 +348,14 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(rest, np.array([0]), len(rest[0]))
 
 
+def _may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs(src, dst) without those whose parities alone show that less than SIMILARITY is common."""
+    ends = lambda end: classes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), *[F.col(f"q{k}").alias(f"{end}{k}") for k in range(PARITIES)])
+    apart = sum(F.bit_count(F.col(f"src{k}").bitwiseXOR(F.col(f"dst{k}"))) for k in range(PARITIES))
+    both = pairs.join(ends("src"), "src").join(ends("dst"), "dst")
+    return both.filter(sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (F.col("src_size") + F.col("dst_size"))).select("src", "dst")
+
+
 def _between_groups(docs: DataFrame, key: Column, groups: DataFrame) -> DataFrame:
     """(src, dst) of all nodes of different components that may have SIMILARITY in common; groups(key, node, component), one row a node.
 
@@ -377,7 +394,7 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     classes = cut(prints.groupBy("node").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in columns]))
     components = connected_components(_verified(docs, key, cut(_similar(classes)), classes))
     groups = classes.join(components, "node", "left").select(F.col("first")["key"].alias("key"), "node", F.coalesce("component", "node").alias("component"))
-    more = _verified(docs, key, cut(_between_groups(docs, key, groups)), classes)
+    more = _verified(docs, key, cut(_may_be_alike(_between_groups(docs, key, groups), classes)), classes)
     components = connected_components(components.toDF("src", "dst").unionByName(more))
     named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
