@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import BROADCAST_ROWS, byte_texts, columns_of, connected_components, cut, join_on_counted_key, row_key, run_starts, text_slices, unused
+from fathomline.llm.common import BROADCAST_ROWS, byte_texts, columns_of, connected_components, cut, join_on_counted_key, row_key, run_starts, split_by_keys, text_slices, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -48,8 +48,9 @@ SAMPLED, LEAST_TEXTS, MOST_TEXTS = 50, 4000, 100_000
 RANKED, LEAST_SEEN = 500_000, 3
 #: Texts that one task holds against each other for a shingle, and pairs that it makes at a time.
 BLOCK, PAIRS = 4096, 1 << 20
-#: Longs of the parities of a text's distinct shingles by bucket: texts differ in at least as many shingles as parities.
-PARITIES = 16
+#: Least buckets of the parities of a text's distinct shingles: texts differ in at least as many shingles as parities. A longer text has
+#: at least as many buckets as shingles, for in too few the parities of unlike texts differ by chance alone, and too little.
+LEAST_BUCKETS = 1024
 LEAST_BYTES = 8 - MOST_BITS
 #: The two byte positions that a posting leaves free.
 FREE = list(combinations(range(8), 8 - LEAST_BYTES))
@@ -117,28 +118,41 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(band.tobytes()) for band in least.reshape(BANDS, BAND_HASHES)]
 
 
-def _parities(hashes: np.ndarray) -> np.ndarray:
-    """The number of distinct hashes, and whether it is odd in each of 64 * PARITIES buckets, in longs."""
+def _parities(hashes: np.ndarray) -> tuple[int, bytes]:
+    """The number of distinct hashes, and whether it is odd in each bucket, as bits; buckets are a power of two."""
     distinct = np.unique(hashes)
-    odd = np.bincount((distinct % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.append(np.uint64(len(distinct)), np.packbits(odd.astype(bool), bitorder="little").view("<u8"))
+    buckets = max(LEAST_BUCKETS, 1 << (len(distinct) - 1).bit_length())
+    odd = np.bincount((distinct % np.uint64(buckets)).astype(np.int64), minlength=buckets) & 1
+    return len(distinct), np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many buckets the parities differ; the longer ones are folded to the buckets of the shorter."""
+    few, many = sorted((a, b), key=len)
+    x, bits = int.from_bytes(many, "little"), 8 * len(many)
+    while bits > 8 * len(few):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(few, "little")).bit_count()
 
 
 def _wide_fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash of the words, fingerprints of short shingles and bands of long ones for the index, fingerprints of long ones to verify."""
     names = PRINTS
     for batch in text_slices(batches):
-        rows = []
+        rows, odd = [], []
         for text in byte_texts(batch.column("text")):
             words = _words(text)
             short, long = _shingle_hashes(words, INDEX_WORDS), _shingle_hashes(words, VERIFY_WORDS)
-            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS)), *_bands(long), *_parities(long).tolist()])
+            size, parities = _parities(long)
+            rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)), *(_majority(_mixed(short, k)) for k in range(INDEX_PRINTS)), *(_majority(_mixed(long, k)) for k in range(VERIFY_PRINTS)), *_bands(long), size])
+            odd.append(parities)
         columns = np.array(rows, np.uint64).reshape(-1, 1 + len(names)).T.view(np.int64) if rows else np.empty((1 + len(names), 0), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "key", "node", *names])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(odd, pa.binary())], names=["doc_id", "key", "node", *names, "odd"])
 
 
-#: Columns of a text's prints: index fingerprints, verifying ones, bands, distinct shingles and their parities.
-PRINTS = [*(f"p{k}" for k in range(INDEX_PRINTS)), *(f"w{k}" for k in range(VERIFY_PRINTS)), *(f"b{k}" for k in range(BANDS)), "size", *(f"q{k}" for k in range(PARITIES))]
+#: Longs of a text's prints: index fingerprints, verifying ones, bands, and the number of distinct shingles; their parities are in odd.
+PRINTS = [*(f"p{k}" for k in range(INDEX_PRINTS)), *(f"w{k}" for k in range(VERIFY_PRINTS)), *(f"b{k}" for k in range(BANDS)), "size"]
 
 
 def _pairs_in_posting(prints: np.ndarray, nodes: np.ndarray, free: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -348,12 +362,17 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(rest, np.array([0]), len(rest[0]))
 
 
+def _sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        apart = np.fromiter(map(_apart, batch.column("src_odd").to_pylist(), batch.column("dst_odd").to_pylist()), np.int64, batch.num_rows)
+        sizes = batch.column("src_size").to_numpy() + batch.column("dst_size").to_numpy()
+        yield batch.select(["src", "dst"]).filter(pa.array(sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * sizes))
+
+
 def _may_be_alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs(src, dst) without those whose parities alone show that less than SIMILARITY is common."""
-    ends = lambda end: classes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), *[F.col(f"q{k}").alias(f"{end}{k}") for k in range(PARITIES)])
-    apart = sum(F.bit_count(F.col(f"src{k}").bitwiseXOR(F.col(f"dst{k}"))) for k in range(PARITIES))
-    both = pairs.join(ends("src"), "src").join(ends("dst"), "dst")
-    return both.filter(sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (F.col("src_size") + F.col("dst_size"))).select("src", "dst")
+    ends = lambda end: classes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("odd").alias(f"{end}_odd"))
+    return pairs.join(ends("src"), "src").join(ends("dst"), "dst").mapInArrow(_sifted, "src long, dst long")
 
 
 def _between_groups(docs: DataFrame, key: Column, groups: DataFrame) -> DataFrame:
@@ -387,8 +406,8 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """
     name = unused(docs, "_key")
     key = row_key("doc_id", "text")
-    columns = PRINTS
-    schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in columns)
+    columns = [*PRINTS, "odd"]
+    schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in PRINTS) + ", odd binary"
     prints = docs.select("doc_id", key.alias("key"), "text").mapInArrow(_wide_fingerprints, schema)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = cut(prints.groupBy("node").agg(F.min(order).alias("first"), *[F.min(c).alias(c) for c in columns]))
@@ -398,4 +417,9 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     components = connected_components(components.toDF("src", "dst").unionByName(more))
     named = classes.join(components, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = cut(named.groupBy("component").agg(F.min("first")["key"].alias(name)).select(name).distinct())
-    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(*columns_of(docs))
+    # Only rows that may go, or that are there more than once, are shuffled to meet the keys that stay.
+    rows = docs.withColumn(name, key)
+    found = rows.groupBy(name).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), name, "left")
+    some, others = split_by_keys(rows, name, cut(found.filter("n > 1 or stays is null").select(name)))
+    some = some.join(kept, name, "left_semi").dropDuplicates([name])
+    return some.select(*columns_of(docs)).union(others.select(*columns_of(docs)))

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -155,3 +156,42 @@ def test_all_links_at_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     monkeypatch.setattr(simhash, "_similar", lambda classes: spark.createDataFrame([], "src long, dst long"))
     assert {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()} == wanted
+
+
+def test_long_unlike_texts_are_sifted(spark, monkeypatch):
+    """Texts of any length that share a passage, but not SIMILARITY, are not held against each other on their shingles; near ones of the same length are."""
+    rng, pairs = random.Random(41), []
+    texts = []
+    for k in range(8):
+        passage = [f"p{k}x{j}" for j in range(150)]
+        texts += [" ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(rng.randrange(3000, 3600))]) for _ in range(2)]
+    words = texts[0].split()
+    for at in range(400, 2800, 40):  # too few changes to part them, too many for a band
+        words[at] = f"other{at}"
+    docs = documents(spark, [*texts, " ".join(words)])
+    real = simhash._verified
+    monkeypatch.setattr(simhash, "_similar", lambda classes: spark.createDataFrame([], "src long, dst long"))
+    monkeypatch.setattr(simhash, "_verified", lambda docs, key, found, classes: (pairs.append(found.count()), real(docs, key, found, classes))[1])
+    assert {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()} == set(range(1, 17))
+    assert pairs == [0, 1]
+
+
+def test_parities_bound_the_difference():
+    """Parities never differ in more buckets than there are shingles in one set only, also of sets with unlike numbers of buckets."""
+    rng = random.Random(6)
+    for n, m in ((0, 3), (900, 1100), (1000, 5000), (4000, 4200), (5000, 20_000)):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        for b in ({rng.getrandbits(64) for _ in range(m)}, {*list(a)[: n // 2], *(rng.getrandbits(64) for _ in range(m))}):
+            (x, p), (y, q) = (simhash._parities(np.array([*s] * 2, np.uint64)) for s in (a, b))
+            assert (x, y) == (len(a), len(b)) and len(a ^ b) % 2 == simhash._apart(p, q) % 2
+            assert simhash._apart(p, q) == simhash._apart(q, p) <= len(a ^ b)
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Only rows that go, or that are there more than once, meet the keys that stay."""
+    rng = random.Random(8)
+    docs = documents(spark, [sentence(rng, 40, 5000) for _ in range(60)])
+    docs = docs.union(docs.limit(5)).union(docs.filter("doc_id > 50").withColumn("doc_id", F.col("doc_id") + 100)).withColumn("a.b", F.lit("x"))
+    out = simhash.near_duplicates_removed(docs)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == docs.columns
+    assert sorted(out.collect()) == sorted(docs.filter("doc_id <= 60").distinct().collect())
