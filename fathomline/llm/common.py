@@ -134,10 +134,12 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
         bits *= 2
     place, part, bit = F.pmod(F.col(key), F.lit(bits)), unused(df, "_part"), unused(df, "_bits")
     parts = keys.select(place.alias("place")).groupBy(F.shiftright("place", 15).alias(part)).agg(F.bitmap_construct_agg(F.col("place") % PART_BITS).alias(bit))
+    # As ints of four bytes each, in which a bit is looked up by its place; the bytes of an int come the other way round.
+    four = lambda k: F.conv(F.hex(F.substring(bit, 4 * k + 1, F.lit(4))), 16, 10).cast("long")
+    parts = parts.select(part, F.transform(F.sequence(F.lit(0), F.lit(PART_BITS // 32 - 1)), lambda k: (F.pmod(four(k) + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("int")).alias(bit))
     rows = df.withColumn(part, F.shiftright(place, 15)).join(F.broadcast(cut(parts)), part, "left")
     at = (place % PART_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring(bit, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), at % 8 + 1)) != 0, F.lit(False))
+    there = F.coalesce(F.getbit(F.get(bit, F.shiftright(at, 5)), at.bitwiseAND(31).bitwiseXOR(24)) != 0, F.lit(False))
     return rows.filter(there).select(*columns_of(df)), rows.filter(~there).select(*columns_of(df))
 
 

@@ -9,6 +9,7 @@ variants with one word deleted, and all variants with the place of the deletion.
 share a variant and its place; where one word more makes them equal, a variant of one is the other itself. Under either sort
 of key all lines are near the earliest, so a key needs its earliest line alone, an aggregate, and a line is held against
 that; no pairs within a key are made. The edit distance of each line found and its earlier one is verified on their words.
+Lines, halves and variants go to their key's counterpart only if a bitmap says that it may have one.
 
 Only lines that can have a near one emit variants: near lines share all words of their first or of their last half, so lines
 whose halves' hashes no other line has are left out before. That loses none, and most lines end there.
@@ -79,7 +80,8 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("m")).filter("a <> b").select("k", "m")
     shared = cut(shared)
     total = shared.agg(F.sum("m")).first()[0] or 0
-    found = join_on_counted_key(halves, shared, "k", "m", total).select("at.key", "at.line", "h").distinct()
+    some, _ = split_by_keys(halves, "k", shared.select("k"))
+    found = join_on_counted_key(some, shared, "k", "m", total).select("at.key", "at.line", "h").distinct()
     return found.groupBy("key").agg(F.collect_list(F.struct("line", "h")).alias("places"))
 
 
@@ -92,10 +94,10 @@ def _taken(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for place in places:
                 words = lines[place["line"]].split() if place["line"] < len(lines) else []
                 if int.from_bytes(_line_hash(words)[:8], "little", signed=True) == place["h"]:
-                    out.append((doc_id, key, place["line"], b" ".join(words)))
-        columns = list(zip(*out)) or [(), (), (), ()]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "key", "line", "words"])
+                    out.append((doc_id, key, place["line"], place["h"], b" ".join(words)))
+        columns = list(zip(*out)) or [(), (), (), (), ()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "key", "line", "h", "words"])
 
 
 def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +120,7 @@ def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [variant_keys(w.split(b" ")) for w in batch.column("words").to_pylist()]
         row = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int32)]
-        at = [batch.column(c).take(row) for c in ("doc_id", "key", "line")]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), *at], names=["variant", "kind", "doc_id", "key", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), batch.column("at").take(row)], names=["variant", "kind", "at"])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -133,26 +134,27 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column("words").to_pylist(), batch.column("earlier").to_pylist())]
-        yield batch.select(["key", "line"]).filter(pa.array(near, pa.bool_()))
+        yield batch.select(["key", "line", "h"]).filter(pa.array(near, pa.bool_()))
 
 
 def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(key, line) of the first occurrences of distinct lines that have a near line before them."""
+    """(key, line, h) of the first occurrences of distinct lines that have a near line before them."""
     candidates = cut(_candidates(distinct))
     some, _ = split_by_keys(docs, "key", candidates.select("key"))
     held = some.join(candidates, "key").select("doc_id", "key", "text", "places")
-    lines = cut(held.mapInArrow(_taken, "doc_id long, key long, line int, words binary").distinct())
-    variants = lines.mapInArrow(_variants, "variant long, kind int, doc_id long, key long, line int")
-    at = F.struct("doc_id", "key", "line")
-    earliest = variants.groupBy("variant").agg(F.min(F.when(F.col("kind") == WHOLE, at)).alias("whole"), F.min(F.when(F.col("kind") != WHOLE, at)).alias("other"), F.count("*").alias("m"))
+    lines = held.mapInArrow(_taken, "doc_id long, key long, line int, h long, words binary").distinct()
+    # One number for doc_id, key and line, in their order.
+    lines = cut(lines.orderBy("doc_id", "key", "line").select(F.monotonically_increasing_id().alias("at"), "key", "line", "h", "words"))
+    variants = lines.select("at", "words").mapInArrow(_variants, "variant long, kind int, at long")
+    whole = F.col("kind") == WHOLE
+    earliest = variants.groupBy("variant").agg(F.min(F.when(whole, F.col("at"))).alias("whole"), F.min(F.when(~whole, F.col("at"))).alias("other"), F.count("*").alias("m"))
     earliest = cut(earliest.filter("m > 1"))
     total = earliest.agg(F.sum("m")).first()[0] or 0
     earlier = F.when(F.col("kind") == DELETED, F.col("whole")).otherwise(F.col("other"))
-    found = join_on_counted_key(variants, earliest, "variant", "m", total).select("doc_id", "key", "line", earlier.alias("e")).filter(F.col("e") < at)
-    found = found.select("key", "line", F.col("e.key").alias("e_key"), F.col("e.line").alias("e_line")).distinct()
-    words = lines.select("key", "line", "words")
-    pairs = found.join(words, ["key", "line"]).join(words.toDF("e_key", "e_line", "earlier"), ["e_key", "e_line"])
-    return pairs.mapInArrow(_verified, "key long, line int").distinct()
+    some, _ = split_by_keys(variants, "variant", earliest.select("variant"))
+    found = join_on_counted_key(some, earliest, "variant", "m", total).select("at", earlier.alias("e")).filter("e < at").distinct()
+    pairs = found.join(lines, "at").join(lines.select(F.col("at").alias("e"), F.col("words").alias("earlier")), "e")
+    return pairs.mapInArrow(_verified, "key long, line int, h long").distinct()
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -167,10 +169,10 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = cut(lines.groupBy("h", "g").agg(F.min(at).alias("first"), F.count("*").alias("m"), *halves).select("h", "g", "first.*", "m", "k0", "k1", "k2", "k3"))
     again = distinct.filter("m > 1").select(F.struct("h", "g").alias("hash"), at.alias("first"), "m")
     total = again.agg(F.sum("m")).first()[0] or 0
-    equal = join_on_counted_key(lines.select(F.struct("h", "g").alias("hash"), "doc_id", "key", "line"), again, "hash", "m", total)
+    some, _ = split_by_keys(lines, "h", again.select("hash.h"))
+    equal = join_on_counted_key(some.select(F.struct("h", "g").alias("hash"), "doc_id", "key", "line"), again, "hash", "m", total)
     equal = equal.filter(F.col("first") < at).select("key", "line", F.col("hash.h").alias("h"))
-    near = distinct.select("key", "line", "h").join(_near(docs, distinct), ["key", "line"])
-    removed = equal.unionByName(near).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("line", "h"))).alias("removed"))
+    removed = equal.unionByName(_near(docs, distinct)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("line", "h"))).alias("removed"))
     return lines.groupBy("key").agg(F.count("*").alias("n_lines")), removed
 
 

@@ -119,3 +119,16 @@ def test_texts_without_removed_lines_are_not_shuffled(spark):
     assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
     left = {r.doc_id: r.text for r in out.collect()}
     assert left == {r.doc_id: ("" if r.doc_id > 401 else r.text) for r in rows.collect()}
+
+
+def test_rows_without_a_counterpart_are_not_joined(spark, monkeypatch):
+    """Of lines, halves and variants only those that meet another by their key, and few others, go to the joins."""
+    rng = random.Random(12)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(10**7)}" for _ in range(12)) for _ in range(20)) for _ in range(100)]
+    first = texts[0].split("\n")[0].split()
+    texts += [" ".join([*first[:11], "other"]), texts[1].split("\n")[3], " ".join([*texts[2].split()[:6], *(f"x{k}" for k in range(6))])]
+    joined, real = {}, line_dedup.join_on_counted_key
+    monkeypatch.setattr(line_dedup, "join_on_counted_key", lambda left, right, key, count, total: (joined.update({key: left.count()}), real(left, right, key, count, total))[1])
+    removed = {r.doc_id: list(r.removed) for r in line_dedup.line_report(documents(spark, texts)).collect() if r.n_removed}
+    assert removed == {101: [0], 102: [0]}
+    assert sorted(joined) == ["hash", "k", "variant"] and all(2 <= n < 40 for n in joined.values()), joined
