@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 
 from fathomline.functions.normal import DENOMINATOR, LOG_ROOT_TWO_PI, NUMERATOR, ROOT_TWO_PI, SWITCH, norm_cdf_sql
 
+#: Upper tail over density at a >= 0 is t times the polynomial in 2 t - 1, t = TAIL_SCALE / (TAIL_SCALE + a); a Chebyshev series in powers.
+TAIL_SCALE = 6.0
+TAIL = (
+    1.4218224327761983e-10, -1.5062016437827911e-10, -1.949515264835733e-09, 1.1813290669490401e-09, 1.7144519889199668e-08, 2.8606902515596797e-09, -1.2826570576714973e-07, -1.794408490895706e-07,
+    7.507328963384781e-07, 2.8394698292327547e-06, -4.488051127014247e-07, -2.7051638635254803e-05, -7.576735807097085e-05, 1.3732190715428813e-05, 0.0008905236799214929, 0.0041901719937966235,
+    0.012944777988007165, 0.031404674879799685, 0.06378543111190832, 0.11195197024989122, 0.17291707184603544, 0.23769891860140155, 0.2928615090573506, 0.3247553217937349,
+)
+
 #: Coefficients of a published rational approximation of the normal quantile (Acklam), refined below.
 QUANTILE_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
 QUANTILE_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
@@ -15,15 +24,28 @@ QUANTILE_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2
 QUANTILE_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
 
 
+def horner(coefficients: Sequence[float], x: np.ndarray) -> np.ndarray:
+    """A polynomial, highest power first."""
+    out = coefficients[0] * x
+    for c in coefficients[1:-1]:
+        out += c
+        out *= x
+    out += coefficients[-1]
+    return out
+
+
 def ndtr(x: np.ndarray) -> np.ndarray:
     """Normal distribution function."""
     x = np.asarray(x, float)
     a = np.minimum(np.abs(x), 38.0)
-    near = np.polyval(NUMERATOR, a) / np.polyval(DENOMINATOR, a)
-    tail = a + 0.65
-    for k in (4, 3, 2, 1):
-        tail = a + k / tail
-    low = np.exp(-0.5 * a * a) * np.where(a < SWITCH, near, 1 / (tail * ROOT_TWO_PI))
+    low = np.asarray(horner(NUMERATOR, a) / horner(DENOMINATOR, a))
+    far = ~(a < SWITCH)
+    if far.any():
+        tail = a[far] + 0.65
+        for k in (4, 3, 2, 1):
+            tail = a[far] + k / tail
+        low[far] = 1 / (tail * ROOT_TWO_PI)
+    low = np.exp(-0.5 * a * a) * low
     return np.where(x > 0, 1 - low, low)
 
 
@@ -45,17 +67,27 @@ def mills(x: np.ndarray) -> np.ndarray:
     return np.exp(log_pdf(x) - log_ndtr(x))
 
 
+def log_ndtr_mills(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log_ndtr and mills, smooth to the last digits: those above have steps of 1e-8 where one approximation gives way to the next."""
+    a, low = np.abs(x), x < 0
+    t = TAIL_SCALE / (TAIL_SCALE + a)
+    tail, density = horner(TAIL, 2 * t - 1) * t, np.exp(log_pdf(x))
+    below = np.where(low, 0.0, density * tail)
+    tail = np.where(low, tail, 1.0)
+    return np.where(low, np.log(tail) + log_pdf(x), np.log1p(-below)), np.where(low, 1 / tail, density / (1 - below))
+
+
 def ndtri(p: np.ndarray) -> np.ndarray:
     """Normal quantile; one Halley step on the rational start."""
     p = np.asarray(p, float)
     inside = (p > 0) & (p < 1)
     q = np.where(inside, p, 0.5)
     low = np.minimum(q, 1 - q)
-    t = np.sqrt(-2 * np.log(low))
-    outer = np.polyval(QUANTILE_C, t) / np.polyval(QUANTILE_D, t)
     d = q - 0.5
-    centre = np.polyval(QUANTILE_A, d * d) * d / np.polyval(QUANTILE_B, d * d)
-    x = np.where(low < 0.02425, np.where(q < 0.5, outer, -outer), centre)
+    x = np.asarray(horner(QUANTILE_A, d * d) * d / horner(QUANTILE_B, d * d))
+    if (far := low < 0.02425).any():
+        t = np.sqrt(-2 * np.log(low[far]))
+        x[far] = np.copysign(horner(QUANTILE_C, t) / horner(QUANTILE_D, t), d[far])
     e = (ndtr(x) - q) * math.sqrt(2 * math.pi) * np.exp(0.5 * x * x)
     x = x - e / (1 + 0.5 * x * e)
     return np.where(inside, x, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))

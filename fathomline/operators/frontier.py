@@ -12,22 +12,30 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.functions.special import log_ndtr, mills, ndtri, t_quantile, t_sf
+from fathomline.functions.special import log_ndtr, log_ndtr_mills, mills, ndtri, t_quantile, t_sf
 from fathomline.operators.optimise import CURVED, GRADIENT, OUTER, VALUE, Ask, Found, Options, Sums, lockstep, search
 from fathomline.operators.panel import check_time_invariant, complete_cases, factorize, quoted, within
 from fathomline.operators.regression import moment_split, moments, regression
 
 #: Cells (rows times draws) that a task holds at a time; one firm's rows stay together.
 BLOCK_CELLS = 400_000
+#: Cells that are worth a task of their own; a task costs the engine as much as the sums over a few thousand rows.
+TASK_CELLS = 20_000_000
 ROOT_TWO_OVER_PI = math.sqrt(2 / math.pi)
 #: Log-variances below the first are tried at the second, where they make no difference, when a search has become slow.
 NEARLY_ZERO, ZERO = -7.0, -25.0
+#: The last terms of a series over a firm's draws must be below this share of its largest; else it gets more terms. A third of them
+#: where derivatives are wanted too, whose terms fall as fast but begin higher, and an eighth for the density alone.
+SERIES_TOLERANCE, LEAST_TERMS = 1e-13, 6
+#: Draws that a series is summed over at a time, and how far from the real line the normal distribution function has its first zero.
+SERIES_DRAWS, FIRST_ZERO = 16_000, 2.8
 
 
 Block = dict[str, np.ndarray]
@@ -115,7 +123,7 @@ class Frontier:
         return {"halton": self.draws, "quadrature": self.nodes}.get(self.effect, 1)
 
     def value(self, block: Block, theta: np.ndarray, kept: dict, tag: int = 0) -> np.ndarray:
-        return Paths(block, theta, self, kept).loglik
+        return Paths(block, theta, self, kept, only_value=True).loglik
 
     def scores(self, block: Block, theta: np.ndarray, kept: dict, tag: int = 0) -> tuple[np.ndarray, np.ndarray]:
         return firm_scores(block, theta, self, kept)
@@ -145,14 +153,18 @@ class Frontier:
         return dict(zip(sizes, np.split(theta, np.cumsum(list(sizes.values()))[:-1])))
 
 
-def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
+def prepared(panel: DataFrame, model: Frontier, n_rows: int | None = None) -> DataFrame:
     """Complete cases of panel(id, time, ...) with the model's blocks as arrays, dealt by firm; rank numbers the firms.
 
     Without a firm effect every row is a firm of its own, and rank a hash of it. The number of partitions is stated, as the work is in the likelihood,
-    not in the rows' size, by which they would be coalesced to a few.
+    not in the rows' size, by which they would be coalesced to a few. n_rows, if known: no more partitions
+    than two for each core, or as many for each as the work is worth.
     """
     spark = panel.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if n_rows is not None:
+        parts = min(parts, cores * max(2, math.ceil(n_rows * model.width() / TASK_CELLS / cores)))
     number = lambda c: F.col(quoted(c)).cast("double")
     constant = lambda b, cols: [F.lit(1.0)] if model.sizes()[b] > len(cols) else []
     blocks = [F.array(*constant(b, cols), *map(number, cols)).cast("array<double>").alias(b) for b, cols in model.blocks().items()]
@@ -169,16 +181,31 @@ def prepared(panel: DataFrame, model: Frontier) -> DataFrame:
     return rows.select("rank", "id", "time", number(model.y).alias("y"), *blocks).repartition(parts, "rank").sortWithinPartitions("rank", "time")
 
 
+@lru_cache(maxsize=64)
+def inverses(base: int, places: int, digits: tuple[int, ...]) -> np.ndarray:
+    """Radical inverses of all numbers of so many digits of the base, each replaced by that of digits."""
+    out, scale = np.zeros(1), 1.0
+    for _ in range(places):
+        scale /= base
+        out = (out[None, :] + scale * np.array(digits, float)[:, None]).ravel()
+    return out
+
+
 def halton(index: np.ndarray, base: int, digits: np.ndarray | None = None) -> np.ndarray:
     """Radical inverse of positive indices, within 1e-12 of neither end; digits: a permutation of those of the base.
 
-    With a permutation the zeros before an index's first digit count too, as many as doubles can tell.
+    With a permutation the zeros before an index's first digit count too, as many as doubles can tell. Digits are looked up several at a time.
     """
-    out, scale, rest = np.zeros(index.shape), 1.0 / base, index.copy()
-    while rest.any() if digits is None else scale > 1e-16:
-        out += scale * (rest % base if digits is None else digits[rest % base])
-        rest //= base
-        scale /= base
+    out, rest, done = np.zeros(index.shape), index, 0
+    several, most = max(1, int(12 / math.log2(base))), 0
+    while float(base) ** -(most + 1) > 1e-16:
+        most += 1
+    each = tuple(range(base)) if digits is None else tuple(map(int, digits))
+    while rest.any() if digits is None else done < most:
+        places = several if digits is None else min(several, most - done)
+        above = rest // base**places
+        out += float(base) ** -done * inverses(base, places, each)[rest - above * base**places]
+        rest, done = above, done + places
     return np.clip(out, 1e-12, 1 - 1e-12)
 
 
@@ -288,11 +315,11 @@ def _firm_blocks(batches: Iterable[pa.RecordBatch], model: Frontier) -> Iterator
         yield arrays(pa.Table.from_batches(rest))
 
 
-def log_half_normal(e: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+def log_half_normal(e: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int, log_cdf: Callable[[np.ndarray], np.ndarray] = log_ndtr) -> tuple[np.ndarray, np.ndarray]:
     """Log density of composed errors, and the argument of its distribution function."""
     s2 = s2u + s2v
     w = -s * e * np.sqrt(s2u / (s2v * s2))
-    return math.log(2) - 0.5 * math.log(2 * math.pi) - 0.5 * np.log(s2) - 0.5 * e * e / s2 + log_ndtr(w), w
+    return math.log(2) - 0.5 * math.log(2 * math.pi) - 0.5 * np.log(s2) - 0.5 * e * e / s2 + log_cdf(w), w
 
 
 def log_truncated_normal(e: np.ndarray, mu: np.ndarray, s2u: np.ndarray, s2v: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -355,16 +382,40 @@ def adaptive_nodes(paths: Callable[[np.ndarray], np.ndarray], firms: int, nodes:
     return v, np.log(weight) - 0.5 * math.log(math.pi) + at**2 - 0.5 * v * v + np.log(width)
 
 
+@lru_cache(maxsize=64)
+def chebyshev(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n points of [-1, 1], and the matrix that makes of values there the terms of their Chebyshev series."""
+    angle = math.pi * (np.arange(n) + 0.5) / n
+    terms = 2 / n * np.cos(np.arange(n)[:, None] * angle)
+    terms[0] /= 2
+    return np.cos(angle), terms
+
+
+def chebyshev_polynomials(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """out, (firms, n, draws): the first n polynomials at x."""
+    out[:, 0], out[:, 1] = 1.0, x
+    twice = 2 * x
+    for k in range(2, out.shape[1]):
+        np.multiply(twice, out[:, k - 1], out=out[:, k])
+        out[:, k] -= out[:, k - 2]
+    return out
+
+
 class Paths:
-    """What a firm's likelihood and its derivatives need at one parameter vector, for each row and draw."""
+    """What a firm's likelihood and its derivatives need at one parameter vector, for each row and draw.
+
+    Over one sequence of draws, a firm's log density and its derivatives are smooth functions of the draw alone. Where a Chebyshev series has them
+    to the last digits, they are found at a few nodes in place of the draws, and the draws' weights become weights of the nodes: all draws
+    are summed over, and sums over the nodes are those over the draws. These weights may be negative. only_value: loglik alone is wanted.
+    """
 
-    def __init__(self, block: Block, theta: np.ndarray, model: Frontier, kept: dict):
+    def __init__(self, block: Block, theta: np.ndarray, model: Frontier, kept: dict, only_value: bool = False):
         part, self.starts = model.split(theta), block["starts"]
         self.sizes = np.diff(np.append(self.starts, len(block["y"])))
         self.s2u, self.s2v = np.exp(block["zuit"] @ part["zuit"])[:, None], np.exp(block["zvit"] @ part["zvit"])[:, None]
         self.s, self.mu = model.s, (block["mu"] @ part["mu"])[:, None] if "mu" in part else None
         e = (block["y"] - block["x"] @ part["x"])[:, None]
-        self.move0, self.move1, log_weights = None, None, np.zeros((len(self.starts), 1))
+        self.move0, self.move1, self.ratio, log_weights = None, None, None, np.zeros((len(self.starts), 1))
         if model.effect == "fixed":
             self.fixed = self.firm_effects(e)
             e = e - self.spread(self.fixed)
@@ -379,6 +430,8 @@ class Paths:
                 firm = lambda v: self.spread(sd * v)
                 v, log_weights = kept["nodes"] if "nodes" in kept else adaptive_nodes(lambda v: self.by_firm(self.density(e - firm(v))[0]), len(self.starts), model.nodes)
             self.nodes = v, log_weights
+            if model.effect == "halton" and not model.persistent and self.condensed(e, sd, v, only_value):
+                return
             self.move0 = self.spread(sd * v)
             e = e - self.move0
             if model.persistent:
@@ -394,14 +447,60 @@ class Paths:
         self.by_draw = weights / total
         self.q = self.spread(self.by_draw)
 
+    def condensed(self, e: np.ndarray, sd: np.ndarray, v: np.ndarray, only_value: bool) -> bool:
+        """Whether a series of fewer than half as many terms as there are draws was found; then everything is set that is wanted."""
+        low, high = v.min(axis=1, keepdims=True), v.max(axis=1, keepdims=True)
+        middle, half = (low + high) / 2, (high - low) / 2
+        reach = float((self.spread(half * sd) * np.sqrt(self.s2u / (self.s2v * (self.s2u + self.s2v)))).max()) / FIRST_ZERO
+        if not 0 < reach < v.shape[1]:
+            return False
+        share = 8 if only_value else 3
+        n = max(LEAST_TERMS, math.ceil(share / (share - 1) * -math.log(SERIES_TOLERANCE) / math.asinh(1 / reach)))
+        while 2 * n < v.shape[1]:
+            at, to_terms = chebyshev(n)
+            move = self.spread(sd * (middle + half * at))
+            log_f, w = self.density(e - move, smooth=True)
+            terms = self.by_firm(log_f) @ to_terms.T
+            left = float((np.abs(terms[:, n - max(2, n // share) :]).max(axis=1) / (1 + np.abs(terms).max(axis=1))).max())
+            if left <= SERIES_TOLERANCE:
+                break
+            n = math.ceil(n * max(1.2, math.log(SERIES_TOLERANCE) / math.log(left))) if left < 0.1 else v.shape[1]
+        else:
+            self.ratio = None
+            return False
+        self.move0, self.e, self.w, self.loglik, sums = move, e - move, w, np.empty(len(v)), np.empty((len(v), n))
+        step = max(1, SERIES_DRAWS // v.shape[1])
+        held = np.empty((min(step, len(v)), n, v.shape[1]))
+        for k in range(0, len(v), step):
+            some = slice(k, k + step)
+            polynomials = chebyshev_polynomials((v[some] - middle[some]) / half[some], held[: len(v) - k])
+            paths = np.matmul(terms[some, None, :], polynomials)[:, 0]
+            top = paths.max(axis=1, keepdims=True)
+            weights = np.exp(paths - top)
+            total = weights.sum(axis=1, keepdims=True)
+            self.loglik[some] = (top + np.log(total))[:, 0] - math.log(v.shape[1])
+            if not only_value:
+                sums[some] = np.matmul(polynomials, (weights / total)[:, :, None])[:, :, 0]
+        if not only_value:
+            self.by_draw = sums @ to_terms
+            self.q = self.spread(self.by_draw)
+        return True
+
     def spread(self, firms: np.ndarray) -> np.ndarray:
         return np.repeat(firms, self.sizes, axis=0)
 
     def by_firm(self, rows: np.ndarray) -> np.ndarray:
         return np.add.reduceat(rows, self.starts, axis=0)
 
-    def density(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return log_half_normal(e, self.s2u, self.s2v, self.s) if self.mu is None else log_truncated_normal(e, self.mu, self.s2u, self.s2v, self.s)
+    def density(self, e: np.ndarray, smooth: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Log density and the argument of its distribution function; smooth: to the last digits, where a half-normal law allows that."""
+        if self.mu is not None:
+            return log_truncated_normal(e, self.mu, self.s2u, self.s2v, self.s)
+        if not smooth:
+            return log_half_normal(e, self.s2u, self.s2v, self.s)
+        rest, w = log_half_normal(e, self.s2u, self.s2v, self.s, np.zeros_like)
+        log_phi, self.ratio = log_ndtr_mills(w)
+        return rest + log_phi, w
 
     def firm_effects(self, e: np.ndarray, most_steps: int = 100) -> np.ndarray:
         """The effect of each firm at which its rows are likeliest: Newton steps, as the log density is concave in e."""
@@ -449,7 +548,7 @@ class Paths:
         """Derivatives of the half-normal log density by e and the two log-variances; the Mills ratio and shared factors."""
         s2 = self.s2u + self.s2v
         pu, pv, k = self.s2u / s2, self.s2v / s2, np.sqrt(self.s2u / (self.s2v * s2))
-        ka, kb, m = 0.5 * pv, -0.5 * (1 + pv), mills(self.w)
+        ka, kb, m = 0.5 * pv, -0.5 * (1 + pv), mills(self.w) if self.ratio is None else self.ratio
         half = 0.5 * self.e * self.e / s2 - 0.5
         return -self.e / s2 - s * k * m, half * pu + m * self.w * ka, half * pv + m * self.w * kb, m, s2, pu, pv, k, ka, kb
 
@@ -503,8 +602,8 @@ def firm_curvature(block: Block, theta: np.ndarray, model: Frontier, kept: dict
         bend = lambda b: second.get((inner_of(b), "e"), second.get(("e", inner_of(b)))) * -moves.get(b, 1.0)
         with_effect = np.hstack([p.by_firm(block[b] * bend(b)) for b in blocks])
         hessian -= (with_effect * (weight[:, None] / p.by_firm(second["e", "e"]))).T @ with_effect
-    flat = (paths * np.sqrt(p.by_draw * weight[:, None])).reshape(len(paths), -1)
-    return p.loglik, score, hessian + flat @ flat.T - (score * weight[:, None]).T @ score
+    weighted = (paths * (p.by_draw * weight[:, None])).reshape(len(paths), -1)
+    return p.loglik, score, hessian + weighted @ paths.reshape(len(paths), -1).T - (score * weight[:, None]).T @ score
 
 
 def row_scores(block: Block, theta: np.ndarray, model: Frontier, kept: dict | None = None) -> np.ndarray:
@@ -749,13 +848,19 @@ def fit(panel: DataFrame, model: Frontier, start: np.ndarray | None = None, most
     """
     check_columns(panel, model)
     options = Options.of(options, **{k: v for k, v in (("maxit", most_steps), ("grad_err_tol", tolerance)) if v is not None})
-    rows = prepared(panel, model).persist()
+    panel = complete_cases(panel.select(*map(quoted, dict.fromkeys([*(c for c in ("id", "time") if c in panel.columns), *model.columns()]))), model.columns())
+    n_rows = None
+    if model.effect != "none":  # numbering the firms and dealing them out read it several times
+        n_rows = panel.persist().count()
+    rows = prepared(panel, model, n_rows).persist()
     try:
         n_obs, n_firms = counted(rows, model)
-        check_time_invariant(complete_cases(panel, model.columns()), model.firm_columns())
+        check_time_invariant(panel, model.firm_columns())
+        panel.unpersist()
         theta = start_values(rows, model) if start is None else checked_start(start, model)
         return maximise(rows, model, theta, n_obs, n_firms, options, method)
     finally:
+        panel.unpersist()
         rows.unpersist()
 
 
